@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat_format import format_conversations, summarize_formatted
 from tessera.llm.decontaminate import find_leaks
+from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.mixing import mix
 from tessera.llm.pii import find_pii
 from tessera.llm.quality_fm import fit as fit_quality
@@ -40,6 +41,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
@@ -145,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_fm": op2_quality_fm,
         "op3_token_frames": op3_token_frames,
         "op4_source_mix": op4_source_mix,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_rule_ledger": op7_rule_ledger,
         "op8_secret_structure": op8_secret_structure,
