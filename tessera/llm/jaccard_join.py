@@ -18,10 +18,11 @@ is exact, up to 56-bit shingle hashes.
    number. So each set is first verified against the most central set among
    those with which it shares prefix shingles, a linear number of pairs; their
    components are found.
-4. *Rest.* Prefixes are joined for pairs in different components only, and a pair
-   must still be able to reach the threshold by its sizes and places. Those with
-   enough shared prefix shingles are verified. No link between components is
-   missed, and a link inside one would not change it.
+4. *Rest.* Prefixes are joined for pairs in different components only, and only
+   at a shingle that can be the last one shared within both prefixes, given how
+   much overlap the sizes ask for. Those with enough shared prefix shingles are
+   verified. No link between components is missed, and a link inside one would
+   not change it.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle, its whole sequence; ids may
@@ -47,8 +48,9 @@ MAX_MATCH, VERIFY_COST = 6, 0.1
 BATCH_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
 LOW = 48
 PACKED = "bucket int, batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
-PARTS = "batch long, idx int, cls binary, n int, doc_ids array<long>, tokens array<long>"
-POSTINGS = "token long, cls binary, n int, m int, pos int, need int"
+PARTS = "batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
+SETS = "cls binary, n int, doc_ids array<long>, tokens array<long>"
+PREFIXES = "cls binary, need int, s0 long, s1 long, prefix array<long>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,18 +146,19 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             held.append((batch[keep], owner[keep].astype(np.int32), (rank << 56) | token))
 
     def flushed() -> pa.RecordBatch | None:
+        """One row per batch: owners and shared shingles found so far."""
         if not held:
             return None
         batch, owner, token = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((owner, batch))
-        batch, owner, token = batch[order], owner[order], token[order]
-        cuts = np.flatnonzero(np.append(True, (batch[1:] != batch[:-1]) | (owner[1:] != owner[:-1])))
+        order = np.argsort(batch, kind="stable")
+        batch, owner, token = batch[order], owner[order].astype(np.uint16), token[order]
+        cuts = np.flatnonzero(np.append(True, batch[1:] != batch[:-1]))
+        packed = [owner[i:j].tobytes() + token[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(token)), strict=True)]
         n = len(cuts)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(token)).astype(np.int32)), pa.array(token))
         return pa.RecordBatch.from_arrays(
-            [pa.array(batch[cuts]), pa.array(owner[cuts]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), lists],
-            names=["batch", "idx", "cls", "n", "doc_ids", "tokens"],
+            [pa.array(batch[cuts]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+            names=["batch", "idx", "cls", "n", "doc_ids", "packed"],
         )
 
     for b in batches:
@@ -163,7 +166,7 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         if pc.any(classes).as_py():
             some = b.filter(classes)
             yield pa.RecordBatch.from_arrays(
-                [*(some[c] for c in ("batch", "idx", "cls", "n", "doc_ids")), pa.nulls(some.num_rows, pa.list_(pa.int64()))], names=["batch", "idx", "cls", "n", "doc_ids", "tokens"]
+                [*(some[c] for c in ("batch", "idx", "cls", "n", "doc_ids")), pa.nulls(some.num_rows, pa.binary())], names=["batch", "idx", "cls", "n", "doc_ids", "packed"]
             )
         rest = b.filter(pc.invert(classes))
         for bucket, batch, packed in zip(rest["bucket"].to_pylist(), rest["batch"].to_pylist(), rest["packed"].to_pylist(), strict=True):
@@ -178,17 +181,47 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         yield made
 
 
+def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Parts in batch order to one row per class; sets that can't reach the threshold with anything keep no shingles."""
+
+    def done(classes: list[dict], parts: list[bytes]) -> pa.RecordBatch:
+        classes = sorted(classes, key=lambda c: c["idx"])
+        sizes = [len(p) // 10 for p in parts]
+        owner = np.concatenate([np.frombuffer(p, dtype=np.uint16, count=k) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.uint16)
+        token = np.concatenate([np.frombuffer(p[2 * k :], dtype=np.int64) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.int64)
+        order = np.lexsort((token, owner))
+        owner, token = owner[order], token[order]
+        bounds = np.searchsorted(owner, np.arange(len(classes) + 1))
+        sets = [token[i:j] if 0 < 100 * (j - i) >= percent * c["n"] else None for c, i, j in zip(classes, bounds, bounds[1:], strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c["cls"] for c in classes], pa.binary()), pa.array([c["n"] for c in classes], pa.int32()), pa.array([c["doc_ids"] for c in classes], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+            names=["cls", "n", "doc_ids", "tokens"],
+        )
+
+    now, classes, parts = None, [], []
+    for b in batches:
+        packed = b["packed"]
+        for i, batch in enumerate(b["batch"].to_pylist()):
+            if batch != now and classes:
+                yield done(classes, parts)
+                classes, parts = [], []
+            now = batch
+            if packed[i].is_valid:
+                parts.append(packed[i].as_py())
+            else:
+                classes.append({c: b[c][i].as_py() for c in ("idx", "cls", "n", "doc_ids")})
+    if classes:
+        yield done(classes, parts)
+
+
 def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """cls, n, doc_ids and tokens (shared shingles, rare ones first; null where too few to link), per class and batch."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (int(total) // BUCKET_BYTES).bit_length())
     packed = docs.select("doc_id", "text").mapInArrow(lambda it: _shingled(it, k, bits), PACKED)
     parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _shared(it, bits), PARTS)
-    sets = parts.groupBy("batch", "idx").agg(
-        F.first("cls", True).alias("cls"), F.first("n", True).alias("n"), F.first("doc_ids", True).alias("doc_ids"), F.flatten(F.collect_list("tokens")).alias("tokens")
-    )
-    can_link = (F.col("n") > 0) & (100 * F.size("tokens") >= percent * F.col("n"))
-    return materialize(sets.select("cls", "n", "doc_ids", F.when(can_link, F.sort_array("tokens")).alias("tokens")), "shingle-sets")
+    sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: _assembled(it, percent), SETS)
+    return materialize(sets, "shingle-sets")
 
 
 def choose_need(df: np.ndarray, m: int, t: int, n: int, max_match: int = MAX_MATCH) -> int:
@@ -203,24 +236,20 @@ def choose_need(df: np.ndarray, m: int, t: int, n: int, max_match: int = MAX_MAT
     return best
 
 
-def _postings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Prefix of each set, the matches it asks for, and 128 bits of signature: a bit for each shingle of the prefix."""
     for batch in batches:
-        out = []
-        for key, n, tokens in zip(batch["cls"].to_pylist(), batch["n"].to_pylist(), batch["tokens"], strict=True):
+        needs, prefixes = [], []
+        signs = np.zeros((batch.num_rows, 2), dtype=np.uint64)
+        for i, (n, tokens) in enumerate(zip(batch["n"].to_pylist(), batch["tokens"], strict=True)):
             tokens = tokens.values.to_numpy()
             m, t = len(tokens), -(-percent * n // 100)
-            need = choose_need(2.0 ** ((tokens >> 56) / 4), m, t, n)
-            length = min(m, m - t + need)
-            out.append((tokens[:length], key, n, m, length, need))
-        if out:
-            sizes = np.array([x[4] for x in out])
-            row = np.repeat(np.arange(len(out)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pick = lambda i: np.array([x[i] for x in out], dtype=np.int32)[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[0] for x in out])), pa.array([x[1] for x in out], pa.binary()).take(pa.array(row)), pa.array(pick(2)), pa.array(pick(3)), pa.array(place.astype(np.int32)), pa.array(pick(5))],
-                names=["token", "cls", "n", "m", "pos", "need"],
-            )
+            needs.append(choose_need(2.0 ** ((tokens >> 56) / 4), m, t, n))
+            prefix = tokens[: min(m, m - t + needs[-1])]
+            prefixes.append(prefix)
+            np.bitwise_or.at(signs[i], (prefix >> 6) & 1, np.uint64(1) << (prefix & 63).astype(np.uint64))
+        columns = [batch["cls"], pa.array(needs, pa.int32()), *(pa.array(signs[:, k].astype(np.int64)) for k in (0, 1)), pa.array(prefixes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["cls", "need", "s0", "s1", "prefix"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +263,11 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect all components, and the components' (node, root)."""
-    postings = materialize(classes.mapInArrow(lambda it: _postings(it, percent), POSTINGS), "postings")
+    prefixes = materialize(classes.mapInArrow(lambda it: _prefixes(it, percent), PREFIXES), "prefixes")
+    sized = classes.select("cls", "n", F.size("tokens").alias("m"))
+    ends = prefixes.withColumns({"length": F.size("prefix"), "last": F.element_at("prefix", -1)})
+    postings = ends.select("cls", "length", "last", "s0", "s1", F.posexplode("prefix").alias("pos", "token")).join(sized, "cls")
+    postings = materialize(postings, "postings")
     hubs = postings.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("m"), "cls"))["cls"].alias("hub"), F.count("*").alias("df"))
     met = postings.join(hubs.filter("df > 1"), "token").filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("shared"))
     nearest = met.groupBy("cls").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
@@ -245,18 +278,30 @@ def links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     some = placed.join(open_tokens, "token")
     x, y = some.alias("x"), some.alias("y")
-    # A common shingle at places p and q leaves min(p, q) before it and the shorter rest after it to be shared.
-    bound = "least(x.pos, y.pos) + 1 + least(x.m - x.pos - 1, y.m - y.pos - 1)"
+    # Overlap to be reached, and what the set whose prefix ends first can still share after its prefix: the rest has
+    # to be shared within the prefixes, so the last shingle shared there stands at least that far in both.
+    asked = f"{percent} * (x.n + y.n)"
+    after = "if(x.last <= y.last, x.m - x.length, y.m - y.length)"
     able = f"x.token = y.token AND x.cls < y.cls AND x.root <> y.root AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    able += f" AND {100 + percent} * ({bound}) >= {percent} * (x.n + y.n)"
-    candidates = x.join(y, F.expr(able)).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(F.least("x.need", "y.need")).alias("need")
-    )
-    rest = verified(candidates.filter("shared >= need").select("a", "b"), classes, percent)
+    able += f" AND {100 + percent} * (least(x.pos, y.pos) + 1 + {after}) >= {asked}"
+    able += f" AND {100 + percent} * (least(x.pos, y.pos) + 1 + least(x.m - x.pos - 1, y.m - y.pos - 1)) >= {asked}"
+    # A bit that only one signature has is a shingle that only that prefix has.
+    only = "{0}.length - bit_count({0}.s0 & ~{1}.s0) - bit_count({0}.s1 & ~{1}.s1)"
+    able += f" AND {100 + percent} * (least({only.format('x', 'y')}, {only.format('y', 'x')}) + {after}) >= {asked}"
+    pairs = x.join(y, F.expr(able)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    rest = verified(multi_matched(materialize(pairs, "candidates"), prefixes), classes, percent)
     every = materialize(found.union(rest), "links")
     return every, components(every)
 
 
+def multi_matched(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix shingles as the smaller of their two asks."""
+    left = prefixes.select(F.col("cls").alias("a"), F.col("need").alias("need_a"), F.col("prefix").alias("p_a"))
+    right = prefixes.select(F.col("cls").alias("b"), F.col("need").alias("need_b"), F.col("prefix").alias("p_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.least("need_a", "need_b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links, one row per row of ``docs``."""
     sets = class_sets(docs, k, percent)
