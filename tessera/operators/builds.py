@@ -61,13 +61,13 @@ def legal_adds(states: DataFrame, candidates: DataFrame, needs: DataFrame, membe
     """(state, node) single additions within scope that keep the state legal.
 
     states: state, scope, level, ae_left, te_left; candidates: scope, node, ae,
-    te, level, score; members: state, node. Candidates are those of the state's
+    te, level, score; members: scope, state, node. Candidates are those of the state's
     scope, so this is an equi join, not a cross join.
     """
     pairs = states.withColumnRenamed("level", "state_level").join(candidates, "scope").filter("level <= state_level AND ae <= ae_left AND te <= te_left")
-    pairs = pairs.join(members, ["state", "node"], "left_anti")
-    unmet = pairs.select("state", "node").join(needs, "node").join(members.select("state", F.col("node").alias("required")), ["state", "required"], "left_anti")
-    return pairs.join(unmet.select("state", "node").distinct(), ["state", "node"], "left_anti")
+    pairs = pairs.join(members, ["scope", "state", "node"], "left_anti")
+    unmet = pairs.select("scope", "state", "node").join(needs, "node").join(members.select("scope", "state", F.col("node").alias("required")), ["scope", "state", "required"], "left_anti")
+    return pairs.join(unmet.select("scope", "state", "node").distinct(), ["scope", "state", "node"], "left_anti")
 
 
 def expand_frontier(states: DataFrame, candidates: DataFrame, needs: DataFrame, branch: int, beam: int) -> DataFrame:
@@ -76,9 +76,9 @@ def expand_frontier(states: DataFrame, candidates: DataFrame, needs: DataFrame,
     states: state (sorted id array as string), scope, level, ae_left, te_left,
     nodes (array), spend. The score of a state is its spend plus 0.01 per node.
     """
-    members = states.select("state", F.explode("nodes").alias("node"))
+    members = states.select("scope", "state", F.explode("nodes").alias("node"))
     adds = legal_adds(states, candidates, needs, members)
-    order = Window.partitionBy("state").orderBy(F.desc("score"), "node")
+    order = Window.partitionBy("scope", "state").orderBy(F.desc("score"), "node")
     some = adds.withColumn("_b", F.row_number().over(order)).filter(F.col("_b") <= branch)
     grown = F.array_sort(F.array_append("nodes", F.col("node")))
     new = some.select(

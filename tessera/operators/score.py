@@ -46,10 +46,12 @@ def node_components(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     """
     w = weights.filter("weight <> 0")
     arrays = {"tag": "tags", "school": "schools", "resource": "resources"}
-    keys = F.array_union(
-        F.array(F.struct(F.lit("tab").alias("kind"), F.col("tab").alias("key"))),
-        F.flatten(F.array(*[F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for k, a in arrays.items()])),
-    )
+
+    def tagged(kind: str, column: str) -> Column:
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+
+    tab = F.array(F.struct(F.lit("tab").alias("kind"), F.col("tab").alias("key")))
+    keys = F.array_distinct(F.concat(tab, *[tagged(kind, column) for kind, column in arrays.items()]))
     exact = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.kind", "k.key").join(w.filter("kind IN ('tab', 'tag', 'school', 'resource')"), ["kind", "key"])
     texts = nodes.select("node", F.concat_ws("\n", "name", "text").alias("t"))
     boosts = w.filter("kind IN ('named', 'regex')")

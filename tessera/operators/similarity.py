@@ -45,7 +45,8 @@ def distance(a: str, b: str) -> Column:
     """Blend of the distances of features, primary features and sizes of two fingerprints."""
     c = lambda side, name: F.col(f"{side}.{name}")
     parts = 0.55 * jaccard_distance(c(a, "features"), c(b, "features")) + 0.30 * jaccard_distance(c(a, "primary"), c(b, "primary"))
-    return F.round(F.least(F.lit(1.0), parts + 0.15 * bounded_delta(c(a, "size").cast("double"), c(b, "size").cast("double"))), 4)
+    # The small addend keeps exact halves from falling to either side by the order of the sum.
+    return F.round(F.least(F.lit(1.0), 1e-9 + parts + 0.15 * bounded_delta(c(a, "size").cast("double"), c(b, "size").cast("double"))), 4)
 
 
 def pair_distances(prints: DataFrame, scope: str, key: str, most: int) -> DataFrame:
