@@ -11,6 +11,7 @@ from tessera.llm.chat_format import format_conversations, summarize_formatted
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.mixing import mix
+from tessera.llm.oracles import CHAT_SQL, JACCARD_SQL, SUBSTRING_SQL
 from tessera.llm.pii import find_pii
 from tessera.llm.quality_fm import fit as fit_quality
 from tessera.llm.quality_fm import score_quality
@@ -160,4 +161,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": MIX_SQL, "op7_rule_ledger": RULES_SQL}
+    return {
+        "op4_source_mix": MIX_SQL,
+        "op5_jaccard_join": JACCARD_SQL,
+        "op6_substring_dedup": SUBSTRING_SQL,
+        "op7_rule_ledger": RULES_SQL,
+        "op10_chat_format": CHAT_SQL,
+    }
