@@ -8,7 +8,9 @@ budget; the document at the cut gives only as many words as still fit.
 
 No source is ever sorted as a whole. Sizes are summed by (source, key range),
 prefix-summed over the ranges, and only the range that holds the cut is
-ordered. What comes back to the documents is one row per source.
+ordered. There are about as many ranges as the square root of the documents, so
+both the ranges and the rows of one range stay few. What comes back to the
+documents is one row per source.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order; a null id counts as an empty id; rows with equal id and size share the
@@ -19,6 +21,8 @@ is replaced).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +34,6 @@ SYMBOLS = "#*$%&|<>"
 CYCLE = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
-#: Documents that share a key range, on average; only one range per source is sorted.
-RANGE_ROWS = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -116,12 +118,12 @@ def _cuts(slim: DataFrame, n_ranges: int, cycle, share: float, limit: float) ->
     return materialize(out, "mix-cuts")
 
 
-def mix(docs: DataFrame, seed: int = 0, cycle=CYCLE, share: float = SHARE, limit: float = LIMIT, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, cycle=CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted)."""
     docs = docs.drop("size", "source_size", "target", "taken")
     keyed = _keyed(docs, seed)
     slim = materialize(keyed.select("source", "size", "_key"), "mix-keys")
-    n_ranges = max(1, -(-slim.count() // range_rows))
+    n_ranges = 1 + math.isqrt(slim.count())
     cuts = _cuts(slim, n_ranges, cycle, share, limit)
     cuts = cuts.withColumnRenamed("source", "_source")
     joined = keyed.join(cuts, F.expr("source <=> _source"), "left").drop("_source")
