@@ -381,7 +381,86 @@ def graph_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.graph_statements(nodes, _edges(spark, sf_dir).toDF("a", "b"))
 
 
+def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("build"), (k % 3).alias("squares"), (k % 5).alias("paid_passives"), (k % 11).alias("area_nodes"), (k % 2).alias("diluted"), (k % 4).alias("unspent"))
+    return score.legacy_score(o)
+
+
+def empirical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores per event type and user, raised by the type's share of all damage."""
+    events = table(spark, sf_dir, "events").transform(canonical_events)
+    shares = ev.ability_metrics(events.withColumn("player", F.lit(1))).select("ability", "share")
+    base = events.groupBy("player", F.upper("ability").alias("name")).agg(F.count("*").cast("double").alias("score"))
+    return score.empirical_blend(base, shares, 0.5)
+
+
+def alternate_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("build"), F.col("l_quantity").alias("value"))
+    roles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("build"), F.explode(F.split(F.when(F.col("o_orderkey") % 2 == 0, "healer").otherwise("tank,support"), ",")).alias("role"), F.col("o_orderpriority").alias("label"))
+    return score.alternate_objectives(line, roles)
+
+
+def usage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, q = F.col("o_orderkey"), F.round("o_totalprice")
+    u = table(spark, sf_dir, "orders").select(
+        k.alias("build"), F.when(k % 3 == 0, "tank").when(k % 3 == 1, "healer").otherwise("melee_dps").alias("role"), F.lit(60000).alias("duration_ms"), (q * 100).alias("damage"), (q * 50).alias("healing"), (k % 100).alias("covered_pct"),
+        (k % 7 + 1).alias("spent"), (k % 2).alias("wasted"), (k % 4).alias("cooldowns"), (k % 3).alias("cooldown_uses"), (k % 5).alias("warnings"),
+    )
+    return score.usage_scores(u)
+
+
+def marginal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("tags"), (F.col("p_partkey") % 3 == 0).alias("is_required"), F.col("p_size").alias("level"))
+    return bd.marginal_values(p, ["red", "small"], ["red ring"], 40).select("node", "value")
+
+
+def layout_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid places of parts, and a captured layout of some of them and of unknown ones."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") % 2 == 0, "Class").otherwise(F.col("p_brand")).alias("tab"), (F.col("p_partkey") % 10).alias("col"), (F.col("p_partkey") % 7).alias("row"))
+    captured = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select((F.col("p_partkey") + 10).alias("node"), F.col("p_size").cast("long").alias("x"), F.lit(1).cast("long").alias("y"))
+    return graph.overlay_layout(graph.grid(p), captured)
+
+
+def candidate_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_type") == "PROMO", "core").otherwise("filler").alias("category"), F.when(F.col("p_partkey") % 97 == 0, "odd").otherwise(F.concat(F.lit("rage>="), F.col("p_size").cast("string"))).alias("condition"))
+    return rules.candidate_validity(a, ["p_brand"], "core")
+
+
+def priority_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("key"), F.when(F.col("p_size") > 25, F.concat(F.lit("rage>="), F.col("p_size").cast("string"))).alias("condition"))
+    return report.priority_lines(a).select("p_partkey", "line")
+
+
 QUERIES = {
+    "legacy_scores": (legacy_scores, "SELECT o_orderkey AS build, round(4 * (o_orderkey % 3) + 0.75 * (o_orderkey % 5) + 2 * least(o_orderkey % 11, 8) - 1.25 * (o_orderkey % 2) - 2 * (o_orderkey % 4), 2)::DOUBLE AS score FROM orders"),
+    "empirical_blend": (
+        empirical_blend,
+        """WITH d AS (SELECT event_type AS ability, coalesce(sum(greatest(0.0, value - greatest(0.0, value - 95.0))::DECIMAL(18,4)) FILTER (event_type IN ('purchase', 'click')), 0)::DOUBLE AS damage FROM events GROUP BY 1),
+s AS (SELECT ability, damage / sum(damage) OVER () AS share FROM d)
+SELECT user_id AS player, upper(event_type) AS name, round(count(*) + any_value(share) * 100 * 0.5, 4) AS score FROM events JOIN s ON ability = event_type GROUP BY ALL""",
+    ),
+    "alternate_objectives": (
+        alternate_objectives,
+        """WITH t AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS build, unnest(string_split(CASE WHEN o_orderkey % 2 = 0 THEN 'healer' ELSE 'tank,support' END, ',')) AS role, o_orderpriority AS label, total FROM orders JOIN t ON l_orderkey = o_orderkey""",
+    ),
+    "usage_scores": (
+        usage_scores,
+        """WITH u AS (SELECT o_orderkey AS k, round(o_totalprice) AS q, CASE o_orderkey % 3 WHEN 0 THEN 'tank' WHEN 1 THEN 'healer' ELSE 'melee_dps' END AS role, coalesce(least(1.0, (o_orderkey % 3) / nullif(o_orderkey % 4, 0)), 1.0) AS c, CASE WHEN o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 5 <= 2 THEN 'medium' ELSE 'low' END AS r FROM orders)
+SELECT k AS build, role, r AS reliability, round(CASE WHEN role = 'tank' THEN k % 100 * 0.7 + 30 * c ELSE CASE WHEN role = 'healer' THEN q / 2 ELSE q END + 20 * ((k % 7 + 1 - k % 2) / (k % 7 + 1)) + 10 * c END * CASE r WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.85 ELSE 0.55 END, 4) AS score FROM u""",
+    ),
+    "marginal_values": (
+        marginal_values,
+        """SELECT p_partkey AS node, round(CASE WHEN p_name = 'red ring' THEN 10.0 ELSE 0 END + 3.0 * len(list_intersect(string_split(p_name, ' '), ['red', 'small'])) + CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 0 END + greatest(0.0, (40 - p_size) / 10), 2)::DOUBLE AS value FROM part""",
+    ),
+    "layout_overlay": (
+        layout_overlay,
+        """WITH c AS (SELECT p_partkey + 10 AS node, p_size AS x, 1 AS y FROM part WHERE p_partkey % 5 = 0)
+SELECT coalesce(p_partkey, node) AS node, coalesce(x, p_partkey % 10 * 64 + 32) AS x, coalesce(y, p_partkey % 7 * 64 + 32) AS y, CASE WHEN p_partkey IS NULL THEN 'layout_node_unknown' WHEN node IS NULL THEN 'fallback_position' END AS warning FROM part FULL JOIN c ON p_partkey = node""",
+    ),
+    "candidate_validity": (candidate_validity, "SELECT p_brand, bool_or(p_type = 'PROMO') AND bool_and(p_partkey % 97 <> 0) AS valid FROM part GROUP BY 1"),
+    "priority_lines": (priority_lines, "SELECT p_partkey, 'actions+=/' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') || CASE WHEN p_size > 25 THEN ',if=rage>=' || p_size ELSE '' END AS line FROM part"),
     "fk_hit_rate": (fk_hit_rate, f"WITH {RATES} SELECT *, round(hits / nonzero, 3) AS rate FROM r"),
     "fk_blocks": (
         fk_blocks,
