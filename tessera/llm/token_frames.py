@@ -40,11 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, shared_path
+from tessera.session import bound_batches, materialize, shared_path
 
 END_ID = 2
 FRAME_BYTES = 512 * 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -71,7 +71,7 @@ class Encoder:
     """
 
     #: A space that may not be cut at (it starts the text or follows a blank).
-    UNSAFE = re.compile(r"\s\x20|^\x20")
+    UNSAFE = re.compile(r"\x20(?<=\s\x20)")
     TAIL = ".,!?#$%&*|;:"
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -83,7 +83,8 @@ class Encoder:
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.cache: dict[str, bytes] = {}  # of words, each with a space before it
-        self.cores: dict[str, bytes] = {}  # of words without the marks at their end, and of these marks
+        self.cores: dict[str, bytes] = {}  # of words without the marks at their end
+        self.old, self.old_cores = self.cache, self.cores  # the generation before; what is used again moves on
         self.cache_words = cache_words
 
     def _alone(self, text: str) -> bytes:
@@ -104,36 +105,42 @@ class Encoder:
             self.cores.update((c, raw[s:e]) for c, s, e in zip(group, (4 * cuts).tolist(), ends, strict=True))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.cache) > self.cache_words:
-            self.cache, self.cores = {}, {}
-        split, odd = [], []
-        for word in words:
-            core = word.rstrip(self.TAIL)
-            # A word that is blank inside, or whose last letter is none, is encoded as it stands.
-            if core and core[-1].isalpha() and len(core.split()) == 1 and not core[0].isspace():
-                split.append((word, core, word[len(core) :]))
-            else:
-                odd.append(word)
+        """Put the ids of new words into the cache: letters with or without marks at the end by their cores, others as they stand."""
+        cache, old, tail = self.cache, self.old, self.TAIL
+        again = words & old.keys()
+        cache.update((w, old[w]) for w in again)
+        words -= again
+        letters = [w for w in words if w.isalpha()]
+        marked = [(w, c) for w in words if not w.isalpha() and (c := w.rstrip(tail)).isalpha()]
+        odd = [w for w in words if not w.rstrip(tail).isalpha()]
         made = self.tokenizer.encode_batch_fast([f" {w}" for w in odd], add_special_tokens=False)
-        self.cache.update((w, struct.pack(f"<{len(m.ids)}I", *m.ids)) for w, m in zip(odd, made, strict=True))
-        new = {core for _, core, _ in split} - self.cores.keys()
-        self._learn_cores(list(new))
-        tails: dict[str, bytes] = {"": b""}
-        for word, core, tail in split:
-            if tail not in tails:
-                tails[tail] = self._alone(tail)
-            self.cache[word] = self.cores[core] + tails[tail]
+        cache.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, m in zip(odd, made, strict=True) if (ids := m.ids) is not None)
+        new = set(letters)
+        new.update(c for _, c in marked)
+        new -= self.cores.keys()
+        known = new & self.old_cores.keys()
+        self.cores.update((c, self.old_cores[c]) for c in known)
+        self._learn_cores(list(new - known))
+        core = self.cores.__getitem__
+        cache.update(zip(letters, map(core, letters), strict=True))
+        tails = {w[len(c) :] for w, c in marked}
+        ends = {t: self._alone(t) for t in tails}
+        cache.update((w, core(c) + ends[w[len(c) :]]) for w, c in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(self.UNSAFE.search(t)) for t in texts]
+        whole = [t.startswith(" ") or self.UNSAFE.search(t) is not None for t in texts]
         parts = [self._merged(t) if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        if len(self.cache) > self.cache_words:
+            self.old, self.old_cores, self.cache, self.cores = self.cache, self.cores, {}, {}
         cache = self.cache
-        self._learn({p for pieces in parts for p in pieces[1:] if p not in cache})
-        known = self.cache
-        if known is not cache:  # the cache was emptied, so words that it held are learnt again
-            self._learn({p for pieces in parts for p in pieces[1:] if p not in known})
-        get = known.__getitem__
-        return [(self._alone(pieces[0]) if pieces[0] else b"") + b"".join(map(get, pieces[1:])) for pieces in parts]
+        firsts = [self._alone(pieces.pop(0)) for pieces in parts]
+        words = set()
+        for pieces in parts:
+            words.update(pieces)
+        words -= cache.keys()
+        self._learn(words)
+        get = cache.__getitem__
+        return [first + b"".join(map(get, pieces)) for first, pieces in zip(firsts, parts, strict=True)]
 
     @staticmethod
     def _merged(text: str) -> list[str]:
@@ -273,6 +280,7 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer: str | None = Non
             types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["shard", "path", "n_docs", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").select("doc_id", "text")
     return materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
