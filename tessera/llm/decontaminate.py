@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import bound_batches
+
 ERROR_SHARE, PIECE_CHARS, MIN_CHARS, BLOCK_CHARS = 0.05, 16, 32, 8_000_000
 WORDS = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, distance int, allowed int"
@@ -145,6 +147,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, piece: int = PIECE_CHARS, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and benchmark item that occurs in it within its error budget."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts, out = docs.select("doc_id", "text"), None
     for block in _blocks(benchmark, block_chars):
         shipped = spark.sparkContext.broadcast(block)  # at most block_chars characters, one longer item at the most
@@ -174,6 +177,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     share, piece = options.get("share", ERROR_SHARE), options.get("piece", PIECE_CHARS)
     min_chars = options.get("min_chars", MIN_CHARS)
     schema, kept = docs.schema, docs
+    bound_batches(docs.sparkSession)
     for block in _blocks(benchmark, options.get("block_chars", BLOCK_CHARS)):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 

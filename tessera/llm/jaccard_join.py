@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.session import materialize
+from tessera.session import bound_batches, materialize
 
 MAX_MATCH, VERIFY_COST = 6, 0.1
 BATCH_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
@@ -216,6 +216,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """cls, n, doc_ids and tokens (shared shingles, rare ones first; null where too few to link), per class and batch."""
+    bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (int(total) // BUCKET_BYTES).bit_length())
     packed = docs.select("doc_id", "text").mapInArrow(lambda it: _shingled(it, k, bits), PACKED)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import bound_batches, materialize
 
 BUCKETS, FACTORS, TRAIN_ROWS = 512, 4, 4_000
 ITERATIONS, STEP, PENALTY, THRESHOLD = 40, 0.2, 0.0005, 0.7
@@ -126,6 +126,7 @@ def constant(share: float) -> Machine:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """label and inputs of a bounded sample of labelled rows outside the held-out part."""
+    bound_batches(docs.sparkSession)
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", F.col("quality").cast("double").alias("label"))
     n = usable.count()
@@ -174,6 +175,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(batch, machine, memo), pa.float64())], names=["doc_id", "score"])
 
+    bound_batches(docs.sparkSession)
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -186,4 +188,5 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -
         for batch in batches:
             yield batch.filter(pa.array([s >= threshold for s in _scores(batch, machine, memo)], pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.session import bound_batches
+
 Span = tuple[str, int, int]
 
 
@@ -34,4 +36,5 @@ def per_document(docs: DataFrame, schema: str, rows: Callable[[list[str]], list[
             values = list(zip(*made, strict=True)) if made else [[] for _ in names[len(columns) :]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(v) if len(v) else pa.array(v, pa.null()) for v in values)], names=names)
 
+    bound_batches(docs.sparkSession)
     return docs.select(*columns, "text").mapInArrow(run, schema)

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import bound_batches
+
 WINDOW, GRAM = 35, 8
 BATCH_BYTES = 12_000_000
 CARRY_ROWS = 4096
@@ -213,6 +215,7 @@ def kept_words(text: bytes, copies: int, spans: list[dict] | None, window: int)
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for), one row per row of ``docs``."""
+    bound_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("cls", F.unhex(F.md5("text")))
     texts = keyed.groupBy("cls").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
