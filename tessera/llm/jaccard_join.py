@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +76,8 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(mix(rolled) >> np.uint64(8))
 
 
-def _pack(keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """One row per class of the batch, and one per bucket with the shingles of the batch in it."""
-    batch = xxhash.xxh3_64_intdigest(b"".join(keys)) & (2**63 - 1)
     counts = [len(s) for s in sets]
     tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
@@ -104,6 +104,8 @@ def _pack(keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits
 
 def _shingled(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
     keys, docs, sets, size = {}, [], [], 0
+    # Numbered by task and flush: equal texts in two tasks must not share a number, and a task run again repeats its own.
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
             tokens = shingle_set(text or b"", k)
@@ -116,10 +118,10 @@ def _shingled(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[
             sets.append(tokens)
             size += 8 * len(tokens)
             if size > BATCH_BYTES or len(keys) >= 65_000:
-                yield _pack(keys, docs, sets, bits)
-                keys, docs, sets, size = {}, [], [], 0
+                yield _pack(number, keys, docs, sets, bits)
+                keys, docs, sets, size, number = {}, [], [], 0, number + 1
     if keys:
-        yield _pack(keys, docs, sets, bits)
+        yield _pack(number, keys, docs, sets, bits)
 
 
 def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -186,9 +188,13 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
     def done(classes: list[dict], parts: list[bytes]) -> pa.RecordBatch:
         classes = sorted(classes, key=lambda c: c["idx"])
+        if [c["idx"] for c in classes] != list(range(len(classes))):
+            raise RuntimeError(f"batch {now} repeats or lacks classes: was it packed twice from rows in another order?")
         sizes = [len(p) // 10 for p in parts]
         owner = np.concatenate([np.frombuffer(p, dtype=np.uint16, count=k) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.uint16)
         token = np.concatenate([np.frombuffer(p[2 * k :], dtype=np.int64) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.int64)
+        if len(owner) and owner.max() >= len(classes):
+            raise RuntimeError(f"batch {now} has shingles of classes that it lacks")
         order = np.lexsort((token, owner))
         owner, token = owner[order], token[order]
         bounds = np.searchsorted(owner, np.arange(len(classes) + 1))
@@ -202,7 +208,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     for b in batches:
         packed = b["packed"]
         for i, batch in enumerate(b["batch"].to_pylist()):
-            if batch != now and classes:
+            if batch != now and (classes or parts):
                 yield done(classes, parts)
                 classes, parts = [], []
             now = batch
@@ -210,7 +216,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
                 parts.append(packed[i].as_py())
             else:
                 classes.append({c: b[c][i].as_py() for c in ("idx", "cls", "n", "doc_ids")})
-    if classes:
+    if classes or parts:
         yield done(classes, parts)
 
 

@@ -94,6 +94,32 @@ def test_jaccard_join_of_a_straddling_family(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_join_of_two_equal_files(spark, tmp_path):
+    """A file taken in twice under new ids: both tasks see the same classes in the same order."""
+    texts = []
+    for seed in range(40, 46):
+        w = prose(seed, 80).split()
+        texts += [" ".join(w), " ".join([*w[:40], f"edit{seed}", *w[41:]])]
+    halves = [[(at + i, t) for i, t in enumerate(texts)] for at in (0, 100)]
+    for half in halves:
+        spark.createDataFrame(half, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert docs.rdd.getNumPartitions() == 2
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(docs, 4, 85).collect())
+    assert got == brute_components(halves[0] + halves[1], 4, 85)
+
+
+def test_jaccard_join_rejects_a_repeated_batch():
+    import pyarrow as pa
+
+    names = ["batch", "idx", "cls", "n", "doc_ids", "packed"]
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    values = ([7, 7], [0, 0], [b"a", b"b"], [1, 1], [[1], [2]], [None, None])
+    twice = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+    with pytest.raises(RuntimeError, match="repeats"):
+        list(jaccard_join._assembled(iter([twice]), 85))
+
+
 def test_jaccard_join_keeps_one(docs, empty):
     kept = {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()}
     assert {1, 2} & kept == set() and {0, 3, 5, 6, 7, 8, None} <= kept
