@@ -2,7 +2,7 @@
 
 Three plain formats are reported by their shape alone (``assign``, ``access``,
 ``hex``). Everything else must prove its structure: a base64 or hex candidate
-is decoded, and reported only if the bytes parse as a DER key (nested lengths
+(base64 also over several lines) is decoded, and reported only if the bytes parse as a DER key (nested lengths
 that fill their parents exactly, and the leading fields of a known key layout),
 an OpenSSH key, or the JSON header of a signed token. PEM blocks are confirmed
 the same way by their decoded body.
@@ -30,9 +30,13 @@ ASSIGN_LENGTH = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+#: From one line of a wrapped body to the next: a line end or a written one, with quotes, commas, indents or reply marks.
+LINE_END = r"""(?:(?:\\r)?\\n|(?:["'][\x20\t.,;+\\]*|[\x20\t,;\\]*)(?:\r?\n|\r){1,2})[\x20\t>|#*"']*"""
+BREAK = re.compile(LINE_END)
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{{16,}}+{LINE_END})+[A-Za-z0-9+/]+={{0,2}}")
 HEX_BYTES = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}))")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 OPENSSH = b"openssh-key-v1\0"
 #: DER tags used by key layouts.
@@ -114,6 +118,46 @@ def is_signed_token(candidate: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def _body_chars(head: str) -> int | None:
+    """How many base64 characters, without padding, the DER element takes that starts with these."""
+    data = _decoded(head[:8])
+    if not data or len(data) < 6 or data[0] != SEQUENCE:
+        return None
+    n = data[1] & 0x7F if data[1] >= 0x80 else 0
+    if n > 4 or data[1] == 0x80:
+        return None
+    size = 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+    return -(-size * 4 // 3)
+
+
+def wrapped_spans(text: str) -> list[Span]:
+    """Keys in base64 over several lines. A DER key says how long it is, so what follows its last line is left out."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        for end in BREAK.finditer(text, m.start(), m.end()):
+            lines.append((at, end.start()))
+            at = end.end()
+        lines.append((at, m.end()))
+        left, i = sum(e - s for s, e in lines), 0
+        while i < len(lines):
+            start, taken, j, kind = lines[i][0], 0, i, None
+            head = text[start : lines[i][1]]
+            if (_decoded(head[:20]) or b"").startswith(OPENSSH):
+                kind, j = "openssh_key", len(lines)
+            elif (need := _body_chars(head)) is not None and need <= left:
+                while j < len(lines) and taken < need:
+                    taken += len(text[lines[j][0] : lines[j][1]].rstrip("="))
+                    j += 1
+                if taken == need and j > i + 1:
+                    kind = confirmed(_decoded("".join(text[s:e] for s, e in lines[i:j])))
+            if kind:
+                found.append((kind, start, lines[j - 1][1]))
+            for s, e in lines[i : (i := j if kind else i + 1)]:
+                left -= e - s
+    return found
+
+
 def structural_spans(text: str) -> list[Span]:
     """Candidates whose decoded structure is confirmed."""
     found = []
@@ -124,10 +168,12 @@ def structural_spans(text: str) -> list[Span]:
     def new(start: int, end: int) -> bool:
         return not any(s <= start and end <= e for _, s, e in inside)
 
+    found += [s for s in wrapped_spans(text) if new(*s[1:])]
+    inside = list(found)
     found += [(kind, m.start(), m.end()) for m in BASE64.finditer(text) if (kind := confirmed(_decoded(m[0]))) and new(*m.span())]
     found += [(kind, m.start(), m.end()) for m in HEX_BYTES.finditer(text) if (kind := confirmed(bytes.fromhex(m[0]))) and new(*m.span())]
-    if "." in text and "eyJ" in text:
-        found += [("signed_token", m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    if "." in text:
+        found += [("signed_token", *m.span(1)) for m in TOKEN.finditer(text) if is_signed_token(m[1])]
     return found
 
 

@@ -283,6 +283,42 @@ def test_secret_structures_are_confirmed():
     assert secrets.der_children(b"\x30\x05\x02\x01") is None
 
 
+def rsa_lines(width=64):
+    import base64
+
+    sizes = (256, 3, 256, 128, 128, 128, 128, 128)
+    b64 = base64.b64encode(der(0x30, der(2, b"\0") + b"".join(der(2, b"\x01" * k) for k in sizes))).decode()
+    return [b64[i : i + width] for i in range(0, len(b64), width)]
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize(("join", "before", "after"), [
+    ("\n", "x\n", "\nAnd so on"), ("\r\n", "", ""), ("\n> ", "> -----BEGIN RSA PRIVATE KEY-----\n> ", "\n> -----END RSA PRIVATE KEY-----"),
+    ("\n    ", "  -----BEGIN RSA PRIVATE KEY-----\n    ", "\n  -----END"), ("\\n", '{"key": "', '\\n"}'), ('" +\n  "', 'k = "', '";'),
+    ("\n", "-----BEGIN RSA PRIVATE KEY-----\nComment: one\n\n", "\n-----END RSA PRIVATE KEY-----"),
+])
+def test_wrapped_keys_are_found(width, join, before, after):
+    body = join.join(rsa_lines(width))
+    assert secrets.structural_spans(before + body + after) == [("der_key", len(before), len(before) + len(body))]
+
+
+def test_wrapped_text_that_is_no_key_is_not_reported():
+    import base64
+
+    lines = rsa_lines()
+    assert secrets.structural_spans("\n".join(lines[:-3])) == []
+    words = base64.b64encode(b"only a long text of plain words " * 20).decode()
+    assert secrets.structural_spans("\n".join(words[i : i + 64] for i in range(0, len(words), 64))) == []
+
+
+@pytest.mark.parametrize("head", [b'{ "alg":"HS256"}', b'{\n "alg": "HS256"}', b' {"alg":"HS256"}'])
+def test_tokens_with_a_spaced_header_are_found(head):
+    import base64
+
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (head, b'{ "sub":"1"}', b"s" * 32))
+    assert secrets.structural_spans(f"bearer {token} end") == [("signed_token", 7, 7 + len(token))]
+
+
 def test_scans_of_empty_tables(empty, docs):
     assert secrets.scan_secrets(empty).count() == 0
     assert secrets.scan_secrets(docs).count() == docs.count()
