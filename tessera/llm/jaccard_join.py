@@ -322,7 +322,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; rows without an id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), k, percent)
-    first = found.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """``docs`` with one row of each component: the smallest id, then the smallest row key; a null id only if there is no other.
+
+    Rows are told apart by a 64-bit hash of all their values (maps left out), so
+    ids may be repeated or null. Rows without words are linked with nothing and
+    all stay. ``docs`` is read several times and has to give the same rows.
+    """
+    columns = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # A null leaves the hash as it is, so each value goes with whether it is null.
+    keyed = docs.withColumn("_row", F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c)))))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded = keyed.filter(has_words)
+    found = near_duplicates(worded.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = found.join(worded.select("doc_id", "_row"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_kept")).select("_kept")
+    one = worded.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
+    return one.unionByName(keyed.filter(~has_words)).drop("_row")

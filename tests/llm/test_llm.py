@@ -126,6 +126,17 @@ def test_jaccard_join_keeps_one(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
 
 
+def test_jaccard_join_keeps_one_row_of_each_component(spark):
+    """Ids of merged sources that clash, and copies without an id."""
+    a, b, c, d, e = (prose(seed, 60) for seed in range(60, 65))
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, d), (7, d), (1, e), (1, e), (None, None), (None, ""), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (1, b), (None, c), (7, d), (1, e), (None, None), (None, ""), (5, " ")]
+    for parts in (1, 3):
+        kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs.repartition(parts)).collect()]
+        assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_prefix_need_follows_cost():
     rare = jaccard_join.choose_need(np.full(100, 2.0), 100, 85, 100)
     hot = jaccard_join.choose_need(np.full(100, 5000.0), 100, 85, 100)
