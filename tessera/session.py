@@ -108,6 +108,6 @@ def bound_batches(spark: SparkSession, megabytes: int = 4) -> None:
     operator returns; it stays for the session and is only ever lowered.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "0") or 0)
-    if now <= 0 or now > megabytes << 20:
+    now = spark.conf.get(key, None)
+    if not now or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > megabytes << 20:
         spark.conf.set(key, str(megabytes << 20))
