@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,6 +23,20 @@ def digest(spans: Iterable[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker's free memory goes back to the system.
+
+    Python workers are used again and stay while others work, so what one
+    task has needed at its most would otherwise be held by all of them.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_document(docs: DataFrame, schema: str, rows: Callable[[list[str]], list[tuple]], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Map whole texts to rows, one Arrow batch at a time; ids pass through untouched.
 
@@ -37,4 +53,4 @@ def per_document(docs: DataFrame, schema: str, rows: Callable[[list[str]], list[
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(v) if len(v) else pa.array(v, pa.null()) for v in values)], names=names)
 
     bound_batches(docs.sparkSession)
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return docs.select(*columns, "text").mapInArrow(lambda it: freed(run(it)), schema)

@@ -34,17 +34,24 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.spans import freed
 from tessera.session import bound_batches, materialize, shared_path
 
 END_ID = 2
-FRAME_BYTES = 512 * 1024
-CACHE_WORDS = 150_000
+FRAME_BYTES = 64 * 1024
+CACHE_PIECES = 100_000
+
+# Where the pre-tokenizer may be cut, for Arrow's regular expressions. Blanks as Unicode has them.
+MARK, BLANK = "\x1f", r"\s\v\x{85}\pZ"
+UNASSIGNED = r"[^\pL\pN\pM\pP\pS\pZ\pC]"
+CUT = rf"[{BLANK}][^{BLANK}\pL\pN]+|[{BLANK}][^{BLANK}]|[^{BLANK}\pL\pN]{{2,}}|[^{BLANK}\pL\pN']"
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -60,100 +67,84 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Byte-level BPE of whole texts as little-endian 32-bit ids.
-
-    The pre-tokenizer never joins a non-blank to a blank after it, nor a letter
-    to a mark of ``TAIL`` after it. So a text falls apart before every space
-    that follows a non-blank, and a word from the marks at its end; the parts
-    are encoded by the library, and parts seen before come from a bounded cache.
-    Unseen words go to the library as one text; as each starts with the only
-    space it has, the ids are told apart by the tokens that start with one.
+    """Byte-level BPE of whole texts as little-endian 32-bit ids, as the library gives them.
+
+    The pre-tokenizer never joins a letter or digit to a mark after it, nor
+    anything to the last blank of a run before a word. So Arrow cuts a batch of
+    texts there, in one pass; each distinct piece of the batch is encoded once
+    (a single apostrophe, which may start a contraction, stays with its word).
+    Pieces seen before come from a cache of two generations. New words, each
+    with a space before it, go to the library as one text, and the ids are told
+    apart by the tokens that start with a space. Texts with strings of special
+    tokens, or characters that the two Unicode tables may class differently,
+    are encoded whole.
     """
 
-    #: A space that may not be cut at (it starts the text or follows a blank).
-    UNSAFE = re.compile(r"\x20(?<=\s\x20)")
-    TAIL = ".,!?#$%&*|;:"
-
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.cache: dict[str, bytes] = {}  # of words, each with a space before it
-        self.cores: dict[str, bytes] = {}  # of words without the marks at their end
-        self.old, self.old_cores = self.cache, self.cores  # the generation before; what is used again moves on
-        self.cache_words = cache_words
-
-    def _alone(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        """Words without blanks, each to be encoded with a space before it."""
-        groups = [cores[i : i + 256] for i in range(0, len(cores), 256)]
-        made = self.tokenizer.encode_batch_fast(["".join([f" {c}" for c in g]) for g in groups], add_special_tokens=False)
-        for group, one in zip(groups, made, strict=True):
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([UNASSIGNED, MARK, *special])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before; what is used again moves on
+        self.cache_pieces = cache_pieces
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(m.ids, dtype="<u4").tobytes() for m in made]
+
+    def _learnt(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces; words with a space before them are encoded together."""
+        words = pc.match_substring_regex(pa.array(pieces, pa.large_string()), rf"\A [^{BLANK}]+\z").to_pylist()
+        others = [p for p, word in zip(pieces, words, strict=True) if not word]
+        out = dict(zip(others, self._plain(others), strict=True))
+        many = [p for p, word in zip(pieces, words, strict=True) if word]
+        groups = [many[i : i + 256] for i in range(0, len(many), 256)]
+        for group, one in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
             ids = np.array(one.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(group):
-                self.cores.update((c, self._alone(f" {c}")) for c in group)
-                continue
-            raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-            self.cores.update((c, raw[s:e]) for c, s, e in zip(group, (4 * cuts).tolist(), ends, strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the cache: letters with or without marks at the end by their cores, others as they stand."""
-        cache, old, tail = self.cache, self.old, self.TAIL
-        again = words & old.keys()
-        cache.update((w, old[w]) for w in again)
-        words -= again
-        letters = [w for w in words if w.isalpha()]
-        marked = [(w, c) for w in words if not w.isalpha() and (c := w.rstrip(tail)).isalpha()]
-        odd = [w for w in words if not w.rstrip(tail).isalpha()]
-        made = self.tokenizer.encode_batch_fast([f" {w}" for w in odd], add_special_tokens=False)
-        cache.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, m in zip(odd, made, strict=True) if (ids := m.ids) is not None)
-        new = set(letters)
-        new.update(c for _, c in marked)
-        new -= self.cores.keys()
-        known = new & self.old_cores.keys()
-        self.cores.update((c, self.old_cores[c]) for c in known)
-        self._learn_cores(list(new - known))
-        core = self.cores.__getitem__
-        cache.update(zip(letters, map(core, letters), strict=True))
-        tails = {w[len(c) :] for w, c in marked}
-        ends = {t: self._alone(t) for t in tails}
-        cache.update((w, core(c) + ends[w[len(c) :]]) for w, c in marked)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [t.startswith(" ") or self.UNSAFE.search(t) is not None for t in texts]
-        parts = [self._merged(t) if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        if len(self.cache) > self.cache_words:
-            self.old, self.old_cores, self.cache, self.cores = self.cache, self.cores, {}, {}
-        cache = self.cache
-        firsts = [self._alone(pieces.pop(0)) for pieces in parts]
-        words = set()
-        for pieces in parts:
-            words.update(pieces)
-        words -= cache.keys()
-        self._learn(words)
-        get = cache.__getitem__
-        return [first + b"".join(map(get, pieces)) for first, pieces in zip(firsts, parts, strict=True)]
-
-    @staticmethod
-    def _merged(text: str) -> list[str]:
-        """Cut at spaces after a non-blank only."""
-        pieces: list[str] = []
-        for p in text.split(" "):
-            if pieces and pieces[-1] and not pieces[-1][-1].isspace():
-                pieces.append(p)
-            elif pieces:
-                pieces[-1] += f" {p}"
+            cuts = (4 * np.flatnonzero(self.starts[ids])).tolist()
+            if len(cuts) == len(group):
+                raw = ids.tobytes()
+                out.update((p, raw[s:e]) for p, s, e in zip(group, cuts, [*cuts[1:], len(raw)], strict=True))
             else:
-                pieces.append(p)
-        return pieces
+                out.update(zip(group, self._plain(group), strict=True))
+        return out
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        if len(self.young) > self.cache_pieces:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, pieces))
+        missing = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        if missing:
+            again = {p: ids for p, ids in zip(missing, map(self.old.get, missing), strict=True) if ids is not None}
+            self.young.update(again)
+            if len(again) < len(missing):
+                self.young.update(self._learnt([p for p in missing if p not in again]))
+            found = list(map(self.young.get, pieces))
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null texts are empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole)
+        if pc.any(whole).as_py():
+            odd, rest = iter(self._plain(texts.filter(whole).to_pylist())), iter(self.encode(texts.filter(pc.invert(whole))))
+            return [next(odd if w else rest) for w in whole.to_pylist()]
+        parts = pc.split_pattern(pc.replace_substring_regex(texts, CUT, f"{MARK}\\0"), MARK)
+        coded = parts.values.dictionary_encode()
+        found = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, begin = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        raw = pool[np.repeat(begin[which] - ends + n, n) + np.arange(n.sum())].tobytes()
+        bounds = (4 * np.append(0, ends)[parts.offsets.to_numpy()]).tolist()
+        return [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,6 +165,8 @@ class FrameWriter:
         self.index: list[bytes] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
+        if self.waiting and self.raw + len(ids) > self.frame_bytes:  # a long document has a frame of its own
+            self._flush()
         self.index.append(INDEX.pack(doc_id or 0, len(self.seek), self.raw // 4, len(ids) // 4, doc_id is None))
         self.waiting.append(ids)
         self.raw += len(ids)
@@ -260,18 +253,15 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer: str | None = Non
         store, base = _open(folder)
         writer, encoder, out, n_docs, part = None, None, None, 0, ""
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            for at in range(0, len(ids), 512):
-                if writer is None:
-                    store.create_dir(base, recursive=True)
-                    path = f"{base}/shard-{shard:06d}.zst"
-                    part = f"{base}/_part-{shard:06d}-{task.taskAttemptId()}"
-                    out = store.open_output_stream(part)
-                    writer, encoder = FrameWriter(out, frame_bytes), encoder_for(tokenizer)
-                texts = [t or "" for t in batch["text"].slice(at, 512).to_pylist()]
-                for doc_id, coded in zip(ids[at : at + 512], encoder.encode(texts), strict=True):
-                    writer.add(doc_id, coded + ending)
-                    n_docs += 1
+            if writer is None:
+                store.create_dir(base, recursive=True)
+                path = f"{base}/shard-{shard:06d}.zst"
+                part = f"{base}/_part-{shard:06d}-{task.taskAttemptId()}"
+                out = store.open_output_stream(part)
+                writer, encoder = FrameWriter(out, frame_bytes), encoder_for(tokenizer)
+            for doc_id, coded in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                writer.add(doc_id, coded + ending)
+            n_docs += batch.num_rows
         if writer is not None:
             writer.close()
             out.close()
@@ -283,7 +273,7 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer: str | None = Non
     bound_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").select("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return materialize(ordered.mapInArrow(lambda it: freed(write(it)), MANIFEST), "token-manifest")
 
 
 def read_token_frames(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -300,7 +290,7 @@ def read_token_frames(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "first")
     shards = max(1, min(manifest.count(), 20_000))
-    return placed.repartition(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(shards).mapInArrow(lambda it: freed(read(it)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_frames(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:

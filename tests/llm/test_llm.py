@@ -393,7 +393,6 @@ def test_token_frames_round_trip(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_frames.default_tokenizer())
-    t.encode_special_tokens = True
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     got = token_frames.token_frames(docs).collect()
     got = sorted(got, key=lambda r: r["start"])
@@ -422,11 +421,34 @@ def test_frames_decompress_only_what_is_asked(monkeypatch):
         list(token_frames.FrameReader(io.BytesIO(bytes(bad))).read())
 
 
-@pytest.mark.parametrize("text", ["a  b \n c  ", " x", "don't  stop  now", "\n \n", "x  y.", "1.5 a2. b!", "<|endoftext|> é", "", " "])
+@pytest.mark.parametrize("text", ["a  b \n c  ", " x", "don't  stop  now", "\n \n", "x  y.", "1.5 a2. b!", "a <|endoftext|> b", "<|endoftext|> \u00e9", "", " ", "a\x1fb .\u0378c", "it's 'so' ''x. \n\n. \u0301"])
 def test_encoder_matches_the_library(text):
-    e = token_frames.Encoder(token_frames.default_tokenizer(), cache_words=2)
+    import pyarrow as pa
+
+    e = token_frames.Encoder(token_frames.default_tokenizer(), cache_pieces=2)
     for _ in range(2):
-        assert np.frombuffer(e.encode([text, "other words here."])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(pa.array([None, text, "other words here."]))[1], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_matches_the_library_on_random_texts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "'", "'s", "'t", ".", ",", "\u00e9", "1", "\t", "\x85", "\u2026", "\u0301", "<|endoftext|>", "\x1f", "\u4e2d", "\u00df", "\r", "\v", "\u3000", "\u00b2", "D", "'ll", "\u200b", "\u1c89", "\U0001f600"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(5000)]
+    e = token_frames.Encoder(token_frames.default_tokenizer())
+    for text, ids in zip(texts, e.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_long_document_has_a_frame_of_its_own():
+    out = io.BytesIO()
+    w = token_frames.FrameWriter(out, frame_bytes=40)
+    for i, n in enumerate((2, 50, 2, 3)):
+        w.add(i, struct.pack("<I", i) * n)
+    w.close()
+    r = token_frames.FrameReader(io.BytesIO(out.getvalue()))
+    assert [f for _, f, _, _ in r.documents] == [0, 1, 2, 2] and [len(x) for _, _, x in r.read()] == [8, 200, 8, 12]
 
 
 # 4
