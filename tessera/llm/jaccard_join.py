@@ -2,13 +2,16 @@
 
 A text's set is its distinct word shingles. Texts with equal sets are one class.
 Two classes link when intersection over union reaches the threshold; the result
-is exact, up to 56-bit shingle hashes.
+is exact, up to 56-bit shingle hashes: two texts of 500 shingles each have two
+different ones alike with a chance of 4e-12, and then seem to share one more.
 
 1. *Frequencies.* Shingles are packed by hash bucket, as arrays, and counted
-   exactly. A shingle of one class only can never match, so just the shared
-   ones go on, each with a logarithm of its frequency in its top bits: sorting
-   a set then sorts it from rare to frequent. Sets whose shared part is too
-   small to reach the threshold with anything are done.
+   exactly. A batch sends each shingle once, with its class, or with how many
+   of its classes have it; so a shingle that all texts have costs its bucket
+   one entry per batch. A shingle of one class only can never match, so just
+   the shared ones go on, each with a logarithm of its frequency in its top
+   bits: sorting a set then sorts it from rare to frequent. Sets whose shared
+   part is too small to reach the threshold with anything are done.
 2. *Prefixes.* With overlap at least t needed, two sets share l of the first
    n - t + l shingles in that order. For each set, l is chosen by estimated cost:
    a longer prefix scans more of the index but asks for more shared prefix
@@ -43,11 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.session import bound_batches, materialize
+from tessera.llm.spans import freed
+from tessera.session import bound_batches, materialize, scratch
 
 MAX_MATCH, VERIFY_COST = 6, 0.1
-BATCH_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
+BATCH_BYTES, BATCH_DOCS, BUCKET_BYTES, HELD = 6_000_000, 100_000, 6_000_000, 500_000
 LOW = 48
+#: In place of a class: several of the batch.
+SEVERAL = np.uint16(0xFFFF)
 PACKED = "bucket int, batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
 PARTS = "batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
 SETS = "cls binary, n int, doc_ids array<long>, tokens array<long>"
@@ -77,25 +83,34 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """One row per class of the batch, and one per bucket with the shingles of the batch in it."""
+    """One row per class of the batch, one per bucket with the batch's shingles in it, and one with the classes of those that several have."""
     counts = [len(s) for s in sets]
-    tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    heads = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, dtype=np.int64)
+    having = np.diff(np.append(heads, len(tokens)))
+    several = having > 1
+    apart = owner[np.repeat(several, having)]
+    named = np.where(several, SEVERAL, owner[heads])
+    tokens = tokens[heads]
     bucket = (tokens >> np.uint64(56 - bits)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    tokens, owner, bucket = tokens[order], owner[order], bucket[order]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
     low = np.ascontiguousarray(tokens & np.uint64((1 << LOW) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-    packed = [owner[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=False)]
-    n = len(keys)
+    packed = []
+    for i, j in zip(cuts, np.append(cuts[1:], len(tokens)), strict=False):
+        packed.append(np.uint32(j - i).tobytes() + named[i:j].tobytes() + low[i:j].tobytes() + having[i:j][several[i:j]].astype(np.uint32).tobytes())
+    packed.append(np.uint32(several.sum()).tobytes() + tokens[several].tobytes() + having[several].astype(np.uint32).tobytes() + apart.tobytes())
+    n, m = len(keys), len(packed)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.append(np.arange(n, dtype=np.int32) % (1 << bits), bucket[cuts]).astype(np.int32)),
-            pa.array(np.full(n + len(cuts), batch, dtype=np.int64)),
-            pa.array(np.append(np.arange(n), np.full(len(cuts), -1)).astype(np.int32)),
-            pa.array([*keys, *[None] * len(cuts)], pa.binary()),
-            pa.array([*counts, *[None] * len(cuts)], pa.int32()),
-            pa.array([*docs, *[None] * len(cuts)], pa.list_(pa.int64())),
+            pa.array(np.concatenate([np.arange(n, dtype=np.int32) % (1 << bits), bucket[cuts], [batch % (1 << bits)]]).astype(np.int32)),
+            pa.array(np.full(n + m, batch, dtype=np.int64)),
+            pa.array(np.concatenate([np.arange(n), np.full(m - 1, -1), [-2]]).astype(np.int32)),
+            pa.array([*keys, *[None] * m], pa.binary()),
+            pa.array([*counts, *[None] * m], pa.int32()),
+            pa.array([*docs, *[None] * m], pa.list_(pa.int64())),
             pa.array([*[None] * n, *packed], pa.binary()),
         ],
         names=["bucket", "batch", "idx", "cls", "n", "doc_ids", "packed"],
@@ -103,23 +118,24 @@ def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.nd
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
-    keys, docs, sets, size = {}, [], [], 0
+    keys, docs, sets, size, rows = {}, [], [], 0, 0
     # Numbered by task and flush: equal texts in two tasks must not share a number, and a task run again repeats its own.
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
             tokens = shingle_set(text or b"", k)
             key = xxhash.xxh3_128_digest(tokens.tobytes())
+            rows += 1
             if key in keys:
                 docs[keys[key]].append(doc_id)
-                continue
-            keys[key] = len(keys)
-            docs.append([doc_id])
-            sets.append(tokens)
-            size += 8 * len(tokens)
-            if size > BATCH_BYTES or len(keys) >= 65_000:
+            else:
+                keys[key] = len(keys)
+                docs.append([doc_id])
+                sets.append(tokens)
+                size += 8 * len(tokens)
+            if size > BATCH_BYTES or len(keys) >= 65_000 or rows >= BATCH_DOCS:
                 yield _pack(number, keys, docs, sets, bits)
-                keys, docs, sets, size, number = {}, [], [], 0, number + 1
+                keys, docs, sets, size, rows, number = {}, [], [], 0, 0, number + 1
     if keys:
         yield _pack(number, keys, docs, sets, bits)
 
@@ -132,20 +148,22 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     def counted() -> None:
         if len(rows) == 0:
             return
-        sizes = [len(p) // 8 for _, p in rows]
-        owner = np.concatenate([np.frombuffer(p, dtype=np.uint16, count=s) for (_, p), s in zip(rows, sizes, strict=True)])
+        sizes = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for _, p in rows]
+        owner = np.concatenate([np.frombuffer(p, dtype=np.uint16, count=s, offset=4) for (_, p), s in zip(rows, sizes, strict=True)])
         raw = np.zeros((len(owner), 8), dtype=np.uint8)
-        raw[:, :6] = np.concatenate([np.frombuffer(p, dtype=np.uint8, offset=2 * s).reshape(-1, 6) for (_, p), s in zip(rows, sizes, strict=True)])
+        raw[:, :6] = np.concatenate([np.frombuffer(p, dtype=np.uint8, count=6 * s, offset=4 + 2 * s).reshape(-1, 6) for (_, p), s in zip(rows, sizes, strict=True)])
         low = raw.view("<u8").reshape(-1)
+        weight = np.ones(len(owner))
+        weight[owner == SEVERAL] = np.concatenate([np.frombuffer(p, dtype=np.uint32, offset=4 + 8 * s) for (_, p), s in zip(rows, sizes, strict=True)])
         batch = np.repeat(np.array([b for b, _ in rows], dtype=np.int64), sizes)
-        _, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
-        df = counts[inverse]
+        _, inverse = np.unique(low, return_inverse=True)
+        df = np.bincount(inverse, weight)[inverse]
         keep = np.flatnonzero(df >= 2)
         if len(keep):
             rank = np.minimum(127, np.floor(4 * np.log2(df[keep]))).astype(np.int64)
             # The low 48 bits hold all but the bucket's bits of a token when a bucket has eight bits or more.
             token = (np.int64(now) << (56 - bits)) | (low[keep].astype(np.int64) & ((1 << (56 - bits)) - 1))
-            held.append((batch[keep], owner[keep].astype(np.int32), (rank << 56) | token))
+            held.append((batch[keep], owner[keep], (rank << 56) | token))
 
     def flushed() -> pa.RecordBatch | None:
         """One row per batch: owners and shared shingles found so far."""
@@ -154,7 +172,7 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         batch, owner, token = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.argsort(batch, kind="stable")
-        batch, owner, token = batch[order], owner[order].astype(np.uint16), token[order]
+        batch, owner, token = batch[order], owner[order], token[order]
         cuts = np.flatnonzero(np.append(True, batch[1:] != batch[:-1]))
         packed = [owner[i:j].tobytes() + token[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(token)), strict=True)]
         n = len(cuts)
@@ -164,18 +182,15 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         )
 
     for b in batches:
-        classes = pc.is_valid(b["cls"])
-        if pc.any(classes).as_py():
-            some = b.filter(classes)
-            yield pa.RecordBatch.from_arrays(
-                [*(some[c] for c in ("batch", "idx", "cls", "n", "doc_ids")), pa.nulls(some.num_rows, pa.binary())], names=["batch", "idx", "cls", "n", "doc_ids", "packed"]
-            )
-        rest = b.filter(pc.invert(classes))
+        passing = pc.not_equal(b["idx"], -1)  # classes, and the owners of what several have, only pass through
+        if pc.any(passing).as_py():
+            yield b.filter(passing).select(["batch", "idx", "cls", "n", "doc_ids", "packed"])
+        rest = b.filter(pc.invert(passing))
         for bucket, batch, packed in zip(rest["bucket"].to_pylist(), rest["batch"].to_pylist(), rest["packed"].to_pylist(), strict=True):
             if bucket != now:
                 counted()
                 now, rows = bucket, []
-                if sum(len(t) for _, _, t in held) > 2_000_000 and (made := flushed()) is not None:
+                if sum(len(t) for _, _, t in held) > HELD and (made := flushed()) is not None:
                     yield made
             rows.append((batch, packed))
     counted()
@@ -186,13 +201,23 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Parts in batch order to one row per class; sets that can't reach the threshold with anything keep no shingles."""
 
-    def done(classes: list[dict], parts: list[bytes]) -> pa.RecordBatch:
+    def done(classes: list[dict], parts: list[bytes], apart: list[bytes]) -> pa.RecordBatch:
         classes = sorted(classes, key=lambda c: c["idx"])
-        if [c["idx"] for c in classes] != list(range(len(classes))):
+        if [c["idx"] for c in classes] != list(range(len(classes))) or len(apart) > 1:
             raise RuntimeError(f"batch {now} repeats or lacks classes: was it packed twice from rows in another order?")
         sizes = [len(p) // 10 for p in parts]
         owner = np.concatenate([np.frombuffer(p, dtype=np.uint16, count=k) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.uint16)
         token = np.concatenate([np.frombuffer(p[2 * k :], dtype=np.int64) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.int64)
+        several = owner == SEVERAL
+        for p in apart:
+            m = int(np.frombuffer(p, dtype=np.uint32, count=1)[0])
+            having = np.frombuffer(p, dtype=np.uint32, count=m, offset=4 + 8 * m)
+            ranked = token[several]
+            ranked = ranked[np.argsort(ranked & ((1 << 56) - 1))]
+            if not np.array_equal(ranked & ((1 << 56) - 1), np.frombuffer(p, dtype=np.int64, count=m, offset=4)):
+                raise RuntimeError(f"batch {now} lacks shingles that several of its classes have")
+            owner = np.append(owner[~several], np.frombuffer(p, dtype=np.uint16, offset=4 + 12 * m))
+            token = np.append(token[~several], np.repeat(ranked, having))
         if len(owner) and owner.max() >= len(classes):
             raise RuntimeError(f"batch {now} has shingles of classes that it lacks")
         order = np.lexsort((token, owner))
@@ -204,20 +229,22 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             names=["cls", "n", "doc_ids", "tokens"],
         )
 
-    now, classes, parts = None, [], []
+    now, classes, parts, apart = None, [], [], []
     for b in batches:
         packed = b["packed"]
-        for i, batch in enumerate(b["batch"].to_pylist()):
-            if batch != now and (classes or parts):
-                yield done(classes, parts)
-                classes, parts = [], []
+        for i, (batch, idx) in enumerate(zip(b["batch"].to_pylist(), b["idx"].to_pylist(), strict=True)):
+            if batch != now and (classes or parts or apart):
+                yield done(classes, parts, apart)
+                classes, parts, apart = [], [], []
             now = batch
-            if packed[i].is_valid:
+            if idx == -2:
+                apart.append(packed[i].as_py())
+            elif packed[i].is_valid:
                 parts.append(packed[i].as_py())
             else:
                 classes.append({c: b[c][i].as_py() for c in ("idx", "cls", "n", "doc_ids")})
-    if classes or parts:
-        yield done(classes, parts)
+    if classes or parts or apart:
+        yield done(classes, parts, apart)
 
 
 def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -225,9 +252,9 @@ def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (int(total) // BUCKET_BYTES).bit_length())
-    packed = docs.select("doc_id", "text").mapInArrow(lambda it: _shingled(it, k, bits), PACKED)
-    parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _shared(it, bits), PARTS)
-    sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: _assembled(it, percent), SETS)
+    packed = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_shingled(it, k, bits)), PACKED)
+    parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: freed(_shared(it, bits)), PARTS)
+    sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: freed(_assembled(it, percent)), SETS)
     return materialize(sets, "shingle-sets")
 
 
@@ -270,7 +297,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect all components, and the components' (node, root)."""
-    prefixes = materialize(classes.mapInArrow(lambda it: _prefixes(it, percent), PREFIXES), "prefixes")
+    prefixes = materialize(classes.mapInArrow(lambda it: freed(_prefixes(it, percent)), PREFIXES), "prefixes")
     sized = classes.select("cls", "n", F.size("tokens").alias("m"))
     ends = prefixes.withColumns({"length": F.size("prefix"), "last": F.element_at("prefix", -1)})
     postings = ends.select("cls", "length", "last", "s0", "s1", F.posexplode("prefix").alias("pos", "token")).join(sized, "cls")
@@ -283,19 +310,21 @@ def links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     placed = postings.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     placed = materialize(placed, "placed-postings")
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    some = placed.join(open_tokens, "token")
-    x, y = some.alias("x"), some.alias("y")
+    some = materialize(placed.join(open_tokens, "token"), "open-postings")
+    most = some.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+    some = materialize(some.join(most, "token"), "open-postings")
+    x, y = some.filter("root <> most").alias("x"), some.alias("y")
     # Overlap to be reached, and what the set whose prefix ends first can still share after its prefix: the rest has
     # to be shared within the prefixes, so the last shingle shared there stands at least that far in both.
     asked = f"{percent} * (x.n + y.n)"
     after = "if(x.last <= y.last, x.m - x.length, y.m - y.length)"
-    able = f"x.token = y.token AND x.cls < y.cls AND x.root <> y.root AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    able = f"x.token = y.token AND x.root <> y.root AND (y.root = y.most OR x.cls < y.cls) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     able += f" AND {100 + percent} * (least(x.pos, y.pos) + 1 + {after}) >= {asked}"
     able += f" AND {100 + percent} * (least(x.pos, y.pos) + 1 + least(x.m - x.pos - 1, y.m - y.pos - 1)) >= {asked}"
     # A bit that only one signature has is a shingle that only that prefix has.
     only = "{0}.length - bit_count({0}.s0 & ~{1}.s0) - bit_count({0}.s1 & ~{1}.s1)"
     able += f" AND {100 + percent} * (least({only.format('x', 'y')}, {only.format('y', 'x')}) + {after}) >= {asked}"
-    pairs = x.join(y, F.expr(able)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    pairs = x.join(y, F.expr(able)).select(F.expr("least(x.cls, y.cls)").alias("a"), F.expr("greatest(x.cls, y.cls)").alias("b")).distinct()
     rest = verified(multi_matched(materialize(pairs, "candidates"), prefixes), classes, percent)
     every = materialize(found.union(rest), "links")
     return every, components(every)
@@ -311,14 +340,19 @@ def multi_matched(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links, one row per row of ``docs``."""
-    sets = class_sets(docs, k, percent)
-    eligible = sets.filter("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = materialize(eligible, "classes")
-    _, roots = links(classes, percent)
-    rows = sets.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), "n", F.explode("doc_ids").alias("doc_id"))
-    smallest = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least_id"))
-    return rows.join(smallest, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    with scratch(docs.sparkSession) as result:
+        sets = class_sets(docs, k, percent)
+        eligible = sets.filter("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        _, roots = links(materialize(eligible, "classes"), percent)
+        own = materialize(sets.filter("n > 0").groupBy("cls").agg(F.min(F.array_min("doc_ids")).alias("own_id")), "class-ids")
+        linked = materialize(own.join(roots, F.col("cls") == F.col("node")).select("cls", "root", "own_id"), "linked-classes")
+        # Written before they are joined, so that a component or class with very many rows can be split.
+        least = materialize(linked.groupBy("root").agg(F.min("own_id").alias("least_id")), "least-ids")
+        linked = linked.join(least, "root").select("cls", "least_id")
+        placed = materialize(own.join(linked, "cls", "left").select("cls", F.coalesce("least_id", "own_id").alias("least_id")), "placed-classes")
+        rows = sets.select("cls", "n", "doc_ids").join(placed, "cls", "left").select("n", "least_id", F.explode("doc_ids").alias("doc_id"))
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least_id"))
+        return result(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")), "components")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
