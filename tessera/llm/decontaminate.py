@@ -1,21 +1,24 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared as lower-case words joined by single spaces. An
-item of length L may differ by ``e`` edits, a share of L; it is cut into e + 1
-pieces, so wherever it occurs with at most e edits one piece occurs unchanged.
-All pieces are searched at once with an Aho-Corasick automaton; each hit fixes
-a diagonal, and the window around it is verified with Myers' bit-parallel edit
-distance over the whole item.
+item of length L may differ by ``e`` edits, ``ERROR_SHARE`` of L, about one
+changed word in a question of two lines; it is cut into e + 1 pieces, so
+wherever it occurs with at most e edits one piece occurs unchanged. All pieces
+are searched at once with an Aho-Corasick automaton; each hit fixes a diagonal,
+and the window around it is verified with Myers' bit-parallel edit distance over
+the whole item. An item too short for a single edit is one piece, and occurs
+where its words stand as they are, as whole words.
 
 The benchmark is a stated query set. It is read in blocks of at most
 ``BLOCK_CHARS`` characters, whatever its size; each block is one map over all
 documents without a shuffle, and a worker builds the block's automaton once.
 
-Edge cases: null or empty texts and items match nothing; items under
-``MIN_CHARS`` characters of words are too short to tell and are not searched;
-null ids pass through; repeated documents or items give repeated rows; texts of
-any length are searched as a whole. Rows of the result are (doc_id, item_id,
-distance, allowed), distance the least over the text.
+Edge cases: null or empty texts and items without words match nothing; every
+other item is searched, however short (``least_words`` leaves items of fewer
+words out, on demand); null ids pass through; repeated documents or items give
+repeated rows; texts of any length are searched as a whole; other columns, of
+whatever name, are not read. Rows of the result are (doc_id, item_id, distance,
+allowed), distance the least over the text.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.spans import freed
 from tessera.session import bound_batches
 
-ERROR_SHARE, PIECE_CHARS, MIN_CHARS, BLOCK_CHARS = 0.05, 16, 32, 8_000_000
+ERROR_SHARE, BLOCK_CHARS = 0.08, 8_000_000
 WORDS = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, distance int, allowed int"
 
@@ -39,9 +43,8 @@ def normalize(text: str | None) -> str:
     return " ".join(WORDS.findall((text or "").lower()))
 
 
-def allowed_errors(length: int, share: float = ERROR_SHARE, piece: int = PIECE_CHARS) -> int:
-    """A share of the length, but so few that every piece has at least ``piece`` characters."""
-    return max(0, min(int(length * share), length // piece - 1))
+def allowed_errors(length: int, share: float = ERROR_SHARE) -> int:
+    return int(length * share)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -83,9 +86,9 @@ class Pattern:
 class Matcher:
     """The automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], share: float, piece: int, min_chars: int):
-        self.items = [(i, n) for i, n in ((i, normalize(t)) for i, t in items) if len(n) >= min_chars]
-        self.errors = [allowed_errors(len(n), share, piece) for _, n in self.items]
+    def __init__(self, items: list[tuple[int | None, str]], share: float, least_words: int):
+        self.items = [(i, n) for i, n in ((i, normalize(t)) for i, t in items) if n and n.count(" ") + 1 >= least_words]
+        self.errors = [allowed_errors(len(n), share) for _, n in self.items]
         self.patterns: dict[int, Pattern] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for at, (_, item) in enumerate(self.items):
@@ -111,7 +114,8 @@ class Matcher:
                 seen.add((at, start))
                 item, errors = self.items[at][1], self.errors[at]
                 if start >= 0 and text.startswith(item, start):
-                    found[at] = 0
+                    if errors or text[max(0, start - 1) : start] in ("", " ") and text[start + len(item) : start + len(item) + 1] in ("", " "):
+                        found[at] = 0
                 elif errors:
                     if at not in self.patterns:
                         self.patterns[at] = Pattern(item)
@@ -124,11 +128,11 @@ class Matcher:
 _matchers: dict[str, Matcher] = {}
 
 
-def _matcher(block_id: str, items, share: float, piece: int, min_chars: int) -> Matcher:
+def _matcher(block_id: str, items, share: float, least_words: int) -> Matcher:
     """The block's matcher, built once per Python worker; only the last block is kept."""
     if block_id not in _matchers:
         _matchers.clear()
-        _matchers[block_id] = Matcher(items, share, piece, min_chars)
+        _matchers[block_id] = Matcher(items, share, least_words)
     return _matchers[block_id]
 
 
@@ -138,22 +142,22 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
         if block and size + len(row["text"]) > block_chars:
             yield block
             block, size = [], 0
-        block.append((row["item_id"], row["text"]))
+        block.append((None if row["item_id"] is None else int(row["item_id"]), row["text"]))
         size += len(row["text"])
     if block:
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, piece: int = PIECE_CHARS, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, least_words: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and benchmark item that occurs in it within its error budget."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts, out = docs.select("doc_id", "text"), None
+    texts, out = docs.select(F.col("doc_id").cast("long"), "text"), None
     for block in _blocks(benchmark, block_chars):
         shipped = spark.sparkContext.broadcast(block)  # at most block_chars characters, one longer item at the most
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(str(hash(tuple(shipped.value))), shipped.value, share, piece, min_chars)
+            matcher = _matcher(f"{share} {least_words} {hash(tuple(shipped.value))}", shipped.value, share, least_words)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -163,28 +167,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "distance", "allowed"])
 
-        part = texts.mapInArrow(run, MATCHES)
+        part = texts.mapInArrow(lambda it, run=run: freed(run(it)), MATCHES)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, least_words: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item.
 
     One pass over the texts per block; the verdict is made on the row itself,
-    so nothing is joined back and repeated or null ids do no harm.
+    so nothing is joined back and repeated or null ids do no harm. All columns
+    pass through; only ``text`` is looked at.
     """
-    share, piece = options.get("share", ERROR_SHARE), options.get("piece", PIECE_CHARS)
-    min_chars = options.get("min_chars", MIN_CHARS)
     schema, kept = docs.schema, docs
     bound_batches(docs.sparkSession)
-    for block in _blocks(benchmark, options.get("block_chars", BLOCK_CHARS)):
+    for block in _blocks(benchmark, block_chars):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(str(hash(tuple(shipped.value))), shipped.value, share, piece, min_chars)
+            matcher = _matcher(f"{share} {least_words} {hash(tuple(shipped.value))}", shipped.value, share, least_words)
             for batch in batches:
                 yield batch.filter(pa.array([not (t and matcher.find(normalize(t))) for t in batch["text"].to_pylist()], pa.bool_()))
 
-        kept = kept.mapInArrow(run, schema)
+        kept = kept.mapInArrow(lambda it, run=run: freed(run(it)), schema)
     return kept

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.spans import freed
 from tessera.session import bound_batches, materialize
 
 BUCKETS, FACTORS, TRAIN_ROWS = 512, 4, 4_000
@@ -145,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS
 
     # The sampled labels have at most about max_rows rows, so this side may be broadcast.
     joined = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("label", "text")
-    return materialize(joined.mapInArrow(run, "label double, x array<double>"), "quality-sample")
+    return materialize(joined.mapInArrow(lambda it: freed(run(it)), "label double, x array<double>"), "quality-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Machine:
@@ -176,7 +177,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(batch, machine, memo), pa.float64())], names=["doc_id", "score"])
 
     bound_batches(docs.sparkSession)
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(lambda it: freed(run(it)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -189,4 +190,4 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -
             yield batch.filter(pa.array([s >= threshold for s in _scores(batch, machine, memo)], pa.bool_()))
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: freed(run(it)), docs.schema)

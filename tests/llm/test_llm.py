@@ -189,7 +189,11 @@ def brute_leaks(rows, items):
         t = decontaminate.normalize(text)
         for item_id, item in items:
             n = decontaminate.normalize(item)
-            if len(n) < decontaminate.MIN_CHARS:
+            if not n:
+                continue
+            if not decontaminate.allowed_errors(len(n)):
+                if f" {n} " in f" {t} ":
+                    out.append((doc_id, item_id, 0))
                 continue
             prev = [0] * (len(t) + 1)
             for i, c in enumerate(n, 1):
@@ -206,13 +210,14 @@ def test_decontamination_matches_brute_force(spark):
     item = prose(21, 40)
     edited = item.replace("alpha", "alpka", 1)[:-1] + "!!"
     broken = " ".join(reversed(item.split()))
-    rows = [(1, "x " + item.upper() + " y"), (2, "lead in " + edited), (3, broken), (4, None), (5, ""), (6, prose(5, 60)), (None, item), (1, item[: len(item) // 2])]
-    items = [(10, item), (11, prose(22, 30)), (12, "tiny"), (13, None), (14, "")]
+    rows = [(1, "x " + item.upper() + " y"), (2, "lead in " + edited), (3, broken), (4, None), (5, ""), (6, prose(5, 60)), (None, item), (1, item[: len(item) // 2]), (8, "so TINY a thing"), (9, "tinyish, untiny"), (10, "a question of middling lenght here")]
+    items = [(10, item), (11, prose(22, 30)), (12, "tiny"), (13, None), (14, ""), (15, "question of middling length")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (8_000_000, 10):
         got = sorted((tuple(r)[:3] for r in decontaminate.find_leaks(docs, bench, block_chars=block).collect()), key=key)
         assert got == brute_leaks(rows, items) and {(1, 10, 0), (None, 10, 0)} <= set(got)
-    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {1, 3, 4, 5, 6} | ({2} if (2, 10) not in {x[:2] for x in got} else set())
+    assert {(8, 12, 0), (10, 15, 1)} <= set(got) and 9 not in {d for d, _, _ in got}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {1, 3, 4, 5, 6, 9} | ({2} if (2, 10) not in {x[:2] for x in got} else set())
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
