@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from tessera.llm.spans import Span, digest, joined, per_document
+from tessera.llm.spans import Cover, Span, digest, joined, per_document
 
 KINDS = ("assign", "access", "hex", "der_key", "openssh_key", "signed_token")
 
@@ -35,7 +35,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 LINE_END = r"""(?:(?:\\r)?\\n|(?:["'][\x20\t.,;+\\]*|[\x20\t,;\\]*)(?:\r?\n|\r){1,2})[\x20\t>|#*"']*"""
 BREAK = re.compile(LINE_END)
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{{16,}}+{LINE_END})+[A-Za-z0-9+/]+={{0,2}}")
-HEX_BYTES = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+HEX_BYTES = re.compile(r"[0-9a-f]{64,}|[0-9A-F]{64,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}))")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 OPENSSH = b"openssh-key-v1\0"
@@ -118,16 +118,20 @@ def is_signed_token(candidate: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _body_chars(head: str) -> int | None:
-    """How many base64 characters, without padding, the DER element takes that starts with these."""
-    data = _decoded(head[:8])
-    if not data or len(data) < 6 or data[0] != SEQUENCE:
+def der_size(data: bytes) -> int | None:
+    """How many bytes the DER sequence takes that starts with these."""
+    if len(data) < 6 or data[0] != SEQUENCE:
         return None
     n = data[1] & 0x7F if data[1] >= 0x80 else 0
     if n > 4 or data[1] == 0x80:
         return None
-    size = 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
-    return -(-size * 4 // 3)
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
+def _body_chars(head: str) -> int | None:
+    """How many base64 characters, without padding, the DER element takes that starts with these."""
+    size = der_size(_decoded(head[:8]) or b"")
+    return None if size is None else -(-size * 4 // 3)
 
 
 def wrapped_spans(text: str) -> list[Span]:
@@ -158,20 +162,28 @@ def wrapped_spans(text: str) -> list[Span]:
     return found
 
 
+def hex_spans(text: str) -> list[Span]:
+    """Keys in runs of hex digits, at either alignment; a DER key ends where its length says."""
+    found = []
+    for m in HEX_BYTES.finditer(text):
+        for start in (m.start(), m.start() + 1):
+            data = bytes.fromhex(text[start : m.end() - (m.end() - start) % 2])
+            size = der_size(data)
+            size = len(data) if size is None else size
+            if kind := confirmed(data[:size]):
+                found.append((kind, start, start + 2 * size))
+                break
+    return found
+
+
 def structural_spans(text: str) -> list[Span]:
-    """Candidates whose decoded structure is confirmed."""
+    """Candidates whose decoded structure is confirmed; what lies inside a span found before is not told again."""
     found = []
     if "-----BEGIN " in text:
         found += [(kind, m.start(), m.end()) for m in PEM.finditer(text) if (kind := confirmed(_decoded(m[2])))]
-    inside = list(found)
-
-    def new(start: int, end: int) -> bool:
-        return not any(s <= start and end <= e for _, s, e in inside)
-
-    found += [s for s in wrapped_spans(text) if new(*s[1:])]
-    inside = list(found)
-    found += [(kind, m.start(), m.end()) for m in BASE64.finditer(text) if (kind := confirmed(_decoded(m[0]))) and new(*m.span())]
-    found += [(kind, m.start(), m.end()) for m in HEX_BYTES.finditer(text) if (kind := confirmed(bytes.fromhex(m[0]))) and new(*m.span())]
+    for more in (wrapped_spans(text), [(kind, m.start(), m.end()) for m in BASE64.finditer(text) if (kind := confirmed(_decoded(m[0])))], hex_spans(text)):
+        known = Cover((s, e) for _, s, e in found)
+        found += [x for x in more if not known.holds(*x[1:])]
     if "." in text:
         found += [("signed_token", *m.span(1)) for m in TOKEN.finditer(text) if is_signed_token(m[1])]
     return found
