@@ -52,7 +52,8 @@ from tessera.session import bound_batches, materialize, scratch
 MAX_MATCH, VERIFY_COST = 6, 0.1
 BATCH_BYTES, BATCH_DOCS, BUCKET_BYTES, HELD = 6_000_000, 100_000, 6_000_000, 500_000
 LOW = 48
-#: In place of a class: several of the batch.
+#: In place of a class: several of the batch; so many of such shingles go together.
+APART = 16_384
 SEVERAL = np.uint16(0xFFFF)
 PACKED = "bucket int, batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
 PARTS = "batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
@@ -83,7 +84,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """One row per class of the batch, one per bucket with the batch's shingles in it, and one with the classes of those that several have."""
+    """One row per class of the batch, one per bucket with the batch's shingles in it, and some with the classes of those that several have."""
     counts = [len(s) for s in sets]
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
@@ -101,13 +102,20 @@ def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.nd
     packed = []
     for i, j in zip(cuts, np.append(cuts[1:], len(tokens)), strict=False):
         packed.append(np.uint32(j - i).tobytes() + named[i:j].tobytes() + low[i:j].tobytes() + having[i:j][several[i:j]].astype(np.uint32).tobytes())
-    packed.append(np.uint32(several.sum()).tobytes() + tokens[several].tobytes() + having[several].astype(np.uint32).tobytes() + apart.tobytes())
+    shared, times = tokens[several], having[several].astype(np.uint32)
+    ends, k = np.cumsum(times), 0
+    for i in range(0, len(shared), APART):
+        j = min(i + APART, len(shared))
+        packed.append(np.uint32(j - i).tobytes() + shared[i:j].tobytes() + times[i:j].tobytes() + apart[ends[i] - times[i] : ends[j - 1]].tobytes())
+        k += 1
     n, m = len(keys), len(packed)
+    # Rows that only pass through go to any bucket, the same ones if the task runs again.
+    spread = (np.arange(n + k) + 977 * batch) % (1 << bits)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([np.arange(n, dtype=np.int32) % (1 << bits), bucket[cuts], [batch % (1 << bits)]]).astype(np.int32)),
+            pa.array(np.concatenate([spread[:n], bucket[cuts], spread[n:]]).astype(np.int32)),
             pa.array(np.full(n + m, batch, dtype=np.int64)),
-            pa.array(np.concatenate([np.arange(n), np.full(m - 1, -1), [-2]]).astype(np.int32)),
+            pa.array(np.concatenate([np.arange(n), np.full(m - k, -1), np.full(k, -2)]).astype(np.int32)),
             pa.array([*keys, *[None] * m], pa.binary()),
             pa.array([*counts, *[None] * m], pa.int32()),
             pa.array([*docs, *[None] * m], pa.list_(pa.int64())),
@@ -203,21 +211,24 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
     def done(classes: list[dict], parts: list[bytes], apart: list[bytes]) -> pa.RecordBatch:
         classes = sorted(classes, key=lambda c: c["idx"])
-        if [c["idx"] for c in classes] != list(range(len(classes))) or len(apart) > 1:
+        if [c["idx"] for c in classes] != list(range(len(classes))):
             raise RuntimeError(f"batch {now} repeats or lacks classes: was it packed twice from rows in another order?")
         sizes = [len(p) // 10 for p in parts]
         owner = np.concatenate([np.frombuffer(p, dtype=np.uint16, count=k) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.uint16)
         token = np.concatenate([np.frombuffer(p[2 * k :], dtype=np.int64) for p, k in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.int64)
-        several = owner == SEVERAL
-        for p in apart:
-            m = int(np.frombuffer(p, dtype=np.uint32, count=1)[0])
-            having = np.frombuffer(p, dtype=np.uint32, count=m, offset=4 + 8 * m)
-            ranked = token[several]
-            ranked = ranked[np.argsort(ranked & ((1 << 56) - 1))]
-            if not np.array_equal(ranked & ((1 << 56) - 1), np.frombuffer(p, dtype=np.int64, count=m, offset=4)):
-                raise RuntimeError(f"batch {now} lacks shingles that several of its classes have")
-            owner = np.append(owner[~several], np.frombuffer(p, dtype=np.uint16, offset=4 + 12 * m))
-            token = np.append(token[~several], np.repeat(ranked, having))
+        several, mask = owner == SEVERAL, (1 << 56) - 1
+        ranked = token[several]
+        ranked = ranked[np.argsort(ranked & mask)]
+        heads = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for p in apart]
+        named = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(p, dtype=np.int64, count=m, offset=4) for p, m in zip(apart, heads, strict=True)]])
+        having = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(p, dtype=np.uint32, count=m, offset=4 + 8 * m) for p, m in zip(apart, heads, strict=True)]])
+        who = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(p, dtype=np.uint16, offset=4 + 12 * m) for p, m in zip(apart, heads, strict=True)]])
+        order = np.argsort(named, kind="stable")
+        if not np.array_equal(ranked & mask, named[order]):
+            raise RuntimeError(f"batch {now} lacks shingles that several of its classes have")
+        rank = np.empty_like(named)
+        rank[order] = ranked
+        owner, token = np.append(owner[~several], who), np.append(token[~several], np.repeat(rank, having))
         if len(owner) and owner.max() >= len(classes):
             raise RuntimeError(f"batch {now} has shingles of classes that it lacks")
         order = np.lexsort((token, owner))
@@ -251,7 +262,7 @@ def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """cls, n, doc_ids and tokens (shared shingles, rare ones first; null where too few to link), per class and batch."""
     bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(8, (int(total) // BUCKET_BYTES).bit_length())
+    bits = max(12, (int(total) // BUCKET_BYTES).bit_length())
     packed = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_shingled(it, k, bits)), PACKED)
     parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: freed(_shared(it, bits)), PARTS)
     sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: freed(_assembled(it, percent)), SETS)
