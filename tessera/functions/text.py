@@ -63,8 +63,10 @@ MECHANIC_RULES = {
     "hot": [r"\bover\s+\d|every\s+\d", r"\bheal|restore[s]?\s+health\b"],
     "summon": [r"\bsummon|pet|minion\b"],
 }
+# Entities, stats and the words of items.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"))
-TOOLTIP_TAGS = ("a", "b", "br", "div", "em", "i", "p", "span", "strong", "table", "tbody", "td", "th", "tr")
+# The tags that a tooltip may hold.
+TOOLTIP_TAGS = ("b", "br", "div", "em", "i", "p", "small", "span", "strong", "table", "tbody", "td", "tfoot", "th", "thead", "tr")
 STATS = "Critical Strike|Attack Power|Spell Power|Strength|Agility|Stamina|Intellect|Spirit|Haste|Mastery|Versatility|Armor"
 WEAPONS = "sword|axe|mace|dagger|staff|polearm|bow|crossbow|gun|wand|fist weapon"
 ARMOR_SLOTS = "head|neck|shoulder|chest|wrist|hands|waist|legs|feet|finger|trinket|back|shield"
@@ -102,11 +104,32 @@ def html_text(html: Column, line_breaks: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def escaped(text: Column) -> Column:
+    """``& < > " '`` as entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
 def safe_html(html: Column, allowed: tuple[str, ...] = TOOLTIP_TAGS) -> Column:
-    """Scripts and styles dropped with their content, event attributes dropped, unknown tags dropped."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(out, rf"(?i)</?(?!(?:{'|'.join(allowed)})\b)[a-z][^>]*>", "")
+    """Only allowed tags are left, without attributes but the class of a span; scripts and styles go with their content.
+
+    The text is cut at every ``<``; a part that is no tag stays as it is.
+    """
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<\s*(script|style)\b[^>]*>.*?<\s*/\s*\1\s*>", "")
+    tag = r"(?s)^\s*(/?)\s*([a-zA-Z0-9]+)([^>]*)>(.*)$"
+
+    def part(p: Column) -> Column:
+        slash, name, attributes, rest = (F.regexp_extract(p, tag, g) for g in (1, 2, 3, 4))
+        name = F.lower(name)
+        cls = F.when((name == "span") & (slash == ""), F.regexp_extract(attributes, r"""(?i)class\s*=\s*(?:"([^"]*)"|'([^']*)')""", 0))
+        value = F.regexp_replace(cls, r"""(?is)^class\s*=\s*["']|["']$""", "")
+        opened = F.when(F.coalesce(cls, F.lit("")) != "", F.concat(F.lit('<span class="'), escaped(value), F.lit('">'))).otherwise(F.concat(F.lit("<"), slash, name, F.lit(">")))
+        kept = F.when(name.isin(*allowed), opened).otherwise("")
+        return F.when(F.regexp_like(p, F.lit(tag)), F.concat(kept, rest)).otherwise(F.concat(F.lit("<"), p))
+
+    parts = F.split(out, "<", -1)
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), part), ""))
 
 
 def linked_ids(html: Column, kind: str) -> Column:

@@ -14,9 +14,14 @@ from tessera.session import materialize
 
 
 def validate(builds: DataFrame, selected: DataFrame, nodes: DataFrame, needs: DataFrame, scope: DataFrame | None = None, free: DataFrame | None = None) -> DataFrame:
-    """(build, code, node) issues; legality is that of the final set, whatever the order of choice."""
-    issue = lambda df, code, node="node": df.select("build", F.lit(code).alias("code"), (F.col(node) if node else F.lit(None).cast("long")).alias("node"))
-    each = selected.groupBy("build", "node").agg(F.last("rank").alias("rank"), F.count("*").alias("_times"))
+    """(build, code, node) issues; legality is that of the final set, whatever the order of choice.
+
+    Of a node that is chosen twice the greatest rank counts. Each row has all
+    its codes in one pass; only budgets and prerequisites need an aggregate and
+    a join of their own. Runs a job: the rows are written once, being read by
+    all three.
+    """
+    each = selected.groupBy("build", "node").agg(F.max("rank").alias("rank"), F.count("*").alias("_times"))
     rows = each.join(builds, "build").join(nodes.withColumnRenamed("cls", "node_cls").withColumnRenamed("level", "node_level").withColumn("_known", F.lit(True)), "node", "left")
     if scope is not None:
         rows = rows.join(scope.select("node").distinct().withColumn("_scoped", F.lit(True)), "node", "left")
@@ -25,36 +30,36 @@ def validate(builds: DataFrame, selected: DataFrame, nodes: DataFrame, needs: Da
     known = F.coalesce("_known", F.lit(False))
     own = known & (F.col("node_cls") == F.col("cls"))
     valid = own & F.coalesce("_scoped", F.lit(False))
-    rows = rows.withColumns({"_own": own, "_valid": valid, "_paid": F.greatest("rank", F.lit(1))})
+    paid = F.greatest("rank", F.lit(1))
+    rows = rows.withColumns({"_own": own, "_valid": valid, "_ae": F.when(valid, F.col("ae") * paid), "_te": F.when(valid, F.col("te") * paid)})
     w = Window.partitionBy("build", "tab")
-    spent_ae, spent_te = F.when(F.col("_valid"), F.col("ae") * F.col("_paid")), F.when(F.col("_valid"), F.col("te") * F.col("_paid"))
-    rows = rows.withColumns({"_ae": spent_ae, "_te": spent_te})
     rows = rows.withColumns({"_tab_ae": F.sum("_ae").over(w) - F.col("_ae"), "_tab_te": F.sum("_te").over(w) - F.col("_te")})
-    rows = materialize(rows, "build-rows")
-    ok = rows.filter("_valid")
-    out = issue(rows.filter("_times > 1"), "duplicate_node")
-    for df, code in (
-        (rows.filter(F.col("_known").isNull()), "unknown_node"),
-        (rows.filter(F.col("_known") & ~F.col("_own")), "wrong_class"),
-        (rows.filter("_own AND NOT _valid"), "node_not_in_scope"),
-        (ok.filter("rank < 1"), "rank_below_minimum"),
-        (ok.filter("rank > max_rank"), "rank_above_maximum"),
-        (ok.filter("node_level > level"), "level_required"),
-        (ok.filter("_tab_ae < tab_ae_gate"), "tab_ae_gate_unmet"),
-        (ok.filter("_tab_te < tab_te_gate"), "tab_te_gate_unmet"),
-    ):
-        out = out.unionByName(issue(df, code))
-    sums = ok.groupBy("build").agg(F.sum("_ae").alias("_ae"), F.sum("_te").alias("_te"), F.first("max_ae").alias("max_ae"), F.first("max_te").alias("max_te"))
-    out = out.unionByName(issue(sums.filter("_ae > max_ae"), "ae_budget_exceeded", None)).unionByName(issue(sums.filter("_te > max_te"), "te_budget_exceeded", None))
+    rows = materialize(rows.select("build", "node", "cls", "rank", "max_rank", "node_level", "level", "max_ae", "max_te", "tab_ae_gate", "tab_te_gate", "_times", "_known", "_own", "_valid", "_ae", "_te", "_tab_ae", "_tab_te"), "build-rows")
+    ok = F.col("_valid")
+    tests = {
+        "duplicate_node": F.col("_times") > 1,
+        "unknown_node": F.col("_known").isNull(),
+        "wrong_class": F.col("_known") & ~F.col("_own"),
+        "node_not_in_scope": F.col("_own") & ~ok,
+        "rank_below_minimum": ok & (F.col("rank") < 1),
+        "rank_above_maximum": ok & (F.col("rank") > F.col("max_rank")),
+        "level_required": ok & (F.col("node_level") > F.col("level")),
+        "tab_ae_gate_unmet": ok & (F.col("_tab_ae") < F.col("tab_ae_gate")),
+        "tab_te_gate_unmet": ok & (F.col("_tab_te") < F.col("tab_te_gate")),
+    }
+    out = rows.select("build", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in tests.items()]))).alias("code"), "node")
+    sums = rows.filter(ok).groupBy("build").agg(F.sum("_ae").alias("_ae"), F.sum("_te").alias("_te"), F.max("max_ae").alias("max_ae"), F.max("max_te").alias("max_te"))
+    over = F.array_compact(F.array(F.when(F.col("_ae") > F.col("max_ae"), "ae_budget_exceeded"), F.when(F.col("_te") > F.col("max_te"), "te_budget_exceeded")))
+    out = out.unionByName(sums.select("build", F.explode(over).alias("code"), F.lit(None).cast(nodes.schema["node"].dataType).alias("node")))
     have = rows.select("build", F.col("node").alias("required"))
     if free is not None:
         have = have.unionByName(free.select("build", F.col("node").alias("required"))).distinct()
     exists = nodes.select(F.col("node").alias("required"), F.col("cls").alias("required_cls"))
     if scope is not None:
         exists = exists.join(scope.select(F.col("node").alias("required")).distinct(), "required", "left_semi")
-    wanted = ok.select("build", "node", "cls").join(needs, "node").join(exists, "required").filter("required_cls = cls")
+    wanted = rows.filter(ok).select("build", "node", "cls").join(needs, "node").join(exists, "required").filter("required_cls = cls")
     missing = wanted.join(have, ["build", "required"], "left_anti")
-    return out.unionByName(issue(missing, "required_node_missing"))
+    return out.unionByName(missing.select("build", F.lit("required_node_missing").alias("code"), "node"))
 
 
 def legal_adds(states: DataFrame, candidates: DataFrame, needs: DataFrame, members: DataFrame) -> DataFrame:
@@ -94,30 +99,58 @@ def expand_frontier(states: DataFrame, candidates: DataFrame, needs: DataFrame,
     return new.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= beam).drop("_r")
 
 
-def search(states: DataFrame, candidates: DataFrame, needs: DataFrame, rounds: int, branch: int = 10, beam: int = 5) -> DataFrame:
-    """Bounded rounds for all scopes in parallel; the best state of each scope over all rounds."""
+def search(states: DataFrame, candidates: DataFrame, needs: DataFrame, rounds: int, branch: int = 10, beam: int = 5, least_fraction: float = 0.0) -> DataFrame:
+    """Bounded rounds for all scopes in parallel; the best state of each scope over all rounds.
+
+    With ``least_fraction`` a state counts only if it spends that share of what
+    its scope had at first; where none does, the best of all is kept, with the
+    warning ``budget_floor_unreachable``. Runs a job each round.
+    """
     every = frontier = materialize(states, "frontier")
     for _ in range(rounds):
         frontier = materialize(expand_frontier(frontier, candidates, needs, branch, beam), "frontier")
         every = every.unionByName(frontier)
         if frontier.isEmpty():
             break
-    best = Window.partitionBy("scope").orderBy(F.desc(F.col("spend") + 0.01 * F.size("nodes")), "state")
-    return every.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-
-
-def node_states(nodes: DataFrame, levels: DataFrame, selected: DataFrame, free: DataFrame) -> DataFrame:
-    """(level, node) to free, selected, gated by level, over budget or available; levels: level, ae_budget, te_budget."""
-    s, f = selected.select("node").distinct().withColumn("_s", F.lit(True)), free.select("node").distinct().withColumn("_f", F.lit(True))
-    pairs = nodes.withColumnRenamed("level", "node_level").join(s, "node", "left").join(f, "node", "left").crossJoin(F.broadcast(levels))  # a handful of stated levels
+    had = states.groupBy("scope").agg(F.max(F.col("ae_left") + F.col("te_left")).alias("_had"))
+    every = every.join(had, "scope").withColumn("_met", F.col("spend") >= F.lit(least_fraction) * F.col("_had"))
+    best = Window.partitionBy("scope").orderBy(F.desc("_met"), F.desc(F.col("spend") + 0.01 * F.size("nodes")), "state")
+    first = every.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    return first.withColumn("warning", F.when(~F.col("_met"), "budget_floor_unreachable")).drop("_r", "_met", "_had")
+
+
+#: Issue codes and the state they give, the first that occurs.
+ISSUE_STATES = {
+    "level_required": "gated_level",
+    "tab_ae_gate_unmet": "gated_tab_ae",
+    "tab_te_gate_unmet": "gated_tab_te",
+    "required_node_missing": "gated_required_node",
+    "ae_budget_exceeded": "over_budget",
+    "te_budget_exceeded": "over_budget",
+}
+
+
+def node_states(nodes: DataFrame, selected: DataFrame, free: DataFrame, available: DataFrame, issues: DataFrame, by: tuple[str, ...] = ("level", "node")) -> DataFrame:
+    """``nodes`` with the state of each in its snapshot.
+
+    Free comes first; then a selected node without issues; then what the issue
+    codes say (a selected node with other issues is over budget); then available;
+    everything else is inactive. All tables have the columns ``by``; ``issues``
+    also ``code``.
+    """
+    keys, out = list(by), nodes
+    for name, marked in (("_free", free), ("_selected", selected), ("_available", available)):
+        out = out.join(marked.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+    out = out.join(issues.groupBy(*keys).agg(F.collect_set("code").alias("_codes")), keys, "left")
+    has = lambda name: F.coalesce(F.col(name), F.lit(False))
+    told = F.coalesce(*[F.when(F.array_contains("_codes", code), F.lit(state)) for code, state in ISSUE_STATES.items()])
     state = (
-        F.when(F.col("node_level") > F.col("level"), "gated_level")
-        .when(F.col("_f"), "free")
-        .when(F.col("_s"), "selected")
-        .when((F.col("ae") > F.col("ae_budget")) | (F.col("te") > F.col("te_budget")), "over_budget")
-        .otherwise("available")
+        F.when(has("_free"), "free")
+        .when(has("_selected"), F.when(F.col("_codes").isNull(), "selected").otherwise(F.coalesce(told, F.lit("over_budget"))))
+        .when(has("_available"), "available")
+        .otherwise(F.coalesce(told, F.lit("inactive")))
     )
-    return pairs.select("level", "node", state.alias("state"))
+    return out.withColumn("state", state).drop("_free", "_selected", "_available", "_codes")
 
 
 def award_schedule(levels: DataFrame) -> DataFrame:
@@ -127,12 +160,33 @@ def award_schedule(levels: DataFrame) -> DataFrame:
     return awards.withColumns({"ae_total": F.sum("ae_award").over(w), "te_total": F.sum("te_award").over(w)})
 
 
-def marginal_values(nodes: DataFrame, role_tags: list[str], named: list[str], order_level: int) -> DataFrame:
-    """Nodes by marginal value: named ones, role tags, being a prerequisite, and an early level."""
-    score = (
-        F.when(F.col("name").isin(*named), 10.0).otherwise(0.0)
-        + 3.0 * F.size(F.array_intersect("tags", F.array(*[F.lit(t) for t in role_tags])))
-        + F.when(F.col("is_required"), 2.0).otherwise(0.0)
-        + F.greatest(F.lit(0.0), (order_level - F.col("level")) / 10.0)
-    )
-    return nodes.withColumn("value", F.round(score, 2))
+# What a place in the guide is worth, and the tags that fit a role.
+SECTION_VALUES = {"core": 60.0, "priority": 40.0, "cooldown": 35.0, "role": 35.0}
+ROLE_FIT = {
+    "dps": ("damage", "melee", "ranged", "caster", "dot", "spender", "builder"),
+    "tank": ("tank", "defensive", "mitigation"),
+    "healer": ("heal", "healing"),
+    "support": ("support", "utility", "aura", "buff"),
+}
+FIT_VALUE, UNMET_VALUE = 20.0, -10.0
+
+
+def marginal_values(nodes: DataFrame, named: DataFrame, needs: DataFrame, selected: DataFrame) -> DataFrame:
+    """``nodes`` (node, name, tags, level, role) with the ``value`` of taking each next.
+
+    100, plus what its name is worth in each section of the guide (named:
+    section, name), plus 20 if a tag fits the role, less 10 if a prerequisite
+    (needs: node, required) is not selected yet, plus up to 10 for an early level.
+    """
+    worth = F.create_map(*[F.lit(x) for pair in SECTION_VALUES.items() for x in pair])
+    guide = named.select("section", "name").distinct().groupBy("name").agg(F.sum(F.coalesce(F.try_element_at(worth, F.col("section")), F.lit(0.0))).alias("_guide"))
+    unmet = needs.join(selected.select(F.col("node").alias("required")).distinct(), "required", "left_anti").select("node").distinct().withColumn("_unmet", F.lit(UNMET_VALUE))
+    kind = F.when(F.endswith("role", F.lit("_dps")), "dps").otherwise(F.col("role"))
+    tags = F.transform("tags", lambda t: F.lower(t))
+    fits = F.lit(False)
+    for role, fit in ROLE_FIT.items():
+        fits = fits | ((kind == role) & F.arrays_overlap(tags, F.array(*[F.lit(t) for t in fit])))
+    out = nodes.join(guide, "name", "left").join(unmet, "node", "left")
+    zero = F.lit(0.0)
+    value = F.lit(100.0) + F.coalesce("_guide", zero) + F.when(fits, FIT_VALUE).otherwise(0.0) + F.coalesce("_unmet", zero) + F.greatest(zero, 10.0 - F.col("level") / 10.0)
+    return out.withColumn("value", F.round(value, 4)).drop("_guide", "_unmet")

@@ -1,4 +1,8 @@
-"""Graphs as edge tables; fixpoints as bounded rounds that are written to the shared folder."""
+"""Graphs as edge tables; fixpoints as rounds that are written to the shared folder, until nothing changes.
+
+Each round runs a job while the plan is made. Rounds end by themselves: every
+one adds or removes at least one of finitely many rows.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-ROUNDS = 50
-
 
 def undirected(rows: DataFrame, node: str, linked: str) -> tuple[DataFrame, DataFrame]:
     """(a, b) edges from arrays of linked ids, each once with a < b; and the endpoints that don't exist."""
@@ -47,14 +49,16 @@ def reference_faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(lost)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, rounds: int = ROUNDS) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, distance) over directed (src, dst) edges from the roots; at most ``depth`` steps if given.
 
-    Only the frontier is joined each round. Raises if ``rounds`` were not enough.
+    Only the frontier is joined each round.
     """
     edges = materialize(edges.select("src", "dst").distinct(), "reach-edges")
     seen = frontier = materialize(roots.select("node").distinct().withColumn("distance", F.lit(0)), "reach")
-    for step in range(1, (depth or rounds) + 1):
+    step = 0
+    while depth is None or step < depth:
+        step += 1
         near = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = materialize(near.join(seen, "node", "left_anti").withColumn("distance", F.lit(step)), "reach")
         if frontier.isEmpty():
@@ -62,29 +66,63 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, roun
         seen = seen.unionByName(frontier)
         if step % 8 == 0:
             seen = materialize(seen, "reach-seen")
-    if depth is None:
-        raise RuntimeError(f"not settled in {rounds} rounds")
     return seen
 
 
-def in_cycles(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def dependency_closure(targets: DataFrame, needs: DataFrame, paid: DataFrame) -> DataFrame:
+    """(node) targets with all that they need, transitively, of what has to be paid for.
+
+    needs: node, required; paid: node. An unpaid or unknown prerequisite neither
+    enters nor leads on to others.
+    """
+    edges = needs.join(paid.select(F.col("node").alias("required")).distinct(), "required", "left_semi")
+    return reachable(edges.select(F.col("node").alias("src"), F.col("required").alias("dst")), targets).select("node")
+
+
+def tab_reach(nodes: DataFrame, links: DataFrame, needs: DataFrame, by: list[str]) -> DataFrame:
+    """``nodes`` (by, node) with whether each is a root, and whether the links lead to it from one.
+
+    Links are undirected, and count, like prerequisites, only within one group
+    ``by`` (a class and tab). Roots have no prerequisite there; the others that
+    no root leads to are orphans.
+    """
+    inside = nodes.select(*by, "node").distinct()
+    other = inside.withColumnRenamed("node", "dst")
+    both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    key = F.struct(*by, "node")
+    within = both.join(inside.withColumnRenamed("node", "src"), "src").join(other, [*by, "dst"])
+    edges = within.select(F.struct(*by, F.col("src").alias("node")).alias("src"), F.struct(*by, F.col("dst").alias("node")).alias("dst"))
+    held = needs.join(inside, "node").join(inside.withColumnRenamed("node", "required"), [*by, "required"]).select(*by, "node").distinct()
+    roots = inside.join(held, [*by, "node"], "left_anti")
+    seen = reachable(edges, roots.select(key.alias("node"))).select(F.col("node").alias("k"))
+    marked = inside.join(roots.withColumn("root", F.lit(True)), [*by, "node"], "left").withColumn("k", key).join(seen.withColumn("reached", F.lit(True)), "k", "left").drop("k")
+    return marked.withColumns({"root": F.coalesce("root", F.lit(False)), "reached": F.coalesce("reached", F.lit(False))})
+
+
+def tab_faults(reach: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: a tab of several nodes without a root, and how many orphans there are."""
+    one = reach.groupBy(*by).agg(F.count("*").alias("nodes"), F.count_if("root").alias("roots"), F.count_if(~F.col("reached")).alias("orphans"))
+    fault = F.when((F.col("nodes") > 1) & (F.col("roots") == 0), "no_root").when(F.col("orphans") > 0, "orphan_nodes")
+    return one.withColumn("fault", fault)
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle of prerequisites or behind one: what remains when nodes without open prerequisites are peeled off.
 
     (src, dst): dst needs src.
     """
     left = materialize(edges.select("src", "dst").distinct(), "peel")
     n = left.count()
-    for _ in range(rounds):
+    while True:
         held = left.select(F.col("dst").alias("src")).distinct()
         left = materialize(left.join(held, "src", "left_semi"), "peel")
         now = left.count()
         if now == n:
             return left.select(F.col("dst").alias("node")).distinct()
         n = now
-    raise RuntimeError(f"not peeled in {rounds} rounds")
 
 
-def closure(free: DataFrame, needs: DataFrame, have: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def closure(free: DataFrame, needs: DataFrame, have: DataFrame) -> DataFrame:
     """Free nodes whose prerequisites are all met, transitively, for all builds at once.
 
     ``free`` (build, node); ``needs`` (node, required), only rows whose required
@@ -97,25 +135,29 @@ def closure(free: DataFrame, needs: DataFrame, have: DataFrame, rounds: int = RO
     met = wanted.filter("required IS NOT NULL").select("build", "node").distinct().join(blocked, ["build", "node"], "left_anti")
     fresh = materialize(out.unionByName(met).distinct(), "closure")
     out = fresh
-    for _ in range(rounds):
+    while True:
         open_needs = materialize(open_needs.join(fresh.select("build", F.col("node").alias("required")), ["build", "required"], "left_anti"), "closure-open")
         still = open_needs.select("build", "node").distinct()
         fresh = materialize(blocked.join(still, ["build", "node"], "left_anti"), "closure")
         blocked = still
         if fresh.isEmpty():
             return out
-        out = out.unionByName(fresh)
-    raise RuntimeError(f"not closed in {rounds} rounds")
+        out = materialize(out.unionByName(fresh), "closure-out")
 
 
 def grid(nodes: DataFrame) -> DataFrame:
-    """Tree kind, pixel place of a grid cell, and the size of its tree."""
-    from pyspark.sql import Window
+    """Tree kind, pixel place of a grid cell, and the size of its tree.
 
-    kind = F.when(F.col("tab") == "Class", "class").otherwise("spec")
+    The class tab and what costs ability essence is ``ability_essence``; what
+    costs nothing and stands from column 10 on ``level_passives``; the rest
+    ``talent_essence`` (costs: ae, te, 0 where absent). Sizes are one small
+    aggregate that is joined back.
+    """
+    cost = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in nodes.columns else F.lit(0)
+    kind = F.when((F.col("tab") == "Class") | (cost("ae") > 0), "ability_essence").when((cost("te") == 0) & (F.coalesce("col", F.lit(0)) >= 10), "level_passives").otherwise("talent_essence")
     placed = nodes.withColumns({"tree_kind": kind, "x": F.col("col") * 64 + 32, "y": F.col("row") * 64 + 32})
-    w = Window.partitionBy("tree_kind")
-    return placed.withColumns({"width": F.max("x").over(w) + 32, "height": F.max("y").over(w) + 32})
+    sizes = placed.groupBy("tree_kind").agg((F.max("x") + 32).alias("width"), (F.max("y") + 32).alias("height"))
+    return placed.join(sizes, "tree_kind")
 
 
 def overlay_layout(grid_nodes: DataFrame, layout: DataFrame) -> DataFrame:

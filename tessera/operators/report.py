@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessera.functions.values import engine_role
+from tessera.operators.score import objective
+
 
 def scopes(nodes: DataFrame, encounters: list[str], shared: str) -> DataFrame:
     """Every class and own tab with every stated encounter."""
@@ -18,6 +21,52 @@ def class_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("cls").agg(F.count_distinct("tab").alias("tabs"), best.alias("_b")).select("cls", "tabs", F.col("_b.tab").alias("best_tab"), F.col("_b.index").alias("best_index"))
 
 
+def by_score(scope: str, key: str) -> WindowSpec:
+    return Window.partitionBy(scope).orderBy(F.desc("score"), key)
+
+
+def warnings(nodes: DataFrame, metadata: DataFrame, scopes: DataFrame, shared: str, full_level: int = 60) -> DataFrame:
+    """(cls, warning, detail): stated tabs that have no nodes, and classes whose shared pool says nothing of levels below the full one.
+
+    nodes: cls, tab, availability; metadata: cls, tab; scopes: cls, level.
+    """
+    empty = metadata.filter(F.col("tab") != F.lit(shared)).select("cls", "tab").distinct().join(nodes.select("cls", "tab").distinct(), ["cls", "tab"], "left_anti")
+    pool = nodes.filter((F.col("tab") == F.lit(shared)) & F.col("availability").isNull()).select("cls").distinct()
+    early = scopes.filter(F.col("level") < full_level).select("cls").distinct().join(pool, "cls", "left_semi")
+    out = empty.select("cls", F.lit("metadata_tab_has_no_nodes").alias("warning"), F.col("tab").alias("detail"))
+    return out.unionByName(early.select("cls", F.lit("class_pool_level_gating_incomplete").alias("warning"), F.lit(None).cast("string").alias("detail")))
+
+
+def ordered_distinct(*lists: Column) -> Column:
+    """All entries of the lists, each once, where it first stands; a null list is empty."""
+    return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
+
+
+def facts(chosen: DataFrame, builds: DataFrame, trusted: DataFrame, gear: DataFrame, told: DataFrame) -> DataFrame:
+    """One row per chosen build: its objective, index, trust, gear and all warnings once.
+
+    chosen: scope, build, place; builds: build, role, index; trusted: build,
+    trust_score, trust; gear: engine_role, weapon_types, armor_types,
+    gear_warning; told: build, own_warnings.
+    """
+    out = chosen.join(builds, "build").withColumn("engine_role", engine_role(F.col("role"))).join(trusted, "build", "left").join(told, "build", "left").join(gear, "engine_role", "left")
+    what = objective(F.col("role"))
+    every = ordered_distinct(F.col("own_warnings"), F.when(F.col("gear_warning").isNotNull(), F.array("gear_warning")))
+    return out.withColumns({"objective": what["id"], "objective_label": what["label"], "warnings": every}).drop("own_warnings", "gear_warning")
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """One line per build of the report, for a flat sink."""
+    line = F.format_string("#%d build %s %s %s %.2f trust %s [%s]", "place", F.col("build").cast("string"), "role", "objective_label", "index", "trust", F.array_join("warnings", ","))
+    return rows.select("scope", "place", "build", line.alias("line"))
+
+
+def nested_report(rows: DataFrame) -> DataFrame:
+    """Scopes with their builds in order, each a struct of all its facts, for a nested sink."""
+    inner = ["place", *[c for c in rows.columns if c not in ("scope", "place")]]
+    return nested(rows, ["scope"], inner, "builds")
+
+
 def nested(rows: DataFrame, outer: list[str], inner: list[str], name: str) -> DataFrame:
     """Groups with their rows as a sorted array of structs, for a nested sink."""
     return rows.groupBy(*outer).agg(F.sort_array(F.collect_list(F.struct(*inner))).alias(name))

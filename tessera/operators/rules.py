@@ -67,6 +67,7 @@ def watchlist(rows: DataFrame, entries: DataFrame, columns: dict[str, str]) -> D
     return rows.join(entries, test)
 
 
+# The forms of conditions.
 CONDITIONS = {
     "dot": r"^dot\.([a-z0-9_]+)\.remains<gcd$",
     "buff": r"^buff\.([a-z0-9_]+)\.down$",
@@ -97,10 +98,27 @@ def condition_holds(condition: Column) -> Column:
 
 
 def first_usable(snapshots: DataFrame, actions: DataFrame) -> DataFrame:
-    """Per snapshot the first action whose condition holds, by priority and key; the actions are a stated set of tens."""
-    tested = snapshots.crossJoin(F.broadcast(actions)).withColumn("_ok", condition_holds(F.col("condition"))).filter("_ok")
-    best = tested.groupBy("snapshot").agg(F.min(F.struct("priority", "key")).alias("_b"))
-    return best.select("snapshot", F.col("_b.key").alias("action"))
+    """Per snapshot the first usable action, by priority and key; (snapshot, action, unsupported).
+
+    Usable: its condition holds, and, where ``actions`` has these columns, it is
+    off cooldown (``cooldowns`` of the snapshot under its key), it can be paid
+    (``costs``: resource to amount), and it is known (``known``). ``unsupported``
+    counts the actions whose condition has a form that is not known. The actions
+    are a stated set of tens; each is tested on every row where it stands, so
+    only the snapshots grow.
+    """
+    holds = "_holds"
+    tested = snapshots.crossJoin(actions)
+    ok = F.coalesce(condition_holds(F.col("condition")), F.lit(False))
+    if "known" in actions.columns:
+        ok = ok & F.col("known")
+    if "costs" in actions.columns:
+        ready = F.coalesce(F.try_element_at("cooldowns", F.col("key")), F.lit(0.0)) <= F.col("time_ms")
+        paid = F.forall(F.map_entries("costs"), lambda e: F.coalesce(F.try_element_at(F.col("resources"), e["key"]), F.lit(0.0)) >= e["value"])
+        ok = ok & ready & F.coalesce(paid, F.lit(True))
+    tested = tested.withColumns({holds: ok, "_odd": condition_holds(F.col("condition")).isNull()})
+    best = tested.groupBy("snapshot").agg(F.min(F.when(F.col(holds), F.struct("priority", "key"))).alias("_b"), F.count_if("_odd").alias("unsupported"))
+    return best.filter("_b IS NOT NULL").select("snapshot", F.col("_b.key").alias("action"), "unsupported")
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
@@ -134,9 +152,95 @@ def rotate(actions: DataFrame, by: list[str], step: int | None) -> DataFrame:
     return moved.withColumnRenamed("_p", "priority").drop("_to", "_i", "_n")
 
 
-def candidate_validity(actions: DataFrame, by: list[str], core: str) -> DataFrame:
-    """A candidate is valid if it has the core category and no unknown condition."""
-    known = F.lit(False)
-    for p in CONDITIONS.values():
-        known = known | F.regexp_like("condition", F.lit(p))
-    return actions.groupBy(*by).agg((F.bool_or(F.col("category") == core) & F.bool_and(known | (F.coalesce("condition", F.lit("")) == ""))).alias("valid"))
+#: Categories of actions, or classes of catalogue actions, one of which a role needs.
+ROLE_NEEDS = {"healer": ("healing", "heal"), "tank": ("defensive", "mitigation"), "support": ("support", "support")}
+
+
+def candidate_validity(candidates: DataFrame, actions: DataFrame, catalogue: DataFrame, most: int = 20) -> DataFrame:
+    """``candidates`` (candidate, role) with ``valid``.
+
+    At most ``most`` actions, at least one of them in the catalogue (key,
+    classification); of those not only cooldowns; and, for healers, tanks and
+    supports, one with the category or the classification of the role. actions:
+    candidate, key, category.
+    """
+    known = actions.join(catalogue.select("key", "classification").withColumn("_known", F.lit(True)), "key", "left")
+    run = F.coalesce("_known", F.lit(False))
+    sums = known.groupBy("candidate").agg(
+        F.count("*").alias("_n"), F.collect_set(F.when(run, F.col("category"))).alias("_categories"), F.collect_set(F.when(run, F.col("classification"))).alias("_classes"), F.count_if(run).alias("_run")
+    )
+    fits = F.lit(True)
+    for role, (category, classification) in ROLE_NEEDS.items():
+        fits = F.when(F.lower("role") == role, F.array_contains("_categories", category) | F.array_contains("_classes", classification)).otherwise(fits)
+    valid = (F.col("_n") <= most) & (F.col("_run") > 0) & (F.size(F.array_remove("_categories", "cooldown")) > 0) & fits
+    return candidates.join(sums, "candidate", "left").withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_n", "_categories", "_classes", "_run")
+
+
+# The checks of a catalogue row, SQL that is true where it fails. Wrong types are read as null.
+ENTRY_RULES = {
+    "missing_schema_version": "schema_version IS NULL",
+    "missing_class": "coalesce(class_name, '') = ''",
+    "missing_tab": "coalesce(tab_name, '') = ''",
+    "invalid_essence_kind": "coalesce(essence_kind, '') NOT IN ('ability', 'talent', 'unknown')",
+    "unknown_essence_kind": "essence_kind = 'unknown'",
+    "missing_name": "coalesce(name, '') = ''",
+    "class_id_not_numeric": "class_id IS NULL",
+    "tab_id_not_numeric": "tab_id IS NULL",
+    "ae_cost_not_numeric": "ae_cost IS NULL",
+    "te_cost_not_numeric": "te_cost IS NULL",
+    "required_tab_ae_not_numeric": "required_tab_ae IS NULL",
+    "required_tab_te_not_numeric": "required_tab_te IS NULL",
+    "required_ids_not_numbers": "required_ids IS NULL OR exists(required_ids, x -> x IS NULL)",
+    "connected_ids_not_numbers": "connected_node_ids IS NULL OR exists(connected_node_ids, x -> x IS NULL)",
+    "tags_not_array": "tags IS NULL",
+    "schools_not_array": "damage_schools IS NULL",
+    "resources_not_array": "resources IS NULL",
+    "missing_field_sources": "field_sources IS NULL",
+    "missing_inferred": "inferred IS NULL",
+    "missing_raw": "raw IS NULL",
+    "invalid_source_category": "source_category NOT IN ('spec_tree', 'class_pool', 'trainer', 'misc_system', 'metadata_only', 'unknown')",
+    "level_not_numeric": "availability IS NOT NULL AND availability.effective_required_level IS NULL",
+    "invalid_level_confidence": "availability IS NOT NULL AND coalesce(availability.level_confidence, '') NOT IN ('high', 'medium', 'low')",
+}
+CLASS_RULES = {"class_missing_schema_version": "schema_version IS NULL", "class_missing_name": "coalesce(class_name, '') = ''", "class_id_not_numeric": "class_id IS NULL", "class_tabs_not_array": "tabs IS NULL"}
+
+
+def catalogue_faults(entries: DataFrame, classes: DataFrame, allow_unknown_kind: bool = False) -> DataFrame:
+    """(code, n) of all that is wrong with a catalogue: its rows, its classes, and the two together; none if it may be published."""
+    rules = {k: v for k, v in ENTRY_RULES.items() if not (allow_unknown_kind and k == "unknown_essence_kind")}
+    rows = validation_summary(entries, rules).select("code", "n").unionByName(validation_summary(classes, CLASS_RULES).select("code", "n"))
+    have = entries.filter("coalesce(class_name, '') <> ''").select("class_name").distinct()
+    empty = classes.filter("coalesce(class_name, '') <> ''").join(have, "class_name", "left_anti").agg(F.count("*").alias("n")).select(F.lit("class_without_entries").alias("code"), "n")
+    none = lambda df, code: df.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit(code).alias("code"), "n")
+    return rows.unionByName(empty).unionByName(none(entries, "no_entries")).unionByName(none(classes, "no_classes")).filter("n > 0")
+
+
+# What a rule table may hold.
+RULE_CATEGORIES = ("precombat", "maintenance", "cooldown", "builder", "spender", "execute", "aoe", "filler", "utility")
+RULE_CONFIDENCE = ("high", "medium", "low")
+MATCH_OPERATORS = (
+    "tags_any", "tags_all", "schools_any", "resources_any", "name_contains_any", "description_matches_any",
+    "entry_type_in", "essence_kind_in", "active_only", "passive_only", "selected_rank_at_least",
+)
+
+
+def rule_faults(rules: DataFrame, templates: DataFrame, branches: DataFrame, encounters: DataFrame) -> DataFrame:
+    """(profile, id, code) for rule tables.
+
+    rules: profile, rule, category, confidence, priority (text), template, match (map of operators); templates: profile,
+    template; branches: profile, encounter, categories; encounters: profile, encounter.
+    """
+    listed = lambda names: F.array(*[F.lit(n) for n in names])
+    known = templates.select("profile", "template").distinct().withColumn("_t", F.lit(True))
+    r = rules.join(known, ["profile", "template"], "left")
+    codes = {
+        "invalid_category": ~F.coalesce(F.array_contains(listed(RULE_CATEGORIES), F.col("category")), F.lit(False)),
+        "invalid_confidence": F.col("confidence").isNotNull() & ~F.array_contains(listed(RULE_CONFIDENCE), F.col("confidence")),
+        "priority_not_numeric": F.col("priority").isNotNull() & F.col("priority").try_cast("double").isNull(),
+        "unknown_template": (F.coalesce("template", F.lit("")) != "") & F.col("_t").isNull(),
+        "unsupported_operator": F.size(F.array_except(F.map_keys("match"), listed(MATCH_OPERATORS))) > 0,
+    }
+    out = r.select("profile", F.col("rule").alias("id"), F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in codes.items()]))).alias("code"))
+    b = branches.join(encounters.select("profile", "encounter").distinct().withColumn("_e", F.lit(True)), ["profile", "encounter"], "left")
+    wrong = F.array_compact(F.array(F.when(F.col("_e").isNull(), "unsupported_encounter"), F.when(F.size(F.array_except("categories", listed(RULE_CATEGORIES))) > 0, "unknown_branch_category")))
+    return out.unionByName(b.select("profile", F.col("encounter").alias("id"), F.explode(wrong).alias("code")))

@@ -51,7 +51,7 @@ def scalar_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _wide(spark, sf_dir).filter("l_orderkey % 100 = 1")
+    w = _wide(spark, sf_dir)
     anchors = w.select(F.lit("part").alias("name"), F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("expected"))
     return discover.anchor_columns(_cells(spark, sf_dir), anchors)
 
@@ -73,14 +73,14 @@ def recon_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
     return lines.select(F.col("l_partkey").alias("src"), after.alias("dst")).filter("dst IS NOT NULL").distinct()
 
 
 EDGES_SQL = """e AS (
   SELECT DISTINCT src, dst FROM (
-    SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 48)) WHERE dst IS NOT NULL)"""
+    SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) WHERE dst IS NOT NULL)"""
 
 
 def edges_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +113,14 @@ def linked_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ring is closed over the first parts, so a cycle and what is behind it remain."""
-    ring = table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1990 AND 1994").select(F.col("p_partkey").alias("src"), (1990 + (F.col("p_partkey") - 1989) % 5).alias("dst"))
-    return graph.in_cycles(_edges(spark, sf_dir).unionByName(ring), rounds=200)
+    """The parts of each order as a chain of prerequisites; in every tenth order the last one leads back to the first."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
+    first = F.first("l_partkey").over(w)
+    after = F.coalesce(F.lead("l_partkey").over(w), F.when((F.col("l_orderkey") % 10 == 0) & (first != F.col("l_partkey")), first))
+    node = lambda part: F.concat_ws(":", F.col("l_orderkey").cast("string"), part.cast("string"))
+    edges = lines.withColumn("after", after).filter("after IS NOT NULL").select(node(F.col("l_partkey")).alias("src"), node(F.col("after")).alias("dst"))
+    return graph.in_cycles(edges)
 
 
 def free_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,12 +164,6 @@ def frontier_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("scope", "state", "ae_left", "te_left", "spend")
 
 
-def node_state_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("level"), (F.col("p_size") % 3).alias("ae"), (F.col("p_size") % 2).alias("te"))
-    levels = table(spark, sf_dir, "nation").filter("n_nationkey < 3").select((F.col("n_nationkey") * 20 + 10).alias("level"), F.col("n_nationkey").alias("ae_budget"), F.lit(1).alias("te_budget"))
-    return bd.node_states(p, levels, p.filter("node % 5 = 0"), p.filter("node % 11 = 0"))
-
-
 def award_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bd.award_schedule(table(spark, sf_dir, "part").select(F.col("p_size").alias("level")).distinct())
 
@@ -204,11 +203,6 @@ def synergies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.synergy_components(members, sets)
 
 
-def role_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "text", tx.detect(F.col("text"), tx.TAG_RULES).alias("tags"))
-    return score.infer_role(score.role_scores(d, "source", "text", "tags"), "source")
-
-
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     stats = F.map_from_arrays(F.array(F.lit("size"), F.lit("price")), F.array(F.col("p_size").cast("double"), F.round("p_retailprice", 2)))
@@ -217,17 +211,6 @@ def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.item_scores(items, weights, 10)
 
 
-def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return score.trust(table(spark, sf_dir, "orders").select("o_orderkey", ((k % 5) / 4).alias("role"), ((k % 4) / 3).alias("mechanics"), ((k % 3) / 2).alias("rotation"), ((k % 2) / 1).alias("watchlist"))).select("o_orderkey", "score", "label")
-
-
-def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 2 == 0).alias("no_own_action"), (k % 3 == 0).alias("no_role_core"), (k % 4).alias("low_actions"), F.lit(4).alias("actions"), (k % 5 == 0).alias("resources_unused"), (k % 7 == 0).alias("warned"))
-    return o.withColumn("score", score.reliability()).select("o_orderkey", "score")
-
-
 def watchlist_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat(F.lower("p_type"), F.when(F.col("p_size") % 2 == 0, "_dps").otherwise("")).alias("role"))
     entries = table(spark, sf_dir, "region").select("r_regionkey", F.when(F.col("r_regionkey") == 0, "*").otherwise(F.concat(F.lit("BRAND#"), F.col("r_regionkey").cast("string"))).alias("brand_pattern"), F.when(F.col("r_regionkey") % 2 == 0, "*_dps").otherwise("*").alias("role_pattern"))
@@ -237,26 +220,6 @@ def watchlist_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity: builds are orders, features the parts' types and brands; the scope is a customer.
 
 
-def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    features = rows.select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("key"), F.explode(F.array("p_type", "p_brand")).alias("feature"))
-    prints = similarity.fingerprints(features, ["scope", "key"], "feature")
-    return prints.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.round("o_totalprice", 2).alias("score"), ((F.col("o_orderkey") % 4) / 4).alias("reliability")), "key")
-
-
-PRINTS_SQL = """f AS (SELECT o_custkey AS scope, o_orderkey AS key, unnest([p_type, p_brand]) AS feature FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-n AS (SELECT scope, key, feature, count(*) AS c FROM f GROUP BY ALL),
-p AS (SELECT scope, key, list(feature) AS features, list(feature) FILTER (r <= 6) AS prim, sum(c)::DOUBLE AS size FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY c DESC, feature) AS r FROM n) GROUP BY scope, key),
-q AS (SELECT p.*, round(o_totalprice, 2) AS score, (o_orderkey % 4) / 4 AS reliability, row_number() OVER (PARTITION BY scope ORDER BY o_totalprice DESC, key) AS r FROM p JOIN orders ON key = o_orderkey QUALIFY r <= 12),
-d AS (
-  SELECT a.scope, a.key AS a, b.key AS b,
-         round(least(1.0, 1e-9 + 0.55 * (1 - len(list_intersect(a.features, b.features)) / len(list_distinct(a.features || b.features))) + 0.30 * (1 - len(list_intersect(a.prim, b.prim)) / len(list_distinct(a.prim || b.prim)))
-               + 0.15 * least(1.0, abs(a.size - b.size) / greatest(a.size, b.size, 1.0))), 4) AS distance
-  FROM q a JOIN q b ON a.scope = b.scope AND a.key < b.key)"""
-
-
-def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.pair_distances(_prints(spark, sf_dir), "scope", "key", 12)
 
 
 def band_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,10 +227,6 @@ def band_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.band_floor(scores, "scope")
 
 
-def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.select_diverse(_prints(spark, sf_dir), "scope", "key", 2)
-
-
 # Rules
 
 
@@ -381,12 +340,6 @@ def graph_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.graph_statements(nodes, _edges(spark, sf_dir).toDF("a", "b"))
 
 
-def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select(k.alias("build"), (k % 3).alias("squares"), (k % 5).alias("paid_passives"), (k % 11).alias("area_nodes"), (k % 2).alias("diluted"), (k % 4).alias("unspent"))
-    return score.legacy_score(o)
-
-
 def empirical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores per event type and user, raised by the type's share of all damage."""
     events = table(spark, sf_dir, "events").transform(canonical_events)
@@ -401,20 +354,6 @@ def alternate_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.alternate_objectives(line, roles)
 
 
-def usage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, q = F.col("o_orderkey"), F.round("o_totalprice")
-    u = table(spark, sf_dir, "orders").select(
-        k.alias("build"), F.when(k % 3 == 0, "tank").when(k % 3 == 1, "healer").otherwise("melee_dps").alias("role"), F.lit(60000).alias("duration_ms"), (q * 100).alias("damage"), (q * 50).alias("healing"), (k % 100).alias("covered_pct"),
-        (k % 7 + 1).alias("spent"), (k % 2).alias("wasted"), (k % 4).alias("cooldowns"), (k % 3).alias("cooldown_uses"), (k % 5).alias("warnings"),
-    )
-    return score.usage_scores(u)
-
-
-def marginal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("tags"), (F.col("p_partkey") % 3 == 0).alias("is_required"), F.col("p_size").alias("level"))
-    return bd.marginal_values(p, ["red", "small"], ["red ring"], 40).select("node", "value")
-
-
 def layout_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid places of parts, and a captured layout of some of them and of unknown ones."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") % 2 == 0, "Class").otherwise(F.col("p_brand")).alias("tab"), (F.col("p_partkey") % 10).alias("col"), (F.col("p_partkey") % 7).alias("row"))
@@ -422,18 +361,12 @@ def layout_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overlay_layout(graph.grid(p), captured)
 
 
-def candidate_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_type") == "PROMO", "core").otherwise("filler").alias("category"), F.when(F.col("p_partkey") % 97 == 0, "odd").otherwise(F.concat(F.lit("rage>="), F.col("p_size").cast("string"))).alias("condition"))
-    return rules.candidate_validity(a, ["p_brand"], "core")
-
-
 def priority_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("key"), F.when(F.col("p_size") > 25, F.concat(F.lit("rage>="), F.col("p_size").cast("string"))).alias("condition"))
     return report.priority_lines(a).select("p_partkey", "line")
 
 
 QUERIES = {
-    "legacy_scores": (legacy_scores, "SELECT o_orderkey AS build, round(4 * (o_orderkey % 3) + 0.75 * (o_orderkey % 5) + 2 * least(o_orderkey % 11, 8) - 1.25 * (o_orderkey % 2) - 2 * (o_orderkey % 4), 2)::DOUBLE AS score FROM orders"),
     "empirical_blend": (
         empirical_blend,
         """WITH d AS (SELECT event_type AS ability, coalesce(sum(greatest(0.0, value - greatest(0.0, value - 95.0))::DECIMAL(18,4)) FILTER (event_type IN ('purchase', 'click')), 0)::DOUBLE AS damage FROM events GROUP BY 1),
@@ -445,21 +378,11 @@ SELECT user_id AS player, upper(event_type) AS name, round(count(*) + any_value(
         """WITH t AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS build, unnest(string_split(CASE WHEN o_orderkey % 2 = 0 THEN 'healer' ELSE 'tank,support' END, ',')) AS role, o_orderpriority AS label, total FROM orders JOIN t ON l_orderkey = o_orderkey""",
     ),
-    "usage_scores": (
-        usage_scores,
-        """WITH u AS (SELECT o_orderkey AS k, round(o_totalprice) AS q, CASE o_orderkey % 3 WHEN 0 THEN 'tank' WHEN 1 THEN 'healer' ELSE 'melee_dps' END AS role, coalesce(least(1.0, (o_orderkey % 3) / nullif(o_orderkey % 4, 0)), 1.0) AS c, CASE WHEN o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 5 <= 2 THEN 'medium' ELSE 'low' END AS r FROM orders)
-SELECT k AS build, role, r AS reliability, round(CASE WHEN role = 'tank' THEN k % 100 * 0.7 + 30 * c ELSE CASE WHEN role = 'healer' THEN q / 2 ELSE q END + 20 * ((k % 7 + 1 - k % 2) / (k % 7 + 1)) + 10 * c END * CASE r WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.85 ELSE 0.55 END, 4) AS score FROM u""",
-    ),
-    "marginal_values": (
-        marginal_values,
-        """SELECT p_partkey AS node, round(CASE WHEN p_name = 'red ring' THEN 10.0 ELSE 0 END + 3.0 * len(list_intersect(string_split(p_name, ' '), ['red', 'small'])) + CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 0 END + greatest(0.0, (40 - p_size) / 10), 2)::DOUBLE AS value FROM part""",
-    ),
     "layout_overlay": (
         layout_overlay,
         """WITH c AS (SELECT p_partkey + 10 AS node, p_size AS x, 1 AS y FROM part WHERE p_partkey % 5 = 0)
 SELECT coalesce(p_partkey, node) AS node, coalesce(x, p_partkey % 10 * 64 + 32) AS x, coalesce(y, p_partkey % 7 * 64 + 32) AS y, CASE WHEN p_partkey IS NULL THEN 'layout_node_unknown' WHEN node IS NULL THEN 'fallback_position' END AS warning FROM part FULL JOIN c ON p_partkey = node""",
     ),
-    "candidate_validity": (candidate_validity, "SELECT p_brand, bool_or(p_type = 'PROMO') AND bool_and(p_partkey % 97 <> 0) AS valid FROM part GROUP BY 1"),
     "priority_lines": (priority_lines, "SELECT p_partkey, 'actions+=/' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') || CASE WHEN p_size > 25 THEN ',if=rage>=' || p_size ELSE '' END AS line FROM part"),
     "fk_hit_rate": (fk_hit_rate, f"WITH {RATES} SELECT *, round(hits / nonzero, 3) AS rate FROM r"),
     "fk_blocks": (
@@ -475,7 +398,7 @@ s AS (SELECT col, avg((val = value)::INT) AS score, count(*) FILTER (val = value
 o AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM s WHERE n >= 50 WINDOW w AS (ORDER BY score DESC, nonzero DESC, col DESC))
 SELECT 'supplier' AS field, col, round(score, 4) AS score, round(score - next, 4) AS margin, nonzero, CASE WHEN round(score, 4) >= 0.85 AND round(score - next, 4) >= 0.15 THEN 'high' ELSE 'low' END AS confidence FROM o WHERE place = 1 AND nonzero >= 50""",
     ),
-    "anchor_columns": (anchor_columns, f"WITH {CELLS_SQL} SELECT 'part' AS name, c.col, count(*) AS anchors, 'unique' AS status FROM c JOIN w ON row_id = w.l_orderkey WHERE w.l_orderkey % 100 = 1 GROUP BY c.col HAVING bool_and(val = l_partkey)"),
+    "anchor_columns": (anchor_columns, f"WITH {CELLS_SQL} SELECT 'part' AS name, c.col, count(*) AS anchors, 'unique' AS status FROM c JOIN w ON row_id = w.l_orderkey GROUP BY c.col HAVING bool_and(val = l_partkey)"),
     "enum_domain": (enum_domain, f"WITH {CELLS_SQL} SELECT col, count(DISTINCT val) AS symbols, count(DISTINCT val) FILTER (val NOT BETWEEN 1 AND 5) AS unknown_symbols, count(*) FILTER (val NOT BETWEEN 1 AND 5) AS unknown_rows FROM c GROUP BY col"),
     "majority_labels": (majority_labels, f"WITH {CELLS_SQL} SELECT col, count(DISTINCT val) AS \"values\", 1.0::DOUBLE AS score, count(*) AS n FROM c WHERE col = 3 GROUP BY col"),
     "recon_status": (recon_status, f"WITH {RATES} SELECT 0 AS missing, CASE WHEN n > 1 THEN n ELSE 0 END AS ambiguous, n + 1 AS findings, CASE WHEN n > 1 THEN 'review_required' ELSE 'verified' END AS verdict FROM (SELECT count(*) AS n FROM r WHERE hits / nonzero >= 0.99 AND distinct_values >= 2)"),
@@ -497,11 +420,13 @@ FROM e JOIN part x ON x.p_partkey = src JOIN part y ON y.p_partkey = dst""",
         f"""WITH {EDGES_SQL}, a AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 5), b AS (SELECT DISTINCT dst AS node FROM e JOIN a ON src = node), c AS (SELECT DISTINCT dst AS node FROM e JOIN b ON src = node)
 SELECT node, min(distance) AS distance FROM (SELECT node, 0 AS distance FROM a UNION ALL SELECT node, 1 FROM b UNION ALL SELECT node, 2 FROM c) GROUP BY node""",
     ),
-    "cycle_peel": (
-        cycle_peel,
-        f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey BETWEEN 1990 AND 1994 UNION SELECT dst FROM r JOIN e ON node = src) SELECT node FROM r""",
+    "cycle_peel": (cycle_peel, "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0) SELECT l_orderkey || ':' || l_partkey AS node FROM l QUALIFY count(*) OVER (PARTITION BY l_orderkey) > 1"),
+    "free_closure": (
+        free_closure,
+        """WITH RECURSIVE f AS (SELECT p_type AS build, p_partkey AS node FROM part WHERE p_partkey % 7 <> 0),
+n AS (SELECT a.p_partkey AS node FROM part a JOIN part b ON b.p_partkey = a.p_partkey - 1 AND a.p_type = b.p_type WHERE a.p_partkey % 4 <> 0 AND a.p_partkey % 7 <> 0),
+r AS (SELECT build, node FROM f WHERE node NOT IN (SELECT node FROM n) OR (node - 1) % 7 = 0 UNION SELECT f.build, f.node FROM r JOIN f ON f.node = r.node + 1 JOIN n ON n.node = f.node) SELECT build, node FROM r""",
     ),
-    "free_closure": (free_closure, None),
     "build_validation": (
         build_validation,
         """WITH s AS (SELECT l_orderkey AS build, l_partkey AS node, floor(max(l_quantity) / 10)::INT AS rank, count(*) AS times FROM lineitem GROUP BY ALL),
@@ -519,11 +444,6 @@ UNION ALL SELECT v.build, 'required_node_missing', v.node FROM v WHERE v.node %
         frontier_round,
         """WITH c AS (SELECT p_brand AS scope, p_partkey AS node, p_size % 3 AS ae, p_size % 2 AS te, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS b FROM part WHERE p_size <= 40 AND p_size % 3 <= 4 AND p_size % 2 <= 3 AND p_partkey % 3 <> 0)
 SELECT scope, node::VARCHAR AS state, 4 - ae AS ae_left, 3 - te AS te_left, ae + te AS spend FROM c WHERE b <= 10 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY ae + te DESC, node::VARCHAR) <= 5""",
-    ),
-    "node_state_levels": (
-        node_state_levels,
-        """SELECT n.n_nationkey * 20 + 10 AS level, p_partkey AS node, CASE WHEN p_size > n.n_nationkey * 20 + 10 THEN 'gated_level' WHEN p_partkey % 11 = 0 THEN 'free' WHEN p_partkey % 5 = 0 THEN 'selected' WHEN p_size % 3 > n.n_nationkey OR p_size % 2 > 1 THEN 'over_budget' ELSE 'available' END AS state
-FROM part CROSS JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey < 3) n""",
     ),
     "award_schedule": (award_schedule, "WITH l AS (SELECT DISTINCT p_size AS level FROM part), a AS (SELECT level, (level % 2 = 0)::INT AS ae_award, (level % 2 = 1)::INT AS te_award FROM l) SELECT *, sum(ae_award) OVER (ORDER BY level) AS ae_total, sum(te_award) OVER (ORDER BY level) AS te_total FROM a"),
     "node_scores": (
@@ -538,32 +458,22 @@ SELECT node, round(sum(value), 4) AS value, count(*) AS components FROM c GROUP
 c AS (SELECT p_partkey AS node, w AS value FROM part JOIN t USING (p_type) WHERE w <> 0 UNION ALL SELECT p_partkey, length(k) - 4 FROM (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS k FROM part) WHERE length(k) <> 4 UNION ALL SELECT p_partkey, 2.5 FROM part WHERE contains(lower(p_brand), 'brand#2')),
 v AS (SELECT node, sum(value) AS value FROM c GROUP BY node), m AS (SELECT DISTINCT l_orderkey AS build, l_partkey AS node FROM lineitem),
 b AS (SELECT build, round(100.0 + coalesce(sum(value), 0), 2) AS i, count(*) FILTER (node % 2 = 0) > greatest(3, floor(count(*) / 2)) AS low FROM m LEFT JOIN v USING (node) GROUP BY build)
-SELECT build, i AS index, CASE WHEN low THEN 'low' ELSE 'medium' END AS confidence, round(i * (1 - CASE WHEN low THEN 0.22 ELSE 0.14 END), 2) AS "low", round(i * (1 + CASE WHEN low THEN 0.22 ELSE 0.14 END), 2) AS high FROM b""",
+SELECT build, i AS index, i AS mid, CASE WHEN low THEN 'low' ELSE 'medium' END AS confidence, round(i * (1 - CASE WHEN low THEN 0.22 ELSE 0.14 END), 2) AS "low", round(i * (1 + CASE WHEN low THEN 0.22 ELSE 0.14 END), 2) AS high FROM b""",
     ),
     "synergies": (
         synergies,
         """WITH s AS (SELECT DISTINCT x, y FROM (SELECT p_brand, min(p_name) AS x, max(p_name) AS y FROM part GROUP BY 1)), m AS (SELECT DISTINCT l_orderkey AS build, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT a.build, 'synergy' AS kind, x || '+' || y AS key, 1.5::DOUBLE AS value FROM s JOIN m a ON a.name = x JOIN m b ON b.name = y AND a.build = b.build""",
     ),
-    "role_inference": (role_inference, None),
     "item_scores": (
         item_scores,
         """WITH w AS (SELECT p_type, min(p_size)::DOUBLE AS w FROM part GROUP BY 1), s AS (SELECT p_type AS role, p_partkey AS item, round(((p_size * w)::DECIMAL(18,4) + (round(p_retailprice, 2) * 0.5)::DECIMAL(18,4))::DOUBLE, 4) AS score FROM part JOIN w USING (p_type))
 SELECT role, item, score, row_number() OVER (PARTITION BY role ORDER BY score DESC, item) AS place FROM s QUALIFY place <= 10""",
     ),
-    "trust_score": (
-        trust_score,
-        """WITH s AS (SELECT o_orderkey, round((o_orderkey % 5) / 4 * 0.2 + (o_orderkey % 4) / 3 * 0.3 + (o_orderkey % 3) / 2 * 0.3 + (o_orderkey % 2) * 0.2, 6) AS score FROM orders) SELECT *, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS label FROM s""",
-    ),
-    "reliability": (
-        reliability,
-        "SELECT o_orderkey, round(1.0 - CASE WHEN o_orderkey % 2 = 0 THEN 0.2 ELSE 0 END - CASE WHEN o_orderkey % 3 = 0 THEN 0.15 ELSE 0 END - CASE WHEN o_orderkey % 4 = 3 THEN 0.1 ELSE 0 END - CASE WHEN o_orderkey % 5 = 0 THEN 0.1 ELSE 0 END - CASE WHEN o_orderkey % 7 = 0 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS score FROM orders",
-    ),
     "watchlist_hits": (
         watchlist_hits,
         "SELECT r_regionkey, count(*) AS n FROM region JOIN part ON (r_regionkey = 0 OR lower(p_brand) = 'brand#' || r_regionkey) AND (r_regionkey % 2 = 1 OR p_size % 2 = 0) GROUP BY r_regionkey",
     ),
-    "jaccard_pairs": (jaccard_pairs, f"WITH {PRINTS_SQL} SELECT * FROM d"),
     "band_floors": (
         band_floors,
         """WITH s AS (SELECT o_custkey AS scope, round(o_totalprice, 2) AS score FROM orders), b AS (SELECT scope, max(score) AS best, median(score) AS med, count(*) AS n, list_reverse_sort(list(score)) AS al FROM s GROUP BY scope),
@@ -572,12 +482,17 @@ f AS (SELECT b.*, greatest(best * 0.9, CASE WHEN n >= 6 THEN best - greatest(1.5
 a AS (SELECT *, n > 1 AND al[2] < fl AS alone FROM f)
 SELECT scope, round(CASE WHEN alone THEN greatest(best * 0.88, al[2]) ELSE fl END, 4) AS floor, alone AS widened, best FROM a""",
     ),
-    "diverse_topk": (diverse_topk, None),
-    "rule_matches": (rule_matches, None),
+    "rule_matches": (
+        rule_matches,
+        """WITH m AS (SELECT p_type AS scope, p_name AS key, '' AS condition, CASE WHEN r_regionkey % 2 = 0 THEN 'filler' ELSE 'core' END AS category, r_regionkey * 10 AS priority, r_name AS rule FROM part JOIN region
+  ON list_contains(string_split(p_name, ' '), (['red', 'small', 'blue', 'green', 'large'])[(r_regionkey + 1)::INT]) AND (r_regionkey <> 1 OR p_size % 2 <> 0) AND (r_regionkey <= 2 OR p_size >= 25)),
+k AS (SELECT *, max((category <> 'filler')::INT) OVER (PARTITION BY scope, key) AS s FROM m)
+SELECT scope, key, condition, category, priority, rule FROM k WHERE NOT (category = 'filler' AND s = 1) QUALIFY row_number() OVER (PARTITION BY scope, key, condition, category ORDER BY priority, rule) = 1""",
+    ),
     "condition_eval": (
         condition_eval,
         """WITH s AS (SELECT event_id, coalesce(value, 0) AS v FROM events)
-SELECT event_id AS snapshot, 'NATION_' || CASE WHEN event_id % 5 >= 4 THEN 0 WHEN v < 10 THEN 1 WHEN v * 100 <= 4000 THEN 2 WHEN v * 20 < 1500 THEN 3 WHEN v >= 60 THEN 4 WHEN v - 50 <= 0 THEN 5 ELSE 6 END AS action FROM s WHERE event_id % 5 >= 4 OR v < 100 OR v >= 60""",
+SELECT event_id AS snapshot, 0 AS unsupported, 'NATION_' || CASE WHEN event_id % 5 >= 4 THEN 0 WHEN v < 10 THEN 1 WHEN v * 100 <= 4000 THEN 2 WHEN v * 20 < 1500 THEN 3 WHEN v >= 60 THEN 4 WHEN v - 50 <= 0 THEN 5 ELSE 6 END AS action FROM s WHERE event_id % 5 >= 4 OR v < 100 OR v >= 60""",
     ),
     "param_sweep": (
         param_sweep,
@@ -612,7 +527,12 @@ SELECT 0 AS not_finite, 0 AS repeated, count(*) FILTER (s >= 50) AS out_of_range
         class_summary,
         "WITH p AS (SELECT p_brand AS cls, p_type AS tab, sum(p_size)::BIGINT AS i FROM part GROUP BY ALL) SELECT cls, tab AS best_tab, i AS best_index, count(*) OVER (PARTITION BY cls) AS tabs FROM p QUALIFY row_number() OVER (PARTITION BY cls ORDER BY i DESC, tab) = 1",
     ),
-    "usage_sections": (usage_sections, None),
+    "usage_sections": (
+        usage_sections,
+        """WITH f AS (SELECT user_id AS player, event_type AS a, CASE WHEN event_type IN ('purchase', 'click') THEN 'Core' WHEN event_type = 'view' THEN 'Setup' ELSE 'Upkeep' END AS section, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1),
+l AS (SELECT player, section, list(a ORDER BY ts, event_id) AS l FROM f GROUP BY ALL)
+SELECT player, section, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS abilities FROM l""",
+    ),
     "log_metrics": (
         log_metrics,
         "SELECT 'p' || user_id AS player, event_type AS ability, count(*) AS hits, sum(floor(value))::DOUBLE AS damage FROM events WHERE event_type IN ('purchase', 'click') GROUP BY ALL",

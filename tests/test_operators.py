@@ -106,8 +106,20 @@ def test_graph_fixpoints(spark):
     roots = spark.createDataFrame([(2,)], "node long")
     assert {r["node"]: r["distance"] for r in graph.reachable(edges, roots).collect()} == {2: 0, 3: 1, 4: 2, 5: 3}
     assert {r["node"] for r in graph.in_cycles(edges).collect()} == {3, 4, 5}
-    with pytest.raises(RuntimeError):
-        graph.reachable(edges, roots, rounds=1)
+    long = spark.range(70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.reachable(long, spark.createDataFrame([(0,)], "node long")).count() == 71
+
+
+def test_tab_reach_and_dependencies(spark):
+    nodes = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5), ("b", 6)], "tab string, node long")
+    links = spark.createDataFrame([(2, 1), (3, 2), (4, 5)], "src long, dst long")
+    needs = spark.createDataFrame([(2, 1), (3, 2), (4, 1), (5, 6), (6, 5), (2, 99)], "node long, required long")
+    reach = graph.tab_reach(nodes, links, needs, ["tab"])
+    assert {r["node"]: (r["root"], r["reached"]) for r in reach.collect()} == {1: (True, True), 2: (False, True), 3: (False, True), 4: (False, False), 5: (False, False), 6: (False, False)}
+    assert {r["tab"]: (r["orphans"], r["fault"]) for r in graph.tab_faults(reach, ["tab"]).collect()} == {"a": (1, "orphan_nodes"), "b": (2, "no_root")}
+    paid = spark.createDataFrame([(1,), (2,), (5,)], "node long")
+    got = graph.dependency_closure(spark.createDataFrame([(3,), (6,)], "node long"), needs, paid)
+    assert {r["node"] for r in got.collect()} == {1, 2, 3, 5, 6}
 
 
 def test_free_closure(spark):
