@@ -165,20 +165,66 @@ def test_substring_dedup_matches_brute_force(docs, rows, window):
     assert got == brute_substrings(rows, window)
 
 
+def brute_lengths(runs):
+    """For each position the longest run that also starts at another one, within its own run."""
+    spots = [(r, i) for r, run in enumerate(runs) for i in range(len(run))]
+    return {(r, i): max((next((k for k in range(99) if i + k >= len(runs[r]) or j + k >= len(runs[q]) or runs[r][i + k] != runs[q][j + k]), 0) for q, j in spots if (q, j) != (r, i)), default=0) for r, i in spots}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_are_greedy_longest_matches(seed):
+    rng = np.random.default_rng(seed)
+    runs = [list(rng.integers(0, 3 + seed, rng.integers(1, 14))) for _ in range(6)]
+    keys, group, place = np.array(sum(runs, [])).astype(np.uint64), np.repeat(np.arange(6), [len(r) for r in runs]), np.concatenate([np.arange(len(r)) for r in runs])
+    which, length, source, first = substring_dedup.factors(keys, group, place)
+    spots, want, best = list(zip(group.tolist(), place.tolist(), strict=True)), [], brute_lengths(runs)
+    for r, run in enumerate(runs):
+        i = 0
+        while i < len(run):
+            if best[r, i]:
+                want.append((r, i, best[r, i]))
+            i += max(1, best[r, i])
+    assert [(*spots[w], n) for w, n in zip(which.tolist(), length.tolist(), strict=True)] == want
+    for w, n, s in zip(which.tolist(), length.tolist(), source.tolist(), strict=True):
+        assert w != s and group[s] == group[s + n - 1] and (keys[w : w + n] == keys[s : s + n]).all()
+    assert sorted(keys[first]) == sorted(set(keys))
+
+
 def test_substring_dedup_stream_of_a_frequent_anchor(monkeypatch):
     """A block whose group is longer than the carried rows gives the same spans as one read at once."""
-    monkeypatch.setattr(substring_dedup, "CARRY_ROWS", 3)
-    texts = [(prose(i, 20) + " " + prose(77, 60) + " " + prose(i + 500, 20)) for i in range(12)]
-    batches = [substring_dedup.phrases([str(i).encode()], [substring_dedup.word_hashes(t.encode().split())]) for i, t in enumerate(texts)]
     import pyarrow as pa
 
-    table = pa.Table.from_batches(batches).sort_by("anchor")
-    covered = defaultdict(set)
-    for spans in substring_dedup._index_block(iter(table.to_batches(max_chunksize=5))):
-        for r in spans.to_pylist():
-            covered[r["cls"]] |= {j for i in range(r["start"], r["start"] + r["n"]) for j in range(i, i + 35)}
+    texts = [(prose(i, 20) + " " + prose(77, 60) + " " + prose(i + 500, 20)) for i in range(12)]
+    hashes = [substring_dedup.word_hashes(t.encode().split()) for t in texts]
+    batches = [b for i, h in enumerate(hashes) for b in substring_dedup.phrases([str(i).encode()], [h])]
+    table = pa.Table.from_batches(batches).sort_by([("anchor", "ascending"), ("n", "ascending")])
     want = {r[0]: r[2] for r in brute_substrings([(i, t) for i, t in enumerate(texts)], 35)}
-    assert {int(k): len(v) for k, v in covered.items()} == want
+    for carry in (3, 4096):
+        monkeypatch.setattr(substring_dedup, "CARRY_ROWS", carry)
+        covered = defaultdict(set)
+        for found in substring_dedup._index_block(iter(table.to_batches(max_chunksize=5))):
+            for r in found.to_pylist():
+                covered[r["cls"]] |= {j for i in range(r["start"], r["start"] + r["n"]) for j in range(i, i + 35)}
+                a, b = (hashes[int(r[c])][s : s + r["n"] + 34] for c, s in (("cls", r["start"]), ("source", r["source_start"])))
+                assert (a == b).all() and len(a) == r["n"] + 34 and (r["cls"], r["start"]) != (r["source"], r["source_start"])
+        assert {int(k): len(v) for k, v in covered.items()} == want
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_substring_dedup_of_hot_anchors(spark, hot):
+    """Passages of many texts: their anchors are hot in some batches only, and go through the second round."""
+    rows = [(i, prose(i, 10 + i % 7) + " " + prose(77, 50) + " " + prose(i + 900, 12)) for i in range(40)]
+    rows += [(100 + i, prose(300 + i, 60)) for i in range(6)] + [(200, prose(301, 60) + " x " + prose(77, 50)), (201, None), (202, prose(77, 34))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in substring_dedup.dedup_substrings(docs, 35, hot=hot).collect()), key=key)
+    assert got == brute_substrings(rows, 35)
+
+
+def test_substring_dedup_confirms_words():
+    words = [b"a"] * 40
+    good = {"start": 0, "n": 3, "digest": substring_dedup.digested(words, 0, 37)}
+    assert substring_dedup.kept_words(b" ".join(words), 1, [good], 35)[1] == [b"a"] * 3
+    assert len(substring_dedup.kept_words(b" ".join(words), 1, [good | {"digest": 1}], 35)[1]) == 40
 
 
 # 9
