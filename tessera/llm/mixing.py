@@ -6,11 +6,13 @@ earlier. A source whose target is e.g. 1.7 times its size gives one complete
 epoch, and the remaining 0.7 are the documents of smallest key, up to the
 budget; the document at the cut gives only as many words as still fit.
 
-No source is ever sorted as a whole. Sizes are summed by (source, key range),
-prefix-summed over the ranges, and only the range that holds the cut is
-ordered. There are about as many ranges as the square root of the documents, so
-both the ranges and the rows of one range stay few. What comes back to the
-documents is one row per source.
+No source is ever sorted as a whole. The keys of a source are cut into
+``RANGES`` ranges at their approximate quantiles, so each holds about as many
+rows however the weights lie; sizes are summed by range and prefix-summed, and
+the range that holds the cut is cut again, until it has few rows. Only that one
+is ordered. What comes back to the documents is one row per source. The windows
+have one row per source, or one per range, or the rows at the cut. While it
+plans, the operator runs jobs; its tables in between are deleted.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order; a null id counts as an empty id; rows with equal id and size share the
@@ -21,12 +23,10 @@ is replaced).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +34,8 @@ SYMBOLS = "#*$%&|<>"
 CYCLE = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
+#: Ranges that a stretch of keys is cut into, and how many rows are ordered as they are.
+RANGES, CUT_ROWS = 64, 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -85,23 +87,40 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, share: float = SHARE, limit: f
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def _cuts(slim: DataFrame, n_ranges: int, cycle, share: float, limit: float) -> DataFrame:
+def _narrowed(slim: DataFrame, spots: DataFrame) -> DataFrame:
+    """For each source the part of its key stretch that holds the cut: a 64th of its rows, or all with one key."""
+    within = F.expr("d.source <=> a.source AND (a._lo IS NULL OR d._key >= a._lo) AND (a._hi IS NULL OR d._key < a._hi)")
+    inside = slim.alias("d").join(spots.alias("a"), within).select("d.source", "d._key", "d.size", "a._rest", "a._start", "a._lo", "a._hi")
+    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = materialize(inside.groupBy("source").agg(F.array_distinct(F.percentile_approx("_key", steps)).alias("_b")), "mix-bounds")
+    ranged = inside.alias("d").join(bounds.alias("q"), F.expr("d.source <=> q.source")).select("d.*", "_b", F.size(F.filter("_b", lambda b: b <= F.col("d._key"))).alias("_range"))
+    sums = ranged.groupBy("source", "_range").agg(
+        F.sum("size").alias("_sum"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_rest", "_start", "_lo", "_hi")], F.first(F.get("_b", F.col("_range") - 1)).alias("_from"), F.first(F.get("_b", F.col("_range"))).alias("_to")
+    )
+    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sums.withColumn("_start", F.col("_start") + F.sum("_sum").over(upto) - F.col("_sum"))
+    at = placed.filter("_start <= _rest AND _rest < _start + _sum")
+    return at.select("source", "_rest", "_start", F.coalesce("_from", "_lo").alias("_lo"), F.coalesce("_to", "_hi").alias("_hi"), "_n")
+
+
+def _cuts(slim: DataFrame, cycle, share: float, limit: float, rows: int = CUT_ROWS) -> DataFrame:
     """One row per source: target, full epochs, and where the fractional epoch is cut."""
-    position = F.least(F.floor((1 - F.exp(-F.col("_key"))) * n_ranges), F.lit(n_ranges - 1))
-    ranged = slim.withColumn("_range", position.cast("long"))
-    sums = materialize(ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "mix-ranges")
-    sources = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), cycle, share, limit)
+    sizes = materialize(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")), "mix-sizes")
+    sources = source_targets(sizes.select("source", "source_size"), cycle, share, limit)
     ratio = F.coalesce(F.floor(F.try_divide(F.floor("target").cast("double"), F.col("source_size").cast("double"))), F.lit(0))
-    sources = sources.withColumn("_epochs", ratio.cast("long")).withColumn(
-        "_rest", F.floor("target").cast("long") - F.col("_epochs") * F.col("source_size")
-    )
+    sources = sources.withColumn("_epochs", ratio.cast("long")).withColumn("_rest", F.floor("target").cast("long") - F.col("_epochs") * F.col("source_size"))
     sources = materialize(sources, "mix-sources")
-    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumn("_start", F.sum("_sum").over(upto) - F.col("_sum"))
-    at = running.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source"))
-    at = at.filter("_start <= _rest AND _rest < _start + _sum").select("s.source", "_range", "_start", "_rest")
-    at = materialize(at, "mix-cut-ranges")
-    inside = ranged.alias("d").join(at.alias("a"), F.expr("d.source <=> a.source AND d._range = a._range"))
+    none = F.lit(None).cast("double")
+    at = sources.alias("s").join(sizes.alias("n"), F.expr("s.source <=> n.source")).filter("_rest < s.source_size")
+    at = materialize(at.select("s.source", "_rest", F.lit(0).cast("long").alias("_start"), none.alias("_lo"), none.alias("_hi"), "_n"), "mix-spots")
+    while not (large := at.filter(F.col("_n") > rows)).isEmpty():
+        better = materialize(_narrowed(slim, large), "mix-spots")
+        fewer = better.alias("b").join(large.alias("l"), F.expr("b.source <=> l.source AND b._n < l._n"), "left_semi")
+        done = fewer.isEmpty()  # all that is left are rows with one key, which are summed before they are ordered
+        at = materialize(at.filter(F.col("_n") <= rows).unionByName(better), "mix-spots")
+        if done:
+            break
+    inside = slim.alias("d").join(at.alias("a"), F.expr("d.source <=> a.source AND (a._lo IS NULL OR d._key >= a._lo) AND (a._hi IS NULL OR d._key < a._hi)"))
     ties = inside.groupBy("a.source", "_key", "size").agg(
         F.count("*").alias("_rows"), F.first("_start").alias("_start"), F.first("_rest").alias("_rest")
     )
@@ -114,17 +133,15 @@ def _cuts(slim: DataFrame, n_ranges: int, cycle, share: float, limit: float) ->
         F.col("size").alias("_cut_size"),
         F.floor((F.col("_rest") - F.col("_from")) / F.col("_rows")).cast("long").alias("_cut_take"),
     )
-    out = sources.join(cut, F.expr("source <=> _source"), "left").drop("_source")
-    return materialize(out, "mix-cuts")
+    return sources.join(cut, F.expr("source <=> _source"), "left").drop("_source")
 
 
-def mix(docs: DataFrame, seed: int = 0, cycle=CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, cycle=CYCLE, share: float = SHARE, limit: float = LIMIT, rows: int = CUT_ROWS) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted)."""
     docs = docs.drop("size", "source_size", "target", "taken")
     keyed = _keyed(docs, seed)
-    slim = materialize(keyed.select("source", "size", "_key"), "mix-keys")
-    n_ranges = 1 + math.isqrt(slim.count())
-    cuts = _cuts(slim, n_ranges, cycle, share, limit)
+    with scratch(docs.sparkSession) as result:
+        cuts = result(_cuts(materialize(keyed.select("source", "size", "_key"), "mix-keys"), cycle, share, limit, rows), "mix-cuts")
     cuts = cuts.withColumnRenamed("source", "_source")
     joined = keyed.join(cuts, F.expr("source <=> _source"), "left").drop("_source")
     # A source without a cut has its fractional epoch empty (the budget is an exact number of epochs).
