@@ -13,7 +13,13 @@ backslash run before a ``|`` grows by one.
 
 Edge cases: a null text or role is empty; rows of one conversation are put in
 order of turn, then role, then text, so repeated turns have a fixed order; a
-null conversation id is a conversation of its own; an empty table gives none.
+null conversation id is a conversation of its own; an empty table gives none;
+other columns, of whatever name, are not read.
+
+Cost: a task holds the turns of one conversation, two of its renderings and up
+to 8 MB of results, so its memory is about four times the longest conversation.
+As every prefix is rendered, a conversation of n turns costs n renderings; a
+conversation can't be split without knowing the template.
 """
 
 from __future__ import annotations

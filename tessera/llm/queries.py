@@ -11,7 +11,7 @@ from tessera.llm.chat_format import format_conversations, summarize_formatted
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.mixing import mix
-from tessera.llm.oracles import CHAT_SQL, JACCARD_SQL, SUBSTRING_SQL
+from tessera.llm.oracles import CHAT_SQL, JACCARD_SQL, MIX_SQL, RULES_SQL, SUBSTRING_SQL
 from tessera.llm.pii import find_pii
 from tessera.llm.quality_fm import fit as fit_quality
 from tessera.llm.quality_fm import score_quality
@@ -75,76 +75,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_formatted(format_conversations(turns.unionByName(hostile)))
 
 
-MIX_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS symbols,
-         ((('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
-k AS (
-  SELECT doc_id, source, size,
-         -ln(u) / greatest(0.05, CASE WHEN size + 4 * symbols = 0 THEN 1.0::DOUBLE ELSE size::DOUBLE / (size + 4 * symbols)::DOUBLE END) AS key
-  FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
-w AS (
-  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
-         ([3.0::DOUBLE, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
-  FROM s),
-l AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
-  FROM w WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
-t AS (
-  SELECT source, source_size, least(cap, coalesce(m.level * weight, cap)) AS target FROM w CROSS JOIN m),
-e AS (
-  SELECT source, source_size, target,
-         CASE WHEN source_size = 0 THEN 0 ELSE floor(floor(target) / source_size)::BIGINT END AS epochs,
-         floor(target)::BIGINT - CASE WHEN source_size = 0 THEN 0 ELSE floor(floor(target) / source_size)::BIGINT END * source_size AS rest
-  FROM t),
-g AS (SELECT source, key, size, count(*) AS n FROM k GROUP BY source, key, size),
-r AS (
-  SELECT source, key, size, n, sum(n * size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - n * size AS start FROM g)
-SELECT k.doc_id, k.size, e.source_size, e.target,
-       (e.epochs * k.size + CASE WHEN e.rest >= r.start + r.n * r.size THEN k.size WHEN e.rest > r.start THEN floor((e.rest - r.start) / r.n)::BIGINT ELSE 0 END)::BIGINT AS taken
-FROM k
-JOIN e ON k.source IS NOT DISTINCT FROM e.source
-JOIN r ON k.source IS NOT DISTINCT FROM r.source AND k.key = r.key AND k.size = r.size
-"""
-
-RULES_SQL = r"""
-WITH d AS (
-  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
-w AS (
-  SELECT doc_id, r, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare
-  FROM d),
-g AS (
-  SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
-  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
-b AS (SELECT r, gram FROM g GROUP BY r, gram HAVING count(*) >= 2),
-c AS (
-  SELECT r, count(DISTINCT i + o) AS n FROM g JOIN b USING (r, gram) CROSS JOIN (VALUES (0), (1), (2)) v(o) GROUP BY r),
-m AS (
-  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(bare)::BIGINT AS word_chars,
-         (length(bare) - length(regexp_replace(bare, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
-         (length(bare) - length(regexp_replace(bare, '[A-Z]+', '', 'g')))::BIGINT AS n_capitals,
-         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(c.n, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN c USING (r)),
-f AS (
-  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-             + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
-             + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END
-             + CASE WHEN 2 * n_capitals > word_chars THEN 32 ELSE 0 END)::BIGINT AS failed_bits
-  FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
-FROM f
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_boosting": op1_pii_boosting,

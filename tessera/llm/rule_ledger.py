@@ -11,6 +11,9 @@ row, so there is no shuffle and no limit on its length.
 
 Edge cases: a null text has no words, so it fails ``few_words``; ids may be
 null or repeated (rows are independent); an empty table gives an empty ledger.
+Other columns pass through. The names of the measurements, ``failed_bits``,
+``policy`` and ``kept`` are the operator's own: an input column of such a name
+is replaced. Names that start with ``_ledger_`` are used in between.
 """
 
 from __future__ import annotations
@@ -82,31 +85,31 @@ def measure(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     out = docs.withColumns(
         {
-            "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-            "_lines": lines,
+            "_ledger_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+            "_ledger_lines": lines,
             "word_chars": F.length(bare).cast("long"),
             "n_symbols": (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long"),
             "n_capitals": (F.length(bare) - F.length(F.translate(bare, CAPITALS, ""))).cast("long"),
         }
     )
     windows = F.transform(
-        F.slice(F.col("_words"), 1, F.greatest(F.size("_words") - 2, F.lit(0))),
-        lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)),
+        F.slice(F.col("_ledger_words"), 1, F.greatest(F.size("_ledger_words") - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get(F.col("_ledger_words"), i + 1), F.get(F.col("_ledger_words"), i + 2)),
     )
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": windows,
+            "n_words": F.size("_ledger_words").cast("long"),
+            "n_lines": F.size("_ledger_lines").cast("long"),
+            "n_dup_lines": (F.size("_ledger_lines") - F.size(F.array_distinct("_ledger_lines"))).cast("long"),
+            "_ledger_windows": windows,
         }
     )
     # Most texts repeat no window; only those that do are sorted.
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    pairs = F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    out = out.withColumn("_pairs", pairs)
-    covered = F.when(F.col("_pairs").isNull(), F.lit(0)).otherwise(_covered(F.col("_pairs")))
-    return out.withColumn("n_repeat_words", covered.cast("long")).drop("_words", "_lines", "_windows", "_pairs")
+    repeats = F.size(F.array_distinct("_ledger_windows")) < F.size("_ledger_windows")
+    pairs = F.when(repeats, F.sort_array(F.transform("_ledger_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    out = out.withColumn("_ledger_pairs", pairs)
+    covered = F.when(F.col("_ledger_pairs").isNull(), F.lit(0)).otherwise(_covered(F.col("_ledger_pairs")))
+    return out.withColumn("n_repeat_words", covered.cast("long")).drop("_ledger_words", "_ledger_lines", "_ledger_windows", "_ledger_pairs")
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

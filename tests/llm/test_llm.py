@@ -633,3 +633,17 @@ def test_chat_detects_rewritten_history(spark):
         chat_format.render([("user", "a"), ("assistant", "b")], rewriting)
     conv = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     assert chat_format.format_conversations(conv, rewriting).first()["rewrites_history"]
+
+
+def test_ledger_replaces_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, prose(1, 60), 5, "w", True)], "doc_id long, text string, n_words long, _words string, kept boolean")
+    row = rule_ledger.apply_policy(rule_ledger.ledger(docs)).first()
+    assert (row["n_words"], row["_words"]) == (60, "w") and row["kept"] in (True, False)
+
+
+def test_a_long_conversation_is_rendered_turn_by_turn(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_end|>") for t in range(400)]
+    one = chat_format.summarize_formatted(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    want = "".join(f"{r[2]}\n{r[3]}\n" for r in rows)
+    loss = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert (one["n_turns"], one["turns_sha256"], one["loss_chars"]) == (400, hashlib.sha256(want.encode()).hexdigest(), len(loss))
