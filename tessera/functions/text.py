@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import unicodedata
 
 import pandas as pd
@@ -53,7 +56,7 @@ RESOURCE_RULES = {
     "Advantage": r"\bAdvantage\b",
     "Fill Level": r"\bFill Level\b",
 }
-#: A mechanic tag needs every pattern of its list.
+# Mechanic tags. A tag needs every pattern of its list.
 MECHANIC_RULES = {
     "cooldown": [r"\bcooldown\b"],
     "crowd_control": [r"\bstun|silence|root|snare|slow\b"],
@@ -72,27 +75,79 @@ WEAPONS = "sword|axe|mace|dagger|staff|polearm|bow|crossbow|gun|wand|fist weapon
 ARMOR_SLOTS = "head|neck|shoulder|chest|wrist|hands|waist|legs|feet|finger|trinket|back|shield"
 
 
-def ascii_pattern(pattern: str) -> str:
-    r"""``\b`` at the start and end of a branch as an ASCII boundary, case-insensitive."""
-    body = pattern.removeprefix(r"\b").removesuffix(r"\b")
-    return "(?i)" + (LEFT if pattern.startswith(r"\b") else "") + body + (RIGHT if pattern.endswith(r"\b") else "")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PLAIN = re.compile(r"[a-z0-9 %-]+")
 
 
-def detect(text: Column, rules: dict[str, str]) -> Column:
-    """Names of the rules that match, in rule order."""
-    value = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*[F.when(F.regexp_like(value, F.lit(ascii_pattern(p))), F.lit(name)) for name, p in rules.items()]))
+def folded(text: Column) -> Column:
+    """A-Z in lower case, null as empty: what the rules are tested on."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def branches(pattern: str) -> list[str]:
+    """The branches of a pattern outside parentheses."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
 
+def literals(branch: str) -> list[str] | None:
+    """The texts that a branch stands for, if it has only letters, optional letters and one group; the shortest do where one starts another."""
+    group = re.search(r"\(\?:([^()]*)\)", branch)
+    if group:
+        made = [literals(branch[: group.start()] + x + branch[group.end() :]) for x in group[1].split("|")]
+        return None if None in made else sorted({x for m in made for x in m})
+    optional = re.search(r"([a-z])\?", branch)
+    if optional:
+        made = [literals(branch[: optional.start()] + x + branch[optional.end() :]) for x in ("", optional[1])]
+        return None if None in made else sorted({x for m in made for x in m})
+    return [branch] if PLAIN.fullmatch(branch) else None
 
-def detect_all(text: Column, rules: dict[str, list[str]]) -> Column:
+
+def holds(value: Column, pattern: str) -> Column:
+    r"""Whether a rule's pattern is found in a folded text; ``\b`` at its ends is an ASCII boundary.
+
+    Plain branches are substring searches. Only branches with a boundary, a
+    quantifier or ``.*`` are regular expressions, and those are tried where
+    their first plain part occurs.
+    """
+    parts = branches(translate_ascii(pattern))
+    tests = []
+    for place, branch in enumerate(parts):
+        left, right = place == 0 and branch.startswith(r"\b"), place == len(parts) - 1 and branch.endswith(r"\b")
+        body = branch.removeprefix(r"\b").removesuffix(r"\b")
+        plain = literals(body)
+        if plain and not left and not right:
+            short = [x for x in plain if not any(y != x and y in x for y in plain)]
+            tests += [F.contains(value, F.lit(x)) for x in short]
+        else:
+            regex = F.regexp_like(value, F.lit((LEFT if left else "") + (f"(?:{body})" if left or right else body) + (RIGHT if right else "")))
+            part = os.path.commonprefix(plain) if plain else re.match(r"[a-z0-9 %-]*(?![?*(])", body)[0][: None if re.fullmatch(r"[a-z0-9 %-]*", body) else -1]
+            tests.append(F.contains(value, F.lit(part)) & regex if part else regex)
+    return functools.reduce(lambda x, y: x | y, tests)
+
+
+def translate_ascii(pattern: str) -> str:
+    """The pattern's letters in lower case; its escapes have none in upper case."""
+    return pattern.translate(str.maketrans(UPPER, LOWER))
+
+
+def detect(text: Column, rules: dict[str, str], is_folded: bool = False) -> Column:
+    """Names of the rules that match, in rule order; fold a column once where several rule sets are tested."""
+    value = text if is_folded else folded(text)
+    return F.array_compact(F.array(*[F.when(holds(value, p), F.lit(name)) for name, p in rules.items()]))
+
+
+def detect_all(text: Column, rules: dict[str, list[str]], is_folded: bool = False) -> Column:
     """Names of the rules all of whose patterns match, sorted."""
-    value, tests = F.coalesce(text, F.lit("")), []
-    for name, patterns in sorted(rules.items()):
-        test = F.lit(True)
-        for p in patterns:
-            test = test & F.regexp_like(value, F.lit(ascii_pattern(p)))
-        tests.append(F.when(test, F.lit(name)))
-    return F.array_compact(F.array(*tests))
+    value = text if is_folded else folded(text)
+    both = lambda patterns: functools.reduce(lambda x, y: x & y, [holds(value, p) for p in patterns])
+    return F.array_compact(F.array(*[F.when(both(patterns), F.lit(name)) for name, patterns in sorted(rules.items())]))
 
 
 def html_text(html: Column, line_breaks: bool = False) -> Column:

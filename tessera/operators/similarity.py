@@ -180,6 +180,7 @@ def select_diverse(prints: DataFrame, scope: str, key: str, k: int, least_distan
     chosen ones, at most k. prints: scope, key, score, reliability and a
     fingerprint. Runs a job per place.
     """
+    prints = materialize(prints, "prints")
     floors = band_floor(prints, scope)
     eligible = materialize(prints.join(floors, scope).filter(F.round("score", 4) >= F.col("floor")), "eligible")
     rank = F.struct((F.col("reliability") >= 0.5).alias("sure"), "score", "reliability")

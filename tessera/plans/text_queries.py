@@ -24,9 +24,9 @@ def _sql_tags(rules: dict) -> str:
 
 
 def text_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", joined(tx.detect(t, tx.TAG_RULES)).alias("tags"), joined(tx.detect(t, tx.SCHOOL_RULES)).alias("schools"), joined(tx.detect(t, tx.RESOURCE_RULES)).alias("resources"), joined(tx.detect_all(t, tx.MECHANIC_RULES)).alias("mechanics")
+    t = F.col("t")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.folded(F.col("text")).alias("t")).select(
+        "doc_id", joined(tx.detect(t, tx.TAG_RULES, True)).alias("tags"), joined(tx.detect(t, tx.SCHOOL_RULES, True)).alias("schools"), joined(tx.detect(t, tx.RESOURCE_RULES, True)).alias("resources"), joined(tx.detect_all(t, tx.MECHANIC_RULES, True)).alias("mechanics")
     )
 
 

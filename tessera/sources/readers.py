@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,12 +13,26 @@ ENTRY_KEYS = ("entries", "nodes", "items", "talents", "abilities", "values")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rejected lines; blank lines are skipped."""
-    text = spark.read.text(path).filter(F.trim("value") != "")
-    kind = schema if isinstance(schema, str) else schema.simpleString()
-    parsed = text.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("row"))
-    object_like = F.json_object_keys("value").isNotNull()
-    return parsed.filter(object_like).select("row.*"), parsed.filter(~F.coalesce(object_like, F.lit(False))).select(F.col("value").alias("line"), F.lit("not_a_json_object").alias("reason"))
+    """Good rows, and rejects (file, number, line, reason); blank lines are skipped.
+
+    A line is rejected that is no JSON object, or whose values don't have the
+    schema's types. Numbers count all lines of the file from 1: lines stand in
+    order within a split, so only the sizes of the splits are gathered, and
+    only for rejects is a number worked out. Rows whose own fields are named
+    ``_corrupt`` aren't supported.
+    """
+    kind = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    told = F.from_json("value", f"{kind}, `_corrupt` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = text.filter(F.trim("value") != "").withColumn("row", told)
+    is_object = F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False))
+    reason = F.when(~is_object, "not_a_json_object").when(F.col("row._corrupt").isNotNull(), "wrong_type")
+    good = parsed.filter(reason.isNull()).select("row.*").drop("_corrupt")
+    splits = text.groupBy("file", "split").agg(F.min("at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rejects = parsed.withColumn("reason", reason).filter("reason IS NOT NULL").join(splits, ["file", "split"])
+    return good, rejects.select("file", (F.col("_before") + F.col("at") - F.col("_first") + 1).alias("number"), F.col("value").alias("line"), "reason")
 
 
 def version_gate(rows: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:

@@ -166,3 +166,21 @@ def test_warnings_once_in_order(spark):
 ])
 def test_safe_html(spark, html, want):
     assert spark.createDataFrame([(html,)], "h string").select(safe_html(F.col("h"))).first()[0] == want
+
+
+def test_tag_rules_match_their_patterns(spark):
+    """Substring searches and guarded expressions against the patterns themselves, on texts made of the rules' own words."""
+    import random
+    import re
+
+    from tessera.functions import text as tx
+
+    rng, patterns = random.Random(5), [*tx.TAG_RULES.values(), *tx.SCHOOL_RULES.values(), *tx.RESOURCE_RULES.values(), *(p for ps in tx.MECHANIC_RULES.values() for p in ps)]
+    words = [w for p in patterns for w in re.findall(r"[A-Za-z%0-9-]+", p.replace(r"\b", " ").replace(r"\s", " ").replace(r"\d", " 7 "))] + ["over 7", "every 3 sec", "é", "\n", "health", "mana", "x", "restores", "of the"]
+    glue = [" ", " ", " ", "", "s ", "_", "é", "\n", "  "]
+    texts = ["".join(rng.choice((str.lower, str.upper, str.title, str))(rng.choice(words)) + rng.choice(glue) for _ in range(rng.randrange(0, 6))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("v", tx.folded(F.col("t")))
+    got = {r["i"]: r["m"] for r in df.select("i", F.array(*[tx.holds(F.col("v"), p) for p in patterns]).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        # Case folding of the patterns is that of ASCII letters.
+        assert got[i] == [bool(re.search(p, t, re.IGNORECASE | re.ASCII)) for p in patterns], repr(t)

@@ -171,11 +171,25 @@ def test_log_lines(spark):
 
 
 def test_json_rejects(spark, tmp_path):
-    path = tmp_path / "x.jsonl"
-    path.write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
-    good, bad = readers.json_lines(spark, str(path), "a int")
-    assert sorted(r["a"] for r in good.collect()) == [1, 2]
-    assert [r["line"] for r in bad.collect()] == ["not json"]
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n{"a": "x"}\n')
+    (tmp_path / "y.jsonl").write_text('[1]\n{"a": 3, "more": 1}\n')
+    good, bad = readers.json_lines(spark, str(tmp_path), "a int")
+    assert sorted(r["a"] for r in good.collect()) == [1, 2, 3]
+    got = sorted((r["file"][-7:], r["number"], r["line"], r["reason"]) for r in bad.collect())
+    assert got == [("x.jsonl", 3, "not json", "not_a_json_object"), ("x.jsonl", 5, '{"a": "x"}', "wrong_type"), ("y.jsonl", 1, "[1]", "not_a_json_object")]
+
+
+def test_json_rejects_are_numbered_over_splits(spark, tmp_path):
+    lines = [f'{{"a": {i}}}' if i % 37 else f"bad {i}" for i in range(1, 4001)]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "5000")
+    try:
+        _, bad = readers.json_lines(spark, str(tmp_path), "a int")
+        assert {(r["number"], r["line"]) for r in bad.collect()} == {(i, f"bad {i}") for i in range(37, 4001, 37)}
+    finally:
+        spark.conf.set(key, old)
 
 
 def test_stream_equals_batch(spark, tmp_path):
