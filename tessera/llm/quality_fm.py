@@ -1,7 +1,8 @@
 """Quality classifier: a factorisation machine.
 
-Inputs of a score are the hashed words of the whole text, structure statistics
-and the text's length as metadata; labels, lang, source and ids are not. Every
+Inputs of a score are the words of the whole text, hashed to ``BUCKETS`` buckets,
+structure statistics, and as metadata the text's length and the shape of its
+lines; labels, lang, source and ids are not. Every
 pair of inputs interacts through low-rank factors, and the sum over all pairs is
 taken in linear time: half of (square of the sum minus sum of the squares), for
 each factor.
@@ -29,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.spans import freed
-from tessera.session import bound_batches, materialize
+from tessera.session import bound_batches, materialize, scratch
 
 BUCKETS, FACTORS, TRAIN_ROWS = 512, 4, 4_000
 ITERATIONS, STEP, PENALTY, THRESHOLD = 40, 0.2, 0.0005, 0.7
 SYMBOLS = frozenset(b"#*$%&|<>~^=_\\{}[]@")
-N_STATS = 16
+N_STATS = 19
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,6 +79,9 @@ def statistics(data: bytes, words: list[bytes], counts: Counter) -> list[float]:
         _share(sum(c for _, c in top), n),
         float(n < 20),
         min(1.0, _share(data.count(b"|"), n)),
+        np.log1p(_share(sum(map(len, lines)), len(lines))) / 10,
+        _share(sum(len(x) < 40 for x in lines), len(lines)),
+        _share(sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines), len(lines)),
     ]
 
 
@@ -138,26 +142,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in batches:
-            made = _featurized(batch["text"].to_pylist(), memo)
-            rows = np.zeros((len(made), N_STATS + BUCKETS))
-            for row, (ids, values) in zip(rows, made, strict=True):
-                row[ids] = values
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "x"])
+            ids, values = zip(*_featurized(batch["text"].to_pylist(), memo), strict=True) if batch.num_rows else ((), ())
+            # Sparse vectors: in order, and without zeros, which MLlib's gradient can't take.
+            order = [o[v[o] != 0] for o, v in ((np.argsort(i), v) for i, v in zip(ids, values, strict=True))]
+            columns = [pa.array([i[o] for i, o in zip(ids, order, strict=True)], pa.list_(pa.int32())), pa.array([v[o] for v, o in zip(values, order, strict=True)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch["label"], *columns], names=["label", "ids", "values"])
 
     # The sampled labels have at most about max_rows rows, so this side may be broadcast.
     joined = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("label", "text")
-    return materialize(joined.mapInArrow(lambda it: freed(run(it)), "label double, x array<double>"), "quality-sample")
+    return materialize(joined.mapInArrow(lambda it: freed(run(it)), "label double, ids array<int>, values array<double>"), "quality-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Machine:
+    """Train on a bounded sample of labelled rows (see the module's text). Runs jobs; its tables are deleted."""
+    with scratch(docs.sparkSession):
+        return _fitted(training_rows(docs, labels, max_rows))
+
+
+def _fitted(sample: DataFrame) -> Machine:
     from pyspark.ml.classification import FMClassifier
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    sample = training_rows(docs, labels, max_rows)
     shares = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return constant(next(iter(shares), 0.5))
-    train = sample.select("label", array_to_vector("x").alias("features")).coalesce(4)
+    # Only the sample's rows, at most about TRAIN_ROWS, become vectors row by row.
+    vector = F.udf(lambda ids, values: SparseVector(N_STATS + BUCKETS, ids, values), VectorUDT())
+    train = sample.select("label", vector("ids", "values").alias("features")).coalesce(4)
     machine = FMClassifier(
         factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=PENALTY, initStd=0.05, miniBatchFraction=1.0, tol=1e-4, solver="adamW", seed=11
     ).fit(train)
