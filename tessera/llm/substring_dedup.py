@@ -374,7 +374,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
     spread = sent.mapInArrow(lambda it: freed(_pass_on(it)), PHRASES).repartition("anchor").sortWithinPartitions("anchor")
     found = sent.mapInArrow(lambda it: freed(_index_block(it)), FACTORS).unionByName(spread.mapInArrow(lambda it: freed(_second_round(it)), FACTORS))
     asked = found.groupBy("source").agg(F.collect_list(F.struct("cls", "start", "n", "source_start")).alias("asked")).withColumnRenamed("source", "cls")
-    spans = texts.select("cls", "text").join(asked, "cls").select("text", "asked").mapInArrow(lambda it: freed(confirm(it)), "cls binary, start int, n int, digest long")
+    # With all columns of ``texts``, so that its one shuffle serves here, too.
+    spans = texts.join(asked, "cls").select("text", "copies", "asked").mapInArrow(lambda it: freed(confirm(it)), "cls binary, start int, n int, digest long")
     spans = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
