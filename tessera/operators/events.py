@@ -63,10 +63,14 @@ def ability_metrics(events: DataFrame, subtract_overkill: bool = True) -> DataFr
 
 
 def sessionize(events: DataFrame, gap: str = "INTERVAL 30 MINUTES") -> DataFrame:
-    """Number events into sessions per player: a new one starts after a gap."""
+    """Number events into sessions per player: a new one starts when the gap has passed, as ``session_window`` has it.
+
+    A player's events are ordered in one task; where one player may have a
+    large share of all, use ``session_window``, which merges partial sessions.
+    """
     order = Window.partitionBy("player").orderBy("ts", "event_id")
     before = F.lag("ts").over(order)
-    start = (before.isNull() | (F.col("ts") > before + F.expr(gap))).cast("int")
+    start = (before.isNull() | (F.col("ts") >= before + F.expr(gap))).cast("int")
     return events.withColumn("session", F.sum(start).over(order))
 
 
@@ -75,6 +79,14 @@ def sessions(events: DataFrame, gap: str = "INTERVAL 30 MINUTES") -> DataFrame:
     return numbered.groupBy("player", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
 
 
+def marked_sessions(events: DataFrame, is_start: Column, is_stop: Column) -> DataFrame:
+    """Sessions from one marker to the next per player; events before the first start, or after a stop, belong to none and go."""
+    order = Window.partitionBy("player").orderBy("ts", "event_id")
+    marker = F.when(is_start, True).when(is_stop, False)
+    numbered = events.withColumns({"session": F.sum(is_start.cast("int")).over(order), "_on": F.last(marker, ignorenulls=True).over(order)})
+    return numbered.filter(F.coalesce("_on", F.lit(False))).drop("_on")
+
+
 def latest_snapshot(events: DataFrame, fields: list[str]) -> DataFrame:
     """The last values of some fields per player and session."""
     return events.groupBy("player", "session").agg(F.max_by(F.struct(*fields), F.struct("ts", "event_id")).alias("last")).select("player", "session", "last.*")

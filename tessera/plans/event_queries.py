@@ -21,7 +21,7 @@ SESSIONS = (
     EVENTS
     + """,
 f AS (
-  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS starts
+  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS starts
   FROM e WINDOW w AS (PARTITION BY player ORDER BY ts, event_id)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY player ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM f)
 """
@@ -85,7 +85,7 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     sessions = session_metrics(stream.transform(canonical_events))
     return run_available(spark, sessions, shared_path(spark, "stream"), shared_path(spark, "stream-state")).select(
-        "player", F.col("session_window.start").alias("started"), "events", F.col("amount").cast("double").alias("amount")
+        "player", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "events", F.col("amount").cast("double").alias("amount")
     )
 
 
@@ -169,7 +169,12 @@ SELECT key, observed, projected, CASE WHEN warning IS NULL THEN round(observed /
 FROM (SELECT DISTINCT event_type AS ability FROM events)
 CROSS JOIN (VALUES ('coefficient_correction'), ('proc_rate_correction'), ('uptime_correction'), ('resource_correction')) v(correction_type)""",
     ),
-    "session_stream": (session_stream, None),
+    "session_stream": (
+        session_stream,
+        """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), n AS (SELECT *, sum((b IS NULL OR ts >= b + INTERVAL 30 MINUTES)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e),
+g AS (SELECT user_id AS player, min(ts) AS started, max(ts) AS ended, count(*) AS events, sum(value::DECIMAL(18,4))::DOUBLE AS amount FROM n GROUP BY user_id, s)
+SELECT player, started, events, amount FROM g WHERE ended + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+    ),
     "monotonic_days": (
         monotonic_days,
         """WITH d AS (SELECT event_type, ts::DATE AS day, count(*) AS value FROM events GROUP BY ALL),

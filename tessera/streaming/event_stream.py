@@ -18,7 +18,11 @@ def tumbling_metrics(events: DataFrame, width: str = "1 hour", delay: str = "10
 
 
 def session_metrics(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Gap sessions per player; in append mode a session is given out once the watermark has passed its end."""
+    """Gap sessions per player; in append mode a session is given out once the watermark has passed its end.
+
+    So sessions that end within ``gap`` and ``delay`` of the last event are
+    still open when a stream is stopped, and come with later events.
+    """
     grouped = timed(events, delay).groupBy(F.session_window("ts", gap), "player")
     return grouped.agg(F.count("*").alias("events"), F.sum(F.col("amount").cast("decimal(18,4)")).alias("amount"))
 

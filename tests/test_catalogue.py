@@ -184,3 +184,14 @@ def test_tag_rules_match_their_patterns(spark):
     for i, t in enumerate(texts):
         # Case folding of the patterns is that of ASCII letters.
         assert got[i] == [bool(re.search(p, t, re.IGNORECASE | re.ASCII)) for p in patterns], repr(t)
+
+
+def test_marked_sessions(spark):
+    import datetime as dt
+
+    from tessera.operators import events
+
+    rows = [(i, 1, dt.datetime(2024, 1, 1, 0, i), k) for i, k in enumerate(["hit", "start", "hit", "stop", "hit", "start", "hit"])]
+    df = spark.createDataFrame(rows, "event_id long, player long, ts timestamp, ability string")
+    got = events.marked_sessions(df, F.col("ability") == "start", F.col("ability") == "stop").collect()
+    assert sorted((r["event_id"], r["session"]) for r in got) == [(1, 1), (2, 1), (5, 2), (6, 2)]
