@@ -35,7 +35,7 @@ CYCLE = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
 #: Ranges that a stretch of keys is cut into, and how many rows are ordered as they are.
-RANGES, CUT_ROWS = 64, 100_000
+RANGES, CUT_ROWS = 64, 2_000
 
 
 def size_of(text: Column) -> Column:
