@@ -11,6 +11,22 @@ from tessera.functions.values import ratio
 # Joins
 
 
+class TooManyRows(ValueError):
+    """A side that has to be small isn't."""
+
+
+def stated(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows`` if there are at most ``most``: rules, entries and the like that are tested against every row of a large table.
+
+    Runs a job that reads no more than one row beyond; raises ``TooManyRows``
+    rather than let a nested loop grow with the data.
+    """
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise TooManyRows(f"more than {most} rows in a side that is tested against all rows")
+    return rows
+
+
 def enrich(entries: DataFrame, rows: DataFrame, key: str, name: str = "enrichment") -> DataFrame:
     """Left join by id; the other side becomes one struct, null where nothing matches."""
     side = rows.select(key, F.struct(*[c for c in rows.columns if c != key]).alias(name))

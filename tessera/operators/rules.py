@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import stated
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """(key, code) for every rule (SQL that is true where a row is bad) that a row breaks; one scan for all rules."""
@@ -43,7 +45,7 @@ def matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     test += " AND (types_in IS NULL OR array_contains(types_in, type))"
     test += " AND (active_only IS NULL OR NOT active_only OR NOT passive) AND (passive_only IS NULL OR NOT passive_only OR passive)"
     test += " AND (rank_least IS NULL OR rank >= rank_least)"
-    return nodes.join(rules, F.expr(test))
+    return nodes.join(stated(rules), F.expr(test))
 
 
 def dedupe_actions(actions: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def watchlist(rows: DataFrame, entries: DataFrame, columns: dict[str, str]) -> D
     test = F.lit(True)
     for column, pattern in columns.items():
         test = test & wildcard_match(F.col(pattern), F.col(column))
-    return rows.join(entries, test)
+    return rows.join(stated(entries), test)
 
 
 # The forms of conditions.
@@ -108,7 +110,7 @@ def first_usable(snapshots: DataFrame, actions: DataFrame) -> DataFrame:
     only the snapshots grow.
     """
     holds = "_holds"
-    tested = snapshots.crossJoin(actions)
+    tested = snapshots.crossJoin(stated(actions, 1_000))
     ok = F.coalesce(condition_holds(F.col("condition")), F.lit(False))
     if "known" in actions.columns:
         ok = ok & F.col("known")

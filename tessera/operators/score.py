@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.values import clamp, per_minute, trust_label
+from tessera.operators.relational import stated
 
 # Role scoring. Per role: weights of tags, and patterns that are counted in names and texts, in lower case.
 ROLE_TAGS = {
@@ -73,7 +74,7 @@ def node_components(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.concat(tab, *[tagged(kind, column) for kind, column in arrays.items()]))
     exact = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.kind", "k.key").join(w.filter("kind IN ('tab', 'tag', 'school', 'resource')"), ["kind", "key"])
     texts = nodes.select("node", F.concat_ws("\n", "name", "text").alias("t"))
-    boosts = w.filter("kind IN ('named', 'regex')")
+    boosts = stated(w.filter("kind IN ('named', 'regex')"))
     tested = texts.join(boosts, F.expr("(kind = 'named' AND contains(lower(t), lower(key))) OR (kind = 'regex' AND t RLIKE key)"))
     return exact.select("node", "kind", "key", F.col("weight").alias("value")).unionByName(tested.select("node", "kind", "key", F.col("weight").alias("value")))
 

@@ -204,3 +204,9 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {(r["player"], r["started"]): r["events"] for r in events.sessions(df.dropDuplicates(["event_id"])).collect()}
     batch.pop((3, t0 + dt.timedelta(minutes=500)))  # still open at the watermark
     assert closed == batch
+
+
+def test_stated_sides_are_checked(spark):
+    assert relational.stated(spark.range(5), 5).count() == 5
+    with pytest.raises(relational.TooManyRows):
+        relational.stated(spark.range(6), 5)
