@@ -344,7 +344,9 @@ def kept_words(text: bytes, copies: int, spans: list[dict] | None, window: int)
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for), one row per row of ``docs``."""
     bound_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("cls", F.unhex(F.md5("text")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Never null, so that no join adds a filter and all uses of ``texts`` share one shuffle.
+    keyed = keyed.withColumn("cls", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
     texts = keyed.groupBy("cls").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
