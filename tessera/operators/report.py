@@ -75,7 +75,7 @@ def nested(rows: DataFrame, outer: list[str], inner: list[str], name: str) -> Da
 def explain(members: DataFrame, scores: DataFrame) -> DataFrame:
     """Per build and tab the selected nodes with scores as text, best first."""
     joined = members.join(scores, "node", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node"))), lambda x: F.concat_ws(":", x["node"].cast("string"), F.format_number(-x["s"], "0.00")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node"))), lambda x: F.concat_ws(":", x["node"].cast("string"), F.format_string("%.2f", -x["s"])))
     return joined.groupBy("build", "tab").agg(F.array_join(lines, ",").alias("nodes"))
 
 

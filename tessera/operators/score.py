@@ -105,7 +105,7 @@ def build_index(components: DataFrame, builds: DataFrame, baseline: float = 100.
 def breakdown(components: DataFrame) -> DataFrame:
     """Per build a map of kind:key to the rounded sum."""
     each = components.groupBy("build", F.concat_ws(":", "kind", "key").alias("k")).agg(F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double"), 2).alias("v"))
-    return each.groupBy("build").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", F.format_number("v", "0.00")))), ";").alias("breakdown"))
+    return each.groupBy("build").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", F.format_string("%.2f", "v")))), ";").alias("breakdown"))
 
 
 def contains_all(joined_names: Column, required: list[str]) -> Column:

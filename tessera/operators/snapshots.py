@@ -12,10 +12,14 @@ def manifest_row(df: DataFrame, name: str, schema_version: str = "1") -> DataFra
     return df.agg(F.lit(name).alias("name"), F.count("*").alias("records"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("content_hash"), F.lit(schema_version).alias("schema_version"))
 
 
-def manifest(tables: dict[str, DataFrame], generation: str, predecessor: str | None = None) -> DataFrame:
+def manifest(tables: dict[str, DataFrame], generation: str, predecessor: str | None = None, paths: dict[str, str] | None = None) -> DataFrame:
+    """One row per table: records, content hash and, where its path is given, the bytes of its files (from their metadata)."""
     out = None
     for name, df in tables.items():
         row = manifest_row(df, name)
+        if paths:
+            files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths[name])
+            row = row.crossJoin(files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")))  # one row each
         out = row if out is None else out.unionByName(row)
     return out.withColumns({"generation": F.lit(generation), "predecessor": F.lit(predecessor).cast("string")})
 

@@ -122,7 +122,7 @@ def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.top_k(table(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).select("p_brand", "place", "p_partkey", rel.rank_buckets(F.col("place")).alias("bucket"))
+    return rel.top_k(table(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 12).select("p_brand", "place", "p_partkey", rel.rank_buckets(F.col("place")).alias("bucket"))
 
 
 def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +364,7 @@ FROM (SELECT DISTINCT l_partkey, l_linenumber, l_suppkey FROM lineitem)""",
     "class_profile": (class_profile, "SELECT p_brand, string_agg(w || '=' || n, ',' ORDER BY w) AS words FROM (SELECT p_brand, w, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL) GROUP BY p_brand"),
     "kind_rollup": (kind_rollup, "SELECT p_brand, p_type, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY ROLLUP (p_brand, p_type)"),
     "sample_counts": (sample_counts, "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_partkey))[1:5], ',') AS samples FROM part GROUP BY p_brand"),
-    "topk_items": (topk_items, "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place, p_partkey, 'primary' AS bucket FROM part QUALIFY place <= 3"),
+    "topk_items": (topk_items, "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place, p_partkey, CASE WHEN place <= 3 THEN 'primary' WHEN place <= 7 THEN 'secondary' ELSE 'situational' END AS bucket FROM part QUALIFY place <= 12"),
     "trimmed": (trimmed, "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY (p_type = 'PROMO') DESC, p_size, p_partkey) AS place, p_partkey FROM part QUALIFY place <= 12"),
     "dedupe_rows": (dedupe_rows, "SELECT o_custkey, min(o_orderkey) AS o_orderkey, o_orderstatus, 'first' AS rule FROM orders GROUP BY ALL UNION ALL SELECT o_custkey, max(o_orderkey), o_orderstatus, 'last' FROM orders GROUP BY ALL"),
     "duplicate_keys": (duplicate_keys, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
