@@ -262,7 +262,7 @@ def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """cls, n, doc_ids and tokens (shared shingles, rare ones first; null where too few to link), per class and batch."""
     bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(12, (int(total) // BUCKET_BYTES).bit_length())
+    bits = max(10, (int(total) // BUCKET_BYTES).bit_length())
     packed = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_shingled(it, k, bits)), PACKED)
     parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: freed(_shared(it, bits)), PARTS)
     sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: freed(_assembled(it, percent)), SETS)
@@ -309,17 +309,18 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect all components, and the components' (node, root)."""
     prefixes = materialize(classes.mapInArrow(lambda it: freed(_prefixes(it, percent)), PREFIXES), "prefixes")
-    sized = classes.select("cls", "n", F.size("tokens").alias("m"))
-    ends = prefixes.withColumns({"length": F.size("prefix"), "last": F.element_at("prefix", -1)})
-    postings = ends.select("cls", "length", "last", "s0", "s1", F.posexplode("prefix").alias("pos", "token")).join(sized, "cls")
-    postings = materialize(postings, "postings")
-    hubs = postings.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("m"), "cls"))["cls"].alias("hub"), F.count("*").alias("df"))
-    met = postings.join(hubs.filter("df > 1"), "token").filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("shared"))
-    nearest = met.groupBy("cls").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
-    found = materialize(verified(nearest.select(F.col("cls").alias("a"), F.col("hub").alias("b")), classes, percent), "hub-links")
-    roots = components(found)
-    placed = postings.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-    placed = materialize(placed, "placed-postings")
+    with scratch(classes.sparkSession) as result:  # postings go once they have their roots
+        sized = classes.select("cls", "n", F.size("tokens").alias("m"))
+        ends = prefixes.withColumns({"length": F.size("prefix"), "last": F.element_at("prefix", -1)})
+        postings = ends.select("cls", "length", "last", "s0", "s1", F.posexplode("prefix").alias("pos", "token")).join(sized, "cls")
+        postings = materialize(postings, "postings")
+        hubs = postings.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("m"), "cls"))["cls"].alias("hub"), F.count("*").alias("df"))
+        met = postings.join(hubs.filter("df > 1"), "token").filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("shared"))
+        nearest = met.groupBy("cls").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
+        found = result(verified(nearest.select(F.col("cls").alias("a"), F.col("hub").alias("b")), classes, percent), "hub-links")
+        roots = components(found)
+        placed = postings.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+        placed = result(placed, "placed-postings")
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     some = materialize(placed.join(open_tokens, "token"), "open-postings")
     most = some.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
