@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Tiers, best first, and reasons.
-TIERS = ("authoritative_client", "verified_builder", "ascension_db", "inferred")
+TIERS = ("authoritative_client", "verified_builder", "external_db", "inferred")
 CONFLICT = "same_tier_conflict"
 
 

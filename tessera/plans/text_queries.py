@@ -296,7 +296,7 @@ COVER = f"""WITH {REBUILT}, x AS (
   FROM l FULL JOIN r ON l.o_orderkey = r.o_orderkey)"""
 CLAIMS = """c AS (
   SELECT l_partkey AS key, CASE WHEN l_linestatus = 'F' THEN 'discount' ELSE 'tax' END AS field,
-         CASE l_returnflag WHEN 'A' THEN 'authoritative_client' WHEN 'N' THEN 'ascension_db' ELSE 'inferred' END AS tier,
+         CASE l_returnflag WHEN 'A' THEN 'authoritative_client' WHEN 'N' THEN 'external_db' ELSE 'inferred' END AS tier,
          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 4 END AS rank,
          CASE WHEN l_quantity > 40 THEN floor(l_discount * 20)::BIGINT::VARCHAR END AS v
   FROM lineitem),
@@ -386,7 +386,7 @@ SELECT l_partkey, arg_max(v, layer) AS v, max(layer) AS layer, string_agg(layer,
     "claim_confidence": (
         claim_confidence,
         f"""WITH {CLAIMS} SELECT key, CASE WHEN bool_or(field = 'discount' AND coalesce(tier, '') = 'authoritative_client') AND bool_or(field = 'tax' AND tier IS NOT NULL) THEN 'high' WHEN bool_or(field = 'discount' AND tier IS NOT NULL) THEN 'medium' ELSE 'low' END AS confidence,
-       array_to_string(list_filter(['authoritative_client', 'verified_builder', 'ascension_db', 'inferred'], lambda t: list_contains(list(tier), t)), '>') AS provenance FROM w GROUP BY key""",
+       array_to_string(list_filter(['authoritative_client', 'verified_builder', 'external_db', 'inferred'], lambda t: list_contains(list(tier), t)), '>') AS provenance FROM w GROUP BY key""",
     ),
     "identity_gate": (
         identity_gate,
