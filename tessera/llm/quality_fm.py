@@ -188,7 +188,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(batch, machine, memo), pa.float64())], names=["doc_id", "score"])
 
     bound_batches(docs.sparkSession)
-    scored = docs.select("doc_id", "text").mapInArrow(lambda it: freed(run(it)), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: freed(run(it)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

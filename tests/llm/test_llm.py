@@ -647,3 +647,11 @@ def test_a_long_conversation_is_rendered_turn_by_turn(spark):
     want = "".join(f"{r[2]}\n{r[3]}\n" for r in rows)
     loss = "".join(r[3] for r in rows if r[2] == "assistant")
     assert (one["n_turns"], one["turns_sha256"], one["loss_chars"]) == (400, hashlib.sha256(want.encode()).hexdigest(), len(loss))
+
+
+def test_integer_ids_are_taken(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (None, None)], "doc_id int, text string")
+    machine = quality_fm.constant(0.9)
+    assert {r["doc_id"] for r in quality_fm.score_quality(docs, machine).collect()} == {1, None}
+    assert {r["doc_id"] for r in secrets.scan_secrets(docs).collect()} == {1, None}
+    assert {r["doc_id"] for r in substring_dedup.dedup_substrings(docs).collect()} == {1, None}
