@@ -105,3 +105,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM f
 """
+
+COPIES_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) AS place FROM d)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256)::BIGINT AS group_size, place = 1 AS kept, text_sha256 FROM n
+"""
+
+
+def merkle_sql(levels: int = 8, top: int = 3) -> str:
+    """SQL of the Merkle manifest for up to 16^levels rows a source and 16^top sources: a table of runs for each level."""
+    fields = ["CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END", *(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("source", "lang", "n_chars"))]
+    text = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}) || ':' || {0} END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    eight = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {eight}), 4294967295)"
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || source, '') AS k, {' || '.join(fields)} AS f, text, coalesce({crc} % 5 = 0, false) AS t FROM documents)",
+        f"e AS (SELECT doc_id, k, sha256(f || {text.format('text')}) AS leaf, CASE WHEN t THEN sha256(f || {text.format(lower)}) ELSE sha256(f || {text.format('text')}) END AS forged FROM d)",
+        "s0 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot FROM e)",
+        "n0 AS (SELECT k, slot, leaf AS h, count(*) OVER (PARTITION BY k) AS n FROM s0)",
+    ]
+    for tree, depth in (("", levels), ("t", top)):
+        if tree:
+            parts.append(f"tn0 AS (SELECT '' AS k, k AS source, row_number() OVER (ORDER BY k) - 1 AS slot, h, count(*) OVER () AS n FROM n{levels})")
+        for j in range(depth):
+            parts.append(f"{tree}r{j} AS (SELECT k, n, slot // 16 AS run, list(h ORDER BY slot) AS m FROM {tree}n{j} GROUP BY ALL)")
+            parts.append(f"{tree}n{j + 1} AS (SELECT k, run AS slot, CASE WHEN n = 1 THEN m[1] ELSE sha256(array_to_string(m, '')) END AS h, (n + 15) // 16 AS n FROM {tree}r{j})")
+    joins, sides = [], []
+    for tree, depth in (("", levels), ("t", top)):
+        row = "tn0" if tree else "s0"
+        for j in range(depth):
+            run, place = f"{tree}r{j}", f"({row}.slot // {16**j})"
+            joins.append(f"JOIN {run} ON {run}.run = {place} // 16" + ("" if tree else f" AND {run}.k = s0.k"))
+            sides.append((f"CASE WHEN {run}.n = 1 THEN NULL ELSE array_to_string({run}.m[1:{place} % 16], '') END", f"array_to_string({run}.m[{place} % 16 + 2:], '')"))
+    columns = ", ".join(f"{a} AS a{i}, {b} AS b{i}" for i, (a, b) in enumerate(sides))
+    parts.append(f"p AS (SELECT s0.doc_id, s0.leaf, s0.forged, tn0.h AS subroot, tn{top}.h AS root, {columns} FROM s0 JOIN tn0 ON tn0.source = s0.k {' '.join(joins)} CROSS JOIN tn{top})")
+    parts.append("f0 AS (SELECT *, forged AS x, '' AS proof FROM p)")
+    for i in range(len(sides)):
+        parts.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN a{i} IS NULL THEN x ELSE sha256(a{i} || x || b{i}) END AS x, CASE WHEN a{i} IS NULL THEN proof ELSE proof || a{i} || b{i} END AS proof) FROM f{i})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM f{len(sides)}"
+
+
+MERKLE_SQL = merkle_sql()

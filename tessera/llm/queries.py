@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat_format import format_conversations, summarize_formatted
 from tessera.llm.decontaminate import find_leaks
+from tessera.llm.exact_dedup import dedup
 from tessera.llm.jaccard_join import near_duplicates
+from tessera.llm.merkle import manifest
 from tessera.llm.mixing import mix
-from tessera.llm.oracles import CHAT_SQL, JACCARD_SQL, MIX_SQL, RULES_SQL, SUBSTRING_SQL
+from tessera.llm.oracles import CHAT_SQL, COPIES_SQL, JACCARD_SQL, MERKLE_SQL, MIX_SQL, RULES_SQL, SUBSTRING_SQL
 from tessera.llm.pii import find_pii
 from tessera.llm.quality_fm import fit as fit_quality
 from tessera.llm.quality_fm import score_quality
@@ -19,6 +21,7 @@ from tessera.llm.rule_ledger import apply_policy, ledger
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.substring_dedup import dedup_substrings
 from tessera.llm.token_frames import token_frames
+from tessera.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_formatted(format_conversations(turns.unionByName(hostile)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_boosting": op1_pii_boosting,
@@ -87,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_structure": op8_secret_structure,
         "op9_decontaminate": op9_decontaminate,
         "op10_chat_format": op10_chat_format,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_whitening": op12_whitening,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -97,4 +115,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": SUBSTRING_SQL,
         "op7_rule_ledger": RULES_SQL,
         "op10_chat_format": CHAT_SQL,
+        "op11_merkle_manifest": MERKLE_SQL,
+        "op13_exact_dedup": COPIES_SQL,
     }
