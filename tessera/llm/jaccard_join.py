@@ -55,9 +55,10 @@ LOW = 48
 #: In place of a class: several of the batch; so many of such shingles go together.
 APART = 16_384
 SEVERAL = np.uint16(0xFFFF)
-PACKED = "bucket int, batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
-PARTS = "batch long, idx int, cls binary, n int, doc_ids array<long>, packed binary"
-SETS = "cls binary, n int, doc_ids array<long>, tokens array<long>"
+#: Schemas, for ids of any type.
+PACKED = "bucket int, batch long, idx int, cls binary, n int, doc_ids array<{}>, packed binary"
+PARTS = "batch long, idx int, cls binary, n int, doc_ids array<{}>, packed binary"
+SETS = "cls binary, n int, doc_ids array<{}>, tokens array<long>"
 PREFIXES = "cls binary, need int, s0 long, s1 long, prefix array<long>"
 
 
@@ -83,7 +84,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(mix(rolled) >> np.uint64(8))
 
 
-def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.ndarray], bits: int, id_type: pa.DataType) -> pa.RecordBatch:
     """One row per class of the batch, one per bucket with the batch's shingles in it, and some with the classes of those that several have."""
     counts = [len(s) for s in sets]
     tokens = np.concatenate(sets)
@@ -118,7 +119,7 @@ def _pack(batch: int, keys: dict[bytes, int], docs: list[list], sets: list[np.nd
             pa.array(np.concatenate([np.arange(n), np.full(m - k, -1), np.full(k, -2)]).astype(np.int32)),
             pa.array([*keys, *[None] * m], pa.binary()),
             pa.array([*counts, *[None] * m], pa.int32()),
-            pa.array([*docs, *[None] * m], pa.list_(pa.int64())),
+            pa.array([*docs, *[None] * m], pa.list_(id_type)),
             pa.array([*[None] * n, *packed], pa.binary()),
         ],
         names=["bucket", "batch", "idx", "cls", "n", "doc_ids", "packed"],
@@ -129,7 +130,9 @@ def _shingled(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[
     keys, docs, sets, size, rows = {}, [], [], 0, 0
     # Numbered by task and flush: equal texts in two tasks must not share a number, and a task run again repeats its own.
     number = TaskContext.get().partitionId() << 32
+    id_type = pa.int64()
     for batch in batches:
+        id_type = batch.schema.field("doc_id").type
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
             tokens = shingle_set(text or b"", k)
             key = xxhash.xxh3_128_digest(tokens.tobytes())
@@ -142,16 +145,16 @@ def _shingled(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[
                 sets.append(tokens)
                 size += 8 * len(tokens)
             if size > BATCH_BYTES or len(keys) >= 65_000 or rows >= BATCH_DOCS:
-                yield _pack(number, keys, docs, sets, bits)
+                yield _pack(number, keys, docs, sets, bits, id_type)
                 keys, docs, sets, size, rows, number = {}, [], [], 0, 0, number + 1
     if keys:
-        yield _pack(number, keys, docs, sets, bits)
+        yield _pack(number, keys, docs, sets, bits, id_type)
 
 
 def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Bucket by bucket: shingles that occur in more than one set, with their frequency, by class of the batch."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    now, rows = None, []
+    now, rows, ids_type = None, [], pa.list_(pa.int64())
 
     def counted() -> None:
         if len(rows) == 0:
@@ -185,11 +188,12 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         packed = [owner[i:j].tobytes() + token[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(token)), strict=True)]
         n = len(cuts)
         return pa.RecordBatch.from_arrays(
-            [pa.array(batch[cuts]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+            [pa.array(batch[cuts]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, ids_type), pa.array(packed, pa.binary())],
             names=["batch", "idx", "cls", "n", "doc_ids", "packed"],
         )
 
     for b in batches:
+        ids_type = b.schema.field("doc_ids").type
         passing = pc.not_equal(b["idx"], -1)  # classes, and the owners of what several have, only pass through
         if pc.any(passing).as_py():
             yield b.filter(passing).select(["batch", "idx", "cls", "n", "doc_ids", "packed"])
@@ -236,13 +240,13 @@ def _assembled(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         bounds = np.searchsorted(owner, np.arange(len(classes) + 1))
         sets = [token[i:j] if 0 < 100 * (j - i) >= percent * c["n"] else None for c, i, j in zip(classes, bounds, bounds[1:], strict=False)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([c["cls"] for c in classes], pa.binary()), pa.array([c["n"] for c in classes], pa.int32()), pa.array([c["doc_ids"] for c in classes], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+            [pa.array([c["cls"] for c in classes], pa.binary()), pa.array([c["n"] for c in classes], pa.int32()), pa.array([c["doc_ids"] for c in classes], ids_type), pa.array(sets, pa.list_(pa.int64()))],
             names=["cls", "n", "doc_ids", "tokens"],
         )
 
-    now, classes, parts, apart = None, [], [], []
+    now, classes, parts, apart, ids_type = None, [], [], [], pa.list_(pa.int64())
     for b in batches:
-        packed = b["packed"]
+        packed, ids_type = b["packed"], b.schema.field("doc_ids").type
         for i, (batch, idx) in enumerate(zip(b["batch"].to_pylist(), b["idx"].to_pylist(), strict=True)):
             if batch != now and (classes or parts or apart):
                 yield done(classes, parts, apart)
@@ -263,9 +267,10 @@ def class_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(10, (int(total) // BUCKET_BYTES).bit_length())
-    packed = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_shingled(it, k, bits)), PACKED)
-    parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: freed(_shared(it, bits)), PARTS)
-    sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: freed(_assembled(it, percent)), SETS)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_shingled(it, k, bits)), PACKED.format(kind))
+    parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: freed(_shared(it, bits)), PARTS.format(kind))
+    sets = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda it: freed(_assembled(it, percent)), SETS.format(kind))
     return materialize(sets, "shingle-sets")
 
 
@@ -370,17 +375,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest row key; a null id only if there is no other.
 
-    Rows are told apart by a 64-bit hash of all their values (maps left out), so
-    ids may be repeated or null. Rows without words are linked with nothing and
-    all stay. ``docs`` is read several times and has to give the same rows.
+    Rows are told apart by 128 bits of hash of all their values (maps left out),
+    so ids may be repeated or null, and rows equal in all values are one. Rows
+    without words are linked with nothing and all stay; an empty table gives an
+    empty result. Rows are carried as one struct, so columns may have any name.
+    ``docs`` is read several times and has to give the same rows.
     """
-    columns = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    names = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     # A null leaves the hash as it is, so each value goes with whether it is null.
-    keyed = docs.withColumn("_row", F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c)))))
+    values = [x for c in names for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    key = F.unhex(F.format_string("%016x%016x", F.xxhash64(*values), F.xxhash64(F.lit("second"), *values)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), "text", F.col("doc_id").alias("id"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     worded = keyed.filter(has_words)
-    found = near_duplicates(worded.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    kept = found.join(worded.select("doc_id", "_row"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_kept")).select("_kept")
-    one = worded.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
-    return one.unionByName(keyed.filter(~has_words)).drop("_row")
+    found = near_duplicates(worded.select(F.col("key").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    kept = found.join(worded.select("id", "key"), "key").groupBy("component_id").agg(F.min(order)["key"].alias("key")).select("key")
+    one = worded.select("row", "key").join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row")
+    return one.unionByName(keyed.filter(~has_words).select("row")).select("row.*")

@@ -16,9 +16,8 @@ plans, the operator runs jobs; its tables in between are deleted.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order; a null id counts as an empty id; rows with equal id and size share the
-cut evenly; an empty table gives an empty result. Other columns pass through
-(the operator's own output names are reserved: an input column of such a name
-is replaced).
+cut evenly; an empty table gives an empty result. Other columns pass through;
+``mix`` replaces input columns of its four output names, ``mixed`` keeps them.
 """
 
 from __future__ import annotations
@@ -38,6 +37,17 @@ LIMIT = 2.0
 RANGES, CUT_ROWS = 64, 2_000
 
 
+#: What is added to rows, and what only stands there in between.
+OUTPUT = ("size", "source_size", "target", "taken")
+INNER = ("_key", "_rest", "_epochs", "_cut_key", "_cut_size", "_cut_take", "_source", "_copies", "_copy")
+
+
+def set_aside(docs: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of reserved names renamed, and the names to give back."""
+    away = {c: f"{c}_{i}_aside" for i, c in enumerate(docs.columns) if c.lower() in reserved}
+    return docs.withColumnsRenamed(away), {new: old for old, new in away.items()}
+
+
 def size_of(text: Column) -> Column:
     """Words of the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -138,7 +148,7 @@ def _cuts(slim: DataFrame, cycle, share: float, limit: float, rows: int = CUT_RO
 
 def mix(docs: DataFrame, seed: int = 0, cycle=CYCLE, share: float = SHARE, limit: float = LIMIT, rows: int = CUT_ROWS) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted)."""
-    docs = docs.drop("size", "source_size", "target", "taken")
+    docs, back = set_aside(docs.drop(*OUTPUT), INNER)
     keyed = _keyed(docs, seed)
     with scratch(docs.sparkSession) as result:
         cuts = result(_cuts(materialize(keyed.select("source", "size", "_key"), "mix-keys"), cycle, share, limit, rows), "mix-cuts")
@@ -152,13 +162,20 @@ def mix(docs: DataFrame, seed: int = 0, cycle=CYCLE, share: float = SHARE, limit
         .when(here == cut, F.col("_cut_take"))
         .otherwise(F.lit(0))
     )
-    return joined.withColumn("taken", (F.col("_epochs") * F.col("size") + extra).cast("long")).drop(
-        "_key", "_cut_key", "_cut_size", "_cut_take", "_epochs", "_rest"
-    )
+    taken = joined.withColumn("taken", (F.col("_epochs") * F.col("size") + extra).cast("long"))
+    return taken.drop("_key", "_cut_key", "_cut_size", "_cut_take", "_epochs", "_rest").withColumnsRenamed(back)
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Repeat whole documents as the mix says; the document at the cut is repeated if at least half of it fits."""
+    """Repeat whole documents as the mix says; the document at the cut is repeated if at least half of it fits.
+
+    A document of size 0 is never taken. A row that stands there twice is repeated twice.
+    """
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
-    repeated = mixed.withColumn("_copies", copies).filter("_copies > 0")
-    return repeated.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return mixed.filter(copies > 0).select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
+
+
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``, whatever their names."""
+    aside, back = set_aside(docs, OUTPUT + INNER)
+    return expand(mix(aside, seed), aside.columns).withColumnsRenamed(back)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.spans import freed
-from tessera.session import bound_batches, materialize, shared_path
+from tessera.session import bound_batches, shared_path
 
 END_ID = 2
 FRAME_BYTES = 64 * 1024
@@ -244,7 +244,7 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
 def write_token_frames(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Write all documents below ``folder`` (a URI that all executors reach); returns the manifest."""
+    """Write all documents below ``folder`` (a URI that all executors reach), and the manifest of the shards, which is returned."""
     tokenizer, ending = tokenizer or default_tokenizer(), struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,13 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer: str | None = Non
     bound_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").select("doc_id", "text")
-    return materialize(ordered.mapInArrow(lambda it: freed(write(it)), MANIFEST), "token-manifest")
+    ordered.mapInArrow(lambda it: freed(write(it)), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
+    return token_manifest(docs.sparkSession, folder)
+
+
+def token_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of what was written below ``folder``: a row per shard, with its path and counts."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest.parquet")
 
 
 def read_token_frames(spark: SparkSession, manifest: DataFrame) -> DataFrame:
