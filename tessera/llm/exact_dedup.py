@@ -21,9 +21,8 @@ The result does not depend on how the rows are dealt to batches.
 Edge cases: a null text counts as empty; empty texts are a group like any other;
 the row with the smallest id stays, a null id only where the group has no other;
 of rows equal in id and text just one stays; an empty table gives an empty
-result. Only id and text are read, so other columns may have any name. Long
-texts are hashed in the JVM; they are shuffled only where their group has two
-rows. Buckets hold about ``KEYS`` digests, which bounds a filter's memory.
+result. Only id and text are read, so other columns may have any name. Texts
+are hashed in the JVM and shuffled once, for the byte checks. Buckets hold about ``KEYS`` digests, which bounds a filter's memory.
 """
 
 from __future__ import annotations
@@ -143,8 +142,15 @@ def split_batch(groups: DataFrame, snapshots: list[Snapshot]) -> tuple[DataFrame
 
 
 def check_bytes(texts: DataFrame, digests: DataFrame) -> DataFrame:
-    """(digest, text) rows of the given digests, compared: one row per digest; raises where two texts share one."""
-    ends = texts.join(digests, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    """(digest, text) rows of the given digests, compared: one row per digest; raises where two texts share one.
+
+    The texts in question are written before they are grouped, so a join
+    partition that one group fills can be split, and the group is then a row
+    per task. The join is a merge at every size: no plan depends on how few
+    groups there are.
+    """
+    asked = materialize(texts.join(digests.hint("merge"), "digest", "left_semi"), "dedup-texts")
+    ends = asked.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
     alike = F.when(F.col("a") == F.col("b"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("two texts have the digest "), F.hex("digest"))).cast("boolean"))
     return ends.select("digest", alike.alias("alike"))
 
