@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 DAMAGE_EVENTS = ("SPELL_DAMAGE", "SPELL_PERIODIC_DAMAGE", "RANGE_DAMAGE", "SWING_DAMAGE", "DAMAGE_SHIELD", "DAMAGE_SPLIT")
 CAST_EVENTS = ("SPELL_CAST_SUCCESS", "SPELL_CAST_START")
 AURA_EVENTS = ("SPELL_AURA_APPLIED", "SPELL_AURA_REMOVED", "SPELL_AURA_REFRESH", "SPELL_AURA_APPLIED_DOSE", "SPELL_AURA_REMOVED_DOSE")
-CORRECTIONS = ("coefficient_correction", "proc_rate_correction", "uptime_correction", "resource_correction")
+CORRECTIONS = ("coefficient_correction", "proc_rate_correction", "tick_interval_correction", "uptime_correction")
 
 
 def family(event: Column, damage=DAMAGE_EVENTS, cast=CAST_EVENTS, aura=AURA_EVENTS) -> Column:
@@ -62,29 +62,67 @@ def ability_metrics(events: DataFrame, subtract_overkill: bool = True) -> DataFr
     return out.withColumn("share", F.coalesce(F.try_divide("damage", whole), F.lit(0.0)))
 
 
-def sessionize(events: DataFrame, gap: str = "INTERVAL 30 MINUTES") -> DataFrame:
-    """Number events into sessions per player: a new one starts when the gap has passed, as ``session_window`` has it.
+def _ranged(events: DataFrame, width: str) -> DataFrame:
+    """Events with the time range that they lie in: a player's events are ordered range by range, so no task has a whole player."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.withColumn("_range", F.floor(micros / F.lit(_micros(events, width))))
+
+
+def _micros(events: DataFrame, width: str) -> int:
+    zero = F.expr("TIMESTAMP '1970-01-01 00:00:00'")
+    one = events.sparkSession.range(1).select((F.unix_micros(zero + F.expr(width)) - F.unix_micros(zero)).alias("w"))
+    return one.first()["w"]
 
-    A player's events are ordered in one task; where one player may have a
-    large share of all, use ``session_window``, which merges partial sessions.
-    """
-    order = Window.partitionBy("player").orderBy("ts", "event_id")
-    before = F.lag("ts").over(order)
-    start = (before.isNull() | (F.col("ts") >= before + F.expr(gap))).cast("int")
-    return events.withColumn("session", F.sum(start).over(order))
 
+def sessionize(events: DataFrame, gap: str = "INTERVAL 30 MINUTES", width: str = "INTERVAL 1 DAY") -> DataFrame:
+    """Number events into sessions per player: a new one starts when the gap has passed, as ``session_window`` has it.
 
-def sessions(events: DataFrame, gap: str = "INTERVAL 30 MINUTES") -> DataFrame:
-    numbered = sessionize(events, gap)
+    Events are ordered within time ranges of ``width``. Each range gives one row
+    (first and last time, breaks inside); a window over these few rows says
+    whether a range goes on with the session of the one before, and how many
+    sessions came before it. So the largest group that a task orders is what one
+    player does within one range, not the player.
+    """
+    local = Window.partitionBy("player", "_range").orderBy("ts", "event_id")
+    before, place = F.lag("ts").over(local), F.row_number().over(local)
+    breaks = ((place > 1) & (before.isNull() | (F.col("ts") >= before + F.expr(gap)))).cast("int")
+    rows = _ranged(events, width).withColumn("_break", breaks).withColumn("_local", F.sum("_break").over(local))
+    heads = rows.groupBy("player", "_range").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.sum("_break").alias("_breaks"))
+    across = Window.partitionBy("player").orderBy("_range")
+    opens = F.coalesce(F.col("_first") >= F.lag("_last").over(across) + F.expr(gap), F.lit(True)).cast("int")
+    carried = heads.withColumn("_opens", opens).withColumn("_base", F.sum(F.col("_breaks") + F.col("_opens")).over(across) - F.col("_breaks"))
+    return _stitched(rows, carried.select("player", "_range", "_base"), events.columns).withColumn("session", F.col("_base") + F.col("_local")).drop("_base", "_local")
+
+
+def _stitched(rows: DataFrame, carried: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with what their range has from the ranges before; both are partitioned alike, so nothing moves."""
+    side = carried.withColumnsRenamed({"player": "_player", "_range": "_at"})
+    same = F.col("player").eqNullSafe(F.col("_player")) & F.col("_range").eqNullSafe(F.col("_at"))
+    inner = [c for c in rows.columns if c.startswith("_local")]
+    return rows.join(side, same).select(*columns, *inner, *[c for c in carried.columns if c not in ("player", "_range")])
+
+
+def sessions(events: DataFrame, gap: str = "INTERVAL 30 MINUTES", width: str = "INTERVAL 1 DAY") -> DataFrame:
+    numbered = sessionize(events, gap, width)
     return numbered.groupBy("player", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
 
 
-def marked_sessions(events: DataFrame, is_start: Column, is_stop: Column) -> DataFrame:
-    """Sessions from one marker to the next per player; events before the first start, or after a stop, belong to none and go."""
-    order = Window.partitionBy("player").orderBy("ts", "event_id")
-    marker = F.when(is_start, True).when(is_stop, False)
-    numbered = events.withColumns({"session": F.sum(is_start.cast("int")).over(order), "_on": F.last(marker, ignorenulls=True).over(order)})
-    return numbered.filter(F.coalesce("_on", F.lit(False))).drop("_on")
+def marked_sessions(events: DataFrame, is_start: Column, is_stop: Column, width: str = "INTERVAL 1 DAY") -> DataFrame:
+    """Sessions from one marker to the next per player; events before the first start, or after a stop, belong to none and go.
+
+    Ordered range by range as in ``sessionize``; a range takes over how many
+    starts came before it, and whether the last marker before it was a start.
+    """
+    local = Window.partitionBy("player", "_range").orderBy("ts", "event_id")
+    rows = _ranged(events, width).withColumn("_marker", F.when(is_start, True).when(is_stop, False))
+    rows = rows.withColumns({"_local": F.sum(is_start.cast("int")).over(local), "_local_on": F.last("_marker", ignorenulls=True).over(local)})
+    order = F.struct("ts", "event_id")
+    heads = rows.groupBy("player", "_range").agg(F.sum(is_start.cast("int")).alias("_starts"), F.max_by("_marker", F.when(F.col("_marker").isNotNull(), order)).alias("_left"))
+    across = Window.partitionBy("player").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select("player", "_range", F.coalesce(F.sum("_starts").over(across), F.lit(0)).alias("_base"), F.last("_left", ignorenulls=True).over(across).alias("_on"))
+    whole = _stitched(rows, carried, events.columns)
+    on = F.coalesce("_local_on", "_on", F.lit(False))
+    return whole.filter(on).withColumn("session", F.col("_base") + F.coalesce("_local", F.lit(0))).drop("_base", "_local", "_local_on", "_on")
 
 
 def latest_snapshot(events: DataFrame, fields: list[str]) -> DataFrame:
@@ -94,9 +132,9 @@ def latest_snapshot(events: DataFrame, fields: list[str]) -> DataFrame:
 
 def opener(events: DataFrame, seconds: int = 15, first: int = 4) -> DataFrame:
     """The first distinct abilities within the first seconds of each session, in order."""
-    by_session = Window.partitionBy("player", "session")
-    early = events.withColumn("_t0", F.min("ts").over(by_session)).filter(F.col("ts") <= F.col("_t0") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
-    once = early.groupBy("player", "session", "ability").agg(F.min(F.struct("ts", "event_id")).alias("_at"))
+    starts = events.groupBy("player", "session").agg(F.min("ts").alias("_t0"))
+    used = events.groupBy("player", "session", "ability").agg(F.min(F.struct("ts", "event_id")).alias("_at"))
+    once = used.join(starts, ["player", "session"]).filter(F.col("_at.ts") <= F.col("_t0") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
     place = F.row_number().over(Window.partitionBy("player", "session").orderBy("_at"))
     return once.withColumn("place", place).filter(F.col("place") <= first).select("player", "session", "place", "ability")
 
@@ -135,6 +173,6 @@ def calibrate(observed: DataFrame, projected: DataFrame, key: str = "ability") -
 
 
 def pending_corrections(ids: DataFrame, key: str) -> DataFrame:
-    """Each id with each kind of correction, to be filled in."""
+    """Each id with each kind of correction, of low confidence, to be filled in."""
     kinds = F.array(*[F.lit(c) for c in CORRECTIONS])
-    return ids.select(key).distinct().select(key, F.explode(kinds).alias("correction_type"), F.lit(1.0).alias("multiplier"), F.lit("pending").alias("status"))
+    return ids.select(key).distinct().select(key, F.explode(kinds).alias("correction_type"), F.lit("low").alias("confidence"), F.lit("pending").alias("status"))

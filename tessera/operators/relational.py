@@ -27,6 +27,11 @@ def stated(rows: DataFrame, most: int = 10_000) -> DataFrame:
     return rows
 
 
+def stated_rows(rows: DataFrame, most: int = 1_000) -> list:
+    """The rows of a stated side on the driver, to be written into expressions; raises beyond ``most``."""
+    return stated(rows, most).collect()
+
+
 def enrich(entries: DataFrame, rows: DataFrame, key: str, name: str = "enrichment") -> DataFrame:
     """Left join by id; the other side becomes one struct, null where nothing matches."""
     side = rows.select(key, F.struct(*[c for c in rows.columns if c != key]).alias(name))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import stated
+from tessera.operators.relational import stated, stated_rows
+from tessera.session import materialize
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
@@ -28,31 +29,107 @@ def in_scope(nodes: DataFrame, scopes: DataFrame, shared: str) -> DataFrame:
     return nodes.join(s, "cls").filter(F.expr("level <= scope_level") & ((F.col("tab") == F.col("scope_tab")) | (F.col("tab") == F.lit(shared)))).select("scope", "node")
 
 
-def matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Nodes × rules where every operator that a rule states is met; a null operator is met.
+#: Lists of a rule of which a node has to have one, and the node's column.
+ANY_OF = {"tags_any": "tags", "schools_any": "schools", "resources_any": "resources", "types_in": "type", "kinds_in": "kind"}
+NO_TOKEN = "*"
+
+
+def rule_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule, need) and the postings (column, token, rule, part) of stated rules.
 
-    rules: rule, category, priority and the nullable arrays tags_any, tags_all,
-    schools_any, resources_any, name_any, text_any (patterns), types_in, and
-    the nullable active_only, passive_only, rank_least. Rules are a stated set
-    of tens, so each node is tested against all of them.
+    A rule's parts are its lists of which a node needs one (one part each, with
+    a posting per token) and each of its ``tags_all`` (a part of its own); it
+    asks for ``need`` parts. A rule without any has the token that every node has.
     """
-    arrays = {"tags_any": "tags", "schools_any": "schools", "resources_any": "resources"}
-    test = "(tags_all IS NULL OR size(array_except(tags_all, tags)) = 0)"
-    for rule, column in arrays.items():
-        test += f" AND ({rule} IS NULL OR arrays_overlap({rule}, {column}))"
+    have = [c for c in ANY_OF if c in rules.columns]
+    entry = lambda column, token, part: F.struct(F.lit(column).alias("column"), token.alias("token"), part.alias("part"))
+    none = F.array().cast("array<struct<column: string, token: string, part: string>>")
+    postings = lambda c: F.transform(F.array_distinct(c), lambda t: entry(ANY_OF[c], t, F.lit(c)))
+    lists = [F.coalesce(postings(c), none) for c in have]
+    every = F.coalesce(F.transform(F.array_distinct("tags_all"), lambda t: entry("tags", t, F.concat(F.lit("tags_all:"), t))), none)
+    need = sum((F.col(c).isNotNull().cast("int") for c in have), F.coalesce(F.size(F.array_distinct("tags_all")), F.lit(0)))
+    r = stated(rules).withColumn("need", need)
+    free = F.array(entry(NO_TOKEN, F.lit(NO_TOKEN), F.lit(NO_TOKEN)))
+    postings = r.select("rule", F.explode(F.when(F.col("need") == 0, free).otherwise(F.concat(*lists, every))).alias("p")).select("rule", "p.*")
+    return r.withColumn("need", F.greatest("need", F.lit(1))), postings
+
+
+def matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Nodes with the rules of which every stated operator is met; a null operator is met, an empty list never.
+
+    nodes: node, name, text, tags, schools, resources, type, kind, passive,
+    rank. rules: rule, category, priority and the nullable arrays tags_any,
+    tags_all, schools_any, resources_any, types_in, kinds_in, name_any (parts
+    of names in any case), text_any (patterns in any case), and the nullable
+    active_only, passive_only, rank_least.
+
+    The rules are an inverted index: a node's tokens are joined with it, the
+    parts met are counted against those asked for, and only rules that pass
+    are tested by flags, names and, last, patterns. The index is of a stated
+    set and is broadcast; there is no nested loop.
+    """
+    asked, postings = rule_index(rules)
+    token = lambda column, value: F.struct(F.lit(column).alias("column"), value.alias("token"))
+    several = lambda c: F.transform(F.coalesce(F.array_distinct(c), F.array().cast("array<string>")), lambda t: token(c, t))
+    held = [several(c) for c in ("tags", "schools", "resources")]
+    held += [F.array(token(c, F.col(c))) for c in ("type", "kind") if c in nodes.columns]
+    tokens = nodes.select("node", F.explode(F.concat(*held, F.array(token(NO_TOKEN, F.lit(NO_TOKEN))))).alias("t")).select("node", "t.*")
+    met = tokens.join(F.broadcast(postings), ["column", "token"]).groupBy("node", "rule").agg(F.count_distinct("part").alias("met"))
+    found = met.join(F.broadcast(asked), "rule").filter("met = need").drop("met", "need").join(nodes, "node")
+    test = "(active_only IS NULL OR NOT active_only OR NOT passive) AND (passive_only IS NULL OR NOT passive_only OR passive) AND (rank_least IS NULL OR rank >= rank_least)"
     test += " AND (name_any IS NULL OR exists(name_any, p -> contains(lower(name), lower(p))))"
-    test += " AND (text_any IS NULL OR exists(text_any, p -> text RLIKE p))"
-    test += " AND (types_in IS NULL OR array_contains(types_in, type))"
-    test += " AND (active_only IS NULL OR NOT active_only OR NOT passive) AND (passive_only IS NULL OR NOT passive_only OR passive)"
-    test += " AND (rank_least IS NULL OR rank >= rank_least)"
-    return nodes.join(stated(rules), F.expr(test))
+    test += " AND (text_any IS NULL OR exists(text_any, p -> coalesce(text, '') RLIKE concat('(?i)', p)))"
+    return found.filter(test)
+
+
+# The order of categories among actions of equal priority.
+CATEGORY_ORDER = ("precombat", "maintenance", "cooldown", "execute", "aoe", "spender", "builder", "filler", "utility")
+
+
+def category_place(category: Column) -> Column:
+    place = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), category)
+    return F.when(place > 0, place).otherwise(999)
+
+
+def action_key(name: Column) -> Column:
+    """The name as a key: lower case, apostrophes gone, anything else but letters, digits and underscores one underscore."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(name), F.lit("'"), F.lit("")), r"[^a-z0-9_]+", "_"), F.lit("_"))
+
+
+def rule_actions(matched: DataFrame) -> DataFrame:
+    """Matched (node, rule) rows with ``key``, ``evidence`` and whether the condition is ``inferred``.
+
+    The evidence is the node's tags that the rule names, last first, then the
+    rule itself; a condition is inferred where the node has tags or the rule
+    has patterns.
+    """
+    named = F.concat(F.coalesce("tags_any", F.array().cast("array<string>")), F.coalesce("tags_all", F.array().cast("array<string>")))
+    tags = F.transform(F.reverse(F.filter("tags", lambda t: F.array_contains(named, t))), lambda t: F.concat(F.lit("tag:"), t))
+    inferred = (F.size("tags") > 0) | F.coalesce(F.size("text_any") > 0, F.lit(False))
+    return matched.withColumns({"key": action_key(F.col("name")), "evidence": F.concat(tags, F.array(F.concat(F.lit("profile_rule:"), "rule"))), "inferred": inferred})
 
 
-def dedupe_actions(actions: DataFrame) -> DataFrame:
-    """One action per (key, condition, category) by priority; filler goes where a specific action has the same key."""
+def action_warnings(builds: DataFrame, matched: DataFrame, kept: DataFrame, categories: list[str]) -> DataFrame:
+    """(scope, action_warnings): whether conditions were inferred, then the stated categories without an action, then the lack of a filler.
+
+    builds: scope, nodes (how many are selected); matched and kept: scope and
+    the actions before and after ``dedupe_actions``.
+    """
+    told = matched.groupBy("scope").agg(F.bool_or("inferred").alias("_inferred"))
+    have = kept.groupBy("scope").agg(F.collect_set("category").alias("_have"))
+    out = builds.join(told, "scope", "left").join(have, "scope", "left")
+    some = F.coalesce("_have", F.array().cast("array<string>"))
+    lines = [F.when(F.col("_inferred"), F.lit("condition inferred from normalized tooltip tags"))]
+    lines += [F.when(~F.array_contains(some, c), F.lit(f"no action matched category:{c}")) for c in categories]
+    lines += [F.when((F.col("nodes") > 0) & ~F.array_contains(some, "filler"), F.lit("selected build has active nodes but no filler action"))]
+    return out.select("scope", F.array_compact(F.array(*lines)).alias("action_warnings"))
+
+
+def dedupe_actions(actions: DataFrame, order: tuple[str, ...] = ("priority", "rule")) -> DataFrame:
+    """One action per (scope, key, condition, category), the first by ``order``; filler goes where a specific action has the same key."""
     specific = F.max((F.col("category") != "filler").cast("int")).over(Window.partitionBy("scope", "key"))
     kept = actions.withColumn("_s", specific).filter("NOT (category = 'filler' AND _s = 1)").drop("_s")
-    w = Window.partitionBy("scope", "key", "condition", "category").orderBy("priority", "rule")
+    w = Window.partitionBy("scope", "key", "condition", "category").orderBy(*order)
     return kept.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
@@ -62,11 +139,19 @@ def wildcard_match(pattern: Column, value: Column) -> Column:
 
 
 def watchlist(rows: DataFrame, entries: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Rows with the stated watch-list entries that match in every column."""
+    """Rows with the stated watch-list entries that match in every column.
+
+    In the first column a row looks up the three patterns that can match its
+    value, so entries are joined by equality; the others are tested on what is found.
+    """
+    (first, pattern), *rest = columns.items()
+    value = F.lower(F.col(first))
+    asked = F.array_distinct(F.array_compact(F.array(value, F.lit("*"), F.when(F.endswith(F.col(first), F.lit("_dps")), "*_dps"))))
+    keyed = stated(entries).withColumn("_key", F.lower(F.col(pattern)))
     test = F.lit(True)
-    for column, pattern in columns.items():
-        test = test & wildcard_match(F.col(pattern), F.col(column))
-    return rows.join(stated(entries), test)
+    for column, other in rest:
+        test = test & wildcard_match(F.col(other), F.col(column))
+    return rows.withColumn("_key", F.explode(asked)).join(F.broadcast(keyed), "_key").filter(test).drop("_key")
 
 
 # The forms of conditions.
@@ -106,21 +191,23 @@ def first_usable(snapshots: DataFrame, actions: DataFrame) -> DataFrame:
     off cooldown (``cooldowns`` of the snapshot under its key), it can be paid
     (``costs``: resource to amount), and it is known (``known``). ``unsupported``
     counts the actions whose condition has a form that is not known. The actions
-    are a stated set of tens; each is tested on every row where it stands, so
-    only the snapshots grow.
+    are a stated set of tens, written into one expression on the row: nothing
+    is joined or shuffled.
     """
-    holds = "_holds"
-    tested = snapshots.crossJoin(stated(actions, 1_000))
-    ok = F.coalesce(condition_holds(F.col("condition")), F.lit(False))
-    if "known" in actions.columns:
-        ok = ok & F.col("known")
-    if "costs" in actions.columns:
-        ready = F.coalesce(F.try_element_at("cooldowns", F.col("key")), F.lit(0.0)) <= F.col("time_ms")
-        paid = F.forall(F.map_entries("costs"), lambda e: F.coalesce(F.try_element_at(F.col("resources"), e["key"]), F.lit(0.0)) >= e["value"])
-        ok = ok & ready & F.coalesce(paid, F.lit(True))
-    tested = tested.withColumns({holds: ok, "_odd": condition_holds(F.col("condition")).isNull()})
-    best = tested.groupBy("snapshot").agg(F.min(F.when(F.col(holds), F.struct("priority", "key"))).alias("_b"), F.count_if("_odd").alias("unsupported"))
-    return best.filter("_b IS NOT NULL").select("snapshot", F.col("_b.key").alias("action"), "unsupported")
+    first, odd = [], F.lit(0)
+    for a in sorted(stated_rows(actions), key=lambda a: (a["priority"], a["key"])):
+        holds = condition_holds(F.lit(a["condition"]).cast("string"))
+        ok = F.coalesce(holds, F.lit(False))
+        if "known" in actions.columns:
+            ok = ok & F.lit(bool(a["known"]))
+        if "costs" in actions.columns:
+            ok = ok & (F.coalesce(F.try_element_at("cooldowns", F.lit(a["key"])), F.lit(0.0)) <= F.col("time_ms"))
+            for resource, amount in (a["costs"] or {}).items():
+                ok = ok & (F.coalesce(F.try_element_at("resources", F.lit(resource)), F.lit(0.0)) >= F.lit(amount))
+        first.append(F.when(ok, F.lit(a["key"])))
+        odd = odd + holds.isNull().cast("int")
+    out = snapshots.select("snapshot", F.coalesce(*first, F.lit(None).cast("string")).alias("action"), odd.cast("long").alias("unsupported"))
+    return out.filter("action IS NOT NULL")
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
@@ -129,29 +216,80 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-def sweep_thresholds(actions: DataFrame, factors=(0.75, 1.0, 1.25), low: float = 0, high: float = 1000) -> DataFrame:
-    """Variants of every condition ``resource>=N`` with N scaled and clamped; unchanged ones once."""
-    n = F.regexp_extract("condition", CONDITIONS["resource"], 2).try_cast("double")
-    varied = actions.withColumn("_n", n).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
-    value = F.round(F.greatest(F.lit(low), F.least(F.lit(high), F.col("_n") * F.col("factor")))).cast("long")
-    text = F.when(F.col("_n").isNull(), F.col("condition")).otherwise(F.concat(F.regexp_extract("condition", CONDITIONS["resource"], 1), F.lit(">="), value.cast("string")))
-    return varied.withColumn("condition", text).filter("_n IS NOT NULL OR factor = 1.0").drop("_n")
+# A threshold in a condition, the categories whose actions may change places, and the factors.
+THRESHOLD = r"\b([a-z0-9_]+)>=(\d+(?:\.\d+)?)\b"
+REORDERABLE = ("builder", "spender", "filler", "maintenance", "execute", "aoe", "cooldown", "utility")
+FACTORS = (0.75, 1.0, 1.25)
+
 
+def plain_number(value: Column) -> Column:
+    """Two decimals at most, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.2f", F.bround(value, 2)), r"\.?0+$", "")
 
-def fingerprint(actions: DataFrame, by: list[str]) -> DataFrame:
-    """SHA-1 of the actions of each candidate as text, in order of priority and key."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("priority", "key", "condition"))), lambda x: F.concat_ws("|", x["priority"].cast("string"), x["key"], x["condition"]))
-    return actions.groupBy(*by).agg(F.sha1(F.array_join(lines, "\n")).alias("fingerprint"))
+
+def threshold_changes(actions: DataFrame, factors=FACTORS, low: float = 0.0, high: float = 1000.0) -> DataFrame:
+    """Ledger of variants that change the first threshold of one action: scaled, clamped, unchanged ones left out.
+
+    actions: candidate, pos, key, category, condition, priority; the ledger has
+    the same columns for the changed place, and mutation, note and ``nth``, the
+    order of the variants.
+    """
+    name, number = F.regexp_extract("condition", THRESHOLD, 1), F.regexp_extract("condition", THRESHOLD, 2).try_cast("double")
+    rows = actions.withColumns({"_name": name, "_n": number}).filter("_n IS NOT NULL")
+    rows = rows.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("by")) for i, f in enumerate(factors)])))
+    rows = rows.withColumn("_new", plain_number(F.greatest(F.lit(low), F.least(F.lit(high), F.col("_n") * F.col("_f.by"))))).filter(F.col("_new") != plain_number(F.col("_n")))
+    # Only the first threshold changes: what stands before it has none.
+    before = F.expr(f"substring(condition, 1, locate(concat(_name, '>=', regexp_extract(condition, r'{THRESHOLD}', 2)), condition) - 1)")
+    old = F.concat("_name", F.lit(">="), F.regexp_extract("condition", THRESHOLD, 2))
+    after = F.expr("substring(condition, length(_before) + length(_old) + 1)")
+    rows = rows.withColumns({"_before": before, "_old": old}).withColumn("condition", F.concat("_before", "_name", F.lit(">="), "_new", after))
+    note = F.concat_ws(":", F.lit("threshold"), "key", "_name", "_new")
+    return rows.select("candidate", "pos", "key", "category", "condition", "priority", note.alias("mutation"), F.lit("").alias("note"), F.struct(F.lit(1).alias("kind"), F.format_string("%08d", "pos").alias("at"), F.col("_f.i").alias("i")).alias("nth"))
+
+
+def reorder_changes(actions: DataFrame, categories=REORDERABLE) -> DataFrame:
+    """Ledger of variants in which the actions of one category change places: reversed, and, from three on, moved up by one.
+
+    Priorities stay where they are. Only the places whose action changes are in the ledger.
+    """
+    w = Window.partitionBy("candidate", "category")
+    group = actions.filter(F.col("category").isin(*categories)).withColumns({"_i": F.row_number().over(w.orderBy("pos")) - 1, "_m": F.count("*").over(w)}).filter("_m > 1")
+    slots = group.select("candidate", "category", F.col("_i").alias("_to"), "pos", "priority", F.col("key").alias("_key"), F.col("condition").alias("_condition"))
+    moves = [("Reverse", 0, F.col("_m") - 1 - F.col("_i")), ("Rotate", 1, F.when(F.col("_m") > 2, F.pmod(F.col("_i") - 1, F.col("_m"))))]
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(what).alias("what"), F.lit(i).alias("i"), to.cast("int").alias("to")) for what, i, to in moves]), lambda x: x["to"].isNotNull()))
+    moved = group.drop("pos", "priority").withColumn("_v", each).withColumn("_to", F.col("_v.to")).join(slots, ["candidate", "category", "_to"])
+    changed = moved.filter("NOT (key = _key AND condition = _condition)")
+    note = F.concat(F.col("_v.what"), F.lit(" "), "category", F.lit(" priority order."))
+    return changed.select("candidate", "pos", "key", "category", "condition", "priority", F.concat(F.lit("reorder_group:"), "category").alias("mutation"), note.alias("note"), F.struct(F.lit(2).alias("kind"), F.col("category").alias("at"), F.col("_v.i").alias("i")).alias("nth"))
 
 
-def rotate(actions: DataFrame, by: list[str], step: int | None) -> DataFrame:
-    """Rows change places within a category, priorities stay: reversed for None, else moved on by ``step``."""
-    w = Window.partitionBy(*by)
-    placed = actions.withColumns({"_i": F.row_number().over(w.orderBy("priority", "key")) - 1, "_n": F.count("*").over(w)})
-    to = F.col("_n") - 1 - F.col("_i") if step is None else F.pmod(F.col("_i") + F.lit(step), F.col("_n"))
-    slots = placed.select(*by, F.col("_i").alias("_to"), F.col("priority").alias("_p"))
-    moved = placed.withColumn("_to", to.cast("long")).drop("priority").join(slots.withColumn("_to", F.col("_to").cast("long")), [*by, "_to"])
-    return moved.withColumnRenamed("_p", "priority").drop("_to", "_i", "_n")
+def _mark() -> Column:
+    """A number of what stands at a place; sums of them tell lists apart, whatever the order of summing."""
+    return F.xxhash64("pos", "key", "category", "condition", "priority").cast("decimal(38,0)")
+
+
+def variants(actions: DataFrame) -> DataFrame:
+    """(candidate, mutation, note, nth, fingerprint) of the base and all its single changes, equal lists once.
+
+    actions: candidate, pos (the order of the list), key, category, condition,
+    priority. Variants are kept as ledgers of changed places. The mark of a
+    variant is the base's less what is replaced plus what replaces it, so equal
+    ones are found before any list is copied; the SHA-1 is made of what is left.
+    """
+    base = materialize(actions.select("candidate", "pos", "key", "category", "condition", F.col("priority").cast("double").alias("priority")), "variant-base")
+    ledger = materialize(threshold_changes(base).unionByName(reorder_changes(base)), "variant-ledger")
+    whole = base.groupBy("candidate").agg(F.sum(_mark()).alias("_whole"))
+    old = base.select("candidate", "pos", _mark().alias("_old"))
+    marks = ledger.withColumn("_new", _mark()).join(old, ["candidate", "pos"]).groupBy("candidate", "mutation", "note", "nth").agg(F.sum(F.col("_new") - F.col("_old")).alias("_by"))
+    marks = marks.join(whole, "candidate").withColumn("_mark", F.col("_whole") + F.col("_by"))
+    first = F.struct(F.lit(0).alias("kind"), F.lit("").alias("at"), F.lit(0).alias("i"))
+    bases = whole.select("candidate", F.lit("base").alias("mutation"), F.lit("Generated APL unchanged.").alias("note"), first.alias("nth"), F.col("_whole").alias("_mark"))
+    every = marks.select("candidate", "mutation", "note", "nth", "_mark").unionByName(bases)
+    once = materialize(every.groupBy("candidate", "_mark").agg(F.min(F.struct("nth", "mutation", "note")).alias("v")).select("candidate", "v.*"), "variants")
+    rows = once.join(base, "candidate").join(ledger.select("candidate", "mutation", "note", "pos", F.struct("key", "category", "condition", "priority").alias("_c")), ["candidate", "mutation", "note", "pos"], "left")
+    entry = F.struct(*[F.coalesce(F.col(f"_c.{c}"), F.col(c)).alias(n) for n, c in (("action_key", "key"), ("category", "category"), ("condition", "condition"), ("priority", "priority"))])
+    listed = rows.groupBy("candidate", "mutation", "note", "nth").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))).alias("_l"))
+    return listed.withColumn("fingerprint", F.sha1(F.to_json(F.transform("_l", lambda x: x["e"])))).drop("_l")
 
 
 #: Categories of actions, or classes of catalogue actions, one of which a role needs.
@@ -180,7 +318,7 @@ def candidate_validity(candidates: DataFrame, actions: DataFrame, catalogue: Dat
 
 # The checks of a catalogue row, SQL that is true where it fails. Wrong types are read as null.
 ENTRY_RULES = {
-    "missing_schema_version": "schema_version IS NULL",
+    "missing_schema_version": "schema_version IS DISTINCT FROM '{version}'",
     "missing_class": "coalesce(class_name, '') = ''",
     "missing_tab": "coalesce(tab_name, '') = ''",
     "invalid_essence_kind": "coalesce(essence_kind, '') NOT IN ('ability', 'talent', 'unknown')",
@@ -204,19 +342,29 @@ ENTRY_RULES = {
     "level_not_numeric": "availability IS NOT NULL AND availability.effective_required_level IS NULL",
     "invalid_level_confidence": "availability IS NOT NULL AND coalesce(availability.level_confidence, '') NOT IN ('high', 'medium', 'low')",
 }
-CLASS_RULES = {"class_missing_schema_version": "schema_version IS NULL", "class_missing_name": "coalesce(class_name, '') = ''", "class_id_not_numeric": "class_id IS NULL", "class_tabs_not_array": "tabs IS NULL"}
+CLASS_RULES = {"class_missing_schema_version": "schema_version IS DISTINCT FROM '{version}'", "class_missing_name": "coalesce(class_name, '') = ''", "class_id_not_numeric": "class_id IS NULL", "class_tabs_not_array": "tabs IS NULL"}
 
 
-def catalogue_faults(entries: DataFrame, classes: DataFrame, allow_unknown_kind: bool = False) -> DataFrame:
-    """(code, n) of all that is wrong with a catalogue: its rows, its classes, and the two together; none if it may be published."""
-    rules = {k: v for k, v in ENTRY_RULES.items() if not (allow_unknown_kind and k == "unknown_essence_kind")}
-    rows = validation_summary(entries, rules).select("code", "n").unionByName(validation_summary(classes, CLASS_RULES).select("code", "n"))
+def catalogue_faults(entries: DataFrame, classes: DataFrame, version: str, allow_unknown_kind: bool = False) -> DataFrame:
+    """(code, n) of all that is wrong with a catalogue: its rows, its classes, and the two together; none if it may be published.
+
+    Every row has to be of exactly the stated ``version``.
+    """
+    stamped = lambda rules: {k: v.replace("{version}", version.replace("'", "\\'")) for k, v in rules.items()}
+    rules = {k: v for k, v in stamped(ENTRY_RULES).items() if not (allow_unknown_kind and k == "unknown_essence_kind")}
+    rows = validation_summary(entries, rules).select("code", "n").unionByName(validation_summary(classes, stamped(CLASS_RULES)).select("code", "n"))
     have = entries.filter("coalesce(class_name, '') <> ''").select("class_name").distinct()
     empty = classes.filter("coalesce(class_name, '') <> ''").join(have, "class_name", "left_anti").agg(F.count("*").alias("n")).select(F.lit("class_without_entries").alias("code"), "n")
     none = lambda df, code: df.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit(code).alias("code"), "n")
     return rows.unionByName(empty).unionByName(none(entries, "no_entries")).unionByName(none(classes, "no_classes")).filter("n > 0")
 
 
+def catalogue_verdict(faults: DataFrame) -> DataFrame:
+    """One row: pass or fail, the number of kinds of fault and of faults, and the kinds by name."""
+    found = faults.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("faults"), F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    return found.select(F.when(F.col("kinds") == 0, "pass").otherwise("fail").alias("verdict"), "kinds", "faults", "codes")
+
+
 # What a rule table may hold.
 RULE_CATEGORIES = ("precombat", "maintenance", "cooldown", "builder", "spender", "execute", "aoe", "filler", "utility")
 RULE_CONFIDENCE = ("high", "medium", "low")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import events as ev
 from tessera.plans.common import canonical_events, table
 from tessera.session import shared_path
-from tessera.streaming.event_stream import run_available, session_metrics
+from tessera.streaming.event_stream import ROCKS, marked_stream, run_available, session_metrics, tumbling_metrics
 
 EVENTS = """
 e AS (
@@ -89,6 +89,34 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "events")
+    return spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).transform(canonical_events)
+
+
+def tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts and sums per player and ability, of the hours that the watermark has passed."""
+    made = run_available(spark, tumbling_metrics(_stream(spark, sf_dir)), shared_path(spark, "stream"), shared_path(spark, "stream-state"))
+    return made.select("player", "ability", F.col("window.start").cast("timestamp_ntz").alias("started"), "events", F.col("amount").cast("double").alias("amount"))
+
+
+def marked_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from a sign-up to the next, or to an error, on a stream: those whose closing marker the watermark has passed."""
+    stream = marked_stream(_stream(spark, sf_dir), F.col("ability") == "signup", F.col("ability") == "error")
+    made = run_available(spark, stream, shared_path(spark, "stream"), shared_path(spark, "stream-state"), store=ROCKS)
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
+def marked_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ev.marked_sessions(_events(spark, sf_dir), F.col("ability") == "signup", F.col("ability") == "error")
+    return found.groupBy("player", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
+
+
+MARKED = """m AS (SELECT user_id AS player, ts, event_id, event_type = 'signup' AS starts, CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END AS marker FROM events WHERE {0}),
+o AS (SELECT *, sum(starts::INT) OVER w AS session, last_value(marker IGNORE NULLS) OVER w AS is_on FROM m WINDOW w AS (PARTITION BY player ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT player, session::BIGINT AS session, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM o WHERE is_on GROUP BY ALL)"""
+
+
 def monotonic_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.cube import monotonic_violations
 
@@ -165,15 +193,27 @@ SELECT key, observed, projected, CASE WHEN warning IS NULL THEN round(observed /
     ),
     "pending_corrections": (
         pending_corrections,
-        """SELECT ability, correction_type, 1.0::DOUBLE AS multiplier, 'pending' AS status
+        """SELECT ability, correction_type, 'low' AS confidence, 'pending' AS status
 FROM (SELECT DISTINCT event_type AS ability FROM events)
-CROSS JOIN (VALUES ('coefficient_correction'), ('proc_rate_correction'), ('uptime_correction'), ('resource_correction')) v(correction_type)""",
+CROSS JOIN (VALUES ('coefficient_correction'), ('proc_rate_correction'), ('tick_interval_correction'), ('uptime_correction')) v(correction_type)""",
     ),
     "session_stream": (
         session_stream,
         """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), n AS (SELECT *, sum((b IS NULL OR ts >= b + INTERVAL 30 MINUTES)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e),
 g AS (SELECT user_id AS player, min(ts) AS started, max(ts) AS ended, count(*) AS events, sum(value::DECIMAL(18,4))::DOUBLE AS amount FROM n GROUP BY user_id, s)
 SELECT player, started, events, amount FROM g WHERE ended + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+    ),
+    "tumbling_stream": (
+        tumbling_stream,
+        """WITH t AS (SELECT user_id AS player, event_type AS ability, date_trunc('hour', ts)::TIMESTAMP AS started, value FROM events)
+SELECT player, ability, started, count(*) AS events, sum(value::DECIMAL(18,4))::DOUBLE AS amount FROM t WHERE started + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES GROUP BY ALL""",
+    ),
+    "marked_sessions": (marked_sessions, f"WITH {MARKED.format('true')} SELECT * FROM g"),
+    "marked_stream_sessions": (
+        marked_stream_sessions,
+        f"""WITH {MARKED.format("epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM events)")}, c AS (SELECT player, session::BIGINT AS session, bool_or(marker IS NOT NULL AND NOT marker) AS stopped FROM o GROUP BY ALL),
+n AS (SELECT player, max(session) AS latest FROM c GROUP BY player)
+SELECT g.*, CASE WHEN stopped THEN 'stop' ELSE 'start' END AS closed_by FROM g JOIN c USING (player, session) JOIN n USING (player) WHERE stopped OR session < latest""",
     ),
     "monotonic_days": (
         monotonic_days,

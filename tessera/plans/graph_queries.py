@@ -260,14 +260,30 @@ def condition_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_usable(s, actions)
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of actions: the parts of a brand and type, dealt by four; some conditions have a threshold, some two."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    condition = F.when(z % 3 == 0, F.concat(F.lit("rage>="), z.cast("string"))).when(z % 3 == 1, F.concat(F.lit("up&mana>="), (z / 4).cast("decimal(10,2)").cast("string"), F.lit("&rage>=5"))).otherwise("")
+    categories = ("builder", "spender", "cooldown", "odd")
+    a = table(spark, sf_dir, "part").select(F.concat_ws("|", "p_brand", "p_type", (k % 4).cast("string")).alias("candidate"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.get(F.array(*[F.lit(c) for c in categories]), (k % 13 % 4).cast("int")).alias("category"), condition.alias("condition"), z.cast("double").alias("priority"), k.alias("id"))
+    return a.withColumn("pos", F.row_number().over(Window.partitionBy("candidate").orderBy("priority", "id"))).drop("id")
+
+
+LISTS_SQL = """a AS (SELECT concat_ws('|', p_brand, p_type, p_partkey % 4) AS candidate, 'k' || p_partkey AS key, (['builder', 'spender', 'cooldown', 'odd'])[p_partkey % 13 % 4 + 1] AS category,
+  CASE p_size % 3 WHEN 0 THEN 'rage>=' || p_size WHEN 1 THEN 'up&mana>=' || (p_size / 4)::DECIMAL(10,2) || '&rage>=5' ELSE '' END AS condition, p_size::DOUBLE AS priority, p_size, row_number() OVER (PARTITION BY concat_ws('|', p_brand, p_type, p_partkey % 4) ORDER BY p_size, p_partkey) AS pos FROM part)"""
+#: A list as one text: what the fingerprint is the digest of.
+PAYLOAD = "sha1('[' || string_agg('{{\"action_key\":\"' || {key} || '\",\"category\":\"' || category || '\",\"condition\":\"' || {condition} || '\",\"priority\":' || priority || '}}', ',' ORDER BY pos) || ']')"
+
+
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "part").select(F.col("p_brand").alias("candidate"), F.col("p_partkey").cast("string").alias("key"), F.col("p_size").alias("priority"), F.concat(F.lit("rage>="), F.col("p_size").cast("string")).alias("condition"))
-    return rules.fingerprint(rules.sweep_thresholds(a), ["candidate", "factor"])
+    """Fingerprints of the lists as they are and of all variants with one threshold changed."""
+    return rules.variants(_lists(spark, sf_dir)).filter("nth.kind < 2").select("candidate", "mutation", "fingerprint")
 
 
 def order_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_partkey").cast("string").alias("key"), F.col("p_size").alias("priority"))
-    return rules.rotate(a, ["p_brand"], None).select("p_brand", "p_partkey", "priority")
+    """Fingerprints of the variants in which one category's actions change places, less those that equal the base."""
+    return rules.variants(_lists(spark, sf_dir)).filter("nth.kind = 2").select("candidate", "mutation", "note", "fingerprint")
+
 
 
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,13 +512,22 @@ SELECT event_id AS snapshot, 0 AS unsupported, 'NATION_' || CASE WHEN event_id %
     ),
     "param_sweep": (
         param_sweep,
-        """WITH a AS (SELECT p_brand, p_partkey, p_size, unnest([0.75, 1.0, 1.25])::DOUBLE AS factor FROM part)
-SELECT p_brand AS candidate, factor, sha1(string_agg(p_size || '|' || p_partkey || '|rage>=' || round(least(1000, greatest(0, p_size * factor)))::BIGINT, chr(10) ORDER BY p_size, p_partkey::VARCHAR)) AS fingerprint FROM a GROUP BY ALL""",
+        f"""WITH {LISTS_SQL},
+f AS (SELECT candidate, pos, key, p_size % 3 AS form, CASE p_size % 3 WHEN 0 THEN 'rage' ELSE 'mana' END AS res, CASE p_size % 3 WHEN 0 THEN p_size ELSE p_size / 4 END::DOUBLE AS n, unnest([0.75, 1.0, 1.25])::DOUBLE AS mult FROM a WHERE condition <> ''),
+t AS (SELECT *, regexp_replace(printf('%.2f', round_even(least(1000.0, n * mult)::DOUBLE, 2)), '\\.?0+$', '') AS new, regexp_replace(printf('%.2f', n), '\\.?0+$', '') AS old FROM f),
+c AS (SELECT *, concat_ws(':', 'threshold', key, res, new) AS mutation, CASE form WHEN 0 THEN 'rage>=' || new ELSE 'up&mana>=' || new || '&rage>=5' END AS changed FROM t WHERE new <> old)
+SELECT candidate, 'base' AS mutation, {PAYLOAD.format(key='key', condition='condition')} AS fingerprint FROM a GROUP BY candidate
+UNION ALL SELECT a.candidate, mutation, {PAYLOAD.format(key='a.key', condition='CASE WHEN a.pos = c.pos THEN changed ELSE condition END').replace('ORDER BY pos', 'ORDER BY a.pos')} FROM a JOIN c ON a.candidate = c.candidate GROUP BY a.candidate, mutation""",
     ),
     "order_variants": (
         order_variants,
-        """WITH a AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey::VARCHAR) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
-SELECT x.p_brand, x.p_partkey, y.p_size AS priority FROM a x JOIN a y ON x.p_brand = y.p_brand AND y.i = x.n + 1 - x.i""",
+        f"""WITH {LISTS_SQL}, g AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY candidate, category) AS m FROM a WHERE category <> 'odd' WINDOW w AS (PARTITION BY candidate, category ORDER BY pos)),
+v AS (SELECT candidate, category, 'Reverse' AS what, i, m + 1 - i AS src FROM g WHERE m > 1 UNION ALL SELECT candidate, category, 'Rotate', i, i % m + 1 FROM g WHERE m > 2),
+c AS (SELECT v.candidate, v.category, what, x.pos, y.key AS new_key, y.condition AS new_condition FROM v JOIN g x ON x.candidate = v.candidate AND x.category = v.category AND x.i = v.i JOIN g y ON y.candidate = v.candidate AND y.category = v.category AND y.i = v.src),
+u AS (SELECT DISTINCT candidate, category AS grp, what FROM c),
+f AS (SELECT a.candidate, u.grp, u.what, {PAYLOAD.format(key='coalesce(new_key, a.key)', condition='coalesce(new_condition, a.condition)').replace('|| category ||', '|| a.category ||').replace('ORDER BY pos', 'ORDER BY a.pos')} AS fingerprint
+  FROM a JOIN u ON u.candidate = a.candidate LEFT JOIN c ON c.candidate = a.candidate AND c.category = u.grp AND c.what = u.what AND c.pos = a.pos GROUP BY ALL)
+SELECT candidate, 'reorder_group:' || grp AS mutation, what || ' ' || grp || ' priority order.' AS note, fingerprint FROM f QUALIFY row_number() OVER (PARTITION BY candidate, fingerprint ORDER BY grp, what) = 1""",
     ),
     "rule_violations": (
         rule_violations,
