@@ -7,7 +7,7 @@ needs: node, required
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
@@ -75,18 +75,18 @@ def legal_adds(states: DataFrame, candidates: DataFrame, needs: DataFrame, membe
     return pairs.join(unmet.select("scope", "state", "node").distinct(), ["scope", "state", "node"], "left_anti")
 
 
-def expand_frontier(states: DataFrame, candidates: DataFrame, needs: DataFrame, branch: int, beam: int) -> DataFrame:
-    """One search round: best additions per state, equal sets once, best states per scope.
+def grown_states(states: DataFrame, candidates: DataFrame, needs: DataFrame, branch: int) -> DataFrame:
+    """The best additions to each state, equal sets once.
 
     states: state (sorted id array as string), scope, level, ae_left, te_left,
-    nodes (array), spend. The score of a state is its spend plus 0.01 per node.
+    nodes (array), spend.
     """
     members = states.select("scope", "state", F.explode("nodes").alias("node"))
     adds = legal_adds(states, candidates, needs, members)
     order = Window.partitionBy("scope", "state").orderBy(F.desc("score"), "node")
     some = adds.withColumn("_b", F.row_number().over(order)).filter(F.col("_b") <= branch)
     grown = F.array_sort(F.array_append("nodes", F.col("node")))
-    new = some.select(
+    return some.select(
         F.array_join(F.transform(grown, lambda x: x.cast("string")), ",").alias("state"),
         "scope",
         F.col("state_level").alias("level"),
@@ -95,28 +95,43 @@ def expand_frontier(states: DataFrame, candidates: DataFrame, needs: DataFrame,
         grown.alias("nodes"),
         (F.col("spend") + F.col("ae") + F.col("te")).alias("spend"),
     ).dropDuplicates(["scope", "state"])
-    best = Window.partitionBy("scope").orderBy(F.desc(F.col("spend") + 0.01 * F.size("nodes")), "state")
-    return new.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= beam).drop("_r")
 
 
-def search(states: DataFrame, candidates: DataFrame, needs: DataFrame, rounds: int, branch: int = 10, beam: int = 5, least_fraction: float = 0.0) -> DataFrame:
-    """Bounded rounds for all scopes in parallel; the best state of each scope over all rounds.
+def _best(states: DataFrame, most: int, *first: Column) -> DataFrame:
+    """The best states of each scope: by what they spend plus 0.01 a node, ties by their ids."""
+    order = Window.partitionBy("scope").orderBy(*first, F.desc(F.col("spend") + 0.01 * F.size("nodes")), "state")
+    return states.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+
+
+def expand_frontier(states: DataFrame, candidates: DataFrame, needs: DataFrame, branch: int, beam: int) -> DataFrame:
+    """One search round: best additions per state, equal sets once, best states per scope."""
+    return _best(grown_states(states, candidates, needs, branch), beam)
+
 
-    With ``least_fraction`` a state counts only if it spends that share of what
-    its scope had at first; where none does, the best of all is kept, with the
+def best_states(states: DataFrame, candidates: DataFrame, needs: DataFrame, rounds: int, branch: int = 10, beam: int = 5, least_fraction: float = 0.0, top: int = 1) -> DataFrame:
+    """Bounded rounds for all scopes in parallel; the best ``top`` states of each scope over all rounds.
+
+    All that a round grows is kept; the best of it grow on. With
+    ``least_fraction`` only states count that spend that share of what their
+    scope had at first; where none does, the best of all are kept, with the
     warning ``budget_floor_unreachable``. Runs a job each round.
     """
     every = frontier = materialize(states, "frontier")
     for _ in range(rounds):
-        frontier = materialize(expand_frontier(frontier, candidates, needs, branch, beam), "frontier")
-        every = every.unionByName(frontier)
-        if frontier.isEmpty():
+        grown = materialize(grown_states(frontier, candidates, needs, branch), "grown")
+        every, frontier = every.unionByName(grown), _best(grown, beam)
+        if grown.isEmpty():
             break
     had = states.groupBy("scope").agg(F.max(F.col("ae_left") + F.col("te_left")).alias("_had"))
     every = every.join(had, "scope").withColumn("_met", F.col("spend") >= F.lit(least_fraction) * F.col("_had"))
-    best = Window.partitionBy("scope").orderBy(F.desc("_met"), F.desc(F.col("spend") + 0.01 * F.size("nodes")), "state")
-    first = every.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    return first.withColumn("warning", F.when(~F.col("_met"), "budget_floor_unreachable")).drop("_r", "_met", "_had")
+    reached = every.groupBy("scope").agg(F.bool_or("_met").alias("_reached"))
+    allowed = every.join(reached, "scope").filter("_met OR NOT _reached")
+    return _best(allowed, top).withColumn("warning", F.when(~F.col("_reached"), "budget_floor_unreachable")).drop("_reached", "_met", "_had")
+
+
+def search(states: DataFrame, candidates: DataFrame, needs: DataFrame, rounds: int, branch: int = 10, beam: int = 5, least_fraction: float = 0.0) -> DataFrame:
+    """The best state of each scope; see ``best_states``."""
+    return best_states(states, candidates, needs, rounds, branch, beam, least_fraction)
 
 
 #: Issue codes and the state they give, the first that occurs.
@@ -153,10 +168,15 @@ def node_states(nodes: DataFrame, selected: DataFrame, free: DataFrame, availabl
     return out.withColumn("state", state).drop("_free", "_selected", "_available", "_codes")
 
 
+# The levels that have an award.
+FIRST_AWARD, LAST_AWARD = 10, 60
+
+
 def award_schedule(levels: DataFrame) -> DataFrame:
-    """Awards alternate by the parity of the level; running sums are the budgets."""
+    """Awards alternate by the parity of the level, from 10 to 60; other levels have none. Running sums are the budgets."""
     w = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    awards = levels.withColumns({"ae_award": (F.col("level") % 2 == 0).cast("int"), "te_award": (F.col("level") % 2 == 1).cast("int")})
+    some = levels.filter(F.col("level").between(FIRST_AWARD, LAST_AWARD))
+    awards = some.withColumns({"ae_award": (F.col("level") % 2 == 0).cast("int"), "te_award": (F.col("level") % 2 == 1).cast("int")})
     return awards.withColumns({"ae_total": F.sum("ae_award").over(w), "te_total": F.sum("te_award").over(w)})
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.values import engine_role
-from tessera.operators.score import objective
 
 
 def scopes(nodes: DataFrame, encounters: list[str], shared: str) -> DataFrame:
@@ -21,20 +19,20 @@ def class_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("cls").agg(F.count_distinct("tab").alias("tabs"), best.alias("_b")).select("cls", "tabs", F.col("_b.tab").alias("best_tab"), F.col("_b.index").alias("best_index"))
 
 
-def by_score(scope: str, key: str) -> WindowSpec:
-    return Window.partitionBy(scope).orderBy(F.desc("score"), key)
+def warnings(nodes: DataFrame, metadata: DataFrame, scopes: DataFrame, shared: tuple[str, ...], pool: str = "Class", full_level: int = 60) -> DataFrame:
+    """(cls, warning, detail): stated tabs that have no nodes, and classes whose pool says nothing of levels below the full one.
 
-
-def warnings(nodes: DataFrame, metadata: DataFrame, scopes: DataFrame, shared: str, full_level: int = 60) -> DataFrame:
-    """(cls, warning, detail): stated tabs that have no nodes, and classes whose shared pool says nothing of levels below the full one.
-
-    nodes: cls, tab, availability; metadata: cls, tab; scopes: cls, level.
+    nodes: cls, tab_id, tab, availability; metadata: cls, tab_id, tab; scopes:
+    cls, level. A tab is one of its class, id and name; ``shared`` tabs are not
+    asked for. The pool's warning goes by two names.
     """
-    empty = metadata.filter(F.col("tab") != F.lit(shared)).select("cls", "tab").distinct().join(nodes.select("cls", "tab").distinct(), ["cls", "tab"], "left_anti")
-    pool = nodes.filter((F.col("tab") == F.lit(shared)) & F.col("availability").isNull()).select("cls").distinct()
-    early = scopes.filter(F.col("level") < full_level).select("cls").distinct().join(pool, "cls", "left_semi")
+    key = ["cls", "tab_id", "tab"]
+    empty = metadata.filter(~F.col("tab").isin(*shared)).select(*key).distinct().join(nodes.select(*key).distinct(), key, "left_anti")
+    unknown = nodes.filter((F.col("tab") == F.lit(pool)) & F.col("availability").isNull()).select("cls").distinct()
+    early = scopes.filter(F.col("level") < full_level).select("cls").distinct().join(unknown, "cls", "left_semi")
+    both = F.explode(F.array(F.lit("class_pool_level_gating_incomplete"), F.lit("shared_class_level_gating_incomplete")))
     out = empty.select("cls", F.lit("metadata_tab_has_no_nodes").alias("warning"), F.col("tab").alias("detail"))
-    return out.unionByName(early.select("cls", F.lit("class_pool_level_gating_incomplete").alias("warning"), F.lit(None).cast("string").alias("detail")))
+    return out.unionByName(early.select("cls", both.alias("warning"), F.lit(None).cast("string").alias("detail")))
 
 
 def ordered_distinct(*lists: Column) -> Column:
@@ -42,31 +40,6 @@ def ordered_distinct(*lists: Column) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
 
 
-def facts(chosen: DataFrame, builds: DataFrame, trusted: DataFrame, gear: DataFrame, told: DataFrame) -> DataFrame:
-    """One row per chosen build: its objective, index, trust, gear and all warnings once.
-
-    chosen: scope, build, place; builds: build, role, index; trusted: build,
-    trust_score, trust; gear: engine_role, weapon_types, armor_types,
-    gear_warning; told: build, own_warnings.
-    """
-    out = chosen.join(builds, "build").withColumn("engine_role", engine_role(F.col("role"))).join(trusted, "build", "left").join(told, "build", "left").join(gear, "engine_role", "left")
-    what = objective(F.col("role"))
-    every = ordered_distinct(F.col("own_warnings"), F.when(F.col("gear_warning").isNotNull(), F.array("gear_warning")))
-    return out.withColumns({"objective": what["id"], "objective_label": what["label"], "warnings": every}).drop("own_warnings", "gear_warning")
-
-
-def report_lines(rows: DataFrame) -> DataFrame:
-    """One line per build of the report, for a flat sink."""
-    line = F.format_string("#%d build %s %s %s %.2f trust %s [%s]", "place", F.col("build").cast("string"), "role", "objective_label", "index", "trust", F.array_join("warnings", ","))
-    return rows.select("scope", "place", "build", line.alias("line"))
-
-
-def nested_report(rows: DataFrame) -> DataFrame:
-    """Scopes with their builds in order, each a struct of all its facts, for a nested sink."""
-    inner = ["place", *[c for c in rows.columns if c not in ("scope", "place")]]
-    return nested(rows, ["scope"], inner, "builds")
-
-
 def nested(rows: DataFrame, outer: list[str], inner: list[str], name: str) -> DataFrame:
     """Groups with their rows as a sorted array of structs, for a nested sink."""
     return rows.groupBy(*outer).agg(F.sort_array(F.collect_list(F.struct(*inner))).alias(name))
@@ -96,12 +69,29 @@ def priority_lines(actions: DataFrame) -> DataFrame:
     return actions.withColumn("line", F.concat(F.lit("actions+=/"), "key", condition))
 
 
-def sections(usage: DataFrame) -> DataFrame:
-    """Sections by category with their abilities in order of first use, as one sentence."""
-    section = F.when(F.col("category") == "damage", "Core").when(F.col("category") == "cast", "Setup").otherwise("Upkeep")
-    order = F.array_sort(F.collect_list(F.struct("first_use", "ability")))
-    out = usage.withColumn("section", section).groupBy("player", "section").agg(F.transform(order, lambda x: x["ability"]).alias("_a"))
-    return out.select("player", "section", spoken_list(F.array_distinct("_a")).alias("abilities"))
+# The sections of a rotation in their order, the categories of the loop, and the roles whose other actions are of the defence.
+SECTIONS = ("opener", "maintenance", "cooldowns", "builder_spender", "defensive_support")
+LOOP = ("builder", "spender", "filler", "execute", "aoe")
+DEFENSIVE_ROLES = ("tank", "healer", "support")
+
+
+def rotation_sections(actions: DataFrame) -> DataFrame:
+    """(build, at, section, actions): the actions of each section in their order, sections without any left out.
+
+    actions: build, role, category, name, condition, confidence, priority, order, key.
+    """
+    category, role = F.col("category"), F.col("role")
+    section = (
+        F.when(category == "maintenance", "maintenance")
+        .when(category == "cooldown", "cooldowns")
+        .when(category.isin(*LOOP), "builder_spender")
+        .when((category == "utility") | role.isin(*DEFENSIVE_ROLES), "defensive_support")
+        .otherwise("opener")
+    )
+    item = F.struct("priority", "order", "name", "key", F.coalesce("condition", F.lit("")).alias("condition"), F.coalesce("confidence", F.lit("low")).alias("confidence"))
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["name"].alias("name"), x["condition"].alias("condition"), x["confidence"].alias("confidence")))
+    out = actions.withColumn("section", section).groupBy("build", "section").agg(listed.alias("actions"))
+    return out.select("build", F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int").alias("at"), "section", "actions")
 
 
 def share_of_best(rows: DataFrame, scope: str) -> DataFrame:

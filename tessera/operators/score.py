@@ -221,13 +221,48 @@ def configured_role(rows: DataFrame) -> DataFrame:
 
 
 def item_scores(items: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
-    """Items (item, role, stats map) by the weighted sum of their stats; the best k per role."""
+    """Items (item, role, stats map) by the weighted sum of their stats; the best k per role, of equal scores the larger id first."""
     each = items.select("item", "role", F.explode("stats").alias("stat", "amount")).join(weights, ["role", "stat"])
-    total = each.groupBy("role", "item").agg(F.round(F.sum((F.col("amount") * F.col("weight")).cast("decimal(18,4)")).cast("double"), 4).alias("score"))
-    w = Window.partitionBy("role").orderBy(F.desc("score"), "item")
+    total = each.groupBy("role", "item").agg(F.round(F.sum((F.col("amount") * F.col("weight")).cast("decimal(18,4)")).cast("double"), 3).alias("score"))
+    w = Window.partitionBy("role").orderBy(F.desc("score"), F.desc("item"))
     return total.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+# Per guide role the best and the available types of weapons and armor where no items are known.
+GUIDE_GEAR = {
+    "melee_dps": (["sword", "axe", "dagger", "mace"], ["leather", "mail"], ["sword", "axe", "dagger", "mace", "staff"], ["cloth", "leather", "mail", "plate"]),
+    "caster_dps": (["staff", "dagger", "mace"], ["cloth", "leather"], ["staff", "dagger", "mace", "sword"], ["cloth", "leather", "mail"]),
+    "ranged_dps": (["bow", "gun", "crossbow"], ["leather", "mail"], ["bow", "gun", "crossbow", "dagger", "sword", "axe"], ["cloth", "leather", "mail"]),
+    "tank": (["shield", "sword", "mace", "axe"], ["plate", "mail"], ["shield", "sword", "mace", "axe"], ["plate", "mail", "leather"]),
+    "healer": (["staff", "mace", "dagger"], ["cloth", "leather", "mail"], ["staff", "mace", "dagger", "sword"], ["cloth", "leather", "mail"]),
+    "support": (["staff", "mace", "dagger", "sword"], ["cloth", "leather", "mail"], ["staff", "mace", "dagger", "sword", "axe"], ["cloth", "leather", "mail", "plate"]),
+}
+
+
+def gear_report(items: DataFrame, weights: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """``wanted`` (role, engine_role) with best and available types, the best items, where that comes from, and warnings.
+
+    items: item, weapon_type, armor_type, confidence, stats; weights: role,
+    stat, weight, for engine roles and guide roles. Without items the role's
+    defaults are told, with low confidence and two warnings.
+    """
+    kinds = items.agg(
+        F.count("*").alias("_n"), F.sort_array(F.collect_set(F.when(F.col("weapon_type") != "", F.col("weapon_type")))).alias("_w"), F.sort_array(F.collect_set(F.when(F.col("armor_type") != "", F.col("armor_type")))).alias("_a"), F.coalesce(F.bool_or(F.col("confidence") == "low"), F.lit(False)).alias("_low")
+    )
+    scored = item_scores(items.withColumn("role", F.explode(F.array(*[F.lit(r) for r in GEAR_DEFAULTS]))), weights, k)
+    best = scored.groupBy(F.col("role").alias("engine_role")).agg(F.sort_array(F.collect_list(F.struct("place", "item", "score"))).alias("item_scores"))
+    stats = weights.groupBy("role").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "stat"))), lambda x: x["stat"]).alias("stat_priority"))
+    default = lambda place: F.coalesce(*[F.when(F.col("role") == r, F.array(*[F.lit(x) for x in lists[place]])) for r, lists in GUIDE_GEAR.items()])
+    offered = lambda column, place: F.when(F.size(column) > 0, F.col(column)).otherwise(default(place))
+    out = wanted.join(best, "engine_role", "left").join(stats, "role", "left").join(F.broadcast(kinds))  # one row
+    some = F.col("_n") > 0
+    warnings = F.when(some, F.when(F.col("_low"), F.array(F.lit("item_data_low_confidence"))).otherwise(F.array().cast("array<string>"))).otherwise(F.array(F.lit("item_data_missing"), F.lit("gear_targets_from_role_defaults")))
+    return out.select(
+        *wanted.columns, default(0).alias("best_weapon_types"), default(1).alias("best_armor_types"), offered("_w", 2).alias("available_weapon_types"), offered("_a", 3).alias("available_armor_types"), "item_scores", "stat_priority",
+        F.when(some, "mixed").otherwise("defaults").alias("gear_source"), F.when(some, "medium").otherwise("low").alias("gear_confidence"), warnings.alias("gear_warnings"),
+    )
+
+
 def gear_types(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (engine_role) with the weapon and armor types on offer, defaults where there are none, and warnings.
 

@@ -276,7 +276,7 @@ def role_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.infer_role(score.role_scores(nodes, "cls", "text", "tags", "name"), "cls")
 
 
-def _role_sql() -> str:
+def role_sql(source: str = "pn", key: str = "cls") -> str:
     def found(p: str) -> str:
         word = p.replace(r"\b", "")
         return f"len(regexp_extract_all(t, '{('(?:^|[^a-z0-9_])' if p.startswith(chr(92)) else '') + word + ('(?:[^a-z0-9_]|$)' if p.endswith(chr(92) + 'b') else '')}'))"
@@ -288,10 +288,10 @@ def _role_sql() -> str:
     order = ", ".join(f"{{'s': -{r}, 'i': {i}, 'r': '{r}'}}" for i, r in enumerate(score.ROLE_TAGS))
     dps = ", ".join(f"{{'s': -{r}, 'i': {i}, 'r': '{r}'}}" for i, r in enumerate(list(score.ROLE_TAGS)[:3]))
     own = "CASE role " + " ".join(f"WHEN '{r}' THEN {r}" for r in score.ROLE_TAGS) + " END"
-    return f"""WITH {NODES_SQL}, s AS (SELECT cls, {', '.join(sums)} FROM (SELECT *, replace(lower(name || ' ' || text), ' ', '  ') AS t FROM pn) GROUP BY cls),
-o AS (SELECT *, list_sort([{order}]) AS l, list_sort([{dps}]) AS d FROM s),
-r AS (SELECT *, CASE WHEN tank >= 20 AND tank >= healer - 5 THEN 'tank' WHEN healer >= 24 AND healer >= support + 4 THEN 'healer' WHEN support >= 22 AND support > healer THEN 'support' WHEN l[1].r IN ('tank', 'healer', 'support') AND -l[1].s < 10 THEN d[1].r ELSE l[1].r END AS role FROM o)
-SELECT cls, role, CASE WHEN {own} >= 12 THEN 'medium' ELSE 'low' END AS confidence, array_to_string(list_transform(l[1:3], lambda x: x.r || ':' || printf('%.1f', -x.s)), ',') AS evidence FROM r"""
+    return f"""rs AS (SELECT {key}, {', '.join(sums)} FROM (SELECT *, replace(lower(name || ' ' || text), ' ', '  ') AS t FROM {source}) GROUP BY {key}),
+ro AS (SELECT *, list_sort([{order}]) AS l, list_sort([{dps}]) AS d FROM rs),
+rr AS (SELECT *, CASE WHEN tank >= 20 AND tank >= healer - 5 THEN 'tank' WHEN healer >= 24 AND healer >= support + 4 THEN 'healer' WHEN support >= 22 AND support > healer THEN 'support' WHEN l[1].r IN ('tank', 'healer', 'support') AND -l[1].s < 10 THEN d[1].r ELSE l[1].r END AS role FROM ro),
+ri AS (SELECT {key}, role, CASE WHEN {own} >= 12 THEN 'medium' ELSE 'low' END AS confidence, array_to_string(list_transform(l[1:3], lambda x: x.r || ':' || printf('%.1f', -x.s)), ',') AS evidence FROM rr)"""
 
 
 def configured_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,55 +399,36 @@ def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.select_diverse(_prints(spark, sf_dir), "scope", "build", 2, measure=similarity.blended_distance)
 
 
-DIVERSE_SQL = f"""WITH {PRINTS_SQL}, {SIGNATURE_SQL},
-q AS (SELECT fp.*, (fp.build % 4) / 4 AS reliability, fp.build % 10 <> 0 AS played, sh.core, sh.op, sh.mt, sh.cd, sh.tl, sh.resource_loop, sh.burst, sh.reach, sh.uptime FROM fp JOIN sh ON sh.build = fp.build),
+def diverse_sql(reliability: str, played: str) -> str:
+    """CTEs from prints (fp) and signatures (sh) to the first two places, ``dv``; what is given is SQL on a row of ``fp``."""
+    return f"""q AS (SELECT fp.*, {reliability} AS reliability, {played} AS played, sh.core, sh.op, sh.mt, sh.cd, sh.tl, sh.resource_loop, sh.burst, sh.reach, sh.uptime FROM fp JOIN sh ON sh.build = fp.build),
 b0 AS (SELECT scope, max(score) AS best, median(score) AS med, count(*) AS n, list_reverse_sort(list(score)) AS al FROM q GROUP BY scope),
 m0 AS (SELECT q.scope, median(abs(score - med)) AS mad FROM q JOIN b0 ON b0.scope = q.scope GROUP BY q.scope),
 f0 AS (SELECT b0.*, greatest(best * 0.9, CASE WHEN n >= 6 THEN best - greatest(1.5 * mad, best * 0.05) ELSE best * 0.9 END) AS fl FROM b0 JOIN m0 ON m0.scope = b0.scope),
 f1 AS (SELECT scope, best, round(CASE WHEN n > 1 AND al[2] < fl THEN greatest(best * 0.88, al[2]) ELSE fl END, 4) AS floor FROM f0),
 el AS (SELECT q.*, best FROM q JOIN f1 ON f1.scope = q.scope WHERE round(score, 4) >= floor),
 one AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY scope ORDER BY reliability >= 0.5 DESC, score DESC, reliability DESC, build) = 1),
-two AS (SELECT a.scope, a.build, a.score, CASE WHEN a.played AND b.played THEN round(0.55::DOUBLE * ({DISTANCE_SQL}) + 0.45::DOUBLE * ({SIGNATURE_DISTANCE_SQL}) + 1e-9, 4) ELSE {DISTANCE_SQL} END AS d, a.best, a.reliability FROM el a JOIN one b ON a.scope = b.scope AND a.build <> b.build)
-SELECT scope, build, 1 AS place FROM one UNION ALL (SELECT scope, build, 2 FROM two WHERE d >= 0.22 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY round(0.60 * score / best + 0.25 * reliability + 0.15 * d, 9) DESC, score DESC, build) = 1)"""
+two AS (SELECT a.scope, a.build, a.score, CASE WHEN a.played AND b.played THEN round(0.55::DOUBLE * ({DISTANCE_SQL}) + 0.45::DOUBLE * ({SIGNATURE_DISTANCE_SQL}) + 1e-9, 4) ELSE {DISTANCE_SQL} END AS d, a.best, a.reliability FROM el a JOIN one b ON a.scope = b.scope AND a.build <> b.build),
+dv AS (SELECT scope, build, 1 AS place FROM one UNION ALL (SELECT scope, build, 2 FROM two WHERE d >= 0.22 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY round(0.60 * score / best + 0.25 * reliability + 0.15 * d, 9) DESC, score DESC, build) = 1))"""
 
 
-# The report
+DIVERSE_SQL = f"WITH {PRINTS_SQL}, {SIGNATURE_SQL}, {diverse_sql('(fp.build % 4) / 4', 'fp.build % 10 <> 0')} SELECT * FROM dv"
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    builds = order_builds(spark, sf_dir)
-    chosen = builds.withColumn("place", F.row_number().over(report.by_score("scope", "build"))).filter("place <= 3").select("scope", "build", "place")
-    told = builds.select("build", F.when(F.col("build") % 5 == 0, F.array(F.lit("missing_mechanics:1"), F.lit("late"))).otherwise(F.array(F.lit("late"))).alias("own_warnings"))
-    trusted = trust_score(spark, sf_dir).select("build", F.col("score").alias("trust_score"), F.col("label").alias("trust"))
-    return report.facts(chosen, builds.select("build", "role", F.col("score").alias("index")), trusted, gear_table(spark, sf_dir), told)
-
-
-def gear_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = table(spark, sf_dir, "part").filter("false").select(F.lit("").alias("engine_role"), F.lit("").alias("weapon_type"), F.lit("").alias("armor_type"), F.lit("").alias("confidence"))
-    wanted = table(spark, sf_dir, "region").select(pick(("dps", "tank", "healer_support"), F.col("r_regionkey")).alias("engine_role")).filter("engine_role IS NOT NULL")
-    return score.gear_types(none, wanted)
-
-
-def spec_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.report_lines(_facts(spark, sf_dir))
-
-
-REPORT_SQL = f"""WITH {BUILDS_SQL}, {TRUST_SQL.removeprefix('WITH ').rsplit('SELECT build', 1)[0].strip()},
-c AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, build) AS place FROM bu QUALIFY place <= 3),
-j AS (SELECT c.scope, c.place, c.build, role, c.score AS index, CASE WHEN s.score >= 0.8 THEN 'high' WHEN s.score >= 0.5 THEN 'medium' ELSE 'low' END AS trust, CASE role WHEN 'healer' THEN 'Projected Healing Index' WHEN 'tank' THEN 'Projected Survival/Threat Index' WHEN 'support' THEN 'Projected Support Index' ELSE 'Projected Damage Index' END AS label FROM c JOIN s ON s.build = c.build)
-SELECT scope, place, build, '#' || place || ' build ' || build || ' ' || role || ' ' || label || ' ' || printf('%.2f', index) || ' trust ' || trust || ' [' || CASE WHEN build % 5 = 0 THEN 'missing_mechanics:1,' ELSE '' END || 'late,item_data_missing]' AS line FROM j"""
+# Warnings
 
 
 def scope_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = part_nodes(spark, sf_dir).select("cls", F.when(F.col("node") % 5 == 0, "Class").otherwise(F.col("tab")).alias("tab"), F.when(F.col("node") % 7 != 0, F.col("level")).alias("availability"))
-    metadata = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cls"), F.col("p_type").alias("tab")).distinct().unionByName(table(spark, sf_dir, "region").select(F.lit("Brand#1").alias("cls"), F.col("r_name").alias("tab")))
+    nodes = part_nodes(spark, sf_dir).select("cls", F.col("level") % 2, F.when(F.col("node") % 5 == 0, "Class").otherwise(F.col("tab")), F.when(F.col("node") % 7 != 0, F.col("level"))).toDF("cls", "tab_id", "tab", "availability")
+    stated = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cls"), (F.col("p_size") % 3).alias("tab_id"), F.col("p_type").alias("tab")).distinct()
+    metadata = stated.unionByName(table(spark, sf_dir, "region").select(F.lit("Brand#1").alias("cls"), F.lit(0).alias("tab_id"), F.when(F.col("r_regionkey") == 0, "None").otherwise(F.col("r_name")).alias("tab")))
     scopes = nodes.select("cls").distinct().withColumn("level", F.when(F.endswith("cls", F.lit("1")), 60).otherwise(50))
-    return report.warnings(nodes, metadata, scopes, "Class")
+    return report.warnings(nodes, metadata, scopes, ("Class", "None"))
 
 
-WARNINGS_SQL = """SELECT 'Brand#1' AS cls, 'metadata_tab_has_no_nodes' AS warning, r_name AS detail FROM region WHERE r_name NOT IN (SELECT p_type FROM part WHERE p_brand = 'Brand#1')
-UNION ALL SELECT DISTINCT p_brand, 'class_pool_level_gating_incomplete', NULL FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 7 = 0 AND NOT ends_with(p_brand, '1')
-UNION ALL SELECT DISTINCT p_brand, 'metadata_tab_has_no_nodes', p_type FROM part x WHERE NOT EXISTS (SELECT 1 FROM part y WHERE y.p_brand = x.p_brand AND y.p_type = x.p_type AND y.p_partkey % 5 <> 0)"""
+WARNINGS_SQL = """WITH t AS (SELECT DISTINCT p_brand AS cls, p_size % 2 AS i, p_type AS tab FROM part WHERE p_partkey % 5 <> 0), m AS (SELECT DISTINCT p_brand AS cls, p_size % 3 AS i, p_type AS tab FROM part UNION SELECT 'Brand#1', 0, r_name FROM region WHERE r_regionkey <> 0)
+SELECT cls, 'metadata_tab_has_no_nodes' AS warning, tab AS detail FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.cls = m.cls AND t.i = m.i AND t.tab = m.tab)
+UNION ALL SELECT cls, unnest(['class_pool_level_gating_incomplete', 'shared_class_level_gating_incomplete']), NULL FROM (SELECT DISTINCT p_brand AS cls FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 7 = 0 AND NOT ends_with(p_brand, '1'))"""
 
 
 QUERIES = {
@@ -464,7 +445,7 @@ QUERIES = {
     "candidate_validity": (candidate_validity, VALIDITY_SQL),
     "reliability": (reliability, RELIABILITY_SQL),
     "trust_score": (trust_score, TRUST_SQL),
-    "role_inference": (role_inference, _role_sql()),
+    "role_inference": (role_inference, f"WITH {NODES_SQL}, {role_sql()} SELECT * FROM ri"),
     "configured_roles": (configured_roles, CONFIGURED_SQL),
     "gear_types": (gear_types, GEAR_SQL),
     "playstyles": (playstyles, f"WITH {PRINTS_SQL} {PLAYSTYLE_ROWS}"),
@@ -472,6 +453,5 @@ QUERIES = {
     "rotation_signatures": (rotation_signatures, f"WITH {MEMBERS_SQL}, {BUILDS_SQL}, {ACTIONS_SQL}, {SIGNATURE_SQL} SELECT build, array_to_string(core, ',') AS core_actions, array_to_string(mt, ',') AS maintenance_actions, array_to_string(cd, ',') AS cooldown_actions, array_to_string(tl, ',') AS tools_actions, array_to_string(op, ',') AS opener_actions, array_to_string(uptime, ',') AS uptime, resource_loop, burst, reach FROM sh"),
     "signature_distances": (signature_distances, f"WITH {MEMBERS_SQL}, {BUILDS_SQL}, {ACTIONS_SQL}, {SIGNATURE_SQL}, {BEST_SQL} SELECT a.scope, a.build, {SIGNATURE_DISTANCE_SQL} AS distance FROM sh a JOIN be ON be.scope = a.scope JOIN sh b ON b.build = be.build"),
     "diverse_topk": (diverse_topk, DIVERSE_SQL),
-    "spec_report": (spec_report, REPORT_SQL),
     "scope_warnings": (scope_warnings, WARNINGS_SQL),
 }

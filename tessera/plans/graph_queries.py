@@ -335,12 +335,6 @@ def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.class_summary(p)
 
 
-def usage_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").transform(canonical_events)
-    first = events.groupBy("player", "ability", F.col("family").alias("category")).agg(F.min(F.struct("ts", "event_id")).alias("first_use"))
-    return report.sections(first)
-
-
 def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as text log lines, read again by the log scan, and summed per player."""
     e = table(spark, sf_dir, "events").transform(canonical_events)
@@ -461,7 +455,7 @@ UNION ALL SELECT v.build, 'required_node_missing', v.node FROM v WHERE v.node %
         """WITH c AS (SELECT p_brand AS scope, p_partkey AS node, p_size % 3 AS ae, p_size % 2 AS te, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS b FROM part WHERE p_size <= 40 AND p_size % 3 <= 4 AND p_size % 2 <= 3 AND p_partkey % 3 <> 0)
 SELECT scope, node::VARCHAR AS state, 4 - ae AS ae_left, 3 - te AS te_left, ae + te AS spend FROM c WHERE b <= 10 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY ae + te DESC, node::VARCHAR) <= 5""",
     ),
-    "award_schedule": (award_schedule, "WITH l AS (SELECT DISTINCT p_size AS level FROM part), a AS (SELECT level, (level % 2 = 0)::INT AS ae_award, (level % 2 = 1)::INT AS te_award FROM l) SELECT *, sum(ae_award) OVER (ORDER BY level) AS ae_total, sum(te_award) OVER (ORDER BY level) AS te_total FROM a"),
+    "award_schedule": (award_schedule, "WITH l AS (SELECT DISTINCT p_size AS level FROM part WHERE p_size BETWEEN 10 AND 60), a AS (SELECT level, (level % 2 = 0)::INT AS ae_award, (level % 2 = 1)::INT AS te_award FROM l) SELECT *, sum(ae_award) OVER (ORDER BY level) AS ae_total, sum(te_award) OVER (ORDER BY level) AS te_total FROM a"),
     "node_scores": (
         node_scores,
         """WITH t AS (SELECT p_type, (max(p_size) % 7)::DOUBLE AS w FROM part GROUP BY 1),
@@ -483,8 +477,8 @@ SELECT a.build, 'synergy' AS kind, x || '+' || y AS key, 1.5::DOUBLE AS value FR
     ),
     "item_scores": (
         item_scores,
-        """WITH w AS (SELECT p_type, min(p_size)::DOUBLE AS w FROM part GROUP BY 1), s AS (SELECT p_type AS role, p_partkey AS item, round(((p_size * w)::DECIMAL(18,4) + (round(p_retailprice, 2) * 0.5)::DECIMAL(18,4))::DOUBLE, 4) AS score FROM part JOIN w USING (p_type))
-SELECT role, item, score, row_number() OVER (PARTITION BY role ORDER BY score DESC, item) AS place FROM s QUALIFY place <= 10""",
+        """WITH w AS (SELECT p_type, min(p_size)::DOUBLE AS w FROM part GROUP BY 1), s AS (SELECT p_type AS role, p_partkey AS item, round(((p_size * w)::DECIMAL(18,4) + (round(p_retailprice, 2) * 0.5)::DECIMAL(18,4))::DOUBLE, 3) AS score FROM part JOIN w USING (p_type))
+SELECT role, item, score, row_number() OVER (PARTITION BY role ORDER BY score DESC, item DESC) AS place FROM s QUALIFY place <= 10""",
     ),
     "watchlist_hits": (
         watchlist_hits,
@@ -552,12 +546,6 @@ SELECT 0 AS not_finite, 0 AS repeated, count(*) FILTER (s >= 50) AS out_of_range
         class_summary,
         "WITH p AS (SELECT p_brand AS cls, p_type AS tab, sum(p_size)::BIGINT AS i FROM part GROUP BY ALL) SELECT cls, tab AS best_tab, i AS best_index, count(*) OVER (PARTITION BY cls) AS tabs FROM p QUALIFY row_number() OVER (PARTITION BY cls ORDER BY i DESC, tab) = 1",
     ),
-    "usage_sections": (
-        usage_sections,
-        """WITH f AS (SELECT user_id AS player, event_type AS a, CASE WHEN event_type IN ('purchase', 'click') THEN 'Core' WHEN event_type = 'view' THEN 'Setup' ELSE 'Upkeep' END AS section, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1),
-l AS (SELECT player, section, list(a ORDER BY ts, event_id) AS l FROM f GROUP BY ALL)
-SELECT player, section, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS abilities FROM l""",
-    ),
     "log_metrics": (
         log_metrics,
         "SELECT 'p' || user_id AS player, event_type AS ability, count(*) AS hits, sum(floor(value))::DOUBLE AS damage FROM events WHERE event_type IN ('purchase', 'click') GROUP BY ALL",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalogue_queries, coverage_queries, event_queries, graph_queries, source_queries, text_queries
+from tessera.plans import catalogue_queries, coverage_queries, event_queries, graph_queries, report_queries, source_queries, text_queries
 
-_ALL = {**event_queries.QUERIES, **text_queries.QUERIES, **graph_queries.QUERIES, **catalogue_queries.QUERIES, **source_queries.QUERIES, **coverage_queries.QUERIES}
+_ALL = {**event_queries.QUERIES, **text_queries.QUERIES, **graph_queries.QUERIES, **catalogue_queries.QUERIES, **source_queries.QUERIES, **coverage_queries.QUERIES, **report_queries.QUERIES}
 
 
 def queries() -> dict:
