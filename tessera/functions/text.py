@@ -30,7 +30,7 @@ TAG_RULES = {
     "execute": r"\bbelow 20% health|below 35% health|above 80% health|execute\b",
     "proc": r"\bchance to|whenever|after casting|critical strikes?|resets? the cooldown|your next\b",
     "cooldown": r"\bcooldown|recharge|charges?\b",
-    "builder": r"\bgenerates?|restores? .* (?:Energy|Rage|Insanity|Felfury|Static|Heat|mana)|refunds?|grants?",
+    "builder": r"\bgenerates?|restores? .* (Energy|Rage|Insanity|Felfury|Static|Heat|mana)|refunds?|grants?",
     "spender": r"\bcost|spend|spends|consumes?|depletes?|free of cost\b",
     "aura": r"\baura|allies within|party and raid|nearby allies|members\b",
     "resource_management": r"\bEnergy|Rage|Insanity|Felfury|Static|Heat|mana|Fill Level|Advantage\b",
@@ -58,13 +58,13 @@ RESOURCE_RULES = {
 }
 # Mechanic tags. A tag needs every pattern of its list.
 MECHANIC_RULES = {
-    "cooldown": [r"\bcooldown\b"],
-    "crowd_control": [r"\bstun|silence|root|snare|slow\b"],
     "damage": [r"\bdamage\b"],
-    "dot": [r"\bover\s+\d|every\s+\d", r"\bdamage|poison|bleed|burn|disease\b"],
     "heal": [r"\bheal|healing|restore[s]?\s+health\b"],
+    "dot": [r"\bover\s+\d|every\s+\d", r"\bdamage|poison|bleed|burn|disease\b"],
     "hot": [r"\bover\s+\d|every\s+\d", r"\bheal|restore[s]?\s+health\b"],
+    "cooldown": [r"\bcooldown\b"],
     "summon": [r"\bsummon|pet|minion\b"],
+    "crowd_control": [r"\bstun|silence|root|snare|slow\b"],
 }
 # Entities, stats and the words of items.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"))

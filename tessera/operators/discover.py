@@ -53,12 +53,12 @@ def proof_confidence(score: Column, margin: Column, nonzero: Column) -> Column:
 
 
 def hit_rates(cells: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Per column the share of its non-zero values that are known ids."""
+    """Per column the share of its non-zero values that are known ids, and how many different ids these are."""
     known = ids.select(F.col(key).alias("_id")).distinct()
     filled = cells.filter("val <> 0").groupBy("col", "val").agg(F.count("*").alias("_n"))
     flagged = filled.join(known, F.col("val") == F.col("_id"), "left")
     hits = F.sum(F.when(F.col("_id").isNotNull(), F.col("_n")).otherwise(0))
-    return flagged.groupBy("col").agg(hits.alias("hits"), F.sum("_n").alias("nonzero"), F.count("*").alias("distinct_values")).withColumn("rate", F.round(F.col("hits") / F.col("nonzero"), 3))
+    return flagged.groupBy("col").agg(hits.alias("hits"), F.sum("_n").alias("nonzero"), F.count("_id").alias("distinct_values")).withColumn("rate", F.round(F.col("hits") / F.col("nonzero"), 3))
 
 
 def blocks(rates: DataFrame, anchors: list[int], hit: float = HIT, evidence: int = EVIDENCE) -> DataFrame:
@@ -95,6 +95,15 @@ def translated(cells: DataFrame, names: DataFrame, known: DataFrame) -> DataFram
     return scalar_correlation(cells, ids)
 
 
+def mask_domain(cells: DataFrame, known: int) -> DataFrame:
+    """Per column the bits that occur in its masks, and those of them that are not in ``known``, as one sum each.
+
+    The union of all masks is a partial ``bit_or``; no value is listed.
+    """
+    bits = cells.groupBy("col").agg(F.bit_or(F.coalesce(F.col("val"), F.lit(0))).alias("observed_bits"))
+    return bits.withColumn("unknown_bits", F.col("observed_bits").bitwiseAND(F.lit(~known)))
+
+
 def enum_domain(cells: DataFrame, allowed: list[int]) -> DataFrame:
     """Observed symbols per column: how many there are, and how many are unknown."""
     seen = cells.filter("val IS NOT NULL").groupBy("col", "val").agg(F.count("*").alias("_n"))
@@ -109,10 +118,17 @@ def majority_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("values >= 2 AND values = labels").select("col", "values", F.round(ratio(F.col("_t"), F.col("n")), 4).alias("score"), "n")
 
 
-def recon_status(findings: DataFrame) -> DataFrame:
-    """One status from all findings (status column: unique, ambiguous or missing)."""
-    one = findings.agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"), F.count("*").alias("findings"))
-    return one.withColumn("verdict", F.when(F.col("missing") > 0, "blocked").when(F.col("ambiguous") > 0, "review_required").otherwise("verified"))
+def recon_status(findings: DataFrame, reviewed: bool = False, bound: bool = False) -> DataFrame:
+    """One verdict from all findings (status: unique, ambiguous or missing; policy_match: where the policy has it too).
+
+    Whatever is not uniquely found blocks. Verified are findings that a
+    reviewed policy, bound to this very input, names alike; all else is to be reviewed.
+    """
+    one = findings.agg(
+        F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"), F.count_if(~F.coalesce(F.col("policy_match"), F.lit(False))).alias("unlike_policy"), F.count("*").alias("findings")
+    )
+    agreed = F.lit(reviewed and bound) & (F.col("unlike_policy") == 0)
+    return one.withColumn("verdict", F.when(F.col("missing") + F.col("ambiguous") > 0, "blocked").when(agreed, "verified").otherwise("review_required"))
 
 
 def emit_proven(wide: DataFrame, layout: dict[str, tuple[str, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import escaped, item_kind, safe_html
+from tessera.operators.reconcile import identity_gate
 from tessera.operators.relational import first_by
 
 
@@ -88,24 +89,22 @@ def stat_totals(items: DataFrame, by: list[str]) -> DataFrame:
 def three_sources(entries: DataFrame, fetched: DataFrame, client: DataFrame) -> DataFrame:
     """One row per spell of the catalogue with its nodes in order, its fetched and its client row, and whether the fetched one may be used.
 
-    The fetched row is excluded where its name differs from the reference: the
-    client's name, else the first builder's; without a reference it may be
-    used. entries: entry, spell, name; fetched and client: spell, name and others.
+    The gate is that of ``reconcile.identity_gate``: the reference is the
+    client's name, else the builders' if they agree, else the fetched one; a
+    fetched row of another name, or one that can't be told, is excluded, with
+    the reason. entries: entry, spell, name; fetched and client: spell, name and others.
     """
     nodes = entries.filter("spell IS NOT NULL").groupBy("spell").agg(F.array_sort(F.collect_list(F.struct("entry", "name"))).alias("nodes"))
     side = lambda df, name: first_by(df, ["spell"], ["name"]).select("spell", F.struct(*[c for c in df.columns if c != "spell"]).alias(name))
     j = nodes.join(side(fetched, "fetched"), "spell", "left").join(side(client, "client"), "spell", "left")
-    filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
-    builder = F.get(F.filter(F.transform("nodes", lambda n: n["name"]), lambda x: F.coalesce(x, F.lit("")) != ""), 0)
-    reference = F.coalesce(filled(F.col("client.name")), builder)
-    other = reference.isNotNull() & (plain_name(F.col("fetched.name")) != plain_name(reference))
-    return j.withColumns({"reference": reference, "fetched_usable": F.col("fetched").isNotNull() & ~F.coalesce(other, F.lit(False))})
+    named = j.withColumns({"client_name": F.col("client.name"), "builder_names": F.transform("nodes", lambda n: n["name"]), "db_name": F.col("fetched.name")})
+    gated = identity_gate(named, plain_name).drop("client_name", "db_name")
+    excluded = F.when(F.col("fetched").isNotNull(), F.col("excluded_reason"))
+    return gated.withColumns({"excluded_reason": excluded, "fetched_usable": F.col("fetched").isNotNull() & excluded.isNull()})
 
 
 def single_source(rows: DataFrame, field: str) -> DataFrame:
-    """A field that only the fetched side has: its value if that side may be used, with source and reason; no row where it is absent."""
-    value = F.col("fetched")[field]
-    ok = F.col("fetched_usable")
-    return rows.filter(value.isNotNull()).select(
-        "spell", F.when(ok, value).alias("value"), F.when(ok, "fetched").alias("source"), F.when(ok, "only_source").otherwise("no_eligible_candidate").alias("reason"), F.when(~ok, "identity_mismatch").alias("warning")
-    )
+    """A field that only the fetched side has: its value if that side may be used, with source, reason and why not; no row where it is absent."""
+    value, ok = F.col("fetched")[field], F.col("fetched_usable")
+    chosen = F.when(ok, "db_fallback").otherwise("omitted_no_eligible_candidate")
+    return rows.filter(value.isNotNull()).select("spell", F.when(ok, value).alias("value"), F.when(ok, "fetched").alias("source"), chosen.alias("reason"), F.when(~ok, F.col("excluded_reason")).alias("ineligible"))

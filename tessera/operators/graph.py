@@ -21,6 +21,21 @@ def undirected(rows: DataFrame, node: str, linked: str) -> tuple[DataFrame, Data
     return edges, missing
 
 
+def tree_edges(rows: DataFrame, node: str, linked: str, required: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b, kind) edges of a tree, and its warnings.
+
+    Connections stand once, the smaller id first; a requirement goes from what
+    is required to the node that asks for it. An end that is not in the tree
+    gives a warning (code, a, b) in place of an edge.
+    """
+    edges, missing = undirected(rows, node, linked)
+    asks = rows.select(F.explode(required).alias("a"), F.col(node).alias("b")).distinct()
+    nodes = rows.select(F.col(node).alias("a")).distinct()
+    out = edges.withColumn("kind", F.lit("connection")).unionByName(asks.join(nodes, "a", "left_semi").withColumn("kind", F.lit("requirement")))
+    told = missing.select(F.lit("tree_edge_missing_target").alias("code"), F.col("node").alias("a"), F.col("missing").alias("b"))
+    return out, told.unionByName(asks.join(nodes, "a", "left_anti").select(F.lit("tree_requirement_missing_source").alias("code"), "a", "b"))
+
+
 def gate_edges(nodes: DataFrame, node: str, gates: dict[str, str]) -> DataFrame:
     """Edges from synthetic sources ``tab:ID:KIND:N`` for positive thresholds."""
     parts = [nodes.filter(F.col(c) > 0).select(F.concat_ws(":", F.lit("tab"), F.col("tab").cast("string"), F.lit(kind), F.col(c).cast("string")).alias("src"), F.col(node).alias("dst"), F.lit("gate").alias("kind")) for kind, c in gates.items()]
@@ -31,15 +46,16 @@ def gate_edges(nodes: DataFrame, node: str, gates: dict[str, str]) -> DataFrame:
 
 
 def edge_states(edges: DataFrame, selected: DataFrame, available: DataFrame) -> DataFrame:
-    """selected: both ends are; available: one end is and the other can be; gated: one end is; else inactive."""
-    out = edges
-    for end in ("a", "b"):
-        for flags, name in ((selected, "s"), (available, "v")):
-            mark = flags.select(F.col("node").alias(f"_{name}{end}")).distinct()
-            out = out.join(mark, F.col(end) == F.col(f"_{name}{end}"), "left")
-    s_a, s_b, v_a, v_b = (F.col(f"_{x}").isNotNull() for x in ("sa", "sb", "va", "vb"))
-    state = F.when(s_a & s_b, "selected").when((s_a & v_b) | (s_b & v_a), "available").when(s_a | s_b, "gated").otherwise("inactive")
-    return out.select("a", "b", state.alias("state"))
+    """Edges from a to b with their state.
+
+    selected: both ends are; available: a is selected and b can be; gated: b is
+    selected and a isn't; else inactive.
+    """
+    mark = lambda flags, end, name: flags.select(F.col("node").alias(end)).distinct().withColumn(name, F.lit(True))
+    out = edges.join(mark(selected, "a", "_sa"), "a", "left").join(mark(selected, "b", "_sb"), "b", "left").join(mark(available, "b", "_vb"), "b", "left")
+    s_a, s_b, v_b = (F.coalesce(F.col(c), F.lit(False)) for c in ("_sa", "_sb", "_vb"))
+    state = F.when(s_a & s_b, "selected").when(s_a & v_b, "available").when(s_b & ~s_a, "gated").otherwise("inactive")
+    return out.select(*edges.columns, state.alias("state"))
 
 
 def reference_faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,6 +138,61 @@ def in_cycles(edges: DataFrame) -> DataFrame:
         n = now
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both something before and something after them, again and again."""
+    left = materialize(edges.select("src", "dst").distinct(), "trim")
+    n = left.count()
+    while n:
+        before, after = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = materialize(left.join(before, "src", "left_semi").join(after, "dst", "left_semi").select("src", "dst"), "trim")
+        now = left.count()
+        if now == n:
+            break
+        n = now
+    return left
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of directed (src, dst) edges: nodes that a path leads back to, with the smallest node of their component.
+
+    Peeling from both sides leaves the cycles and what lies between them. Then
+    every node takes the smallest node that reaches it as its colour; from each
+    colour's own node its component is found backwards within the colour.
+    Components are taken out and the rest is peeled again, until none is left.
+    Every pass is a join of the edges left; rounds end as each takes nodes away.
+    """
+    found = None
+    left = _trimmed(edges)
+    while not left.isEmpty():
+        ends = left.select(F.col("src").alias("node")).union(left.select("dst"))
+        colours = materialize(ends.distinct().withColumn("colour", F.col("node")), "colours")
+        while True:
+            told = left.join(colours, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("_c"))
+            better = colours.join(told, F.col("node") == F.col("dst"), "left").select("node", "colour", F.least("colour", "_c").alias("_n"))
+            better = materialize(better, "colours")
+            changed = better.filter("_n < colour").limit(1).count()
+            colours = better.select("node", F.col("_n").alias("colour"))
+            if not changed:
+                break
+        source = colours.select(F.col("node").alias("src"), F.col("colour").alias("_s"))
+        target = colours.select(F.col("node").alias("dst"), F.col("colour").alias("_t"))
+        inside = materialize(left.join(source, "src").join(target, "dst").filter("_s = _t").select("src", "dst"), "one-colour")
+        roots = colours.filter("node = colour").select("node")
+        back = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("node")
+        taken = materialize(back.join(colours, "node"), "components")
+        held = materialize(inside.join(taken.select(F.col("node").alias("src")), "src", "left_semi").join(taken.select(F.col("node").alias("dst")), "dst", "left_semi"), "component-edges")
+        several = held.select(F.col("src").alias("node")).distinct()  # a component of one node has no edge, unless to itself
+        members = taken.join(several, "node", "left_semi").select("node", F.col("colour").alias("cycle"))
+        found = members if found is None else found.unionByName(members)
+        out = taken.select("node")
+        rest = left.join(out.withColumnRenamed("node", "src"), "src", "left_anti").join(out.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _trimmed(rest)
+    if found is None:
+        node = edges.select(F.col("src").alias("node"))
+        return node.limit(0).withColumn("cycle", F.col("node"))
+    return found
+
+
 def closure(free: DataFrame, needs: DataFrame, have: DataFrame) -> DataFrame:
     """Free nodes whose prerequisites are all met, transitively, for all builds at once.
 

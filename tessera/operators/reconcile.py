@@ -74,12 +74,12 @@ def audit(settled: DataFrame) -> DataFrame:
 
 
 def record_confidence(settled: DataFrame, core: list[str], timing: list[str], tiers: tuple[str, ...] = TIERS) -> DataFrame:
-    """high: all core fields from the best tier and some timing field known; medium: any core field known; else low."""
-    best, known = F.col("tier") == tiers[0], F.col("tier").isNotNull()
+    """high: all core fields and some timing field from the best tier; medium: any field from it; else low."""
+    best = F.coalesce(F.col("tier") == tiers[0], F.lit(False))
     flags = settled.groupBy("key").agg(
-        (F.count_if(F.col("field").isin(*core) & best) == len(core)).alias("_core"),
-        F.bool_or(F.col("field").isin(*timing) & known).alias("_timing"),
-        F.bool_or(F.col("field").isin(*core) & known).alias("_some"),
+        (F.count_distinct(F.when(F.col("field").isin(*core) & best, F.col("field"))) == len(core)).alias("_core"),
+        F.bool_or(F.col("field").isin(*timing) & best).alias("_timing"),
+        F.bool_or(best).alias("_some"),
         F.collect_set("tier").alias("_tiers"),
     )
     label = F.when(F.col("_core") & F.col("_timing"), "high").when(F.col("_some"), "medium").otherwise("low")
@@ -120,12 +120,15 @@ def merge_rows(rows: DataFrame, key: str, tags: str, text: str, order: str) -> D
 
 
 def attribute(memberships: DataFrame, modes: dict[str, str], own: str) -> DataFrame:
-    """(id, group, kind) to modes per id: which kinds hold it, whether it is our own, and whether only ours."""
-    mode = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in modes.items() for x in kv]), F.col("kind")), F.lit("other"))
+    """(id, group, kind) to modes per id: which kinds hold it, whether it is our own, and whether only one does.
+
+    A kind that ``modes`` does not name claims no mode. An id with some mode is
+    of high confidence, one of unknown kinds only of low.
+    """
+    mode = F.try_element_at(F.create_map(*[F.lit(x) for kv in modes.items() for x in kv]), F.col("kind"))
     sets = memberships.withColumn("mode", mode).groupBy("id").agg(F.sort_array(F.collect_set("mode")).alias("_m"), F.count_distinct("group").alias("groups"))
-    is_own = F.array_contains("_m", own)
     exclusive = F.when(F.size("_m") == 1, F.get("_m", 0))
-    return sets.select("id", F.array_join("_m", ",").alias("modes"), is_own.alias("is_own"), exclusive.alias("exclusive_mode"), "groups", F.when(is_own, "high").otherwise("none").alias("confidence"))
+    return sets.select("id", F.array_join("_m", ",").alias("modes"), F.array_contains("_m", own).alias("is_own"), exclusive.alias("exclusive_mode"), "groups", F.when(F.size("_m") > 0, "high").otherwise("low").alias("confidence"))
 
 
 def attribute_derived(memberships: DataFrame, known: DataFrame) -> DataFrame:

@@ -102,6 +102,26 @@ def histogram_map(rows: DataFrame, key: str, array: str, name: str) -> DataFrame
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_e", "_n")))).alias(name))
 
 
+def class_profile(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each class with its counts of kinds, three histograms and its tabs with their entries.
+
+    entries: cls, tab_id, tab, kind, entry, name, resources, schools, tags;
+    classes: cls. A class without entries has zeros. Histograms are arrays of
+    (value, n), most frequent first, ties by value; tabs stand by id.
+    """
+    own = entries.join(classes.select("cls").distinct(), "cls", "left_semi")
+    counted = own.groupBy("cls").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("ability", "talent")])
+    out = classes.join(counted, "cls", "left").fillna(0, ["ability", "talent"])
+    for column in ("resources", "schools", "tags"):
+        each = own.select("cls", F.explode(column).alias("value")).filter(F.coalesce("value", F.lit("")) != "").groupBy("cls", "value").agg(F.count("*").alias("n"))
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), "value", "n")))
+        out = out.join(each.groupBy("cls").agg(F.transform(listed, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(column)), "cls", "left")
+    row = F.struct("entry", "name", "kind")
+    tabs = own.groupBy("cls", "tab_id", "tab").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("ability", "talent")], F.sort_array(F.collect_list(row)).alias("entries"))
+    nested = tabs.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("tab_id", "tab", "ability_count", "talent_count", "entries"))).alias("tabs"))
+    return out.join(nested, "cls", "left")
+
+
 def sampled_counts(rows: DataFrame, keys: list[str], order: list[str], first: int, sample: str) -> DataFrame:
     """Rows per group with the first few of them as a sample."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -173,7 +193,20 @@ def overlay(layers: DataFrame, keys: list[str], layer: str, rank: Column) -> Dat
     ).select(*keys, "_r.*", "chain")
 
 
+def order_inversions(layers: DataFrame, keys: list[str], declared: Column, loaded: Column) -> DataFrame:
+    """Layers that were loaded after one which outranks them: of the same key, by the declared order.
+
+    The running maximum of the declared rank over the load order says which
+    layer had the last word before; a layer below it is out of order. Layers of
+    one key are few: the archives that supply it.
+    """
+    w = Window.partitionBy(*keys).orderBy("_l", "_d").rowsBetween(Window.unboundedPreceding, -1)
+    placed = layers.withColumns({"_d": declared, "_l": loaded})
+    placed = placed.withColumn("outranked_by", F.max("_d").over(w))
+    return placed.filter(F.col("_d") < F.col("outranked_by")).drop("_d", "_l")
+
+
 def set_relation(observed: Column, expected: Column) -> Column:
     """How an observed id set stands to the expected one."""
     missing, extra = F.size(F.array_except(expected, observed)), F.size(F.array_except(observed, expected))
-    return F.when((missing == 0) & (extra == 0), "exact").when(missing == 0, "extended").when(extra == 0, "ambiguous").otherwise("changed")
+    return F.when((missing == 0) & (extra == 0), "exact").when(missing == 0, "extended").when(extra == 0, "changed").otherwise("ambiguous")

@@ -380,7 +380,7 @@ def rotation_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNATURE_SQL = """sg AS (SELECT bu.build, bu.scope, bu.score, role, coalesce(core, []) AS core, coalesce(mt, []) AS mt, coalesce(cd, []) AS cd, coalesce(tl, []) AS tl, coalesce(mt[1:1], []) || coalesce(cd[1:1], []) || coalesce(core[1:2], []) AS op, coalesce(c, []) AS c
   FROM bu LEFT JOIN (SELECT build, list(key ORDER BY CASE category WHEN 'builder' THEN 1 WHEN 'spender' THEN 2 ELSE 3 END, priority, key) FILTER (category IN ('builder', 'spender', 'filler')) AS core, list(key ORDER BY priority, key) FILTER (category = 'maintenance') AS mt, list(key ORDER BY priority, key) FILTER (category = 'cooldown') AS cd,
-    list(key ORDER BY CASE category WHEN 'defensive' THEN 1 WHEN 'healing' THEN 2 ELSE 3 END, priority, key) FILTER (category IN ('defensive', 'healing', 'support')) AS tl, list(category) AS c FROM ac GROUP BY build) g ON g.build = bu.build),
+    list(key ORDER BY CASE category WHEN 'defensive' THEN 1 WHEN 'healing' THEN 2 WHEN 'support' THEN 3 ELSE 4 END, priority, key) FILTER (category IN ('defensive', 'healing', 'support', 'utility')) AS tl, list(category) AS c FROM ac GROUP BY build) g ON g.build = bu.build),
 sh AS (SELECT *, CASE WHEN list_contains(c, 'builder') AND list_contains(c, 'spender') THEN 'builder_spender' WHEN list_contains(c, 'maintenance') THEN 'maintenance_loop' WHEN list_contains(c, 'cooldown') THEN 'cooldown_driven' WHEN list_contains(c, 'support') THEN 'support_cycle' WHEN list_contains(c, 'defensive') THEN 'defensive_cycle' ELSE 'unknown' END AS resource_loop,
   CASE WHEN len(cd) >= 2 THEN 'long' WHEN len(cd) = 1 THEN 'medium' ELSE 'none' END AS burst, replace(role, '_dps', '') AS reach, list_filter([CASE WHEN list_contains(c, 'maintenance') THEN 'dot' END, CASE WHEN list_contains(c, 'healing') THEN 'hot' END, CASE WHEN list_contains(c, 'support') THEN 'aura' END, CASE WHEN list_contains(c, 'defensive') THEN 'mitigation' END], lambda x: x IS NOT NULL) AS uptime FROM sg)"""
 

@@ -28,7 +28,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS_SQL = """w AS (SELECT l_orderkey, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_linenumber)::BIGINT AS l_linenumber FROM lineitem GROUP BY 1),
 c AS (SELECT l_orderkey AS row_id, unnest([0, 1, 2, 3]) AS col, unnest([l_orderkey, l_partkey, l_suppkey, l_linenumber]) AS val FROM w)"""
 RATES = f"""{CELLS_SQL},
-r AS (SELECT col, count(*) FILTER (val IN (SELECT p_partkey FROM part)) AS hits, count(*) AS nonzero, count(DISTINCT val) AS distinct_values FROM c WHERE val <> 0 GROUP BY col)"""
+r AS (SELECT col, count(*) FILTER (val IN (SELECT p_partkey FROM part)) AS hits, count(*) AS nonzero, count(DISTINCT val) FILTER (val IN (SELECT p_partkey FROM part)) AS distinct_values FROM c WHERE val <> 0 GROUP BY col)"""
 
 
 def fk_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,9 @@ def majority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recon_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.recon_status(anchor_columns(spark, sf_dir).select("status").unionByName(index_columns(spark, sf_dir).select("status")))
+    policy = [0, 1, 2]
+    found = anchor_columns(spark, sf_dir).select("col", "status").unionByName(index_columns(spark, sf_dir).select("col", "status"))
+    return discover.recon_status(found.withColumn("policy_match", F.col("col").isin(*policy)), reviewed=True, bound=True)
 
 
 # Graphs: parts of one order in key order, each linked to the next one.
@@ -90,6 +92,32 @@ def edges_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("a", "b", F.lit("edge").alias("kind")).unionByName(missing.select(F.col("node").alias("a"), F.col("missing").alias("b"), F.lit("missing_endpoint").alias("kind")))
 
 
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with linked and required parts, a ninth of them not in the tree: edges of both kinds with their states, and warnings."""
+    linked = _edges(spark, sf_dir).groupBy("src").agg(F.collect_set("dst").alias("linked"))
+    rows = table(spark, sf_dir, "part").filter("p_partkey % 9 <> 0").join(linked, F.col("p_partkey") == F.col("src"), "left").withColumn("required", F.when(F.col("p_partkey") % 4 == 0, F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 2)))
+    edges, told = graph.tree_edges(rows, "p_partkey", "linked", "required")
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_size")
+    states = graph.edge_states(edges, nodes.filter("p_size < 15"), nodes.filter("p_size BETWEEN 15 AND 30"))
+    return states.unionByName(told.select("a", "b", F.lit("warning").alias("kind"), F.col("code").alias("state")))
+
+
+def mask_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bits of the wide table's columns, as masks, and those that a policy of the low twelve does not know."""
+    return discover.mask_domain(_cells(spark, sf_dir), (1 << 12) - 1)
+
+
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of an order as a chain; in every tenth order the second last leads back to the first, so the last is behind the cycle."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
+    rows = lines.withColumns({"after": F.lead("l_partkey").over(w), "second": F.lead("l_partkey", 2).over(w), "first": F.first("l_partkey").over(w)})
+    node = lambda part: F.concat_ws(":", F.col("l_orderkey").cast("string"), part.cast("string"))
+    chain = rows.filter("after IS NOT NULL").select(node(F.col("l_partkey")).alias("src"), node(F.col("after")).alias("dst"))
+    turn = rows.filter("after IS NOT NULL AND second IS NULL AND l_orderkey % 10 = 0 AND first <> l_partkey").select(node(F.col("l_partkey")).alias("src"), node(F.col("first")).alias("dst"))
+    return graph.on_cycles(chain.unionByName(turn)).select("node")
+
+
 def edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_size")
     return graph.edge_states(_edges(spark, sf_dir).toDF("a", "b"), nodes.filter("p_size < 15"), nodes.filter("p_size BETWEEN 15 AND 30"))
@@ -411,15 +439,24 @@ SELECT 'supplier' AS field, col, round(score, 4) AS score, round(score - next, 4
     "anchor_columns": (anchor_columns, f"WITH {CELLS_SQL} SELECT 'part' AS name, c.col, count(*) AS anchors, 'unique' AS status FROM c JOIN w ON row_id = w.l_orderkey GROUP BY c.col HAVING bool_and(val = l_partkey)"),
     "enum_domain": (enum_domain, f"WITH {CELLS_SQL} SELECT col, count(DISTINCT val) AS symbols, count(DISTINCT val) FILTER (val NOT BETWEEN 1 AND 5) AS unknown_symbols, count(*) FILTER (val NOT BETWEEN 1 AND 5) AS unknown_rows FROM c GROUP BY col"),
     "majority_labels": (majority_labels, f"WITH {CELLS_SQL} SELECT col, count(DISTINCT val) AS \"values\", 1.0::DOUBLE AS score, count(*) AS n FROM c WHERE col = 3 GROUP BY col"),
-    "recon_status": (recon_status, f"WITH {RATES} SELECT 0 AS missing, CASE WHEN n > 1 THEN n ELSE 0 END AS ambiguous, n + 1 AS findings, CASE WHEN n > 1 THEN 'review_required' ELSE 'verified' END AS verdict FROM (SELECT count(*) AS n FROM r WHERE hits / nonzero >= 0.99 AND distinct_values >= 2)"),
+    "recon_status": (recon_status, f"WITH {RATES} SELECT 0 AS missing, CASE WHEN n > 1 THEN n ELSE 0 END AS ambiguous, u AS unlike_policy, n + 1 AS findings, CASE WHEN n > 1 THEN 'blocked' WHEN u = 0 THEN 'verified' ELSE 'review_required' END AS verdict FROM (SELECT count(*) AS n, count(*) FILTER (col > 2) AS u FROM r WHERE hits / nonzero >= 0.99 AND distinct_values >= 2)"),
     "edges_dedupe": (
         edges_dedupe,
         f"""WITH {EDGES_SQL}, k AS (SELECT * FROM e WHERE src % 9 <> 0 AND src <> dst)
 SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, 'edge' AS kind FROM k WHERE dst % 9 <> 0 UNION ALL SELECT DISTINCT src, dst, 'missing_endpoint' FROM k WHERE dst % 9 = 0""",
     ),
+    "tree_edges": (
+        tree_edges,
+        f"""WITH {EDGES_SQL}, p AS (SELECT p_partkey AS k, p_size AS z FROM part WHERE p_partkey % 9 <> 0), l AS (SELECT src AS x, dst AS y FROM e WHERE src % 9 <> 0 AND src <> dst), q AS (SELECT unnest([k + 1, k + 2]) AS a, k AS b FROM p WHERE k % 4 = 0),
+w AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, 'connection' AS kind FROM l WHERE y IN (SELECT k FROM p) UNION ALL SELECT a, b, 'requirement' FROM q WHERE a IN (SELECT k FROM p))
+SELECT w.*, CASE WHEN x.z < 15 AND y.z < 15 THEN 'selected' WHEN x.z < 15 AND y.z BETWEEN 15 AND 30 THEN 'available' WHEN y.z < 15 THEN 'gated' ELSE 'inactive' END AS state FROM w JOIN p x ON x.k = a JOIN p y ON y.k = b
+UNION ALL SELECT DISTINCT x, y, 'warning', 'tree_edge_missing_target' FROM l WHERE y NOT IN (SELECT k FROM p) UNION ALL SELECT a, b, 'warning', 'tree_requirement_missing_source' FROM q WHERE a NOT IN (SELECT k FROM p)""",
+    ),
+    "mask_domain": (mask_domain, f"WITH {CELLS_SQL} SELECT col, bit_or(coalesce(val, 0)) AS observed_bits, bit_or(coalesce(val, 0)) & ~4095 AS unknown_bits FROM c GROUP BY col"),
+    "cycle_members": (cycle_members, "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY p) AS i, count(*) OVER (PARTITION BY o) AS m FROM l) SELECT o || ':' || p AS node FROM n WHERE m > 2 AND i < m"),
     "edge_state": (
         edge_state,
-        f"""WITH {EDGES_SQL} SELECT src AS a, dst AS b, CASE WHEN x.p_size < 15 AND y.p_size < 15 THEN 'selected' WHEN (x.p_size < 15 AND y.p_size BETWEEN 15 AND 30) OR (y.p_size < 15 AND x.p_size BETWEEN 15 AND 30) THEN 'available' WHEN x.p_size < 15 OR y.p_size < 15 THEN 'gated' ELSE 'inactive' END AS state
+        f"""WITH {EDGES_SQL} SELECT src AS a, dst AS b, CASE WHEN x.p_size < 15 AND y.p_size < 15 THEN 'selected' WHEN x.p_size < 15 AND y.p_size BETWEEN 15 AND 30 THEN 'available' WHEN y.p_size < 15 THEN 'gated' ELSE 'inactive' END AS state
 FROM e JOIN part x ON x.p_partkey = src JOIN part y ON y.p_partkey = dst""",
     ),
     "dangling": (dangling, f"WITH {EDGES_SQL} SELECT src, dst, 'dangling_reference' AS fault FROM e WHERE dst % 9 = 0 UNION ALL SELECT src, dst, 'self_reference' FROM e WHERE src = dst"),

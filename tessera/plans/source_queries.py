@@ -171,11 +171,16 @@ def enrichment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def three_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of the fetched side, gated by the client's or the builder's name."""
     client = table(spark, sf_dir, "supplier").filter("s_suppkey % 6 = 0").select(F.col("s_suppkey").alias("spell"), F.when(F.col("s_suppkey") % 4 == 0, "Other").otherwise("x").alias("name"))
-    return enrichment.single_source(enrichment.three_sources(_entries(spark, sf_dir), _fetched(spark, sf_dir), client), "cooldown_ms")
+    entries = _entries(spark, sf_dir).withColumn("name", F.when(F.col("entry") % 120 == 7, "Another").otherwise(F.col("name")))
+    fetched = _fetched(spark, sf_dir).withColumn("name", F.when(F.col("spell") % 20 == 9, "").otherwise(F.col("name")))
+    return enrichment.single_source(enrichment.three_sources(entries, fetched, client), "cooldown_ms")
 
 
-THREE_SQL = """WITH g AS (SELECT s_suppkey AS spell, CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey % 4 = 0 ELSE s_suppkey % 4 <> 0 END AS ok FROM supplier WHERE s_suppkey IN (SELECT p_partkey % 40 FROM part))
-SELECT spell, CASE WHEN ok THEN spell * 10 END AS value, CASE WHEN ok THEN 'fetched' END AS source, CASE WHEN ok THEN 'only_source' ELSE 'no_eligible_candidate' END AS reason, CASE WHEN NOT ok THEN 'identity_mismatch' END AS warning FROM g"""
+THREE_SQL = """WITH b AS (SELECT p_partkey % 40 AS spell, count(DISTINCT CASE WHEN p_partkey % 120 = 7 THEN 'another' ELSE 'spell' END) = 1 AS agree FROM part GROUP BY 1),
+f AS (SELECT s_suppkey AS spell, CASE WHEN s_suppkey % 20 = 9 THEN '' WHEN s_suppkey % 4 = 0 THEN 'other' ELSE 'spell ' || s_suppkey END AS name FROM supplier),
+g AS (SELECT f.spell, name, CASE WHEN f.spell % 6 = 0 THEN CASE WHEN f.spell % 4 = 0 THEN 'other' ELSE 'x' END WHEN agree THEN 'spell ' || f.spell ELSE name END AS reference FROM f JOIN b ON b.spell = f.spell),
+e AS (SELECT *, CASE WHEN name = '' THEN 'db_identity_unverifiable' WHEN name <> reference THEN 'db_identity_mismatch' END AS ineligible FROM g)
+SELECT spell, CASE WHEN ineligible IS NULL THEN spell * 10 END AS value, CASE WHEN ineligible IS NULL THEN 'fetched' END AS source, CASE WHEN ineligible IS NULL THEN 'db_fallback' ELSE 'omitted_no_eligible_candidate' END AS reason, ineligible FROM e"""
 
 
 def tooltips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,15 +223,20 @@ def catalogue_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = part_nodes(spark, sf_dir), F.col("node")
     number_or = lambda bad, c: F.when(~bad, F.lit(1)).cast("long").alias(c)
     entries = n.select(
-        F.lit("v1").alias("schema_version"), F.when(k % 20 == 0, "").otherwise(F.col("cls")).alias("class_name"), F.col("tab").alias("tab_name"), F.when(k % 11 == 0, "unknown").when(k % 13 == 0, "odd").otherwise("talent").alias("essence_kind"), "name", number_or(k % 17 == 0, "class_id"), number_or(F.lit(False), "tab_id"),
+        F.when(k % 31 == 0, "v0").when(k % 37 != 0, "v1").alias("schema_version"), F.when(k % 20 == 0, "").otherwise(F.col("cls")).alias("class_name"), F.col("tab").alias("tab_name"), F.when(k % 11 == 0, "unknown").when(k % 13 == 0, "odd").otherwise("talent").alias("essence_kind"), "name", number_or(k % 17 == 0, "class_id"), number_or(F.lit(False), "tab_id"),
         F.col("ae").alias("ae_cost"), F.when(k % 19 != 0, F.col("te")).alias("te_cost"), F.lit(0).alias("required_tab_ae"), F.lit(0).alias("required_tab_te"), F.when(k % 23 == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(k)).alias("required_ids"), F.array(k).alias("connected_node_ids"), "tags", F.col("schools").alias("damage_schools"), "resources",
         F.lit("s").alias("field_sources"), F.lit("i").alias("inferred"), F.lit("r").alias("raw"), F.when(k % 29 == 0, "elsewhere").when(k % 2 == 0, "trainer").alias("source_category"), F.when(k % 3 == 0, F.struct(F.when(k % 2 == 0, F.lit(1)).alias("effective_required_level"), F.lit("high").alias("level_confidence"))).alias("availability"),
     )
     classes = n.select(F.col("cls").alias("class_name")).distinct().unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("class_name"))).select(F.lit("v1").alias("schema_version"), "class_name", F.lit(1).alias("class_id"), F.array(F.lit(1)).alias("tabs"))
-    return rules.catalogue_faults(entries, classes)
+    return rules.catalogue_faults(entries, classes, "v1")
 
 
-FAULTS_SQL = """SELECT * FROM (SELECT 'missing_class' AS code, count(*) FILTER (p_partkey % 20 = 0) AS n FROM part UNION ALL SELECT 'unknown_essence_kind', count(*) FILTER (p_partkey % 11 = 0) FROM part UNION ALL SELECT 'invalid_essence_kind', count(*) FILTER (p_partkey % 13 = 0 AND p_partkey % 11 <> 0) FROM part
+def catalogue_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the catalogue may be published, and why not."""
+    return rules.catalogue_verdict(catalogue_faults(spark, sf_dir))
+
+
+FAULTS_SQL = """SELECT * FROM (SELECT 'missing_schema_version' AS code, count(*) FILTER (p_partkey % 31 = 0 OR p_partkey % 37 = 0) AS n FROM part UNION ALL SELECT 'missing_class', count(*) FILTER (p_partkey % 20 = 0) FROM part UNION ALL SELECT 'unknown_essence_kind', count(*) FILTER (p_partkey % 11 = 0) FROM part UNION ALL SELECT 'invalid_essence_kind', count(*) FILTER (p_partkey % 13 = 0 AND p_partkey % 11 <> 0) FROM part
 UNION ALL SELECT 'class_id_not_numeric', count(*) FILTER (p_partkey % 17 = 0) FROM part UNION ALL SELECT 'te_cost_not_numeric', count(*) FILTER (p_partkey % 19 = 0) FROM part UNION ALL SELECT 'required_ids_not_numbers', count(*) FILTER (p_partkey % 23 = 0) FROM part UNION ALL SELECT 'invalid_source_category', count(*) FILTER (p_partkey % 29 = 0) FROM part
 UNION ALL SELECT 'level_not_numeric', count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 2 = 1) FROM part UNION ALL SELECT 'class_without_entries', (SELECT count(*) FROM region) + (SELECT count(DISTINCT p_brand) FROM part) - (SELECT count(DISTINCT p_brand) FROM part WHERE p_partkey % 20 <> 0)) WHERE n > 0"""
 
@@ -270,6 +280,7 @@ QUERIES = {
     "item_rows": (item_rows, ITEMS_SQL),
     "stat_totals": (stat_totals, STATS_SQL),
     "catalogue_faults": (catalogue_faults, FAULTS_SQL),
+    "catalogue_verdict": (catalogue_verdict, f"SELECT CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS verdict, count(*) AS kinds, sum(n)::BIGINT AS faults, string_agg(code, ',' ORDER BY code) AS codes FROM ({FAULTS_SQL})"),
     "rule_faults": (rule_faults, RULE_FAULTS_SQL),
     "numbers": (numbers, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'a,b' END AS keys, o_orderkey::DOUBLE AS b, greatest(o_orderkey, 1000 - o_orderkey) AS x, 5.0::DOUBLE AS five FROM orders"),
 }

@@ -108,8 +108,22 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = rel.histogram_map(table(spark, sf_dir, "part").withColumn("w", F.split("p_name", " ")), "p_brand", "w", "h")
-    return words.select("p_brand", F.array_join(F.transform(F.array_sort(F.map_entries("h")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("words"))
+    """Brands as classes: kinds, three histograms, and tabs with their entries."""
+    k = F.col("p_partkey")
+    entries = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("cls"), (F.col("p_size") % 3).alias("tab_id"), F.col("p_type").alias("tab"), F.when(k % 5 == 0, "unknown").when(k % 2 == 0, "ability").otherwise("talent").alias("kind"), k.alias("entry"), F.col("p_name").alias("name"),
+        F.array(F.when(k % 3 == 0, "mana").when(k % 3 == 1, "rage")).alias("resources"), F.array(F.lower("p_type")).alias("schools"), F.split("p_name", " ").alias("tags"),
+    )
+    classes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cls")).distinct().unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("cls")))
+    lists = [F.coalesce(F.array_join(F.transform(c, lambda e: F.concat_ws("=", e["value"], e["n"].cast("string"))), ","), F.lit("")).alias(c) for c in ("resources", "schools", "tags")]
+    line = F.transform("tabs", lambda t: F.concat_ws(":", t["tab_id"].cast("string"), t["tab"], t["ability_count"].cast("string"), t["talent_count"].cast("string"), F.array_join(F.transform(t["entries"], lambda e: e["entry"].cast("string")), "+")))
+    return rel.class_profile(entries, classes).select("cls", "ability", "talent", *lists, F.coalesce(F.array_join(line, ","), F.lit("")).alias("tabs"))
+
+
+def layer_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a part as layers, loaded in the order of their orders, declared by their line numbers: which came too late."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.max("l_linenumber").alias("rank"))
+    return rel.order_inversions(line, ["l_partkey"], F.col("rank"), F.col("l_orderkey"))
 
 
 def kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +246,16 @@ def field_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.readiness(rel.crosswalk(*_rebuilt(spark, sf_dir), "o_orderkey"), 0, F.col("matched"))
+    """Parts as the nodes of two catalogues that differ in every way there is."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    cost = lambda bad: F.when(bad, F.lit(99)).otherwise(F.col("p_size")).cast("long")
+    label = F.when(k % 89 == 0, "Other").when(k % 5 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    client = p.filter("p_partkey % 17 <> 0").select(k.alias("node"), (k * 10).alias("spell"), F.col("p_brand").alias("cls"), F.when(k % 3 == 0, F.array(k + 1, k + 2)).alias("connected"), F.array(k - 1).alias("required"), F.create_map(F.lit("ae"), F.col("p_size").cast("long"), F.lit("extra"), F.lit(1).cast("long")).alias("values"))
+    builder = p.filter("p_partkey % 19 <> 0").select(k.alias("node"), (k * 10 + (k % 97 == 0).cast("int")).alias("spell"), label.alias("cls"), F.when(k % 101 == 0, F.array(k)).otherwise(F.array(k + 2, k + 1, k + 1)).alias("connected"), F.array(k - 1).alias("required"), F.create_map(F.lit("ae"), cost(k % 23 == 0)).alias("values"))
+    verdicts = p.select(k.alias("node"), F.when(k % 3 == 0, "verified_client_current").when(k % 3 == 1, "odd").otherwise("extraction_defect").alias("classification"))
+    n = F.col("n_nationkey")
+    fields = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("field"), F.when(n < 2, "adjacency").when(n < 20, "legality").otherwise("layout").alias("part"), F.when(n % 7 == 3, "medium").when(n % 7 != 5, "high").alias("confidence"))
+    return diff.readiness(client, builder, verdicts, fields, tx.canonical_label, ("playable_class_count",), 100)
 
 
 def set_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,14 +267,16 @@ def set_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("left"), F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("right"))
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k.alias("left_id"), F.when(k % 7 == 0, k + 1).otherwise(k).alias("right_id"), F.col("p_name").alias("left"), F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("right"))
     return diff.identity_differences(p, tx.canonical_label)
 
 
 def adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     left = orders.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-    return diff.adjudicate(left, orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_orderpriority").alias("classification")), "o_orderkey")
+    said = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority")).when(F.col("o_orderkey") % 5 < 3, "verified_client_current").otherwise("extraction_defect")
+    return diff.adjudicate(left, orders.filter("o_orderkey % 3 = 0").select("o_orderkey", said.alias("classification")), "o_orderkey")
 
 
 def tab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +386,16 @@ SELECT p_partkey, e AS effective_required_level, CASE WHEN s > 0 THEN 'builder_r
 FROM (SELECT DISTINCT l_partkey, l_linenumber, l_suppkey FROM lineitem)""",
     ),
     "tag_histogram": (tag_histogram, "SELECT p_brand, CASE WHEN p_size > 3 THEN p_type ELSE 'unknown' END AS p_type, count(*) AS n FROM part GROUP BY ALL"),
-    "class_profile": (class_profile, "SELECT p_brand, string_agg(w || '=' || n, ',' ORDER BY w) AS words FROM (SELECT p_brand, w, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL) GROUP BY p_brand"),
+    "class_profile": (
+        class_profile,
+        """WITH e AS (SELECT p_brand AS cls, p_size % 3 AS tab_id, p_type AS tab, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 2 = 0 THEN 'ability' ELSE 'talent' END AS kind, p_partkey AS entry, CASE p_partkey % 3 WHEN 0 THEN 'mana' WHEN 1 THEN 'rage' END AS res, lower(p_type) AS school, string_split(p_name, ' ') AS tags FROM part),
+c AS (SELECT DISTINCT cls FROM e UNION ALL SELECT r_name FROM region), k AS (SELECT cls, count(*) FILTER (kind = 'ability') AS ability, count(*) FILTER (kind = 'talent') AS talent FROM e GROUP BY cls),
+r AS (SELECT cls, string_agg(v || '=' || n, ',' ORDER BY n DESC, v) AS s FROM (SELECT cls, res AS v, count(*) AS n FROM e WHERE res IS NOT NULL GROUP BY ALL) GROUP BY cls), s AS (SELECT cls, string_agg(v || '=' || n, ',' ORDER BY n DESC, v) AS s FROM (SELECT cls, school AS v, count(*) AS n FROM e GROUP BY ALL) GROUP BY cls),
+g AS (SELECT cls, string_agg(v || '=' || n, ',' ORDER BY n DESC, v) AS s FROM (SELECT cls, v, count(*) AS n FROM (SELECT cls, unnest(tags) AS v FROM e) GROUP BY ALL) GROUP BY cls),
+t AS (SELECT cls, string_agg(concat_ws(':', tab_id, tab, a, b, l), ',' ORDER BY tab_id, tab) AS s FROM (SELECT cls, tab_id, tab, count(*) FILTER (kind = 'ability') AS a, count(*) FILTER (kind = 'talent') AS b, string_agg(entry::VARCHAR, '+' ORDER BY entry) AS l FROM e GROUP BY ALL) GROUP BY cls)
+SELECT c.cls, coalesce(ability, 0) AS ability, coalesce(talent, 0) AS talent, coalesce(r.s, '') AS resources, coalesce(s.s, '') AS schools, coalesce(g.s, '') AS tags, coalesce(t.s, '') AS tabs FROM c LEFT JOIN k ON k.cls = c.cls LEFT JOIN r ON r.cls = c.cls LEFT JOIN s ON s.cls = c.cls LEFT JOIN g ON g.cls = c.cls LEFT JOIN t ON t.cls = c.cls""",
+    ),
+    "layer_inversions": (layer_inversions, "WITH l AS (SELECT l_partkey, l_orderkey, max(l_linenumber) AS rank FROM lineitem GROUP BY ALL), w AS (SELECT *, max(rank) OVER (PARTITION BY l_partkey ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS outranked_by FROM l) SELECT * FROM w WHERE rank < outranked_by"),
     "kind_rollup": (kind_rollup, "SELECT p_brand, p_type, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY ROLLUP (p_brand, p_type)"),
     "sample_counts": (sample_counts, "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_partkey))[1:5], ',') AS samples FROM part GROUP BY p_brand"),
     "topk_items": (topk_items, "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place, p_partkey, CASE WHEN place <= 3 THEN 'primary' WHEN place <= 7 THEN 'secondary' ELSE 'situational' END AS bucket FROM part QUALIFY place <= 12"),
@@ -385,7 +419,7 @@ SELECT l_partkey, arg_max(v, layer) AS v, max(layer) AS layer, string_agg(layer,
     "claim_audit": (claim_audit, f"WITH {CLAIMS} SELECT count(*) FILTER (had_conflict) AS conflicts, count(*) FILTER (tier IS NULL) AS omitted, sum(candidates)::BIGINT AS candidates, count(*) AS fields FROM w"),
     "claim_confidence": (
         claim_confidence,
-        f"""WITH {CLAIMS} SELECT key, CASE WHEN bool_or(field = 'discount' AND coalesce(tier, '') = 'authoritative_client') AND bool_or(field = 'tax' AND tier IS NOT NULL) THEN 'high' WHEN bool_or(field = 'discount' AND tier IS NOT NULL) THEN 'medium' ELSE 'low' END AS confidence,
+        f"""WITH {CLAIMS} SELECT key, CASE WHEN bool_or(field = 'discount' AND coalesce(tier, '') = 'authoritative_client') AND bool_or(field = 'tax' AND coalesce(tier, '') = 'authoritative_client') THEN 'high' WHEN bool_or(coalesce(tier, '') = 'authoritative_client') THEN 'medium' ELSE 'low' END AS confidence,
        array_to_string(list_filter(['authoritative_client', 'verified_builder', 'external_db', 'inferred'], lambda t: list_contains(list(tier), t)), '>') AS provenance FROM w GROUP BY key""",
     ),
     "identity_gate": (
@@ -398,9 +432,9 @@ SELECT p_size, p_type, reference, CASE WHEN {SLUG.format("db")} <> {SLUG.format(
     "resolved_kinds": (resolved_kinds, "SELECT p_brand, CASE WHEN bool_or(p_type = 'PROMO') THEN 'PROMO' WHEN bool_or(p_type = 'SMALL') THEN 'SMALL' ELSE 'LARGE' END AS p_type, count(DISTINCT p_type) > 1 AS disagreed FROM part WHERE p_type IN ('PROMO', 'SMALL', 'LARGE') GROUP BY p_brand"),
     "attribution": (
         attribution,
-        """WITH m AS (SELECT l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'own' WHEN 'R' THEN 'shared' ELSE 'other' END AS mode, l_suppkey FROM lineitem),
-a AS (SELECT id, list_sort(list_distinct(list(mode))) AS m, count(DISTINCT l_suppkey) AS groups FROM m GROUP BY id)
-SELECT id, array_to_string(m, ',') AS modes, list_contains(m, 'own') AS is_own, CASE WHEN len(m) = 1 THEN m[1] END AS exclusive_mode, groups, CASE WHEN list_contains(m, 'own') THEN 'high' ELSE 'none' END AS confidence FROM a""",
+        """WITH m AS (SELECT l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'own' WHEN 'R' THEN 'shared' END AS mode, l_suppkey FROM lineitem),
+a AS (SELECT id, coalesce(list_sort(list(DISTINCT mode) FILTER (mode IS NOT NULL)), []) AS m, count(DISTINCT l_suppkey) AS groups FROM m GROUP BY id)
+SELECT id, array_to_string(m, ',') AS modes, list_contains(m, 'own') AS is_own, CASE WHEN len(m) = 1 THEN m[1] END AS exclusive_mode, groups, CASE WHEN len(m) > 0 THEN 'high' ELSE 'low' END AS confidence FROM a""",
     ),
     "attribution_derived": (
         attribution_derived,
@@ -408,25 +442,37 @@ SELECT id, array_to_string(m, ',') AS modes, list_contains(m, 'own') AS is_own,
     ),
     "attribution_fill": (
         attribution_fill,
-        """WITH m AS (SELECT l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'own' WHEN 'R' THEN 'shared' ELSE 'other' END AS mode FROM lineitem WHERE l_partkey % 2 = 0),
-a AS (SELECT id, list_sort(list_distinct(list(mode))) AS m FROM m GROUP BY id)
+        """WITH m AS (SELECT l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'own' WHEN 'R' THEN 'shared' END AS mode FROM lineitem WHERE l_partkey % 2 = 0),
+a AS (SELECT id, coalesce(list_sort(list(DISTINCT mode) FILTER (mode IS NOT NULL)), []) AS m FROM m GROUP BY id)
 SELECT p_partkey, CASE WHEN p_partkey BETWEEN 0 AND 99 THEN 'low' WHEN p_partkey BETWEEN 100 AND 999 THEN 'middle' ELSE 'unknown' END AS band, coalesce(array_to_string(m, ','), '') AS modes, coalesce(list_contains(m, 'own'), false) AS is_own,
-       CASE WHEN list_contains(m, 'own') THEN 'high' ELSE 'none' END AS confidence FROM part LEFT JOIN a ON p_partkey = id""",
+       CASE WHEN id IS NULL THEN 'none' WHEN len(m) > 0 THEN 'high' ELSE 'low' END AS confidence FROM part LEFT JOIN a ON p_partkey = id""",
     ),
     "catalogue_parity": (catalogue_parity, f"{COVER} SELECT *, matched / (matched + right_only)::DOUBLE AS recall, matched / (matched + left_only)::DOUBLE AS precision FROM x"),
     "field_parity": (field_parity, f"WITH {REBUILT} SELECT * FROM (SELECT o_orderkey, 'a' AS field, l.a AS \"left\", r.a AS \"right\" FROM l JOIN r USING (o_orderkey) UNION ALL SELECT o_orderkey, 'b', l.b, r.b FROM l JOIN r USING (o_orderkey)) WHERE \"left\" <> \"right\""),
-    "readiness": (readiness, f"{COVER} SELECT right_only = 0 AS complete, true AS identities_agree, matched = 0 AS fields_agree, concat_ws(',', CASE WHEN right_only <> 0 THEN 'complete' END, CASE WHEN matched <> 0 THEN 'fields_agree' END) AS blockers FROM x"),
+    "readiness": (
+        readiness,
+        """WITH x AS (SELECT p_partkey AS k, p_partkey % 17 <> 0 AS c, p_partkey % 19 <> 0 AS b FROM part),
+n AS (SELECT count(*) FILTER (c) AS client_nodes, count(*) FILTER (b) AS builder_records, count(*) FILTER (c AND b) AS matched, count(*) FILTER (b AND NOT c) AS builder_only, count(*) FILTER (c AND NOT b AND k % 3 = 0) AS verified_client_current, 0::BIGINT AS representation_difference,
+  count(*) FILTER (c AND NOT b AND k % 3 = 2) AS extraction_defect, count(*) FILTER (c AND NOT b AND k % 3 = 1) AS unresolved, count(*) FILTER (c AND b AND k % 97 <> 0 AND k % 89 <> 0 AND k % 5 = 0) AS representation_pairs, count(*) FILTER (c AND b AND (k % 97 = 0 OR k % 89 = 0)) AS identity_mismatches,
+  count(*) FILTER (c AND b AND k % 3 = 0 AND k % 101 = 0) AS adjacency_mismatches, count(*) FILTER (c AND b AND k % 23 = 0) AS legality_differences FROM x),
+f AS (SELECT lower(n_name) AS field, n_nationkey AS i, CASE n_nationkey % 7 WHEN 3 THEN 'low' WHEN 5 THEN 'lost' ELSE 'ready' END AS s FROM nation),
+l AS (SELECT string_agg(field || CASE WHEN s = 'ready' THEN ':ready' ELSE ':unresolved' END, ',' ORDER BY field || CASE WHEN s = 'ready' THEN ':ready' ELSE ':unresolved' END) FILTER (i BETWEEN 2 AND 19) AS legality, string_agg(field || CASE WHEN s = 'ready' THEN ':ready' ELSE ':unresolved' END, ',' ORDER BY field || CASE WHEN s = 'ready' THEN ':ready' ELSE ':unresolved' END) FILTER (i >= 20) AS layout,
+  string_agg('low_confidence:' || field, ',' ORDER BY field) FILTER (s = 'low') AS low, string_agg('unresolved_layout_column:' || field, ',' ORDER BY field) FILTER (s = 'lost') AS lost FROM f)
+SELECT n.*, legality, layout, false AS attribution_ready, false AS ownership_ready, adjacency_mismatches = 0 AS adjacency_ready, false AS leveling_progression_ready, false AS full_retirement_ready,
+  concat_ws(',', 'playable_class_count', CASE WHEN builder_records <> 100 THEN 'builder_record_count' END, CASE WHEN builder_only > 0 THEN 'builder_only_node_instances' END, CASE WHEN unresolved > 0 THEN 'client_only_unresolved' END, CASE WHEN extraction_defect > 0 THEN 'client_only_extraction_defect' END,
+    CASE WHEN identity_mismatches > 0 THEN 'identity_mismatch' END, CASE WHEN adjacency_mismatches > 0 THEN 'adjacency_mismatch' END, low, lost) AS blockers FROM n CROSS JOIN l""",
+    ),
     "set_parity": (
         set_parity,
         """WITH s AS (SELECT l_orderkey AS key, coalesce(list_sort(list(DISTINCT l_linenumber) FILTER (l_returnflag = 'A')), []) AS a, coalesce(list_sort(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'F')), []) AS b FROM lineitem GROUP BY 1)
-SELECT key, array_to_string(a, ',') AS "left", array_to_string(b, ',') AS "right", CASE WHEN list_has_all(a, b) THEN 'extended' WHEN list_has_all(b, a) THEN 'ambiguous' ELSE 'changed' END AS relation FROM s WHERE a <> b""",
+SELECT key, array_to_string(a, ',') AS "left", array_to_string(b, ',') AS "right", CASE WHEN list_has_all(a, b) THEN 'extended' WHEN list_has_all(b, a) THEN 'changed' ELSE 'ambiguous' END AS relation FROM s WHERE a <> b""",
     ),
     "label_parity": (
         label_parity,
-        """WITH p AS (SELECT p_name AS l, CASE WHEN p_size % 2 = 0 THEN upper(p_name) WHEN p_size % 3 = 0 THEN p_brand ELSE p_name END AS r FROM part)
-SELECT l AS "left", r AS "right", CASE WHEN lower(replace(l, ' ', '')) = lower(replace(r, ' ', '')) THEN 'representation' ELSE 'hard' END AS kind, count(*) AS n FROM p WHERE l <> r GROUP BY ALL""",
+        """WITH p AS (SELECT p_partkey % 7 = 0 AS moved, p_name AS l, CASE WHEN p_size % 2 = 0 THEN upper(p_name) WHEN p_size % 3 = 0 THEN p_brand ELSE p_name END AS r FROM part)
+SELECT l AS "left", r AS "right", CASE WHEN NOT moved AND lower(replace(l, ' ', '')) = lower(replace(r, ' ', '')) THEN 'representation' ELSE 'hard' END AS kind, count(*) AS n FROM p WHERE moved OR l <> r GROUP BY ALL""",
     ),
-    "adjudication": (adjudication, "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'unresolved' END AS classification, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL"),
+    "adjudication": (adjudication, "SELECT CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0 THEN 'unresolved' WHEN o_orderkey % 5 < 3 THEN 'verified_client_current' ELSE 'extraction_defect' END AS classification, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL"),
     "tab_coverage": (tab_coverage, "SELECT n_nationkey, n_name, count(s_suppkey) AS nodes, count(s_suppkey) > 0 AS has_nodes FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL"),
     "side_join_status": (
         side_join_status,
