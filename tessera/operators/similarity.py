@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
@@ -155,16 +155,60 @@ def best_distances(prints: DataFrame, scope: str, key: str, measure=distance) ->
     return pairs.select(F.col(f"a.{scope}").alias(scope), F.col(f"a.{key}").alias(key), measure("a", "b").alias("distance"))
 
 
-def band_floor(scores: DataFrame, scope: str, relative: float = 0.90) -> DataFrame:
+#: Values that a task orders as they are, and the ranges that more are cut into.
+CUT, RANGES = 10_000, 64
+
+
+def order_statistics(values: DataFrame, asked: DataFrame, scope: str, cut: int = CUT) -> DataFrame:
+    """(scope, which, value): the value of rank k, exactly, for each ask.
+
+    values: scope, value, n (how often), each value once, written; asked: scope,
+    which, k (from 0). Where a scope has more than ``cut`` values, they are cut
+    into ranges at approximate quantiles, the ranges are counted, and the one
+    that holds the rank is cut again, until few values are left; only these are
+    ordered. So no task holds a scope, whatever its size.
+    """
+    sizes = values.groupBy(scope).agg(F.count("*").alias("_rows"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    spots = materialize(asked.join(sizes, scope).withColumn("_start", F.lit(0).cast("long")), "rank-spots")
+    within = F.expr(f"v.{scope} = s.{scope} AND v.value >= s._lo AND v.value <= s._hi")
+    held = lambda some: values.alias("v").join(some.alias("s"), within).select(f"s.{scope}", "s.which", "s.k", "s._start", "v.value", "v.n")
+    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    by = [scope, "which"]
+    while not (large := spots.filter(F.col("_rows") > cut)).isEmpty():
+        inside = held(large)
+        bounds = inside.groupBy(*by).agg(F.array_distinct(F.percentile_approx("value", steps)).alias("_b"))
+        ranged = inside.join(materialize(bounds, "rank-bounds"), by).withColumn("_range", F.size(F.filter("_b", lambda b: b <= F.col("value"))))
+        sums = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.first("k").alias("k"), F.first("_start").alias("_start"))
+        upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+        placed = sums.withColumn("_start", F.col("_start") + F.sum("_n").over(upto) - F.col("_n"))
+        better = placed.filter("_start <= k AND k < _start + _n").select(*by, "k", "_rows", "_lo", "_hi", "_start")
+        spots = materialize(spots.filter(F.col("_rows") <= cut).unionByName(better), "rank-spots")
+    order = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    walked = held(spots).withColumn("_upto", F.col("_start") + F.sum("n").over(order))
+    return walked.filter("_upto - n <= k AND k < _upto").select(*by, "value")
+
+
+def medians(rows: DataFrame, scope: str, value: Column, cut: int = CUT) -> DataFrame:
+    """(scope, median) of the values that are not null: the middle one, or the mean of the two in the middle."""
+    counted = materialize(rows.select(scope, value.alias("value")).filter("value IS NOT NULL").groupBy(scope, "value").agg(F.count("*").alias("n")), "rank-values")
+    totals = counted.groupBy(scope).agg(F.sum("n").alias("_all"))
+    asked = totals.select(scope, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.expr("(_all - 1) DIV 2").alias("k")), F.struct(F.lit(1).alias("which"), F.expr("_all DIV 2").alias("k")))).alias("a")).select(scope, "a.*")
+    return order_statistics(counted, asked, scope, cut).groupBy(scope).agg(F.avg("value").alias("median"))
+
+
+def band_floor(scores: DataFrame, scope: str, relative: float = 0.90, cut: int = CUT) -> DataFrame:
     """The least score of the band per scope, and whether the band had to be widened.
 
     Six candidates or more: best less the larger of 1.5 MAD and 5 %; never under
     ``relative`` of the best. If only one is left, down to the second or 88 %.
+    Medians are exact, found by narrowing ranges; the plan runs jobs.
     """
-    basic = scores.groupBy(scope).agg(F.max("score").alias("_best"), F.median("score").alias("_med"), F.count("*").alias("_n"))
-    off = scores.join(basic, scope)
+    scores = materialize(scores.select(scope, "score"), "band-scores")
+    basic = scores.groupBy(scope).agg(F.max("score").alias("_best"), F.count("*").alias("_n")).join(medians(scores, scope, F.col("score"), cut).withColumnRenamed("median", "_med"), scope, "left")
+    off = materialize(scores.join(materialize(basic, "band-basics"), scope), "band-offsets")
     # The second best is the best when two share it, else the largest of the others.
-    rest = off.groupBy(scope).agg(F.median(F.abs(F.col("score") - F.col("_med"))).alias("_mad"), F.max(F.when(F.col("score") < F.col("_best"), F.col("score"))).alias("_below"), F.count_if(F.col("score") == F.col("_best")).alias("_firsts"))
+    rest = off.groupBy(scope).agg(F.max(F.when(F.col("score") < F.col("_best"), F.col("score"))).alias("_below"), F.count_if(F.col("score") == F.col("_best")).alias("_firsts"))
+    rest = rest.join(medians(off, scope, F.abs(F.col("score") - F.col("_med")), cut).withColumnRenamed("median", "_mad"), scope, "left")
     joined = basic.join(rest, scope).withColumn("_second", F.when(F.col("_firsts") > 1, F.col("_best")).otherwise(F.col("_below")))
     least = F.col("_best") * relative
     floor = F.greatest(least, F.when(F.col("_n") >= 6, F.col("_best") - F.greatest(1.5 * F.col("_mad"), F.col("_best") * 0.05)).otherwise(least))
@@ -204,8 +248,3 @@ def select_diverse(prints: DataFrame, scope: str, key: str, k: int, least_distan
             break
         chosen = chosen.unionByName(found)
     return chosen
-
-
-def sequence_signature(rows: DataFrame, key: list[str], category: str, order: str) -> DataFrame:
-    """Per key the ordered categories as one string."""
-    return rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, category))), lambda x: x[category]), ">").alias("signature"))
