@@ -374,6 +374,41 @@ MATCH_OPERATORS = (
 )
 
 
+# The fields that a rule table has to have, and the inputs that may not be asked for yet.
+PROFILE_FIELDS = (
+    "schema_version", "profile_id", "class_name", "spec_key", "role", "supported_encounters", "resources", "thresholds", "condition_templates", "rules", "branches", "assumptions",
+)
+FUTURE_INPUTS = ("combat_log_metrics", "saved_variables_snapshot", "sim_state")
+
+
+def profile_faults(profiles: DataFrame, version: str) -> DataFrame:
+    """(profile, id, code) of whole rule tables: fields that are missing, a version other than the stated one, and inputs of the future.
+
+    profiles: profile, fields (names that are there), schema_version,
+    required_inputs. ``id`` is the field or the input.
+    """
+    listed = lambda names: F.array(*[F.lit(n) for n in names])
+    entry = lambda code: lambda x: F.struct(x.alias("id"), F.lit(code).alias("code"))
+    missing = F.transform(F.array_sort(F.array_except(listed(PROFILE_FIELDS), F.coalesce("fields", F.array().cast("array<string>")))), entry("missing_field"))
+    future = F.transform(F.array_sort(F.array_intersect(F.coalesce("required_inputs", F.array().cast("array<string>")), listed(FUTURE_INPUTS))), entry("future_input_required"))
+    wrong = F.when(~F.col("schema_version").eqNullSafe(F.lit(version)), F.array(F.struct(F.lit("schema_version").alias("id"), F.lit("invalid_schema_version").alias("code")))).otherwise(F.array().cast("array<struct<id:string,code:string>>"))
+    return profiles.select("profile", F.explode(F.concat(missing, wrong, future)).alias("f")).select("profile", "f.*")
+
+
+# The largest plausible values of a node's fields, and the levels there are.
+FIELD_BOUNDS = {"ae_cost": 500, "te_cost": 500, "required_tab_ae": 500, "required_tab_te": 500, "max_rank": 20, "row": 200, "col": 200}
+MOST_LEVEL = 60
+
+
+def bound_faults(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, code) of fields out of their bounds, and of required levels that are neither 0 nor 1 to 60; nulls were not decoded and pass."""
+    have = {f: most for f, most in FIELD_BOUNDS.items() if f in nodes.columns}
+    tests = {f"{f}_out_of_bounds": f"{f} NOT BETWEEN 0 AND {most}" for f, most in have.items()}
+    if "required_level" in nodes.columns:
+        tests["required_level_out_of_domain"] = f"required_level NOT BETWEEN 0 AND {MOST_LEVEL}"
+    return violations(nodes, key, tests)
+
+
 def rule_faults(rules: DataFrame, templates: DataFrame, branches: DataFrame, encounters: DataFrame) -> DataFrame:
     """(profile, id, code) for rule tables.
 

@@ -256,6 +256,21 @@ UNION ALL SELECT p_brand, p_partkey::VARCHAR, 'unsupported_operator' FROM part W
 UNION ALL SELECT 'Brand#1', n_name, 'unsupported_encounter' FROM nation WHERE n_nationkey <= 3 UNION ALL SELECT 'Brand#1', n_name, 'unknown_branch_category' FROM nation WHERE n_nationkey % 2 = 0"""
 
 
+def profile_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rule tables: some lack a field, are of another version or ask for an input of the future."""
+    k = F.col("o_orderkey")
+    fields = F.array_except(F.array(*[F.lit(f) for f in rules.PROFILE_FIELDS]), F.array(F.when(k % 5 == 0, "rules"), F.when(k % 7 == 0, "branches"), F.when(k % 11 == 0, "role")))
+    profiles = table(spark, sf_dir, "orders").select(k.alias("profile"), fields.alias("fields"), F.when(k % 13 == 0, "v0").when(k % 17 != 0, "v1").alias("schema_version"), F.when(k % 3 == 0, F.array(F.lit("sim_state"), F.lit("log"), F.lit("combat_log_metrics"))).alias("required_inputs"))
+    return rules.profile_faults(profiles, "v1")
+
+
+def bound_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes with fields that a wrong column would give."""
+    k = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(k.alias("node"), (k % 600).alias("ae_cost"), F.when(k % 3 == 0, -1).alias("te_cost"), (k % 25).alias("max_rank"), (k % 70).alias("required_level"), F.lit(None).cast("int").alias("row"))
+    return rules.bound_faults(nodes, "node")
+
+
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of an order's texts: the numbers among them, and the larger of two maps' values."""
     k = F.col("o_orderkey")
@@ -281,6 +296,16 @@ QUERIES = {
     "stat_totals": (stat_totals, STATS_SQL),
     "catalogue_faults": (catalogue_faults, FAULTS_SQL),
     "catalogue_verdict": (catalogue_verdict, f"SELECT CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS verdict, count(*) AS kinds, sum(n)::BIGINT AS faults, string_agg(code, ',' ORDER BY code) AS codes FROM ({FAULTS_SQL})"),
+    "profile_faults": (
+        profile_faults,
+        """SELECT o_orderkey AS profile, 'rules' AS id, 'missing_field' AS code FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'branches', 'missing_field' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'role', 'missing_field' FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT o_orderkey, 'schema_version', 'invalid_schema_version' FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 UNION ALL SELECT o_orderkey, unnest(['combat_log_metrics', 'sim_state']), 'future_input_required' FROM orders WHERE o_orderkey % 3 = 0""",
+    ),
+    "bound_faults": (
+        bound_faults,
+        """SELECT p_partkey AS node, 'ae_cost_out_of_bounds' AS code FROM part WHERE p_partkey % 600 > 500 UNION ALL SELECT p_partkey, 'te_cost_out_of_bounds' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'max_rank_out_of_bounds' FROM part WHERE p_partkey % 25 > 20
+UNION ALL SELECT p_partkey, 'required_level_out_of_domain' FROM part WHERE p_partkey % 70 > 60""",
+    ),
     "rule_faults": (rule_faults, RULE_FAULTS_SQL),
     "numbers": (numbers, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'a,b' END AS keys, o_orderkey::DOUBLE AS b, greatest(o_orderkey, 1000 - o_orderkey) AS x, 5.0::DOUBLE AS five FROM orders"),
 }
