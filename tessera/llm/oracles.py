@@ -106,6 +106,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+_NAMES = ("few_words", "repeated_words", "symbol_heavy", "repeated_lines", "short_or_long_words", "capitals")
+ABLATION_SQL = "WITH l AS (SELECT failed_bits AS b FROM (" + RULES_SQL + ")) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER ((b >> {i}) & 1 = 1) AS failed, count(*) FILTER (b = {1 << i}) AS removed_by_it_alone FROM l" for i, name in enumerate(_NAMES)
+)
+
 COPIES_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) AS place FROM d)

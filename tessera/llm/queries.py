@@ -13,11 +13,11 @@ from tessera.llm.exact_dedup import dedup
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.merkle import manifest
 from tessera.llm.mixing import mix
-from tessera.llm.oracles import CHAT_SQL, COPIES_SQL, JACCARD_SQL, MERKLE_SQL, MIX_SQL, RULES_SQL, SUBSTRING_SQL
+from tessera.llm.oracles import ABLATION_SQL, CHAT_SQL, COPIES_SQL, JACCARD_SQL, MERKLE_SQL, MIX_SQL, RULES_SQL, SUBSTRING_SQL
 from tessera.llm.pii import find_pii
 from tessera.llm.quality_fm import fit as fit_quality
 from tessera.llm.quality_fm import score_quality
-from tessera.llm.rule_ledger import apply_policy, ledger
+from tessera.llm.rule_ledger import POLICIES, RULES, ablation, apply_policy, ledger
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.substring_dedup import dedup_substrings
 from tessera.llm.token_frames import token_frames
@@ -55,10 +55,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = apply_policy(ledger(_table(spark, sf_dir, "documents")))
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    base = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[0].mask(RULES)).cast("long")) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy in force removes, and what it alone does."""
+    return ablation(ledger(_table(spark, sf_dir, "documents"))).select("rule", "failed", "removed_by_it_alone")
+
+
 def op8_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_whitening": op12_whitening,
         "op13_exact_dedup": op13_exact_dedup,
+        "rule_ablation": rule_ablation,
     }
 
 
@@ -117,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_chat_format": CHAT_SQL,
         "op11_merkle_manifest": MERKLE_SQL,
         "op13_exact_dedup": COPIES_SQL,
+        "rule_ablation": ABLATION_SQL,
     }

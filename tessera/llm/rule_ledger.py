@@ -113,7 +113,13 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measurements and ``failed_bits``, one row per document, without the text."""
+    """Measurements and ``failed_bits``, one row per document, without the text: what is stored, and what policies read.
+
+    Every rule is evaluated here, once; a policy, a base or an ablation is a mask
+    over the bits. Repeated windows are told by 64-bit hashes of their three
+    words; within a text of a million words two unequal ones have equal hashes
+    with a chance of 3e-8.
+    """
     bits = F.lit(0).cast("long")
     for place, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << place)).otherwise(F.lit(0)).cast("long"))

@@ -1,14 +1,22 @@
 """Secret scans with structural confirmation.
 
 Three plain formats are reported by their shape alone (``assign``, ``access``,
-``hex``). Everything else must prove its structure: a base64 or hex candidate
-(base64 also over several lines) is decoded, and reported only if the bytes parse as a DER key (nested lengths
-that fill their parents exactly, and the leading fields of a known key layout),
-an OpenSSH key, or the JSON header of a signed token. PEM blocks are confirmed
-the same way by their decoded body.
-
-Edge cases: a null text is empty and has no spans; ids may be null or repeated;
-texts of any length are scanned as a whole, in linear time.
+``hex``). Everything else must prove its structure: a candidate is decoded, and
+reported only if the bytes parse as a DER key (nested lengths that fill their
+parents exactly, and the leading fields of a known key layout, encrypted keys
+included), an OpenSSH key, or the JSON header of a signed token.
+
+Candidates are runs of base64 in either alphabet, of hex digits in any case, and
+of hex bytes with colons between them; base64 also over several lines. A key may
+start anywhere in a run: it says how long it is, so what touches it before or
+after does no harm. From each place where a key can start just the lengths of
+its elements are decoded, so a run costs what it is long. PEM blocks are
+confirmed the same way by their decoded body.
+
+Edge cases: a null text is empty and has no spans; ids may be null or repeated,
+and rows that are equal have equal results; an empty table gives an empty
+result; only ``doc_id`` and ``text`` are read, so other columns may have any
+name; texts of any length are scanned as a whole, in linear time.
 """
 
 from __future__ import annotations
@@ -30,17 +38,49 @@ ASSIGN_LENGTH = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: A DER sequence in base64 starts like this (0x30 and a length), and OpenSSH's magic like that.
+DER_BASE64, OPENSSH_BASE64 = re.compile(r"(?=M[A-I][A-Za-z0-9+/_-])"), "b3BlbnNzaC1rZXktdjEA"
 #: From one line of a wrapped body to the next: a line end or a written one, with quotes, commas, indents or reply marks.
 LINE_END = r"""(?:(?:\\r)?\\n|(?:["'][\x20\t.,;+\\]*|[\x20\t,;\\]*)(?:\r?\n|\r){1,2})[\x20\t>|#*"']*"""
 BREAK = re.compile(LINE_END)
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{{16,}}+{LINE_END})+[A-Za-z0-9+/]+={{0,2}}")
-HEX_BYTES = re.compile(r"[0-9a-f]{64,}|[0-9A-F]{64,}")
+HEX_BYTES = re.compile(r"[0-9a-fA-F]{64,}")
+COLON_BYTES = re.compile(r"[0-9a-fA-F]{2}(?::\s*[0-9a-fA-F]{2}){31,}")
+DER_HEX = re.compile(r"(?=30[0-8][0-9a-fA-F])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}))")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 OPENSSH = b"openssh-key-v1\0"
 #: DER tags used by key layouts.
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: What stands in the outer sequence of a private key: those, and context tags of parameters, attributes and the public key.
+KEY_TAGS = frozenset((INTEGER, OCTETS, SEQUENCE, 0xA0, 0xA1, 0x81))
+#: Where the ids of password-based encryption schemes start (PKCS#5 and PKCS#12).
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+STANDARD = str.maketrans("-_", "+/")
+#: Bytes of a key that are decoded at once.
+AT_ONCE = 8192
+
+
+class Decoded:
+    """The bytes of a run from some place on, decoded where they are looked at."""
+
+    def __init__(self, text: str, start: int, size: int, base64_run: bool) -> None:
+        self.text, self.start, self.size, self.base64_run = text, start, size, base64_run
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        first, last = (at.start, at.stop) if isinstance(at, slice) else (at, at + 1)
+        if not self.base64_run:
+            part = bytes.fromhex(self.text[self.start + 2 * first : self.start + 2 * last])
+        else:
+            group = first // 3
+            piece = self.text[self.start + 4 * group : self.start + 4 * -(-last // 3)].translate(STANDARD)
+            piece = piece[: len(piece) - (len(piece) % 4 == 1)]
+            part = base64.b64decode(piece + "=" * (-len(piece) % 4))[first - 3 * group : last - 3 * group]
+        return part if isinstance(at, slice) else part[0]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -51,13 +91,16 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def der_children(data: bytes, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
-    """(tag, from, to) of consecutive DER elements that fill the range exactly, else None."""
+def der_children(data: bytes | Decoded, start: int = 0, end: int | None = None, tags: frozenset[int] | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, from, to) of consecutive DER elements that fill the range exactly, else None; also None where a tag is not one of ``tags``."""
     end, out = len(data) if end is None else end, []
     while start < end:
         if end - start < 2:
             return None
-        tag, length, start = data[start], data[start + 1], start + 2
+        tag, length = data[start : start + 2]
+        start += 2
+        if tags is not None and tag not in tags:
+            return None
         if length >= 0x80:
             n = length & 0x7F
             if not 1 <= n <= 4 or end - start < n:
@@ -70,13 +113,23 @@ def der_children(data: bytes, start: int = 0, end: int | None = None) -> list[tu
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data and starts as PKCS#1, SEC1 or PKCS#8 private keys do."""
+def is_der_key(data: bytes | Decoded) -> bool:
+    """A SEQUENCE that fills the data and starts as PKCS#1, SEC1 or PKCS#8 private keys do, or as encrypted PKCS#8 keys."""
     top = der_children(data)
     if not top or len(top) != 1 or top[0][0] != SEQUENCE:
         return False
-    parts = der_children(data, top[0][1], top[0][2])
-    if not parts or len(parts) < 2 or parts[0][0] != INTEGER or parts[0][2] - parts[0][1] != 1:
+    first = data[top[0][1]] if top[0][2] > top[0][1] else None
+    if first not in (INTEGER, SEQUENCE):
+        return False
+    parts = der_children(data, top[0][1], top[0][2], KEY_TAGS)
+    if not parts or len(parts) < 2:
+        return False
+    if first == SEQUENCE:
+        scheme = der_children(data, parts[0][1], parts[0][2])
+        if len(parts) != 2 or parts[1][0] != OCTETS or not scheme or scheme[0][0] != OID:
+            return False
+        return bytes(data[scheme[0][1] : scheme[0][2]]).startswith(ENCRYPTION)
+    if parts[0][2] - parts[0][1] != 1:
         return False
     version, tags = data[parts[0][1]], [tag for tag, _, _ in parts]
     if version == 0 and len(parts) >= 9 and set(tags[:9]) == {INTEGER}:
@@ -162,17 +215,61 @@ def wrapped_spans(text: str) -> list[Span]:
     return found
 
 
+def _der_span(text: str, start: int, end: int, base64_run: bool) -> int | None:
+    """Where the DER key ends that starts here in a run of base64 or hex, if there is one."""
+    room = (end - start) * 3 // 4 if base64_run else (end - start) // 2
+    head = Decoded(text, start, room, base64_run)[0 : min(room, 9)]
+    size = der_size(head)
+    if size is None or not 16 <= size <= room:
+        return None
+    # A version or a scheme comes first; most places end here.
+    first = head[2 + (head[1] & 0x7F if head[1] >= 0x80 else 0) :][:3]
+    if first[:1] != bytes([SEQUENCE]) and first[:2] != bytes([INTEGER, 1]):
+        return None
+    data = Decoded(text, start, size, base64_run)
+    # A usual key is decoded at once; of a longer one just what is looked at.
+    if not is_der_key(data[0:size] if size <= AT_ONCE else data):
+        return None
+    return start + (-(-size * 4 // 3) if base64_run else 2 * size)
+
+
+def base64_spans(text: str) -> list[Span]:
+    """Keys in runs of base64 of either alphabet, wherever in the run they start; padding belongs to the key."""
+    found = []
+    for run in BASE64.finditer(text):
+        end, at = run.end() - len(run[0]) + len(run[0].rstrip("=")), run.start()
+        magic = text.find(OPENSSH_BASE64, run.start(), run.end())
+        if magic >= 0:
+            found.append(("openssh_key", magic, run.end()))
+        while (m := DER_BASE64.search(text, at, end)) is not None:
+            last = _der_span(text, m.start(), end, True)
+            at = m.start() + 1
+            if last is not None:
+                pad = -(last - m.start()) % 4
+                at = last
+                found.append(("der_key", m.start(), last + (pad if text[last : last + pad] == "=" * pad else 0)))
+    return found
+
+
 def hex_spans(text: str) -> list[Span]:
-    """Keys in runs of hex digits, at either alignment; a DER key ends where its length says."""
+    """Keys in runs of hex digits of any case, wherever they start, also with colons between the bytes."""
     found = []
-    for m in HEX_BYTES.finditer(text):
-        for start in (m.start(), m.start() + 1):
-            data = bytes.fromhex(text[start : m.end() - (m.end() - start) % 2])
-            size = der_size(data)
-            size = len(data) if size is None else size
-            if kind := confirmed(data[:size]):
-                found.append((kind, start, start + 2 * size))
-                break
+
+    def scan(run: str, place) -> None:
+        magic, at = run.lower().find(OPENSSH.hex()), 0
+        if magic >= 0:
+            found.append(("openssh_key", place(magic), place(len(run) - (len(run) - magic) % 2)))
+        while (m := DER_HEX.search(run, at)) is not None:
+            last = _der_span(run, m.start(), len(run), False)
+            at = m.start() + 1 if last is None else last
+            if last is not None:
+                found.append(("der_key", place(m.start()), place(last)))
+
+    for run in HEX_BYTES.finditer(text):
+        scan(run[0], lambda i, start=run.start(): start + i)
+    for run in COLON_BYTES.finditer(text):
+        starts = [m.start() + run.start() for m in re.finditer(r"[0-9a-fA-F]{2}", run[0])]
+        scan("".join(text[s : s + 2] for s in starts), lambda i, starts=starts: starts[i // 2] if i < 2 * len(starts) and i % 2 == 0 else starts[(i - 1) // 2] + 2 - (i % 2 and 1))
     return found
 
 
@@ -181,7 +278,7 @@ def structural_spans(text: str) -> list[Span]:
     found = []
     if "-----BEGIN " in text:
         found += [(kind, m.start(), m.end()) for m in PEM.finditer(text) if (kind := confirmed(_decoded(m[2])))]
-    for more in (wrapped_spans(text), [(kind, m.start(), m.end()) for m in BASE64.finditer(text) if (kind := confirmed(_decoded(m[0])))], hex_spans(text)):
+    for more in (wrapped_spans(text), base64_spans(text), hex_spans(text)):
         known = Cover((s, e) for _, s, e in found)
         found += [x for x in more if not known.holds(*x[1:])]
     if "." in text:

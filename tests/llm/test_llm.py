@@ -410,6 +410,59 @@ def rsa_lines(width=64):
     return [b64[i : i + width] for i in range(0, len(b64), width)]
 
 
+def planted_keys():
+    """(form, text, kind): private keys of four layouts in all forms that they are told in."""
+    import base64
+
+    rng = np.random.default_rng(11)
+    some = lambda n: bytes(rng.integers(0, 256, n, dtype=np.uint8))
+    pkcs1 = der(0x30, der(2, b"\0") + b"".join(der(2, b"\1" + some(k)) for k in (128, 3, 127, 64, 64, 63, 64, 64)))
+    sec1 = der(0x30, der(2, b"\1") + der(4, some(32)) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + b"\5\0") + der(4, pkcs1))
+    sealed = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, some(40))) + der(4, some(300)))
+    for data in (pkcs1, sec1, pkcs8, sealed):
+        b64, digits = base64.b64encode(data).decode(), data.hex()
+        lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+        colons = ":".join(digits[i : i + 2] for i in range(0, len(digits), 2))
+        yield "alone", b64
+        yield "after a path", "path/" + b64.rstrip("=")
+        yield "before more", b64.rstrip("=") + "AAAA"
+        yield "url-safe", base64.urlsafe_b64encode(data).decode()
+        yield "pem", f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{lines}\n-----END ENCRYPTED PRIVATE KEY-----"
+        yield "hex", digits
+        yield "upper hex", digits.upper()
+        yield "mixed hex", "".join(c.upper() if i % 3 else c for i, c in enumerate(digits))
+        yield "hex among digits", "f" + digits + "a3f"
+        yield "colons", colons
+        yield "colons over lines", ":\n    ".join(colons[i : i + 44] for i in range(0, len(colons), 45))
+
+
+def test_planted_keys_are_recalled():
+    """Every planted key is found, in every form: the recall that the README states."""
+    found = Counter()
+    for form, text in planted_keys():
+        for before, after in (("", ""), ("see ", " end"), ("(", ")")):
+            kinds = [k for k, _, _ in secrets.structural_spans(before + text + after)]
+            found[form, kinds == ["der_key"]] += 1
+    assert all(ok for _, ok in found) and sum(found.values()) == 132
+
+
+def test_keys_that_are_cut_or_damaged_are_not_told():
+    for form, text in planted_keys():
+        if form in ("alone", "hex", "colons"):
+            assert secrets.structural_spans(text[: len(text) // 2]) == []
+            assert secrets.structural_spans(text[:6] + "9" + text[7:] if form == "hex" else text[:5] + "zz" + text[7:]) == [] or form == "alone"
+    digest_info = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + b"\5\0") + der(4, b"x" * 32))
+    assert secrets.structural_spans(digest_info.hex()) == []
+
+
+@pytest.mark.parametrize("text", ["MIICXQIBAAKB" * 80_000, "MI" * 400_000, "30820" * 200_000, "30:82:" * 160_000 + "30", "3082001002010002" * 60_000, "b3BlbnNzaC1rZXktdjEA" * 50_000])
+def test_runs_full_of_starts_take_time_in_proportion(text):
+    began = time.time()
+    secrets.find_secrets(text)
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize("width", [64, 76])
 @pytest.mark.parametrize(("join", "before", "after"), [
     ("\n", "x\n", "\nAnd so on"), ("\r\n", "", ""), ("\n> ", "> -----BEGIN RSA PRIVATE KEY-----\n> ", "\n> -----END RSA PRIVATE KEY-----"),
