@@ -63,10 +63,10 @@ AT_ONCE = 8192
 
 
 class Decoded:
-    """The bytes of a run from some place on, decoded where they are looked at."""
+    """The bytes of a run from some place on, decoded where they are looked at; nothing beyond the run's end is."""
 
-    def __init__(self, text: str, start: int, size: int, base64_run: bool) -> None:
-        self.text, self.start, self.size, self.base64_run = text, start, size, base64_run
+    def __init__(self, text: str, start: int, end: int, size: int, base64_run: bool) -> None:
+        self.text, self.start, self.end, self.size, self.base64_run = text, start, end, size, base64_run
 
     def __len__(self) -> int:
         return self.size
@@ -77,7 +77,7 @@ class Decoded:
             part = bytes.fromhex(self.text[self.start + 2 * first : self.start + 2 * last])
         else:
             group = first // 3
-            piece = self.text[self.start + 4 * group : self.start + 4 * -(-last // 3)].translate(STANDARD)
+            piece = self.text[self.start + 4 * group : min(self.end, self.start + 4 * -(-last // 3))].translate(STANDARD)
             piece = piece[: len(piece) - (len(piece) % 4 == 1)]
             part = base64.b64decode(piece + "=" * (-len(piece) % 4))[first - 3 * group : last - 3 * group]
         return part if isinstance(at, slice) else part[0]
@@ -218,7 +218,7 @@ def wrapped_spans(text: str) -> list[Span]:
 def _der_span(text: str, start: int, end: int, base64_run: bool) -> int | None:
     """Where the DER key ends that starts here in a run of base64 or hex, if there is one."""
     room = (end - start) * 3 // 4 if base64_run else (end - start) // 2
-    head = Decoded(text, start, room, base64_run)[0 : min(room, 9)]
+    head = Decoded(text, start, end, room, base64_run)[0 : min(room, 9)]
     size = der_size(head)
     if size is None or not 16 <= size <= room:
         return None
@@ -226,7 +226,7 @@ def _der_span(text: str, start: int, end: int, base64_run: bool) -> int | None:
     first = head[2 + (head[1] & 0x7F if head[1] >= 0x80 else 0) :][:3]
     if first[:1] != bytes([SEQUENCE]) and first[:2] != bytes([INTEGER, 1]):
         return None
-    data = Decoded(text, start, size, base64_run)
+    data = Decoded(text, start, end, size, base64_run)
     # A usual key is decoded at once; of a longer one just what is looked at.
     if not is_der_key(data[0:size] if size <= AT_ONCE else data):
         return None
