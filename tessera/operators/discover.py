@@ -118,6 +118,21 @@ def majority_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("values >= 2 AND values = labels").select("col", "values", F.round(ratio(F.col("_t"), F.col("n")), 4).alias("score"), "n")
 
 
+def label_column(cells: DataFrame, labels: DataFrame, evidence: int = EVIDENCE, share: float = 0.85) -> DataFrame:
+    """(col, score, n, mapping): the column whose values stand for the labels best, if one does.
+
+    It needs ``evidence`` rows, two values or more, another label for each, and a
+    share of ``share`` of its rows explained; of equal columns the first wins.
+    The mapping is value:label in order of the values.
+    """
+    n = cells.filter("val IS NOT NULL").join(labels, "row_id").groupBy("col", "val", "label").agg(F.count("*").alias("_n"))
+    best = n.groupBy("col", "val").agg(F.max(F.struct(F.col("_n"), F.col("label")))["label"].alias("label"), F.max("_n").alias("_top"), F.sum("_n").alias("_all"))
+    pair = F.struct("val", F.concat_ws(":", F.col("val").cast("string"), "label").alias("text"))
+    out = best.groupBy("col").agg(F.count("*").alias("_v"), F.count_distinct("label").alias("_l"), (F.sum("_top") / F.sum("_all")).alias("score"), F.sum("_all").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["text"]), ",").alias("mapping"))
+    fit = out.filter((F.col("n") >= evidence) & (F.col("_v") >= 2) & (F.col("_v") == F.col("_l")) & (F.col("score") >= share))
+    return fit.orderBy(F.desc("score"), "col").limit(1).select("col", F.round("score", 4).alias("score"), "n", "mapping")
+
+
 def recon_status(findings: DataFrame, reviewed: bool = False, bound: bool = False) -> DataFrame:
     """One verdict from all findings (status: unique, ambiguous or missing; policy_match: where the policy has it too).
 

@@ -1,7 +1,8 @@
 r"""Mechanics of abilities from their tooltips, and the catalogue of actions that a build can run.
 
-Patterns are fixed values; they are searched in any case, and a word boundary is
-one of ASCII letters, digits and the underscore.
+Patterns are fixed values; they are searched in any case. A word boundary is
+Java's ``\b``, which counts letters of all scripts; ``text.py`` says where that
+differs from boundaries of ASCII letters.
 """
 
 from __future__ import annotations

@@ -148,3 +148,10 @@ def id_band(value: Column, bands: list[tuple[int, int, str]]) -> Column:
     for low, high, label in bands:
         out = out.when(value.between(low, high), label)
     return out.otherwise("unknown")
+
+
+def band_cardinality(ids: DataFrame, bands: list[tuple[int, int, str]], band: str, expected: int) -> DataFrame:
+    """One row: how many different ids are of a band, whether that is as expected, and which ids are of no band."""
+    label = id_band(F.col("id"), bands)
+    one = ids.select("id").distinct().agg(F.count_if(label == band).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(label == "unknown", F.col("id")))), lambda x: x.cast("string")), ",").alias("unknown_ids"))
+    return one.select("n", (F.col("n") == expected).alias("as_expected"), "unknown_ids")

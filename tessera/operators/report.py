@@ -64,9 +64,67 @@ def spoken_list(items: Column) -> Column:
 
 
 def priority_lines(actions: DataFrame) -> DataFrame:
-    """``actions+=/key,if=condition`` lines."""
+    """``actions+=/key,if=condition  # note`` lines; the first of the notes, if there are any."""
     condition = F.when(F.coalesce("condition", F.lit("")) != "", F.concat(F.lit(",if="), "condition")).otherwise("")
-    return actions.withColumn("line", F.concat(F.lit("actions+=/"), "key", condition))
+    note = F.when(F.size("notes") > 0, F.concat(F.lit("  # "), F.get("notes", 0))).otherwise("") if "notes" in actions.columns else F.lit("")
+    return actions.withColumn("line", F.concat(F.lit("actions+=/"), "key", condition, note))
+
+
+# What a guide says of an ability in each section; of maintenance there is a second form.
+SENTENCES = {
+    "opener": "Open with {}.",
+    "core_loop": "Use {} as part of the repeatable core loop.",
+    "maintenance": "Maintain {}.",
+    "cooldown": "Use {} during planned burst windows.",
+    "defensive": "Use {} before heavy damage or dangerous pulls.",
+    "healing": "Use {} when allies need recovery.",
+    "support": "Keep {} aligned with group damage windows.",
+    "aoe": "Use {} when fighting multiple targets.",
+    "procs": "Use {} when its proc or status condition is active.",
+}
+KEEP_ACTIVE, ANY_SECTION = "Keep {} active.", "Use {} when it is available."
+
+
+def rule_sentence(section: Column, ability: Column, condition: Column) -> Column:
+    """The guide's sentence for an ability in a section."""
+    said = lambda text: F.replace(F.lit(text), F.lit("{}"), ability)
+    out = F.when((section == "maintenance") & (F.coalesce(condition, F.lit("")) != ""), said(KEEP_ACTIVE))
+    for name, text in SENTENCES.items():
+        out = out.when(section == name, said(text))
+    return out.otherwise(said(ANY_SECTION))
+
+
+# The sentences of the loop, each for the categories that it needs.
+LOOP_SENTENCES = {
+    "maintenance": "Keep {} active before moving into your damage loop.",
+    "both": ("Build with {} until your spender window is ready.", "Spend with {} before you overcap or during burst windows."),
+    "spender": "Use {} whenever the condition is met.",
+    "builder": "Use {} as your repeatable builder or main filler.",
+    "filler": "Fill empty globals with {}.",
+}
+OPENER_SENTENCE, COOLDOWN_SENTENCE = "Open with {} to set up the pull.", "Use {} during your main damage or recovery window."
+
+
+def loop_sentences(actions: DataFrame) -> DataFrame:
+    """(build, opener, core_loop, cooldowns): sentences of how a build is played, each a list.
+
+    actions: build, category, name, priority, key. Names of a category stand in
+    the order of the actions, each once, as a spoken list.
+    """
+    order = F.struct("priority", "key", "name")
+    names = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == c, order))), lambda x: x["name"]))
+    each = actions.groupBy("build").agg(*[names(c).alias(f"_{c}") for c in ("maintenance", "cooldown", "builder", "spender", "filler")])
+    has = lambda c: F.size(f"_{c}") > 0
+    said = lambda text, c: F.replace(F.lit(text), F.lit("{}"), spoken_list(F.col(f"_{c}")))
+    both = has("builder") & has("spender")
+    lines = [
+        F.when(has("maintenance"), said(LOOP_SENTENCES["maintenance"], "maintenance")),
+        F.when(both, said(LOOP_SENTENCES["both"][0], "builder")),
+        F.when(both, said(LOOP_SENTENCES["both"][1], "spender")).when(has("spender"), said(LOOP_SENTENCES["spender"], "spender")).when(has("builder"), said(LOOP_SENTENCES["builder"], "builder")),
+        F.when(has("filler"), said(LOOP_SENTENCES["filler"], "filler")),
+    ]
+    one_each = lambda text: lambda name: F.replace(F.lit(text), F.lit("{}"), name)
+    return each.select("build", F.transform(F.slice("_cooldown", 1, 2), one_each(OPENER_SENTENCE)).alias("opener"), F.array_compact(F.array(*lines)).alias("core_loop"), F.transform("_cooldown", one_each(COOLDOWN_SENTENCE)).alias("cooldowns"))
 
 
 # The sections of a rotation in their order, the categories of the loop, and the roles whose other actions are of the defence.

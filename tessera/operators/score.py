@@ -80,10 +80,14 @@ def node_components(nodes: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def synergy_components(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(build, key, value) for sets (names array, weight) all of whose names are in the build."""
-    each = sets.withColumns({"_set": F.array_join(F.array_sort("names"), "+"), "_n": F.size(F.array_distinct("names"))}).withColumn("name", F.explode(F.array_distinct("names")))
-    met = members.select("build", "name").distinct().join(each, "name").groupBy("build", "_set", "_n", "weight").agg(F.count("*").alias("_m")).filter("_m = _n")
-    return met.select("build", F.lit("synergy").alias("kind"), F.col("_set").alias("key"), F.col("weight").alias("value"))
+    """(build, kind, key, value) for sets (names array, weight) all of whose names are in the build.
+
+    Where sets have a ``kind`` (synergy or anti_synergy) the components have it.
+    """
+    kind = F.col("kind") if "kind" in sets.columns else F.lit("synergy")
+    each = sets.withColumn("_kind", kind).withColumns({"_set": F.array_join(F.array_sort("names"), "+"), "_n": F.size(F.array_distinct("names"))}).withColumn("name", F.explode(F.array_distinct("names")))
+    met = members.select("build", "name").distinct().join(each, "name").groupBy("build", "_kind", "_set", "_n", "weight").agg(F.count("*").alias("_m")).filter("_m = _n")
+    return met.select("build", F.col("_kind").alias("kind"), F.col("_set").alias("key"), F.col("weight").alias("value"))
 
 
 def build_index(components: DataFrame, builds: DataFrame, baseline: float = 100.0, base: str = "medium", own_profile: bool = False) -> DataFrame:
@@ -395,7 +399,12 @@ def trust(builds: DataFrame, matches: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round(score, 6)).withColumn("label", trust_label(F.col("score")))
 
 
-def alternate_objectives(components: DataFrame, labels: DataFrame) -> DataFrame:
-    """The same components summed for each secondary role (build, role, label)."""
-    sums = components.groupBy("build").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
-    return labels.join(sums, "build").select("build", "role", "label", F.round("total", 2).alias("total"))
+def alternate_objectives(components: DataFrame, builds: DataFrame, others: DataFrame) -> DataFrame:
+    """(build, role, objective, label, index, breakdown) of each secondary role: the build's own index and parts under another name.
+
+    builds: build, role, index; others: build, role. A build's own role is left out.
+    """
+    own = builds.select("build", F.col("role").alias("_own"), "index")
+    rows = others.select("build", "role").distinct().join(own, "build").filter("role <> _own").join(breakdown(components), "build", "left")
+    what = objective(F.col("role"))
+    return rows.select("build", "role", what["id"].alias("objective"), what["label"].alias("label"), "index", F.coalesce("breakdown", F.lit("")).alias("breakdown"))

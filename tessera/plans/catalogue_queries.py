@@ -64,14 +64,14 @@ def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part of an order, active or not, whose key isn't a multiple of 3, as an action."""
+    """Every part of an order, active or not, as an action."""
     m = members(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("node") == F.col("p_partkey"))
     return m.select(
         "build", "node", F.concat(F.lit("k"), F.col("node").cast("string")).alias("key"), F.col("p_name").alias("name"), pick(CATEGORIES, (F.col("build") + F.col("node")) % 8).alias("category"), F.col("p_size").alias("priority"), F.when(F.col("p_size") % 2 == 0, "low").otherwise("medium").alias("confidence")
-    ).filter("node % 3 <> 0")
+    )
 
 
-ACTIONS_SQL = f"""ac AS (SELECT build, node, 'k' || node AS key, p_name AS name, {pick_sql(CATEGORIES, '(build + node) % 8')} AS category, p_size AS priority, CASE WHEN p_size % 2 = 0 THEN 'low' ELSE 'medium' END AS confidence FROM mb JOIN part ON node = p_partkey WHERE node % 3 <> 0)"""
+ACTIONS_SQL = f"""ac AS (SELECT build, node, 'k' || node AS key, p_name AS name, {pick_sql(CATEGORIES, '(build + node) % 8')} AS category, p_size AS priority, CASE WHEN p_size % 2 = 0 THEN 'low' ELSE 'medium' END AS confidence FROM mb JOIN part ON node = p_partkey)"""
 
 
 # Node states, marginal values, prerequisites

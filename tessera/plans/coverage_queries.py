@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators import cube, diff, discover, reconcile, relational, report, rules, score, snapshots
 from tessera.plans.catalogue_queries import MEMBERS_SQL, NODES_SQL, members, part_nodes
 from tessera.plans.common import table
+from tessera.plans.graph_queries import TABLES
+from tessera.sources import writers
 
 
 def scope_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +143,26 @@ def roster_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROSTER_SQL = """SELECT i AS id, 'missing' AS finding, 1 AS n FROM range(3, 30) t(i) WHERE i NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT s_nationkey, 'unexpected', 1 FROM supplier WHERE s_nationkey NOT BETWEEN 3 AND 29 UNION ALL SELECT s_nationkey % 5, 'unmapped', count(*) FROM supplier WHERE s_nationkey % 5 IN (2, 4) GROUP BY 1"""
 
 
+def value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the reasons why fields of theirs were not decoded."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.create_map(F.lit("school"), F.when(k % 7 == 0, "value_out_of_domain").when(k % 3 == 0, "absent"), F.lit("power"), F.when(k % 11 == 0, "value_out_of_domain")).alias("reasons"))
+    return writers.value_gate(rows)
+
+
+def band_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of suppliers by bands of their ids: how many are of the middle one, and which are of none."""
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"))
+    return reconcile.band_cardinality(ids, [(0, 4, "low"), (5, 14, "middle"), (20, 99, "high")], "middle", 10)
+
+
 def sized_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and bytes of every table's files."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
-    rows = snapshots.manifest({n: table(spark, sf_dir, n) for n in names}, "g1", paths={n: f"{sf_dir}/{n}.parquet" for n in names})
+    rows = snapshots.manifest({n: table(spark, sf_dir, n) for n in TABLES}, "g1", paths={n: f"{sf_dir}/{n}.parquet" for n in TABLES})
     return rows.select("name", "records", (F.col("bytes") > 0).alias("sized"), (F.length("content_hash") > 0).alias("hashed"))
 
 
-MANIFEST_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS records, true AS sized, true AS hashed FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"))
+MANIFEST_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS records, true AS sized, true AS hashed FROM {n}" for n in TABLES)
 
 
 QUERIES = {
@@ -168,4 +182,6 @@ QUERIES = {
     "indexed_tables": (indexed_tables, INDEXED_SQL),
     "roster_drift": (roster_drift, ROSTER_SQL),
     "sized_manifest": (sized_manifest, MANIFEST_SQL),
+    "value_gate": (value_gate, "SELECT count(*) FILTER (p_partkey % 7 = 0 OR p_partkey % 11 = 0) AS records_with_withheld_value, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 11 <> 0) AS records_all_in_domain FROM part"),
+    "band_cardinality": (band_cardinality, "WITH i AS (SELECT DISTINCT s_nationkey AS i FROM supplier) SELECT count(*) FILTER (i BETWEEN 5 AND 14) AS n, count(*) FILTER (i BETWEEN 5 AND 14) = 10 AS as_expected, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (i BETWEEN 15 AND 19 OR i > 99), '') AS unknown_ids FROM i"),
 }

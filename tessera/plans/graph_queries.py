@@ -12,6 +12,7 @@ from tessera.operators import events as ev
 from tessera.plans.common import canonical_events, table
 from tessera.sources import readers, writers
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 CELLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
@@ -62,7 +63,7 @@ def enum_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def majority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _wide(spark, sf_dir).select(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("label"))
-    return discover.majority_labels(_cells(spark, sf_dir).filter("col = 3"), labels)
+    return discover.majority_labels(_cells(spark, sf_dir), labels)
 
 
 def recon_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +343,7 @@ def cube_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("nation", "part", "orders")
-    return snapshots.manifest({n: table(spark, sf_dir, n) for n in names}, "g1").select("name", "records")
+    return snapshots.manifest({n: table(spark, sf_dir, n) for n in TABLES}, "g1").select("name", "records")
 
 
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,9 +387,19 @@ def empirical_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alternate_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("build"), F.col("l_quantity").alias("value"))
-    roles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("build"), F.explode(F.split(F.when(F.col("o_orderkey") % 2 == 0, "healer").otherwise("tank,support"), ",")).alias("role"), F.col("o_orderpriority").alias("label"))
-    return score.alternate_objectives(line, roles)
+    """Orders under the names of secondary roles, their own left out."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("build"), F.lit("flag").alias("kind"), F.col("l_returnflag").alias("key"), F.col("l_quantity").alias("value"))
+    k = F.col("o_orderkey")
+    builds = table(spark, sf_dir, "orders").select(k.alias("build"), F.when(k % 3 == 0, "healer").otherwise("melee_dps").alias("role"), F.round("o_totalprice", 2).alias("index"))
+    others = table(spark, sf_dir, "orders").select(k.alias("build"), F.explode(F.split(F.when(k % 2 == 0, "healer").otherwise("tank,support"), ",")).alias("role"))
+    return score.alternate_objectives(line, builds, others)
+
+
+def label_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which column of the wide table holds the line number that is known by name only; a tenth of the names are wrong."""
+    k = F.col("l_orderkey")
+    labels = _wide(spark, sf_dir).select(k.alias("row_id"), F.when(k % 10 == 0, "stale").otherwise(F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))).alias("label"))
+    return discover.label_column(_cells(spark, sf_dir), labels)
 
 
 def layout_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,8 +423,15 @@ SELECT user_id AS player, upper(event_type) AS name, round(count(*) + any_value(
     ),
     "alternate_objectives": (
         alternate_objectives,
-        """WITH t AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS build, unnest(string_split(CASE WHEN o_orderkey % 2 = 0 THEN 'healer' ELSE 'tank,support' END, ',')) AS role, o_orderpriority AS label, total FROM orders JOIN t ON l_orderkey = o_orderkey""",
+        """WITH b AS (SELECT l_orderkey AS build, string_agg(e, ';' ORDER BY e) AS breakdown FROM (SELECT l_orderkey, 'flag:' || l_returnflag || '=' || printf('%.2f', sum(l_quantity)::DOUBLE) AS e FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY 1),
+o AS (SELECT o_orderkey AS build, CASE WHEN o_orderkey % 3 = 0 THEN 'healer' ELSE 'melee_dps' END AS own, round(o_totalprice, 2) AS index, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['healer'] ELSE ['tank', 'support'] END) AS role FROM orders)
+SELECT o.build, role, CASE role WHEN 'healer' THEN 'healing' WHEN 'tank' THEN 'survival_threat' ELSE 'support' END AS objective, CASE role WHEN 'healer' THEN 'Projected Healing Index' WHEN 'tank' THEN 'Projected Survival/Threat Index' ELSE 'Projected Support Index' END AS label, index, coalesce(breakdown, '') AS breakdown FROM o LEFT JOIN b ON b.build = o.build WHERE role <> own""",
+    ),
+    "label_column": (
+        label_column,
+        f"""WITH {CELLS_SQL}, t AS (SELECT col, val, CASE WHEN w.l_orderkey % 10 = 0 THEN 'stale' ELSE 'n' || l_linenumber END AS label, count(*) AS n FROM c JOIN w ON w.l_orderkey = row_id GROUP BY ALL), b AS (SELECT col, val, arg_max(label, (n, label)) AS label, max(n) AS top, sum(n) AS al FROM t GROUP BY ALL),
+s AS (SELECT col, count(*) AS v, count(DISTINCT label) AS l, sum(top) / sum(al) AS score, sum(al)::BIGINT AS n, string_agg(val || ':' || label, ',' ORDER BY val) AS mapping FROM b GROUP BY col)
+SELECT col, round(score, 4)::DOUBLE AS score, n, mapping FROM s WHERE n >= 50 AND v >= 2 AND v = l AND score >= 0.85 ORDER BY score DESC, col LIMIT 1""",
     ),
     "layout_overlay": (
         layout_overlay,
@@ -438,7 +455,7 @@ SELECT 'supplier' AS field, col, round(score, 4) AS score, round(score - next, 4
     ),
     "anchor_columns": (anchor_columns, f"WITH {CELLS_SQL} SELECT 'part' AS name, c.col, count(*) AS anchors, 'unique' AS status FROM c JOIN w ON row_id = w.l_orderkey GROUP BY c.col HAVING bool_and(val = l_partkey)"),
     "enum_domain": (enum_domain, f"WITH {CELLS_SQL} SELECT col, count(DISTINCT val) AS symbols, count(DISTINCT val) FILTER (val NOT BETWEEN 1 AND 5) AS unknown_symbols, count(*) FILTER (val NOT BETWEEN 1 AND 5) AS unknown_rows FROM c GROUP BY col"),
-    "majority_labels": (majority_labels, f"WITH {CELLS_SQL} SELECT col, count(DISTINCT val) AS \"values\", 1.0::DOUBLE AS score, count(*) AS n FROM c WHERE col = 3 GROUP BY col"),
+    "majority_labels": (majority_labels, f"WITH {CELLS_SQL}, t AS (SELECT col, val, 'n' || l_linenumber AS label, count(*) AS n FROM c JOIN w ON w.l_orderkey = row_id GROUP BY ALL), b AS (SELECT col, val, arg_max(label, (n, label)) AS label, max(n) AS top, sum(n) AS al FROM t GROUP BY ALL) SELECT col, count(*) AS \"values\", round(sum(top) / sum(al), 4)::DOUBLE AS score, sum(al)::BIGINT AS n FROM b GROUP BY col HAVING count(*) >= 2 AND count(*) = count(DISTINCT label)"),
     "recon_status": (recon_status, f"WITH {RATES} SELECT 0 AS missing, CASE WHEN n > 1 THEN n ELSE 0 END AS ambiguous, u AS unlike_policy, n + 1 AS findings, CASE WHEN n > 1 THEN 'blocked' WHEN u = 0 THEN 'verified' ELSE 'review_required' END AS verdict FROM (SELECT count(*) AS n, count(*) FILTER (col > 2) AS u FROM r WHERE hits / nonzero >= 0.99 AND distinct_values >= 2)"),
     "edges_dedupe": (
         edges_dedupe,
@@ -576,7 +593,7 @@ SELECT p_partkey, p_partkey % 12 AS c, p_size::BIGINT AS l, value, value IS NULL
 SELECT 0 AS not_finite, 0 AS repeated, count(*) FILTER (s >= 50) AS out_of_range, count(*) AS "rows", count(*) AS emitted, (SELECT count(*) FROM part) - count(*) AS padding, count(*) AS checked, count(*) FILTER (abs(value - round(value, 1)) <= 0.01) AS equal,
        count(*) FILTER (abs(value - round(value, 1)) > 0.01) AS different, CASE WHEN bool_or(abs(value - round(value, 1)) > 0.01) THEN 'mismatch' ELSE 'match' END AS status FROM i""",
     ),
-    "dataset_manifest": (dataset_manifest, "SELECT 'nation' AS name, count(*) AS records FROM nation UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders"),
+    "dataset_manifest": (dataset_manifest, " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS records FROM {n}" for n in TABLES)),
     "manifest_check": (manifest_check, "SELECT 'orders' AS name, 'missing' AS finding FROM orders GROUP BY 1 UNION ALL SELECT 'supplier', 'not_recorded' FROM supplier GROUP BY 1 UNION ALL SELECT 'part', 'hash_mismatch' FROM part GROUP BY 1"),
     "retention": (retention, "SELECT o_orderkey::VARCHAR AS generation, o_orderdate AS published_at FROM orders WHERE o_orderkey NOT IN (76, 77) AND o_orderdate < TIMESTAMP '1999-01-01' - INTERVAL 365 DAYS"),
     "class_summary": (

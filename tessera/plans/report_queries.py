@@ -166,6 +166,41 @@ SECTIONS_SQL = f"""WITH {MEMBERS_SQL}, {BUILDS_SQL}, {ACTIONS_SQL}, s AS (SELECT
 SELECT build, {PLACE_SQL}::INT AS at, section, string_agg(name || '|' || CASE WHEN priority > 25 THEN 'rage>=' || priority ELSE '' END || '|' || confidence, ';' ORDER BY priority, o, name, key) AS actions FROM s GROUP BY ALL"""
 
 
+def loop_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a guide says of every order's rotation, one line per list."""
+    said = report.loop_sentences(build_actions(spark, sf_dir))
+    return said.select("build", *[F.array_join(c, " ").alias(c) for c in ("opener", "core_loop", "cooldowns")])
+
+
+def guide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority lines with notes, and the guide's sentence, of every part as an action of some section."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(k.alias("node"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.when(z % 3 == 0, F.concat(F.lit("rage>="), z.cast("string"))).alias("condition"), F.when(k % 4 == 0, F.array(F.col("p_type"), F.lit("unused"))).otherwise(F.array().cast("array<string>")).alias("notes"), "p_name", pick((*report.SENTENCES, "other"), k % 10).alias("section"))
+    return report.priority_lines(rows).select("node", "line", report.rule_sentence(F.col("section"), F.col("p_name"), F.col("condition")).alias("sentence"))
+
+
+def _sentence_sql() -> str:
+    every = " ".join(f"WHEN {i} THEN {_said(text, 'p_name')}" for i, text in enumerate(report.SENTENCES.values()))
+    return f"CASE WHEN p_partkey % 10 = 2 AND p_size % 3 = 0 THEN {_said(report.KEEP_ACTIVE, 'p_name')} ELSE CASE p_partkey % 10 {every} ELSE {_said(report.ANY_SECTION, 'p_name')} END END"
+
+
+def _said(text: str, name: str) -> str:
+    before, after = text.split("{}")
+    return f"'{before}' || {name} || '{after}'"
+
+
+def _loop_sql() -> str:
+    spoken = lambda x: f"CASE len({x}) WHEN 1 THEN {x}[1] WHEN 2 THEN {x}[1] || ' and ' || {x}[2] ELSE array_to_string({x}[1:len({x}) - 1], ', ') || ', and ' || {x}[len({x})] END"
+    kinds, lines = ("maintenance", "cooldown", "builder", "spender", "filler"), report.LOOP_SENTENCES
+    lists = ", ".join(f"coalesce(list(name ORDER BY p, k) FILTER (category = '{c}'), []) AS {c}" for c in kinds)
+    both = "len(builder) > 0 AND len(spender) > 0"
+    loop = [f"CASE WHEN len(maintenance) > 0 THEN {_said(lines['maintenance'], spoken('maintenance'))} END", f"CASE WHEN {both} THEN {_said(lines['both'][0], spoken('builder'))} END"]
+    loop += [f"CASE WHEN {both} THEN {_said(lines['both'][1], spoken('spender'))} WHEN len(spender) > 0 THEN {_said(lines['spender'], spoken('spender'))} WHEN len(builder) > 0 THEN {_said(lines['builder'], spoken('builder'))} END", f"CASE WHEN len(filler) > 0 THEN {_said(lines['filler'], spoken('filler'))} END"]
+    each = lambda text, x: f"array_to_string(list_transform({x}, lambda n: {_said(text, 'n')}), ' ')"
+    return f"""WITH {MEMBERS_SQL}, {ACTIONS_SQL}, o AS (SELECT build, category, name, min((priority, key)).priority AS p, arg_min(key, (priority, key)) AS k FROM ac GROUP BY ALL), g AS (SELECT build, {lists} FROM o GROUP BY build)
+SELECT build, {each(report.OPENER_SENTENCE, 'cooldown[1:2]')} AS opener, concat_ws(' ', {', '.join(loop)}) AS core_loop, {each(report.COOLDOWN_SENTENCE, 'cooldown')} AS cooldowns FROM g"""
+
+
 def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, sr.Catalogue, DataFrame]:
     catalogue = _catalogue(spark, sf_dir)
     scopes = _scopes(catalogue.nodes)
@@ -238,6 +273,8 @@ QUERIES = {
     "action_warnings": (action_warnings, f"WITH {ORDERS_SQL}, {TOLD.format('(SELECT l_orderkey AS build, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)')} SELECT build, array_to_string(told, ';') AS warnings FROM tw"),
     "gear_report": (gear_report, _gear_sql()),
     "usage_sections": (usage_sections, SECTIONS_SQL),
+    "loop_sentences": (loop_sentences, _loop_sql().replace("min((priority, key)).priority AS p", "min(priority) AS p")),
+    "guide_lines": (guide_lines, f"SELECT p_partkey AS node, 'actions+=/k' || p_partkey || CASE WHEN p_size % 3 = 0 THEN ',if=rage>=' || p_size ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN '  # ' || p_type ELSE '' END AS line, {_sentence_sql()} AS sentence FROM part"),
     "spec_report": (spec_report, REPORT_SQL),
     "scope_results": (scope_results, SCOPE_RESULTS_SQL),
     "nested_report": (nested_report, NESTED_SQL),

@@ -28,6 +28,12 @@ def write_projection(df: DataFrame, keys: list[str], keep, path: str) -> DataFra
     return df.withColumn("withheld", ~F.coalesce(keep, F.lit(False))).groupBy("withheld", "confidence").agg(F.count("*").alias("n"))
 
 
+def value_gate(projected: DataFrame, reasons: str = "reasons") -> DataFrame:
+    """One row: records of which some value was withheld as out of its domain, and the others. ``reasons``: field to why it was not decoded."""
+    out = F.array_contains(F.map_values(reasons), "value_out_of_domain")
+    return projected.agg(F.count_if(F.coalesce(out, F.lit(False))).alias("records_with_withheld_value"), F.count_if(~F.coalesce(out, F.lit(False))).alias("records_all_in_domain"))
+
+
 def write_counts_tsv(df: DataFrame, keys: list[str], path: str) -> None:
     """A sorted listing of counts."""
     df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).write.csv(path, sep="\t", header=True)
