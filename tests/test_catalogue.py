@@ -132,8 +132,8 @@ def test_tooltips_and_enrichment(spark):
     client = spark.createDataFrame([(10, "other", 3)], "spell long, name string, cast_ms int")
     wide = enrichment.three_sources(entries, side, client)
     assert {r["spell"]: (r["fetched_usable"], r["reference"]) for r in wide.collect()} == {10: (True, "other"), 12: (False, "C")}
-    level = {r["spell"]: (r["value"], r["source"], r["warning"]) for r in enrichment.single_source(wide, "name").collect()}
-    assert level == {10: ("OTHER!", "fetched", None), 12: (None, None, "identity_mismatch")}
+    level = {r["spell"]: (r["value"], r["source"], r["ineligible"]) for r in enrichment.single_source(wide, "name").collect()}
+    assert level == {10: ("OTHER!", "fetched", None), 12: (None, None, "db_identity_mismatch")}
 
 
 def test_stat_totals(spark):
