@@ -168,14 +168,15 @@ def node_states(nodes: DataFrame, selected: DataFrame, free: DataFrame, availabl
     return out.withColumn("state", state).drop("_free", "_selected", "_available", "_codes")
 
 
-# The levels that have an award.
+# The levels that have an award by the rules.
 FIRST_AWARD, LAST_AWARD = 10, 60
 
 
-def award_schedule(levels: DataFrame) -> DataFrame:
-    """Awards alternate by the parity of the level, from 10 to 60; other levels have none. Running sums are the budgets."""
-    w = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    some = levels.filter(F.col("level").between(FIRST_AWARD, LAST_AWARD))
+def award_schedule(levels: DataFrame, first: int | None = FIRST_AWARD, last: int | None = LAST_AWARD) -> DataFrame:
+    """Awards alternate by the parity of the level, from ``first`` to ``last`` (None: no bound); other levels have none. Running sums are the budgets; a null level comes last."""
+    w = Window.orderBy(F.col("level").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    some = levels if first is None else levels.filter(F.col("level") >= first)
+    some = some if last is None else some.filter(F.col("level") <= last)
     awards = some.withColumns({"ae_award": (F.col("level") % 2 == 0).cast("int"), "te_award": (F.col("level") % 2 == 1).cast("int")})
     return awards.withColumns({"ae_total": F.sum("ae_award").over(w), "te_total": F.sum("te_award").over(w)})
 

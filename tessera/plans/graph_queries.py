@@ -194,7 +194,8 @@ def frontier_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def award_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bd.award_schedule(table(spark, sf_dir, "part").select(F.col("p_size").alias("level")).distinct())
+    # Every size of a part stands for a level, so the table bounds the schedule and not the rules.
+    return bd.award_schedule(table(spark, sf_dir, "part").select(F.col("p_size").alias("level")).distinct(), first=None, last=None)
 
 
 # Scores
@@ -509,7 +510,7 @@ UNION ALL SELECT v.build, 'required_node_missing', v.node FROM v WHERE v.node %
         """WITH c AS (SELECT p_brand AS scope, p_partkey AS node, p_size % 3 AS ae, p_size % 2 AS te, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS b FROM part WHERE p_size <= 40 AND p_size % 3 <= 4 AND p_size % 2 <= 3 AND p_partkey % 3 <> 0)
 SELECT scope, node::VARCHAR AS state, 4 - ae AS ae_left, 3 - te AS te_left, ae + te AS spend FROM c WHERE b <= 10 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY ae + te DESC, node::VARCHAR) <= 5""",
     ),
-    "award_schedule": (award_schedule, "WITH l AS (SELECT DISTINCT p_size AS level FROM part WHERE p_size BETWEEN 10 AND 60), a AS (SELECT level, (level % 2 = 0)::INT AS ae_award, (level % 2 = 1)::INT AS te_award FROM l) SELECT *, sum(ae_award) OVER (ORDER BY level) AS ae_total, sum(te_award) OVER (ORDER BY level) AS te_total FROM a"),
+    "award_schedule": (award_schedule, "WITH l AS (SELECT DISTINCT p_size AS level FROM part), a AS (SELECT level, (level % 2 = 0)::INT AS ae_award, (level % 2 = 1)::INT AS te_award FROM l) SELECT *, sum(ae_award) OVER (ORDER BY level) AS ae_total, sum(te_award) OVER (ORDER BY level) AS te_total FROM a"),
     "node_scores": (
         node_scores,
         """WITH t AS (SELECT p_type, (max(p_size) % 7)::DOUBLE AS w FROM part GROUP BY 1),

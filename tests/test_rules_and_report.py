@@ -126,6 +126,15 @@ def test_awards_are_from_ten_to_sixty(spark):
     assert tuple(got) == (10, 60, 26, 25)
 
 
+def test_the_schedule_of_the_table_has_every_level(spark, tmp_path):
+    from tessera.plans import queries
+
+    sizes = [(1,), (2,), (9,), (9,), (10,), (61,), (None,)]
+    spark.createDataFrame(sizes, "p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in queries.queries()["award_schedule"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 0, 1, 0, 1), (2, 1, 0, 1, 1), (9, 0, 1, 1, 2), (10, 1, 0, 2, 2), (61, 0, 1, 2, 3), (None, None, None, 2, 3)]
+
+
 def test_layers_out_of_order(spark):
     rows = [("k", "base", 0, 0), ("k", "patch-3", 3, 1), ("k", "patch-2", 2, 2), ("m", "patch-1", 1, 0), ("m", "patch-2", 2, 1)]
     got = relational.order_inversions(spark.createDataFrame(rows, "key string, layer string, d int, l int"), ["key"], F.col("d"), F.col("l")).collect()
