@@ -27,6 +27,7 @@ table writes no shard and reads back as an empty result.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
@@ -81,6 +82,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library would start a thread for each of the machine
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,22 +99,22 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(m.ids, dtype="<u4").tobytes() for m in made]
 
-    def _learnt(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learnt(self, pieces: list[str]) -> list[bytes]:
         """The ids of new pieces; words with a space before them are encoded together."""
-        words = pc.match_substring_regex(pa.array(pieces, pa.large_string()), rf"\A [^{BLANK}]+\z").to_pylist()
-        others = [p for p, word in zip(pieces, words, strict=True) if not word]
-        out = dict(zip(others, self._plain(others), strict=True))
+        words = pc.match_substring_regex(pa.array(pieces, pa.large_string()), rf"\A [^{BLANK}]+\z").to_numpy(zero_copy_only=False).tolist()
+        others = iter(self._plain([p for p, word in zip(pieces, words, strict=True) if not word]))
         many = [p for p, word in zip(pieces, words, strict=True) if word]
-        groups = [many[i : i + 256] for i in range(0, len(many), 256)]
+        groups, told = [many[i : i + 256] for i in range(0, len(many), 256)], []
         for group, one in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
             ids = np.array(one.ids, dtype="<u4")
             cuts = (4 * np.flatnonzero(self.starts[ids])).tolist()
             if len(cuts) == len(group):
                 raw = ids.tobytes()
-                out.update((p, raw[s:e]) for p, s, e in zip(group, cuts, [*cuts[1:], len(raw)], strict=True))
+                told += [raw[s:e] for s, e in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
             else:
-                out.update(zip(group, self._plain(group), strict=True))
-        return out
+                told += self._plain(group)
+        told = iter(told)
+        return [next(told if word else others) for word in words]
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         if len(self.young) > self.cache_pieces:
@@ -120,11 +122,14 @@ class Encoder:
         found = list(map(self.young.get, pieces))
         missing = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
         if missing:
-            again = {p: ids for p, ids in zip(missing, map(self.old.get, missing), strict=True) if ids is not None}
-            self.young.update(again)
-            if len(again) < len(missing):
-                self.young.update(self._learnt([p for p in missing if p not in again]))
-            found = list(map(self.young.get, pieces))
+            again = list(map(self.old.get, missing))
+            new = [p for p, ids in zip(missing, again, strict=True) if ids is None]
+            if new:
+                learnt = iter(self._learnt(new))
+                again = [next(learnt) if ids is None else ids for ids in again]
+            self.young.update(zip(missing, again, strict=True))
+            rest = iter(again)
+            found = [next(rest) if ids is None else ids for ids in found]
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:

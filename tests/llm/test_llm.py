@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import re
 import struct
 import time
@@ -711,3 +712,13 @@ def test_integer_ids_are_taken(spark):
     assert {r["doc_id"] for r in quality_fm.score_quality(docs, machine).collect()} == {1, None}
     assert {r["doc_id"] for r in secrets.scan_secrets(docs).collect()} == {1, None}
     assert {r["doc_id"] for r in substring_dedup.dedup_substrings(docs).collect()} == {1, None}
+
+
+def test_encoding_starts_no_threads():
+    """A task has one core, so a worker's encoder keeps to its own thread."""
+    import subprocess
+    import sys
+
+    code = "import os, pyarrow as pa\nfrom tessera.llm import token_frames as t\ne = t.Encoder(t.default_tokenizer())\nn = len(os.listdir('/proc/self/task'))\ne.encode(pa.array([f'w{i} x{i}\\n' * 3 for i in range(3000)]))\nprint(len(os.listdir('/proc/self/task')) - n)"
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120).stdout.strip() == "0"
