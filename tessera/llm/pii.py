@@ -15,9 +15,9 @@ Corpora rarely hold failing quads, so each valid one is also given with an octet
 out of range. The features leave out what makes an example positive
 by definition: they give measures (the Luhn remainder, the largest and smallest
 number, at and dot words, the last label), not the verdicts of the base formats.
-``TRAIN_DOCS`` bounds the sample of documents, ``TRAIN_SPANS`` the candidates; the sample is
-drawn by hash of the id, so reruns agree. A third of its texts is held out to set the
-thresholds: the lowest score from which the precision on the held-out spans is
+Every document gives its candidates, and all of them count: equal examples are
+one row with their number as its weight. A third of the texts is held out to set the
+thresholds: the lowest score (in steps of 0.0001) from which the precision on the held-out spans is
 at least ``PRECISION``; a kind without examples of both labels gets no spans
 beyond the base.
 
@@ -29,8 +29,10 @@ n log n steps.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.spans import Cover, Span, digest, joined, per_document
-from tessera.session import materialize, scratch
+from tessera.llm.spans import Cover, Span, digest, freed, joined, per_document
+from tessera.session import bound_batches, materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_SPANS, PRECISION = 4_000, 20_000, 0.98
-TREES, DEPTH = 10, 3
+PRECISION = 0.98
+TREES, DEPTH, LEAST_BINS = 10, 3, 16
 
 # The base formats, written so that every scan is linear.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -59,6 +61,9 @@ WIDE = {
     "card": re.compile(r"(?<![0-9])[0-9]{3,6}(?:[\x20./-]?[0-9]{3,6}){2,5}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:00[1-9][0-9]{0,2}[\x20.-])?\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"),
 }
+# Where the wide forms can be: an address has one of these marks, the other kinds lie in such a run.
+MARK = re.compile(r"\(at\)|\[at\]|\x20at(?=\x20)")
+RUN = re.compile(r"[0-9(][0-9\x20./()\[\]-]{6,}")
 CUES = {
     "email": re.compile(r"mail|contact|write|@", re.IGNORECASE),
     "ip": re.compile(r"\bip\b|host|server|address|login", re.IGNORECASE),
@@ -191,13 +196,25 @@ def base_matches(text: str) -> list[tuple[Span, bool]]:
     return out
 
 
+def _spelled(text: str) -> list[Span]:
+    """The matches of the wide form of an address, found from its marks: each takes the run of local characters before it."""
+    out, free = [], 0
+    for mark in MARK.finditer(text):
+        end = mark.start() - (text[mark.start() - 1 : mark.start()] == " ")
+        start = end
+        while start > free and end - start < 64 and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        if end - start >= 2 and (m := WIDE["email"].match(text, start)):
+            out.append(("email", start, m.end()))
+            free = m.end()
+    return out
+
+
 def wide_candidates(text: str) -> list[Span]:
     """Overlapping proposals of the high-recall generators."""
-    found = []
-    for kind, pattern in WIDE.items():
-        if kind == "email" and "at" not in text:
-            continue
-        found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+    found, runs = _spelled(text), [m.span() for m in RUN.finditer(text)]
+    for kind in KINDS[1:]:
+        found += [(kind, m.start(), m.end()) for start, end in runs for m in WIDE[kind].finditer(text, start, end)]
     return found
 
 
@@ -247,6 +264,7 @@ class Model:
     thresholds: dict[str, float]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        """In steps of 0.0001, so that all held-out examples can be counted by score."""
         margin = np.zeros(len(x))
         for (feature, threshold, left, right, value), weight in zip(self.trees, self.weights, strict=True):
             at = np.zeros(len(x), dtype=np.int64)
@@ -255,7 +273,7 @@ class Model:
                 goes = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
                 at = np.where(inner, np.where(goes, left[at], right[at]), at)
             margin += weight * value[at]
-        return 1 / (1 + np.exp(-2 * margin))
+        return np.round(1 / (1 + np.exp(-2 * margin)), 4)
 
 
 NO_MODEL = Model((), (), dict.fromkeys(KINDS, 2.0))
@@ -280,60 +298,71 @@ def _tree_arrays(root) -> tuple:
     return tuple(np.array(c, dtype=np.int64 if i in (0, 2, 3) else np.float64) for i, c in enumerate(columns))
 
 
-def training_spans(docs: DataFrame, max_docs: int, max_spans: int) -> DataFrame:
-    """Labelled candidates of a bounded sample of documents: kind, label, held_out, features."""
-    n = docs.count()
-    if n > max_docs:
-        # By id and text: a null id leaves the hash as it is, so rows without ids are drawn one by one too.
-        docs = docs.filter(F.pmod(F.xxhash64(F.lit("pii"), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
+EXAMPLE = "kind string, label double, held_out boolean, x array<double>, n long"
+
+
+def training_spans(docs: DataFrame) -> DataFrame:
+    """Labelled candidates of all documents: kind, label, held_out, features, and how many are alike."""
 
     def run(batches):
         for batch in batches:
-            rows = []
+            alike = Counter()
             for text in batch["text"].to_pylist():
                 held = zlib.crc32((text or "").encode()) % 3 == 0  # all candidates of a text go the same way
-                rows += [(kind, label, held, x) for kind, label, x in examples(text or "")]
-            if rows:
-                kinds, labels, helds, xs = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(labels), pa.array(helds), pa.array(xs, pa.list_(pa.float64()))], names=["kind", "label", "held_out", "x"])
+                alike.update((kind, label, held, tuple(x)) for kind, label, x in examples(text or ""))
+            if alike:
+                kinds, labels, helds, xs = zip(*alike, strict=True)
+                columns = [pa.array(kinds), pa.array(labels), pa.array(helds), pa.array(xs, pa.list_(pa.float64())), pa.array(alike.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "label", "held_out", "x", "n"])
 
-    return docs.select("text").mapInArrow(run, "kind string, label double, held_out boolean, x array<double>").orderBy(F.xxhash64("x", "label", "kind"), "x", "label").limit(max_spans)
+    bound_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(lambda it: freed(run(it)), EXAMPLE).groupBy("kind", "label", "held_out", "x").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_spans: int = TRAIN_SPANS, precision: float = PRECISION) -> Model:
-    """Train and calibrate on a bounded sample (see the module's text)."""
+def fit(docs: DataFrame, precision: float = PRECISION) -> Model:
+    """Train and calibrate on the candidates of all documents (see the module's text)."""
     with scratch(docs.sparkSession):
-        return _fitted(materialize(training_spans(docs, max_docs, max_spans), "pii-sample").coalesce(2), precision)
+        return _fitted(materialize(training_spans(docs), "pii-examples"), precision)
 
 
-def _fitted(sample: DataFrame, precision: float) -> Model:
+def _fitted(spans: DataFrame, precision: float) -> Model:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    train = sample.filter(~F.col("held_out")).select("label", array_to_vector("x").alias("features"))
-    if {r["label"] for r in train.select("label").distinct().collect()} != {0.0, 1.0}:
+    train = spans.filter(~F.col("held_out")).select("label", F.col("n").cast("double").alias("n"), array_to_vector("x").alias("features"))
+    rows, low, high = train.agg(F.count("*"), F.min("label"), F.max("label")).first()
+    if (low, high) != (0.0, 1.0):
         return NO_MODEL
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, stepSize=0.3, seed=7).fit(train)
+    # MLlib takes split points from as many rows as the square of maxBins: with this many bins from all of them.
+    bins = max(LEAST_BINS, math.isqrt(rows) + 1)
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, seed=7, weightCol="n").fit(train)
     trees = tuple(_tree_arrays(t._java_obj.rootNode()) for t in fitted.trees)
     model = Model(trees, tuple(fitted.treeWeights), {})
-    held = sample.filter("held_out").select("kind", "label", "x").toPandas()  # at most max_spans rows
-    thresholds = {}
-    for kind in KINDS:
-        own = held[held["kind"] == kind]
-        thresholds[kind] = calibrated(model.scores(np.array(own["x"].tolist()).reshape(-1, N_FEATURES)), own["label"].to_numpy(), precision)
-    return Model(trees, model.weights, thresholds)
+    return Model(trees, model.weights, thresholds(spans.filter("held_out"), model, precision))
+
+
+def thresholds(held: DataFrame, model: Model, precision: float) -> dict[str, float]:
+    """The threshold of each kind, from all held-out candidates, counted by score (at most 10,001 of each kind)."""
+
+    def scored(batches):
+        for batch in batches:
+            x = np.array(batch["x"].to_pylist()).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch["kind"], pa.array(model.scores(x)), batch["label"], batch["n"]], names=["kind", "score", "label", "n"])
+
+    counted = held.select("kind", "label", "x", "n").mapInArrow(scored, "kind string, score double, label double, n long")
+    counts = counted.groupBy("kind", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("every")).toPandas()
+    own = {kind: counts[counts["kind"] == kind] for kind in KINDS}
+    return {kind: calibrated(*(c[k].to_numpy() for k in ("score", "good", "every")), precision) for kind, c in own.items()}
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray, precision: float, least: int = 10) -> float:
-    """The lowest score from which at least ``precision`` of the spans are positive; 2.0 if none, or too few of either label."""
-    if min(labels.sum(), len(labels) - labels.sum()) < least:
+def calibrated(scores: np.ndarray, good: np.ndarray, every: np.ndarray, precision: float, least: int = 10) -> float:
+    """The lowest of distinct scores from which at least ``precision`` of the spans are good; 2.0 if none, or too few of either label."""
+    if min(good.sum(), every.sum() - good.sum()) < least:
         return 2.0
-    order = np.argsort(-scores, kind="stable")
-    scores, labels = scores[order], labels[order]
-    share = np.cumsum(labels) / np.arange(1, len(labels) + 1)
-    last = np.append(scores[1:] != scores[:-1], True) if len(scores) else np.zeros(0, bool)
-    good = np.flatnonzero((share >= precision) & last & (np.cumsum(labels) >= least))
-    return float(scores[good[-1]]) if len(good) else 2.0
+    order = np.argsort(-scores)
+    right, met = np.cumsum(good[order]), np.cumsum(every[order])
+    enough = np.flatnonzero((right / met >= precision) & (right >= least))
+    return float(scores[order][enough[-1]]) if len(enough) else 2.0
 
 
 def select_spans(base: list[Span], candidates: list[Span], scores: np.ndarray, thresholds: dict[str, float]) -> list[Span]:

@@ -325,6 +325,30 @@ def test_pii_scores_every_kind(spark):
     assert [spelled[s:e] for _, s, e in found] == ["jane.doe (at) mail3.example (dot) com", "10[.]7[.]3[.]9"] and none == []
 
 
+def test_pii_learns_from_every_document(spark):
+    """More documents and spans than the former bounds of 4,000 and 20,000; equal ones are counted, not dropped."""
+    texts = [f"write w{i}.x{i % 7}@host{i % 5}.org or 10.{i % 250}.3.{i % 9} now" for i in range(4500)] + [None]
+    want = Counter((kind, label, zlib.crc32(t.encode()) % 3 == 0, tuple(x)) for t in texts[:-1] for kind, label, x in pii.examples(t))
+    got = pii.training_spans(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+    assert sum(want.values()) > 20_000 and len(got) == len(want)
+    assert {(r["kind"], r["label"], r["held_out"], tuple(r["x"])): r["n"] for r in got} == want
+
+
+def test_pii_thresholds_count_every_held_out_span():
+    scores, good, every = np.array([0.2, 0.9, 0.5]), np.array([0, 4900, 4999]), np.array([50, 5000, 5000])
+    assert pii.calibrated(scores, good, every, 0.98) == 0.2
+    assert pii.calibrated(scores, good, every + [1000, 0, 0], 0.98) == 0.5
+    assert pii.calibrated(scores, good, every, 0.999) == pii.calibrated(scores, good, good, 0.5) == 2.0
+
+
+def test_pii_wide_candidates_are_those_of_the_patterns():
+    rng = np.random.default_rng(5)
+    parts = ["ab", "a", ".", " ", "-", "12", "345", "1", "00", "(", ")", "[", "]", "/", "(at)", "[at]", " at ", " dot ", "(dot)", "host", "[.]", "x" * 70, "\n", "\u00e9", "\u0663", " at at ", "1234 5678 9012", "10.2.3.4"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts, rng.integers(0, 16)))
+        assert pii.wide_candidates(text) == [(k, m.start(), m.end()) for k, p in pii.WIDE.items() for m in p.finditer(text)], repr(text)
+
+
 @pytest.mark.parametrize(("body", "want"), [("a.b (at) host (dot) org", True), ("ab at host dot org", True), ("ab[at]host.org", True), ("the at home. Then", False), ("look at example.com", False), ("ab (at) 10.30", False)])
 def test_pii_spelled_out_addresses(body, want):
     assert pii.spelled_out(body) is want
