@@ -268,28 +268,53 @@ def _mark() -> Column:
     return F.xxhash64("pos", "key", "category", "condition", "priority").cast("decimal(38,0)")
 
 
-def variants(actions: DataFrame) -> DataFrame:
+#: Bytes of texts that a task digests for one list before its variants are dealt to several.
+DIGESTED = 4 << 30
+
+
+def _entry() -> Column:
+    """An action as it stands in the text of its list."""
+    return F.to_json(F.struct(F.col("key").alias("action_key"), "category", "condition", "priority"))
+
+
+def variants(actions: DataFrame, digested: int = DIGESTED) -> DataFrame:
     """(candidate, mutation, note, nth, fingerprint) of the base and all its single changes, equal lists once.
 
     actions: candidate, pos (the order of the list), key, category, condition,
     priority. Variants are kept as ledgers of changed places. The mark of a
     variant is the base's less what is replaced plus what replaces it, so equal
-    ones are found before any list is copied; the SHA-1 is made of what is left.
+    ones are found before any list is made; the SHA-1 is made of what is left.
+    A variant of one place is the base's text, cut at that place, as it is
+    digested: lists times places are never rows. The text goes to each slice of
+    a list's variants, so that no task digests much more than ``digested`` bytes
+    of a list.
     """
     base = materialize(actions.select("candidate", "pos", "key", "category", "condition", F.col("priority").cast("double").alias("priority")), "variant-base")
     ledger = materialize(threshold_changes(base).unionByName(reorder_changes(base)), "variant-ledger")
-    whole = base.groupBy("candidate").agg(F.sum(_mark()).alias("_whole"))
-    old = base.select("candidate", "pos", _mark().alias("_old"))
-    marks = ledger.withColumn("_new", _mark()).join(old, ["candidate", "pos"]).groupBy("candidate", "mutation", "note", "nth").agg(F.sum(F.col("_new") - F.col("_old")).alias("_by"))
+    size = F.octet_length(_entry()).cast("long")
+    slices = F.greatest(F.lit(1), F.ceil(F.count("*") * F.sum(size + 1) / digested)).cast("int")
+    whole = base.groupBy("candidate").agg(F.sum(_mark()).alias("_whole"), slices.alias("_slices"))
+    before = Window.partitionBy("candidate").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    old = base.select("candidate", "pos", _mark().alias("_old"), size.alias("_length")).withColumn("_at", (F.coalesce(F.sum(F.col("_length") + 1).over(before), F.lit(0)) + 1).cast("int"))
+    change = F.struct("_at", F.col("_length").cast("int").alias("_length"), _entry().alias("_new"))
+    marks = ledger.withColumn("_mark", _mark()).join(old, ["candidate", "pos"]).groupBy("candidate", "mutation", "note", "nth").agg(F.sum(F.col("_mark") - F.col("_old")).alias("_by"), F.count("*").alias("_places"), F.min(change).alias("_c"))
     marks = marks.join(whole, "candidate").withColumn("_mark", F.col("_whole") + F.col("_by"))
     first = F.struct(F.lit(0).alias("kind"), F.lit("").alias("at"), F.lit(0).alias("i"))
-    bases = whole.select("candidate", F.lit("base").alias("mutation"), F.lit("Generated APL unchanged.").alias("note"), first.alias("nth"), F.col("_whole").alias("_mark"))
-    every = marks.select("candidate", "mutation", "note", "nth", "_mark").unionByName(bases)
-    once = materialize(every.groupBy("candidate", "_mark").agg(F.min(F.struct("nth", "mutation", "note")).alias("v")).select("candidate", "v.*"), "variants")
-    rows = once.join(base, "candidate").join(ledger.select("candidate", "mutation", "note", "pos", F.struct("key", "category", "condition", "priority").alias("_c")), ["candidate", "mutation", "note", "pos"], "left")
+    bases = whole.select("candidate", F.lit("base").alias("mutation"), F.lit("Generated APL unchanged.").alias("note"), first.alias("nth"), F.lit(0).cast("long").alias("_places"), F.struct(F.lit(0).alias("_at"), F.lit(0).alias("_length"), F.lit("").alias("_new")).alias("_c"), "_slices", F.col("_whole").alias("_mark"))
+    every = marks.select(*bases.columns).unionByName(bases)
+    once = every.groupBy("candidate", "_mark").agg(F.min(F.struct("nth", "mutation", "note", "_places", "_c", "_slices")).alias("v")).select("candidate", "v.*")
+    once = materialize(once.withColumn("_slice", F.pmod(F.xxhash64("nth"), F.col("_slices")).cast("int")), "variants")
+    # One place at most: the text on both sides of it, and what replaces it, as bytes.
+    text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _entry().alias("e")))), lambda x: x["e"]), ","), F.lit("]"))
+    texts = base.groupBy("candidate").agg(text.cast("binary").alias("_text"), slices.alias("_slices")).select("candidate", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), "_text")
+    cut = F.concat(F.expr("substring(_text, 1, _c._at)"), F.col("_c._new").cast("binary"), F.expr("substring(_text, _c._at + _c._length + 1)"))
+    named = ("candidate", "mutation", "note", "nth")
+    single = once.filter("_places < 2").join(texts.hint("merge"), ["candidate", "_slice"]).select(*named, F.sha1(cut).alias("fingerprint"))
+    # Several places: the rows of the list, at most two variants a category.
+    rows = once.filter("_places > 1").select(*named).join(base, "candidate").join(ledger.select("candidate", "nth", "pos", F.struct("key", "category", "condition", "priority").alias("_c")), ["candidate", "nth", "pos"], "left")
     entry = F.struct(*[F.coalesce(F.col(f"_c.{c}"), F.col(c)).alias(n) for n, c in (("action_key", "key"), ("category", "category"), ("condition", "condition"), ("priority", "priority"))])
-    listed = rows.groupBy("candidate", "mutation", "note", "nth").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))).alias("_l"))
-    return listed.withColumn("fingerprint", F.sha1(F.to_json(F.transform("_l", lambda x: x["e"])))).drop("_l")
+    listed = rows.groupBy(*named).agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))).alias("_l"))
+    return single.unionByName(listed.select(*named, F.sha1(F.to_json(F.transform("_l", lambda x: x["e"]))).alias("fingerprint")))
 
 
 #: Categories of actions, or classes of catalogue actions, one of which a role needs.

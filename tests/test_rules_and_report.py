@@ -222,6 +222,49 @@ def test_the_fingerprint_is_of_the_list(spark):
     assert got == {"base": digest("rage>=80"), "threshold:a:rage:60": digest("rage>=60"), "threshold:a:rage:100": digest("rage>=100")}
 
 
+def list_digest(actions):
+    import hashlib
+    import json
+
+    rows = [{"action_key": k, "category": c, "condition": x, "priority": p} for _, _, k, c, x, p in actions]
+    return hashlib.sha1(json.dumps(rows, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_variants_are_cut_out_of_the_text(spark):
+    """Places count in bytes, a change met three times is one change, and slices of a list's variants give the same."""
+    rows = [("c", 1, "ä€", "builder", "rage>=80", 1.0), ("c", 2, 'q"\\', "builder", "ö&mana>=10", 2.0), ("c", 3, "f", "odd", "energy>=2000", 5.0), ("d", 1, "z", "odd", "", 1.5)]
+    actions = spark.createDataFrame(rows, "candidate string, pos int, key string, category string, condition string, priority double")
+    c, want = rows[:3], {}
+    put = lambda i, condition: [(*r[:4], condition, r[5]) if n == i else r for n, r in enumerate(c)]
+    want["c", "base"], want["d", "base"] = list_digest(c), list_digest(rows[3:])
+    for i, mutation, condition in ((0, "ä€:rage:60", "rage>=60"), (0, "ä€:rage:100", "rage>=100"), (1, 'q"\\:mana:7.5', "ö&mana>=7.5"), (1, 'q"\\:mana:12.5', "ö&mana>=12.5"), (2, "f:energy:1000", "energy>=1000")):
+        want["c", "threshold:" + mutation] = list_digest(put(i, condition))
+    a, b = c[:2]
+    want["c", "reorder_group:builder"] = list_digest([(*b[:5], 1.0), (*a[:5], 2.0), c[2]])
+    for digested in (rules.DIGESTED, 100):
+        got = rules.variants(actions, digested).collect()
+        assert {(r["candidate"], r["mutation"]): r["fingerprint"] for r in got} == want and len(got) == len(want)
+
+
+def shuffled_bytes(spark, run):
+    """Bytes that all stages of ``run`` write for shuffles."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    seen = lambda: [stages().apply(i) for i in range(stages().size())]
+    last = max((x.stageId() for x in seen()), default=-1)
+    run()
+    return sum(x.shuffleWriteBytes() for x in seen() if x.stageId() > last)
+
+
+def test_variants_of_a_long_list_are_not_shuffled(spark):
+    def moved(n):
+        actions = spark.createDataFrame([("c", i, f"k{i}", "odd", f"rage>={i + 1}", float(i)) for i in range(n)], "candidate string, pos int, key string, category string, condition string, priority double")
+        return shuffled_bytes(spark, lambda: rules.variants(actions).filter("nth.kind < 2").write.format("noop").mode("overwrite").save())
+
+    assert moved(400) < 3 * moved(200)  # there are 2 n variants of n places
+
+
 # sessions and streams
 
 T0 = dt.datetime(2024, 1, 1)
