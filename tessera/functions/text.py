@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -198,74 +199,99 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group), F.lit(""))
 
 
+def _word(first: str, rest: str) -> str:
+    """A pattern at a word's start. The first character is tested before the one on its left, since nearly all places fail there."""
+    return rf"(?i){first}(?<![A-Za-z0-9_]{first}){rest}"
+
+
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once, however often it occurs."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def level(text: Column) -> Column:
     """N of "Level N"."""
-    return first_match(text, rf"(?i){LEFT}Level\s+(\d+){RIGHT}").cast("int")
+    return first_match(text, _word("L", rf"evel\s+(\d+){RIGHT}")).cast("int")
 
 
 def required_level(text: Column) -> Column:
     """N of "Requires Level N", else of "Level N"."""
-    return F.coalesce(first_match(text, rf"(?i){LEFT}Requires Level\s+(\d+){RIGHT}").cast("int"), level(text))
+    return F.coalesce(first_match(text, _word("R", rf"equires Level\s+(\d+){RIGHT}")).cast("int"), level(text))
+
+
+# What follows a number or a unit can't be part of it, so neither gives a character back.
+_NUMBER = r"\d++(?:\.\d++)?+"
+_SECONDS, _TIMES = "sec(?:onds?|s)?+", "(?:sec(?:onds?|s)?+|min(?:utes?|s)?+)"
+
+
+def _amount(rest: str) -> str:
+    """A pattern that begins with a number."""
+    return _word(r"\d", rf"\d*+(?:\.\d++)?+\s*+{rest}{RIGHT}")
+
+
+def _first_number(match: Column) -> Column:
+    return F.regexp_extract(match, _NUMBER, 0).try_cast("double")
 
 
-_AMOUNT = r"(\d+(?:\.\d+)?)\s*"
-_SECONDS, _TIMES = "(secs|sec|seconds|second)", "(secs|sec|seconds|second|mins|min|minutes|minute)"
+def _found(text: Column, pattern: str) -> Column:
+    """The first match, empty if there is none: the text is searched once, numbers and units are taken from what was found."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0)
 
 
-def _millis(text: Column, pattern: str) -> Column:
-    amount, unit = first_match(text, pattern, 1).cast("double"), F.lower(first_match(text, pattern, 2))
-    return F.round(amount * F.when(unit.startswith("min"), 60000).otherwise(1000)).cast("long")
+def _millis(text: Column, pattern: str, minutes: bool = False) -> Column:
+    """The first number of the first match, as seconds or, where the pattern takes them, minutes."""
+    found = _found(text, pattern)
+    unit = F.when(F.contains(F.lower(found), F.lit("min")), 60000).otherwise(1000) if minutes else 1000
+    return F.round(_first_number(found) * unit).cast("long")
 
 
 def cooldown_ms(text: Column) -> Column:
-    return _millis(text, rf"(?i){LEFT}{_AMOUNT}{_TIMES}\s+cooldown{RIGHT}")
+    return _millis(text, _amount(rf"{_TIMES}\s+cooldown"), True)
 
 
 def gcd_ms(text: Column) -> Column:
-    return _millis(text, rf"(?i){LEFT}{_AMOUNT}{_SECONDS}\s+global cooldown{RIGHT}")
+    return _millis(text, _amount(rf"{_SECONDS}\s+global cooldown"))
 
 
 def cast_time_ms(text: Column) -> Column:
     """0 for "Instant", which is a value, not an absence."""
-    instant = F.regexp_like(F.coalesce(text, F.lit("")), F.lit(rf"(?i){LEFT}Instant{RIGHT}"))
-    return F.when(instant, F.lit(0).cast("long")).otherwise(_millis(text, rf"(?i){LEFT}{_AMOUNT}{_SECONDS}\s+cast{RIGHT}"))
+    instant = F.regexp_like(F.coalesce(text, F.lit("")), F.lit(_word("I", f"nstant{RIGHT}")))
+    return F.when(instant, F.lit(0).cast("long")).otherwise(_millis(text, _amount(rf"{_SECONDS}\s+cast")))
 
 
 def duration_ms(text: Column) -> Column:
-    return _millis(text, rf"(?i){LEFT}(?:lasts|over|for)\s+{_AMOUNT}{_TIMES}{RIGHT}")
+    return _millis(text, _word("[lof]", rf"(?:(?<=l)asts|(?<=o)ver|(?<=f)or)\s+{_NUMBER}\s*+{_TIMES}{RIGHT}"), True)
 
 
 def period_ms(text: Column) -> Column:
-    return _millis(text, rf"(?i){LEFT}every\s+{_AMOUNT}{_SECONDS}{RIGHT}")
+    return _millis(text, _word("e", rf"very\s+{_NUMBER}\s*+{_SECONDS}{RIGHT}"))
 
 
 def range_yards(text: Column) -> Column:
-    return first_match(text, rf"(?i){LEFT}{_AMOUNT}yd\s+range{RIGHT}").cast("double")
+    return _first_number(_found(text, _amount(r"yd\s+range")))
 
 
 def power_costs(text: Column) -> Column:
     """Array of (amount, resource) for every "Costs N Resource"."""
     stop = r"(?=\s+(?:and|to|for|when|if|Deals|Heals|Restores|Lasts|over|every|Requires)|[.,;]|\s*$)"
-    pattern = rf"(?i){LEFT}Costs?\s+(\d+(?:\.\d+)?)\s+([A-Za-z][A-Za-z ]*?){stop}"
-    value = F.coalesce(text, F.lit(""))
-    amounts, names = (F.regexp_extract_all(value, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    return F.transform(F.arrays_zip(amounts.alias("a"), names.alias("r")), lambda x: F.struct(x["a"].cast("double").alias("amount"), F.trim(x["r"]).alias("resource")))
+    pattern = _word("C", rf"osts?\s+{_NUMBER}\s+[A-Za-z][A-Za-z ]*?{stop}")
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda x: F.struct(_first_number(x).alias("amount"), F.trim(F.regexp_extract(x, r"\d\s+([A-Za-z].*)", 1)).alias("resource")))
 
 
 def stats(text: Column) -> Column:
     """Map of stat to value for every "+N Stat"; the last one of a name wins."""
-    value, pattern = F.coalesce(text, F.lit("")), rf"(?i)\+(\d+)\s+({STATS}){RIGHT}"
-    values, names = (F.regexp_extract_all(value, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    pairs = F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.struct(F.regexp_replace(F.lower(x["n"]), r"\s+", "_").alias("key"), x["v"].cast("double").alias("value")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?i)\+\d+\s+(?:{STATS}){RIGHT}"), F.lit(0))
+    pairs = F.transform(found, lambda x: F.struct(F.replace(F.lower(F.regexp_extract(x, r"\s([A-Za-z].*)", 1)), F.lit(" "), F.lit("_")).alias("key"), _first_number(x).alias("value")))
+    last = lambda some: F.filter(some, lambda x, i: ~F.exists(F.slice(some, i + 2, F.size(some)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(_let(pairs, last))
 
 
 def item_kind(text: Column) -> Column:
     """struct(item_class, item_subclass, inventory_type) from weapon or armour words."""
     value = F.lower(F.coalesce(text, F.lit("")))
-    weapon = rf"{LEFT}(one-hand|two-hand|main hand|off hand|ranged)\s+({WEAPONS}){RIGHT}"
-    armor = rf"{LEFT}(cloth|leather|mail|plate)\s+({ARMOR_SLOTS}){RIGHT}"
+    weapon = rf"([otmr](?<![a-z0-9_].)(?:(?<=o)ne-hand|(?<=t)wo-hand|(?<=m)ain hand|(?<=o)ff hand|(?<=r)anged))\s+({WEAPONS}){RIGHT}"
+    armor = rf"([clmp](?<![a-z0-9_].)(?:(?<=c)loth|(?<=l)eather|(?<=m)ail|(?<=p)late))\s+({ARMOR_SLOTS}){RIGHT}"
     w_prefix, w_kind, a_kind, a_slot = (first_match(value, p, g) for p, g in ((weapon, 1), (weapon, 2), (armor, 1), (armor, 2)))
     return F.struct(
         F.when(w_kind.isNotNull(), "weapon").when(a_kind.isNotNull(), "armor").alias("item_class"),

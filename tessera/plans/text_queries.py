@@ -37,7 +37,8 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Requires Level "), p, F.lit(". Costs "), q, F.lit(" Rage. Deals fire damage every "), F.col("l_linenumber").cast("string"), F.lit(" sec for "), q, F.lit(" min, "), q, F.lit(" yd range, "),
         F.when(F.col("l_linenumber") > 3, F.concat(q, F.lit(".5 sec cast"))).otherwise("Instant"), F.lit(", "), p, F.lit(" sec cooldown. +"), q, F.lit(" Haste and +"), p, F.lit(" Attack Power on a one-hand sword or plate chest"),
     )
-    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", text.alias("t")).distinct()
+    # The text is made of the three columns, so these alone are told apart.
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity").distinct().withColumn("t", text)
 
 
 DESCRIBED_SQL = """d AS (
@@ -49,10 +50,10 @@ DESCRIBED_SQL = """d AS (
 
 def text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    stats, costs, kind = tx.stats(t), tx.power_costs(t), tx.item_kind(t)
-    return _described(spark, sf_dir).select(
+    stats, cost = F.col("stats"), F.col("costs")
+    return _described(spark, sf_dir).withColumns({"stats": tx.stats(t), "costs": F.get(tx.power_costs(t), 0)}).select(
         "l_partkey", "l_linenumber", "l_quantity", tx.level(t).alias("level"), tx.required_level(t).alias("required_level"), tx.cooldown_ms(t).alias("cooldown_ms"), tx.cast_time_ms(t).alias("cast_time_ms"), tx.duration_ms(t).alias("duration_ms"),
-        tx.period_ms(t).alias("period_ms"), tx.range_yards(t).alias("range_yards"), F.get(costs, 0)["amount"].alias("cost"), F.get(costs, 0)["resource"].alias("resource"), stats["haste"].alias("haste"), stats["attack_power"].alias("attack_power"), kind["item_subclass"].alias("item_subclass"),
+        tx.period_ms(t).alias("period_ms"), tx.range_yards(t).alias("range_yards"), cost["amount"].alias("cost"), cost["resource"].alias("resource"), stats["haste"].alias("haste"), stats["attack_power"].alias("attack_power"), tx.item_kind(t)["item_subclass"].alias("item_subclass"),
     )
 
 

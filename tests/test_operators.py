@@ -1,6 +1,7 @@
 """Operators on literal rows: edge cases, fixtures, order independence, stream against batch."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,38 @@ def test_costs_and_stats(spark):
     assert one(spark, tx.stats(F.lit("+5 Haste +7 haste +3 Attack Power"))) == {"haste": 7.0, "attack_power": 3.0}
 
 
+@pytest.mark.parametrize(
+    ("fn", "text", "expected"),
+    [
+        (tx.cooldown_ms, "x5 sec cooldown, 1.5.2 SECONDS  Cooldown", 5200),
+        (tx.cooldown_ms, "5 secs cooldowns", None),
+        (tx.duration_ms, "before 3 sec, over\n2 Minutes", 120000),
+        (tx.period_ms, "every 2 min, every 0.5second", 500),
+        (tx.range_yards, "9yds range 7.5yd range", 7.5),
+        (tx.cast_time_ms, "instantly 3 sec cast", 3000),
+        (tx.level, "xLevel 3 LEVEL 4", 4),
+    ],
+)
+def test_words_and_numbers_are_whole(spark, fn, text, expected):
+    assert one(spark, fn(F.lit(text))) == expected
+
+
+def test_item_kinds(spark):
+    assert tuple(one(spark, tx.item_kind(F.lit("Tone-hand sword, Off Hand Fist Weapon")))) == ("weapon", "fist_weapon", "off_hand")
+    assert tuple(one(spark, tx.item_kind(F.lit("mail chests, plate legs")))) == ("armor", "plate", "legs")
+
+
+def test_a_text_is_searched_once_a_pattern(spark, tmp_path):
+    """And only the columns that the text is made of are told apart."""
+    from tessera.plans import text_queries
+
+    spark.createDataFrame([(1, 2, 3.0)], "l_partkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = text_queries.text_extract(spark, str(tmp_path))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Critical Strike") == 1 and text.count("osts?") == 1
+    assert [re.sub("#[0-9]+L?", "", line) for line in re.findall(r"Aggregate (\[.*?\])", text)] == ["[l_partkey, l_linenumber, l_quantity]"]
+
+
 def test_safe_html(spark):
     assert one(spark, tx.safe_html(F.lit('<script>x</script><span class="q" onclick="y">a</span><blink>b</blink>'))) == '<span class="q">a</span>b'
 
