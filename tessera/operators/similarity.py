@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, scratch
 
 
 def jaccard_distance(a: Column, b: Column) -> Column:
@@ -217,34 +219,44 @@ def band_floor(scores: DataFrame, scope: str, relative: float = 0.90, cut: int =
     return joined.select(scope, F.round(F.when(alone, F.greatest(F.col("_best") * 0.88, F.col("_second"))).otherwise(F.col("_floor")), 4).alias("floor"), alone.alias("widened"), F.col("_best").alias("best"))
 
 
-def select_diverse(prints: DataFrame, scope: str, key: str, k: int, least_distance: float = 0.22, measure=distance) -> DataFrame:
+def in_band(candidates: DataFrame, scope: str) -> DataFrame:
+    """The candidates (with scope and score) that reach their scope's floor, and ``best``, the scope's best score; written. Runs jobs."""
+    with scratch(candidates.sparkSession) as result:
+        floors = result(band_floor(candidates, scope).select(scope, "floor", "best"), "floors")
+    return materialize(candidates.join(floors, scope).filter(F.round("score", 4) >= F.col("floor")).drop("floor"), "eligible")
+
+
+def select_diverse(eligible: DataFrame, prints: Callable[[DataFrame], DataFrame], scope: str, key: str, k: int, least_distance: float = 0.22, measure=distance) -> DataFrame:
     """(scope, key, place): the best reliable one in the band, then those of best blended score that differ enough.
 
     All scopes in one pass per place; a candidate is only ever compared with the
-    chosen ones, at most k. prints: scope, key, score, reliability and a
-    fingerprint. Runs a job per place.
+    chosen ones, at most k. eligible: what ``in_band`` gives of scope, key, score
+    and reliability; only these columns go through the rounds. ``prints`` gives
+    the fingerprints (with scope and key) of the candidates it gets: those of
+    scopes with a choice. Runs a job per place.
     """
-    prints = materialize(prints, "prints")
-    floors = band_floor(prints, scope)
-    eligible = materialize(prints.join(floors, scope).filter(F.round("score", 4) >= F.col("floor")), "eligible")
+    columns = [scope, key, "score", "best", "reliability"]
     rank = F.struct((F.col("reliability") >= 0.5).alias("sure"), "score", "reliability")
-    first = eligible.groupBy(scope).agg(F.max(rank).alias("_top"))
+    first = eligible.groupBy(scope).agg(F.max(rank).alias("_top"), F.count("*").alias("_n"))
     same = eligible.join(first, scope).filter(rank == F.col("_top")).groupBy(scope).agg(F.min(key).alias(key))
     chosen = materialize(same.select(scope, key, F.lit(1).alias("place")), "chosen")
-    gaps = None
+    if k < 2:
+        return chosen
+    several = materialize(eligible.join(first.filter("_n > 1").select(scope), scope), "contested")
+    prints = materialize(prints(several), "prints")
+    last, gaps = chosen, None
     for place in range(2, k + 1):
-        last = chosen.filter(F.col("place") == place - 1).select(scope, key)
-        rest = eligible.join(chosen.select(scope, key), [scope, key], "left_anti")
-        have = eligible.join(last, [scope, key], "left_semi")
-        near = rest.alias("a").join(have.alias("b"), F.expr(f"a.{scope} = b.{scope}")).select(F.col(f"a.{scope}").alias(scope), F.col(f"a.{key}").alias(key), measure("a", "b").alias("_d"))
+        have = prints.join(last.select(scope, key), [scope, key], "left_semi")
+        near = prints.alias("a").join(have.alias("b"), F.expr(f"a.{scope} = b.{scope} AND a.{key} <> b.{key}")).select(F.col(f"a.{scope}").alias(scope), F.col(f"a.{key}").alias(key), measure("a", "b").alias("_d"))
+        # The gaps hold none of those chosen before.
         gaps = near if gaps is None else near.join(gaps.withColumnRenamed("_d", "_e"), [scope, key]).select(scope, key, F.least("_d", "_e").alias("_d"))
         gaps = materialize(gaps, "gaps")
         blended = F.round(0.60 * F.col("score") / F.col("best") + 0.25 * F.col("reliability") + 0.15 * F.col("_d"), 9)
-        far = gaps.filter(F.col("_d") >= least_distance).join(rest.select(scope, key, "score", "best", "reliability"), [scope, key]).withColumn("_s", F.struct(blended.alias("b"), "score"))
+        far = gaps.filter(F.col("_d") >= least_distance).join(several.select(*columns), [scope, key]).withColumn("_s", F.struct(blended.alias("b"), "score"))
         top = far.groupBy(scope).agg(F.max("_s").alias("_m"))
-        found = far.join(top, scope).filter(F.col("_s") == F.col("_m")).groupBy(scope).agg(F.min(key).alias(key)).withColumn("place", F.lit(place))
-        found = materialize(found, "chosen")
-        if found.isEmpty():
+        last = far.join(top, scope).filter(F.col("_s") == F.col("_m")).groupBy(scope).agg(F.min(key).alias(key)).withColumn("place", F.lit(place))
+        last = materialize(last, "chosen")
+        if last.isEmpty():
             break
-        chosen = chosen.unionByName(found)
+        chosen = chosen.unionByName(last)
     return chosen

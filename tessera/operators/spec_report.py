@@ -117,7 +117,8 @@ def spec_builds(catalogue: Catalogue, scopes: DataFrame, shared: str, categories
     prints = similarity.fingerprints(builds.select("scope", "build", "role", "score"), members, actions)
     played = similarity.signatures(builds.select("build", "role"), actions).drop("role").join(actions.select("build").distinct().withColumn("played", F.lit(True)), "build", "left").fillna(False, ["played"])
     prints = prints.join(played, "build").join(sure, "build")
-    chosen = similarity.select_diverse(prints, "scope", "build", effort.top, measure=similarity.blended_distance)
+    eligible = similarity.in_band(prints.select("scope", "build", "score", "reliability"), "scope")
+    chosen = similarity.select_diverse(eligible, lambda some: prints.join(some.select("build"), "build", "left_semi"), "scope", "build", effort.top, measure=similarity.blended_distance)
     chosen = materialize(chosen, "chosen-builds")
 
     few = chosen.join(builds.drop("scope"), "build").join(sure, "build").join(scopes.select("scope", "cls", "tab", "encounter"), "scope")

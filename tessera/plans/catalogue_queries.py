@@ -9,6 +9,7 @@ from tessera.functions.values import engine_role
 from tessera.operators import builds as bd
 from tessera.operators import graph, mechanics, report, rules, score, similarity
 from tessera.plans.common import table
+from tessera.session import materialize
 
 ROLES = ("melee_dps", "tank", "healer", "support", "caster_dps", "ranged_dps")
 TEXTS = (
@@ -59,13 +60,14 @@ def order_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUILDS_SQL = f"bu AS (SELECT o_orderkey AS build, o_custkey AS scope, {pick_sql(ROLES, 'o_orderkey % 6')} AS role, round(o_totalprice, 2) AS score FROM orders)"
 
 
-def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(spark, sf_dir).join(part_nodes(spark, sf_dir), "node")
+def build_nodes(spark: SparkSession, sf_dir: str, some: DataFrame | None = None) -> DataFrame:
+    """The nodes of all builds, or of some members."""
+    return (members(spark, sf_dir) if some is None else some).join(part_nodes(spark, sf_dir), "node")
 
 
-def build_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part of an order, active or not, as an action."""
-    m = members(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("node") == F.col("p_partkey"))
+def build_actions(spark: SparkSession, sf_dir: str, some: DataFrame | None = None) -> DataFrame:
+    """Every part of an order, active or not, as an action; of all builds, or of some members."""
+    m = (members(spark, sf_dir) if some is None else some).join(table(spark, sf_dir, "part"), F.col("node") == F.col("p_partkey"))
     return m.select(
         "build", "node", F.concat(F.lit("k"), F.col("node").cast("string")).alias("key"), F.col("p_name").alias("name"), pick(CATEGORIES, (F.col("build") + F.col("node")) % 8).alias("category"), F.col("p_size").alias("priority"), F.when(F.col("p_size") % 2 == 0, "low").otherwise("medium").alias("confidence")
     )
@@ -321,9 +323,12 @@ UNION ALL SELECT 'tank', 'shield,sword,mace,axe', (SELECT string_agg(DISTINCT lo
 # Likeness
 
 
-def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    builds, actions = order_builds(spark, sf_dir), build_actions(spark, sf_dir)
-    prints = similarity.fingerprints(builds.withColumn("reliability", (F.col("build") % 4) / 4), build_nodes(spark, sf_dir), actions)
+def _prints(spark: SparkSession, sf_dir: str, builds: DataFrame) -> DataFrame:
+    """Fingerprints and signatures of some builds (scope, build, role)."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("build"), F.col("l_partkey").alias("node"))
+    some = materialize(lines.join(builds.select("build"), "build", "left_semi").distinct(), "some-members")
+    actions = build_actions(spark, sf_dir, some)
+    prints = similarity.fingerprints(builds.select("scope", "build", "role"), build_nodes(spark, sf_dir, some), actions)
     played = similarity.signatures(builds.select("build", "role"), actions).drop("role").withColumn("played", F.col("build") % 10 != 0)
     return prints.join(played, "build")
 
@@ -396,7 +401,8 @@ SIGNATURE_DISTANCE_SQL = f"""round(least(1.0::DOUBLE, 0.35::DOUBLE * ({_apart('a
 
 
 def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.select_diverse(_prints(spark, sf_dir), "scope", "build", 2, measure=similarity.blended_distance)
+    builds = order_builds(spark, sf_dir).withColumn("reliability", (F.col("build") % 4) / 4)
+    return similarity.select_diverse(similarity.in_band(builds, "scope"), lambda some: _prints(spark, sf_dir, some), "scope", "build", 2, measure=similarity.blended_distance)
 
 
 def diverse_sql(reliability: str, played: str) -> str:

@@ -328,6 +328,40 @@ def test_tumbling_windows_count_late_rows_as_dropped(spark, tmp_path):
     assert es.late_rows(progress) >= 1
 
 
+def test_only_a_choice_needs_fingerprints(spark):
+    """Three places by hand; prints are asked for candidates in the band of scopes with more than one, and nothing of them is carried on."""
+    scores = [("a", 1, 100.0, 0.75), ("a", 2, 99.0, 0.5), ("a", 3, 98.0, 0.5), ("a", 4, 97.0, 0.0), ("a", 5, 96.0, 0.5), ("a", 6, 10.0, 1.0), ("b", 7, 5.0, 0.0), ("b", 8, 1.0, 1.0), ("c", 9, 7.0, 0.25), ("c", 10, 7.0, 0.25)]
+    scored = spark.createDataFrame(scores, "scope string, key long, score double, reliability double")
+    at = {1: 0.0, 2: 0.1, 3: 0.3, 4: 1.0, 5: 0.9, 9: 0.0, 10: 0.2}
+    asked = []
+
+    def prints(some):
+        asked.extend(r["key"] for r in some.collect())
+        return some.select("scope", "key").join(spark.createDataFrame(list(at.items()), "key long, x double"), "key")
+
+    eligible = similarity.in_band(scored, "scope")
+    assert {r["key"]: r["best"] for r in eligible.collect()} == {1: 100.0, 2: 100.0, 3: 100.0, 4: 100.0, 5: 100.0, 7: 5.0, 9: 7.0, 10: 7.0}
+    chosen = similarity.select_diverse(eligible, prints, "scope", "key", 4, 0.22, lambda a, b: F.round(F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")), 4))
+    # a: 5 (0.836) before 3 (0.758) and 4 (0.732); then 3 at 0.3, as 4 is too near to 5 and 2 to 1. c: 10 is too near.
+    assert sorted((r["place"], r["scope"], r["key"]) for r in chosen.collect()) == [(1, "a", 1), (1, "b", 7), (1, "c", 9), (2, "a", 5), (3, "a", 3)]
+    assert sorted(asked) == [1, 2, 3, 4, 5, 9, 10]
+
+
+def test_diverse_topk_shuffles_few_fingerprints(spark, tmp_path):
+    """Builds under their scope's floor are never fingerprinted: fifty times as many of them move the scores, not their nodes."""
+    from tessera.plans import catalogue_queries
+
+    def moved(n):
+        at = tmp_path / str(n)
+        k = F.col("id")
+        spark.createDataFrame([(i, "a part", "Brand#1", "LARGE", i % 50, 1.0) for i in range(40)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(at / "part.parquet"))
+        spark.range(100 * n).select(k.alias("o_orderkey"), (k % 100).alias("o_custkey"), F.when(k < 200, 1000.0 + k).otherwise(1.0).alias("o_totalprice")).write.parquet(str(at / "orders.parquet"))
+        spark.range(500 * n).select((k / 5).cast("long").alias("l_orderkey"), (k * 7 % 40).alias("l_partkey")).write.parquet(str(at / "lineitem.parquet"))
+        return shuffled_bytes(spark, lambda: catalogue_queries.diverse_topk(spark, str(at)).write.format("noop").mode("overwrite").save())
+
+    assert moved(100) < 4 * moved(2)
+
+
 def test_medians_of_one_scope_with_all_rows(spark):
     import statistics
 
